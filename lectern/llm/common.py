@@ -33,9 +33,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and rereads it: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # the context cleaner then drops shuffle files of steps that are done
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
