@@ -30,11 +30,13 @@ AS_LETTER, AS_ITSELF, SHORTENED, DOUBLED, WHOLE_RUN, DROPPED, KEPT = -1.0, -2.5,
 CLASSES = 29
 _CLASS = bytes(0 if b in b" \t\n\r\x0b\x0c" else b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 28 for b in range(256))
 
-_TOKEN_CUE = re.compile(r"[0134578@$!|+9][a-z]|[a-z][01345@$](?=[\s.,;:?]|$)|([a-z])\1\1")
+_TOKEN_CUE = re.compile(r"[0134578@$!|+9][a-z]|(?<=[a-z])[01345@$](?=[.,;:?]|$)|([a-z])\1\1|[^\W_]([.\-_*/|])[^\W_]\2[^\W_]\2")
+_BLANKS_CUE = re.compile(r" [^\W_] [^\W_] [^\W_]")
 _SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-_*/|])[^\W_](?:\1[^\W_]){2,}(?!\w)")
 _RUN = re.compile(r"(.)\1*", re.S)
+BEGINNINGS = (4, 5, 6, 7)
 #: Tokens that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
@@ -112,49 +114,47 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> str:
 
 
 class Restorer:
-    """Restores whole texts; remembers tokens."""
+    """Restores texts. Most tokens have no cue of obfuscation: their lattice has one path, themselves."""
 
     def __init__(self, model: CharModel):
-        self.model, self.known = model, {}
-
-    def _read(self, token: str, spaced: bool) -> str:
-        if (out := self.known.get(token)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            out = self.known[token] = decode(token, self.model, spaced)
-        return out
+        self.model = model
+
+    def token(self, token: str) -> str:
+        """A token of lower case, between white space."""
+        if not _TOKEN_CUE.search(token):
+            return token
+        joined = _SPACED.sub(lambda m: decode(m[0], self.model, True), token)
+        return joined if joined != token else decode(token, self.model)
+
+    def tokens(self, text: str) -> set[str]:
+        """The distinct tokens of a text in lower case; single letters with blanks between are read as one span."""
+        text = text.lower()
+        if _BLANKS_CUE.search(f" {text}"):
+            text = _SPACED.sub(lambda m: decode(m[0], self.model, True), text)
+        return set(text.split())
 
     def __call__(self, text: str) -> str:
-        text = _SPACED.sub(lambda m: self._read(m[0], True), text.lower())
-        out, done = [], 0
-        for m in _TOKEN_CUE.finditer(text):
-            if m.start() < done:
-                continue
-            start, end = m.start(), m.end()
-            while start > done and not text[start - 1].isspace():
-                start -= 1
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            out += [text[done:start], self._read(text[start:end], False)]
-            done = end
-        out.append(text[done:])
-        return "".join(out)
+        """The whole restored text."""
+        joined = _SPACED.sub(lambda m: decode(m[0], self.model, True), text.lower())
+        return "".join(x if x.isspace() else self.token(x) for x in re.split(r"(\s+)", joined))
 
 
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’‘¿¡…–—"
 
 
 def grams(word: str) -> list[str]:
-    """A word and its n-grams of 4 to 6 characters, with marks at its ends."""
+    """A word, and the n-grams it begins with: 3 to 6 characters after a mark, so that they cover inflections."""
     marked = f"^{word}$"
-    return [marked, *(marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1) if n < len(marked))]
+    return [marked, *(marked[:n] for n in BEGINNINGS if n < len(marked))]
 
 
 class Lexicon:
     """Words' weights from the n-grams that tell toxic from other texts."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights, self.known = weights, {}
+    def __init__(self, weights: dict[str, float], restorer: Restorer | None = None):
+        self.weights, self.restorer = weights, restorer
+        self.without: set[str] = set()
+        self.with_weight: dict[str, float] = {}
 
     @classmethod
     def learn(cls, sets: list[set[str]], labels: np.ndarray, most: int = 20_000) -> Lexicon:
@@ -178,15 +178,22 @@ class Lexicon:
         return cls(dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]))
 
     def weight(self, token: str) -> float:
-        if (out := self.known.get(token)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            get = self.weights.get
-            out = self.known[token] = max((get(g, 0.0) for g in grams(token.strip(_EDGE))), default=0.0)
+        """The largest weight of a restored token's n-grams; 0 if it has none. Remembered."""
+        if (out := self.with_weight.get(token)) is None:
+            word = self.restorer.token(token) if self.restorer else token
+            out, get = 0.0, self.weights.get
+            for g in grams(word.strip(_EDGE)):
+                out = max(out, get(g, 0.0))
+            if len(self.without) > REMEMBERED:
+                self.without.clear()
+            if out:
+                self.with_weight[token] = out
+            else:
+                self.without.add(token)
         return out
 
     def features(self, tokens: set[str]) -> list[float]:
-        w = [x for x in map(self.weight, tokens) if x]
+        w = [x for x in map(self.weight, tokens.difference(self.without)) if x]
         strong = sum(x > 2.5 for x in w)
         return [1.0, max(w, default=0.0), math.log1p(sum(w)), math.log1p(strong), 10 * strong / (len(tokens) + 1)]
 
@@ -204,22 +211,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, chars: CharModel, lexicon: Lexicon, beta: np.ndarray):
-        self.chars, self.lexicon, self.beta, self.restore = chars, lexicon, beta.tolist(), Restorer(chars)
-
-    def __getstate__(self):
-        return self.chars, self.lexicon.weights, self.beta
+    def __init__(self, chars: CharModel, weights: dict[str, float], beta: list[float]):
+        self.chars, self.beta, self.restore = chars, beta, Restorer(chars)
+        self.lexicon = Lexicon(weights, self.restore)
 
-    def __setstate__(self, state):
-        self.chars, weights, self.beta = state
-        self.lexicon, self.restore = Lexicon(weights), Restorer(self.chars)
+    def __reduce__(self):
+        return ToxicityModel, (self.chars, self.lexicon.weights, self.beta)
 
     def score(self, text: str) -> float:
-        z = sum(a * b for a, b in zip(self.beta, self.lexicon.features(set(self.restore(text).split())), strict=True))
+        z = sum(a * b for a, b in zip(self.beta, self.lexicon.features(self.restore.tokens(text)), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, longest: int = 1 << 16, seed: int = 3) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000, longest: int = 1 << 16, seed: int = 3) -> ToxicityModel:
     """Fits on at most `fit_rows` toxic and twice as many other labelled documents of at most `longest` bytes.
 
     The character model counts all documents; of it at most 29^3 sums come to the driver, of the
@@ -233,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, longest: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(chars)
         for batch in batches:
-            words = [" ".join(sorted({w.strip(_EDGE) for w in restore(t).split()})) for t in batch.column(2).to_pylist()]
+            words = [" ".join(sorted({restore.token(w).strip(_EDGE) for w in restore.tokens(t)})) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words)], ["doc_id", "label", "words"])
 
     rows = sample(docs, chosen, 3 * fit_rows, longest, seed).mapInArrow(run, "doc_id long, label int, words string").collect()
@@ -241,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, longest: int =
     y = np.array([r["label"] for r in rows], np.int64)
     if not y.any() or y.all():
         rate = (rates.get(1, 0) + 0.5) / (sum(rates.values()) + 1)
-        return ToxicityModel(chars, Lexicon({}), np.array([math.log(rate / (1 - rate)), 0, 0, 0, 0.0]))
+        return ToxicityModel(chars, {}, [math.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0])
     sets = [set(r["words"].split()) for r in rows]
     fold = np.array([r["doc_id"] // 7 % 2 for r in rows])
     x = np.zeros((len(rows), 5))
@@ -251,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, longest: int =
             x[i] = lexicon.features(sets[i])
     beta = logistic(x, y)
     beta[0] += math.log((rates[1] / rates[0]) / (y.sum() / (len(y) - y.sum())))
-    return ToxicityModel(chars, Lexicon.learn(sets, y), beta)
+    return ToxicityModel(chars, Lexicon.learn(sets, y).weights, beta.tolist())
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
