@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, mixing, packing, quality, simhash, sketch, toxicity, vectors, warc
+from lectern.llm import chat, mixing, packing, quality, repeats, simhash, sketch, toxicity, vectors, warc
 from lectern.llm.common import table
 
 #: Turns that spell the template's own control strings, added to the conversations.
@@ -37,6 +37,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), depth=200)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,7 +81,7 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(pages, least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-ALL = (op1_chat_format, op2_simhash_near_dups, op3_toxicity, op5_pack_sequences, op6_embedding_near_dups, op7_document_fingerprints, op8_mix_sources, op9_quality, op10_warc_bundles)
+ALL = (op1_chat_format, op2_simhash_near_dups, op3_toxicity, op4_suffix_repeats, op5_pack_sequences, op6_embedding_near_dups, op7_document_fingerprints, op8_mix_sources, op9_quality, op10_warc_bundles)
 
 
 def queries() -> dict:
