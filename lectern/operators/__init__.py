@@ -1,0 +1 @@
+"""Operators of the text and catalog engine."""

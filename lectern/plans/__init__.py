@@ -1,0 +1 @@
+"""Plans of the text and catalog engine."""

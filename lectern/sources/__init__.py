@@ -1,0 +1 @@
+"""Sources of the text and catalog engine."""

@@ -1,0 +1 @@
+"""Streaming of the text and catalog engine."""
