@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,32 +27,76 @@ from lectern.llm.common import keep
 #: and remembered; these strings make an exception (controls that only str.split() takes for
 #: white space, and what may spell a special token).
 UNSAFE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Marks that never join the letters or digits before them in a token; the apostrophe does.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
+def _byte_letters() -> dict[int, int]:
+    """How byte-level models spell bytes: visible Latin-1 characters as themselves, the rest from U+0100 on in order."""
+    hidden = (b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SPELL = _byte_letters()
+#: Letters up to here are one character in every normal form that composes.
+_LAST = "\u024f"
+
+
 class _Encoder:
+    """Encodes texts word by word and remembers words.
+
+    A word of letters, and marks after it, is one model token sequence for its small letters and
+    one for its marks, if the tokenizer is of that kind; a few words tell whether it is. Any other
+    word is encoded in full.
+    """
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.by_letters = Tokenizer.from_file(path), {}, True
+        told = ["The", "STRASSE", "stra\u00dfe,", "\u00c9t\u00e9!!", "ci\u00f3n.", "a", "x)*", "\u00f1\u00fc\u00e7", "don't", "9lives;"]
+        try:
+            self.by_letters = all(self._word(w) == self._full(w) for w in told)
+        except Exception:  # a model without tokenize()
+            self.by_letters = False
+        self.known.clear()
+
+    def _full(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        low = core.lower()
+        if not (self.by_letters and low.isalpha() and max(low) <= _LAST):
+            return self._full(word)
+        if (ids := self.known.get(low)) is None:
+            spelt = low if low.isascii() else low.encode().decode("latin-1").translate(_SPELL)
+            ids = self.known[low] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+        if len(core) < len(word):
+            marks = word[len(core) :]
+            if (after := self.known.get(marks)) is None:
+                after = self.known[marks] = self._full(marks)
+            ids += after
+        return ids
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        """The ids of each text as unsigned 32-bit numbers."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        words = [None if any(u in t for u in UNSAFE) else t.split() for t in texts]
-        new = list(set().union(*(w for w in words if w)).difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        for text, own in zip(texts, words, strict=True):
-            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if own is None else b"".join(map(known.__getitem__, own))
+        for text in texts:
+            if any(u in text for u in UNSAFE):
+                yield self._full(text)
+                continue
+            words = text.split()
+            for word in set(words).difference(known):
+                known[word] = self._word(word)
+            yield b"".join(map(known.__getitem__, words))
 
 
 _encoders: dict[str, _Encoder] = {}
