@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +37,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and rereads it: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    spark._jvm.System.gc()  # the context cleaner then drops shuffle files of steps that are done
+    # shuffle files of a step that is done go when its plan is garbage in Python and, after that, in the driver's JVM
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -263,9 +263,10 @@ def repeated_intervals(named: DataFrame, depth: int) -> DataFrame:
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = keep(_anchor_rows(named, depth), "anchors")
     twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = every.join(twice, "h", "left_semi").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("place", "h"))).alias("places"))
-    found = keep(_contexts(named.join(places, _NAME), depth), "contexts")
+    places = keep(every.join(twice, "h", "left_semi").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("place", "h"))).alias("places")), "places")
     drop(every)
+    found = keep(_contexts(named.join(places, _NAME), depth), "contexts")
+    drop(places)
     classes = found.where("bytes IS NOT NULL")
     crowds = classes.groupBy("h").agg(F.count("*").alias("rows"))
     # anchors with over twice a task's share of contexts: at most half as many as there are partitions
