@@ -24,3 +24,8 @@ def replace_all(text: Column, pairs) -> Column:
     for old, new in pairs:
         text = F.replace(text, F.lit(old), F.lit(new))
     return text
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: the one-element array gives it a name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

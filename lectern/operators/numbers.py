@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
+
 #: English number words.
 EN_BELOW_20 = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 EN_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -43,11 +45,13 @@ def has_numbers(text: Column) -> Column:
     return F.regexp_like(text, F.lit("-?[0-9]+"))
 
 
-def _en_below_1000(n: Column) -> Column:
-    rest = n % 100
+def _en_below_100(rest: Column) -> Column:
     tens = F.concat(_pick(EN_TENS, F.floor(rest / 10) - 2), F.when(rest % 10 > 0, F.concat(F.lit("-"), _pick(EN_BELOW_20, rest % 10))).otherwise(""))
-    low = F.when(rest == 0, "").when(rest < 20, _pick(EN_BELOW_20, rest)).otherwise(tens)
-    return words(F.when(n >= 100, F.concat(_pick(EN_BELOW_20, F.floor(n / 100)), F.lit(" hundred"))).otherwise(""), low)
+    return F.when(rest == 0, "").when(rest < 20, _pick(EN_BELOW_20, rest)).otherwise(tens)
+
+
+def _en_below_1000(n: Column) -> Column:
+    return words(F.when(n >= 100, F.concat(_pick(EN_BELOW_20, F.floor(n / 100)), F.lit(" hundred"))).otherwise(""), let(n % 100, _en_below_100))
 
 
 def _group(n: Column, k: int) -> Column:
@@ -55,24 +59,25 @@ def _group(n: Column, k: int) -> Column:
 
 
 def _en_below_trillion(n: Column) -> Column:
-    return words(*(F.when(_group(n, k) > 0, F.concat(_en_below_1000(_group(n, k)), F.lit(EN_SCALES[k]))).otherwise("") for k in (3, 2, 1, 0)))
+    def said(g: Column, k: int) -> Column:
+        return F.when(g > 0, F.concat(_en_below_1000(g), F.lit(EN_SCALES[k]))).otherwise("")
+
+    return words(let(_group(n, 3), lambda g: said(g, 3)), let(_group(n, 2), lambda g: said(g, 2)), let(_group(n, 1), lambda g: said(g, 1)), let(_group(n, 0), lambda g: said(g, 0)))
 
 
 def cardinal_en(number: Column) -> Column:
     """English words of a 64-bit integer but the smallest, which has no opposite and stays digits."""
     n = F.abs(number)
-    high, low = F.call_function("div", n, F.lit(10**12)), n % 10**12
-    spoken = words(F.when(high > 0, F.concat(_en_below_trillion(high), F.lit(" trillion"))).otherwise(""), _en_below_trillion(low))
-    signed = F.when(number < 0, F.concat(F.lit("minus "), spoken)).when(number == 0, "zero").otherwise(spoken)
-    return F.when(number == F.lit(-(1 << 63)), number.cast("string")).otherwise(signed)
+    high = let(F.call_function("div", n, F.lit(10**12)), lambda h: F.when(h > 0, F.concat(_en_below_trillion(h), F.lit(" trillion"))).otherwise(""))
+    spoken = words(F.when(number < 0, "minus").otherwise(""), high, _en_below_trillion(n % 10**12))
+    return F.when(number == F.lit(-(1 << 63)), number.cast("string")).when(number == 0, "zero").otherwise(spoken)
 
 
 def ordinal_en(number: Column) -> Column:
     """As cardinal_en, with the last word an ordinal."""
-    spoken = cardinal_en(number)
-    last = F.regexp_extract(spoken, "([a-z]+)$", 1)
     known = F.create_map(*(F.lit(x) for pair in EN_ORDINALS.items() for x in pair))
-    return F.concat(F.regexp_replace(spoken, "[a-z]+$", ""), F.when(last == "", "").otherwise(F.coalesce(known[last], F.concat(last, F.lit("th")))))
+    inflected = lambda w: F.when(w == "", "").otherwise(F.coalesce(known[w], F.concat(w, F.lit("th"))))
+    return let(cardinal_en(number), lambda w: F.concat(F.regexp_replace(w, "[a-z]+$", ""), let(F.regexp_extract(w, "([a-z]+)$", 1), inflected)))
 
 
 def _gendered(name: str, gender: str) -> str:
@@ -84,11 +89,10 @@ def _gendered(name: str, gender: str) -> str:
     return name[:-2] + ("ая" if gender == "f" else "ое")
 
 
-def _ru_below_1000(n: Column, gender: str, zero: str = "") -> Column:
+def _ru_below_1000(n: Column, gender: str) -> Column:
     small = [RU_OWN[gender].get(i, w) for i, w in enumerate(RU_BELOW_20)]
-    rest = n % 100
-    low = F.when(rest == 0, zero).when(rest < 20, _pick(small, rest)).otherwise(words(_pick(RU_TENS, F.floor(rest / 10) - 2), F.when(rest % 10 > 0, _pick(small, rest % 10)).otherwise("")))
-    return words(F.when(n >= 100, _pick(RU_HUNDREDS, F.floor(n / 100) - 1)).otherwise(""), low)
+    low = lambda rest: F.when(rest == 0, "").when(rest < 20, _pick(small, rest)).otherwise(words(_pick(RU_TENS, F.floor(rest / 10) - 2), F.when(rest % 10 > 0, _pick(small, rest % 10)).otherwise("")))
+    return words(F.when(n >= 100, _pick(RU_HUNDREDS, F.floor(n / 100) - 1)).otherwise(""), let(n % 100, low))
 
 
 def _ru_scale(n: Column, k: int) -> Column:
@@ -97,13 +101,15 @@ def _ru_scale(n: Column, k: int) -> Column:
 
 
 def _ru_group(n: Column, k: int, gender: str) -> Column:
-    g = _group(n, k)
-    own = _ru_below_1000(g, gender if k == 0 else "f" if k == 1 else "m")
-    return F.when(g > 0, words(own, _ru_scale(g, k)) if k else own).otherwise("")
+    def said(g: Column) -> Column:
+        own = _ru_below_1000(g, gender if k == 0 else "f" if k == 1 else "m")
+        return F.when(g > 0, words(own, _ru_scale(g, k)) if k else own).otherwise("")
+
+    return let(_group(n, k), said)
 
 
 def _ru(number: Column, zero: str, spoken: Column) -> Column:
-    signed = F.when(number < 0, F.concat(F.lit("минус "), spoken)).when(number == 0, zero).otherwise(spoken)
+    signed = F.when(number == 0, zero).otherwise(words(F.when(number < 0, "минус").otherwise(""), spoken))
     return F.when((number <= -(10**15)) | (number >= 10**15), number.cast("string")).otherwise(signed)
 
 
@@ -116,19 +122,19 @@ def cardinal_ru(number: Column, gender: str = "m") -> Column:
 def ordinal_ru(number: Column, gender: str = "m") -> Column:
     """As cardinal_ru with the last group that isn't zero inflected."""
     n, own = F.abs(number), lambda names: [_gendered(x, gender) for x in names]
-    g, rest = _group(n, 0), _group(n, 0) % 100
-    below = (
-        F.when(rest == 0, _pick(own(RU_ORDINAL_HUNDREDS), F.floor(g / 100) - 1))
-        .when(rest < 20, words(F.when(g >= 100, _pick(RU_HUNDREDS, F.floor(g / 100) - 1)).otherwise(""), _pick(own(RU_ORDINAL_BELOW_20), rest)))
-        .when(rest % 10 == 0, words(F.when(g >= 100, _pick(RU_HUNDREDS, F.floor(g / 100) - 1)).otherwise(""), _pick(own(RU_ORDINAL_TENS), F.floor(rest / 10) - 2)))
-        .otherwise(words(F.when(g >= 100, _pick(RU_HUNDREDS, F.floor(g / 100) - 1)).otherwise(""), _pick(RU_TENS, F.floor(rest / 10) - 2), _pick(own(RU_ORDINAL_BELOW_20), rest % 10)))
-    )
-    spoken = F.when(g > 0, words(*(_ru_group(n, k, gender) for k in (4, 3, 2, 1)), below))
-    for k in (1, 2, 3, 4):
-        at = _group(n, k)
-        last = words(F.when(at == 1, "").otherwise(_ru_below_1000(at, "f" if k == 1 else "m")), F.lit(_gendered(RU_ORDINAL_SCALES[k - 1], gender)))
-        spoken = spoken.when(at > 0, words(*(_ru_group(n, j, gender) for j in range(4, k, -1)), last))
-    return _ru(number, own(RU_ORDINAL_BELOW_20)[0], spoken)
+
+    def below(g: Column) -> Column:
+        hundreds = F.when(g >= 100, _pick(RU_HUNDREDS, F.floor(g / 100) - 1)).otherwise("")
+        low = lambda rest: F.when(rest < 20, _pick(own(RU_ORDINAL_BELOW_20), rest)).when(rest % 10 == 0, _pick(own(RU_ORDINAL_TENS), F.floor(rest / 10) - 2)).otherwise(words(_pick(RU_TENS, F.floor(rest / 10) - 2), _pick(own(RU_ORDINAL_BELOW_20), rest % 10)))
+        return F.when(g == 0, "").when(g % 100 == 0, _pick(own(RU_ORDINAL_HUNDREDS), F.floor(g / 100) - 1)).otherwise(words(hundreds, let(g % 100, low)))
+
+    def scaled(k: int) -> Column:
+        """A group that only zeros follow: its number, if not 1, and the scale's ordinal."""
+        last = F.lit(_gendered(RU_ORDINAL_SCALES[k - 1], gender))
+        own_words = lambda g: F.when(g == 0, "").when(g == 1, last).otherwise(words(_ru_below_1000(g, "f" if k == 1 else "m"), last))
+        return F.when(n % 1000**k == 0, let(_group(n, k), own_words)).otherwise(_ru_group(n, k, gender))
+
+    return _ru(number, own(RU_ORDINAL_BELOW_20)[0], words(scaled(4), scaled(3), scaled(2), scaled(1), let(_group(n, 0), below)))
 
 
 def gender_of(word: Column) -> Column:
@@ -177,10 +183,10 @@ def lookup_nouns(df: DataFrame, nouns: DataFrame, word_col: str = "word") -> Dat
     Spark finds it small.
     """
     own = nouns.select(F.lower("noun").alias("surface"), F.lit(0).alias("rank"), "noun", "gender", "form")
-    plural = nouns.select(F.lower(F.explode("plurals")).alias("surface"), F.lit(1).alias("rank"), "noun", "gender", "form")
+    plural = nouns.select(F.explode("plurals").alias("surface"), F.lit(1).alias("rank"), "noun", "gender", "form").withColumn("surface", F.lower("surface"))
     best = own.unionByName(plural).groupBy("surface").agg(F.min(F.struct("rank", "noun", "gender", "form")).alias("m"))
     joined = df.join(best, F.lower(word_col) == best.surface, "left")
-    return joined.select(*df.columns, F.col("m.noun").alias("noun"), F.col("m.gender").alias("gender"), F.col("m.form").alias("form"))
+    return joined.select(*(F.col(c) for c in df.columns), F.col("m.noun").alias("noun"), F.col("m.gender").alias("gender"), F.col("m.form").alias("form"))
 
 
 def _pieces(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import go_trim
+from lectern.functions.text import go_trim, let
 from lectern.operators.cleaning import is_speakable
 
 MARKER = "{{PART_BREAK}}"
@@ -85,8 +85,12 @@ def is_separator(line: Column, patterns: tuple[str, ...] = SEPARATORS) -> Column
 def mark_separators(df: DataFrame, patterns: tuple[str, ...] = SEPARATORS) -> DataFrame:
     """Separator lines become the marker, one for several in a row."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.when(is_separator(x, patterns), F.lit(MARKER)).otherwise(x))
-    marked = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), ((x == MARKER) & (i > 0) & (F.get(lines, i - 1) == MARKER)).alias("again"))), lambda s: ~s["again"])
-    return df.withColumn("text", F.array_join(F.transform(marked, lambda s: s["x"]), "\n"))
+
+    def joined(all_: Column) -> Column:
+        first = F.filter(all_, lambda x, i: (x != MARKER) | (i == 0) | (F.get(all_, i - 1) != MARKER))
+        return F.array_join(first, "\n")
+
+    return df.withColumn("text", let(lines, joined))
 
 
 def split_parts(df: DataFrame) -> DataFrame:

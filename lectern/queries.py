@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import catalog, cleaning, estimate, jobs, markup, numbers, segment
+from lectern.plans import prepare
+from lectern.sources import dictionaries, feeds, sinks
 from lectern.sources.books import read_books
+from lectern.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,9 +143,9 @@ CODES = {"small": "Small prints", "economy": "Economics", "promo": "Promotion",
 
 
 @query(
-    """WITH one AS (SELECT p_partkey AS book_id, unnest(w) AS item, unnest(range(len(w))) AS at FROM (SELECT p_partkey, string_split(p_type || ' ' || p_name || ' ' || upper(p_name), ' ') AS w FROM part)),
-    f AS (SELECT book_id, lower(trim(item)) AS code, min(at) AS at, arg_min(trim(item), at) AS item FROM one WHERE trim(item) <> '' GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY at) AS rank FROM f)
+    """WITH one AS (SELECT p_partkey AS book_id, unnest(w) AS item, unnest(range(len(w))) AS place FROM (SELECT p_partkey, string_split(p_type || ' ' || p_name || ' ' || upper(p_name), ' ') AS w FROM part)),
+    f AS (SELECT book_id, lower(trim(item)) AS code, min(place) AS place, arg_min(trim(item), place) AS item FROM one WHERE trim(item) <> '' GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY place) AS rank FROM f)
     SELECT book_id, string_agg(coalesce(n.name, item), '; ' ORDER BY rank) AS joined FROM r LEFT JOIN (VALUES """
     + ", ".join(f"('{a}', '{b}')" for a, b in CODES.items())
     + ") n(code, name) ON n.code = r.code WHERE rank <= 5 GROUP BY 1"
@@ -153,9 +156,9 @@ def f8_join_genres(spark, sf_dir):
 
 
 @query(
-    """WITH one AS (SELECT p_partkey AS book_id, unnest(w) AS item, unnest(range(len(w))) AS at FROM (SELECT p_partkey, string_split(p_name || ' ' || p_brand, ' ') AS w FROM part)),
-    f AS (SELECT book_id, lower(trim(item)) AS code, min(at) AS at, arg_min(trim(item), at) AS item FROM one WHERE trim(item) <> '' GROUP BY 1, 2)
-    SELECT book_id, string_agg(item, ', ' ORDER BY at) AS joined FROM f GROUP BY 1"""
+    """WITH one AS (SELECT p_partkey AS book_id, unnest(w) AS item, unnest(range(len(w))) AS place FROM (SELECT p_partkey, string_split(p_name || ' ' || p_brand, ' ') AS w FROM part)),
+    f AS (SELECT book_id, lower(trim(item)) AS code, min(place) AS place, arg_min(trim(item), place) AS item FROM one WHERE trim(item) <> '' GROUP BY 1, 2)
+    SELECT book_id, string_agg(item, ', ' ORDER BY place) AS joined FROM f GROUP BY 1"""
 )
 def f9_join_categories(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.split(F.concat_ws(" ", "p_name", "p_brand"), " ").alias("names"))
@@ -703,3 +706,118 @@ def e3_pause_patterns(spark, sf_dir):
 def e4_prosody(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"), (F.col("p_size") / 30).alias("speed"), (F.col("p_size") / 40).alias("pitch"))
     return markup.prosody(rows).select("p_partkey", "text")
+
+
+def streamed(spark, sf_dir) -> DataFrame:
+    status = F.coalesce(F.create_map(*(F.lit(x) for p in EVENT_STATUS.items() for x in p))[F.col("event_type")], F.lit("pending"))
+    return events.event_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"), "value", "event_type")
+
+
+@query(f"SELECT job_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(status, (ts, event_id)) AS status FROM ({CHANGES}) GROUP BY 1")
+def i1_latest_state(spark, sf_dir):
+    return events.run_available(events.latest_state(streamed(spark, sf_dir)), "complete", "i1")
+
+
+@query(f"SELECT job_id, event_id, ts FROM ({CHANGES}) WHERE status = 'pending'")
+def i2_pending_intake(spark, sf_dir):
+    return events.run_available(events.pending_intake(streamed(spark, sf_dir)), "append", "i2").select("job_id", "event_id", "ts")
+
+
+@query(f"SELECT job_id, event_id, ts, status FROM ({CHANGES})")
+def i3_unexpired(spark, sf_dir):
+    twice = streamed(spark, sf_dir).select("job_id", "event_id", "ts", "status").withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
+    return events.run_available(events.unexpired(twice), "append", "i3").select("job_id", "event_id", "ts", "status")
+
+
+@query(f"SELECT date_trunc('hour', ts) AS hour, status, count(*) AS events FROM ({CHANGES}) GROUP BY ALL")
+def i4_counters(spark, sf_dir):
+    return events.run_available(events.counters(streamed(spark, sf_dir)), "complete", "i4")
+
+
+@query("SELECT event_type AS name, '{\"job\":\"' || (user_id % 5) || '\"}' AS labels, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def i5_gauges(spark, sf_dir):
+    labels = F.create_map(F.lit("job"), (F.col("job_id") % 5).cast("string"))
+    return events.run_available(events.gauges(streamed(spark, sf_dir).withColumnRenamed("event_type", "name").withColumn("labels", labels)), "complete", "i5")
+
+
+@query()
+def i6_throttle_progress(spark, sf_dir):
+    return events.run_available(events.throttled(streamed(spark, sf_dir).select("job_id", "event_id", "value")), "append", "i6").select("job_id", "event_id", "value")
+
+
+@query()
+def i7_ttl_previews(spark, sf_dir):
+    return events.run_available(events.ttl_previews(streamed(spark, sf_dir)), "append", "i7").select("job_id", "opened", "ended", "events")
+
+
+@query(
+    f"""WITH {LINES}, t AS (SELECT book_id, chapter_no, start_ms, start_ms + duration_ms AS end_ms FROM (SELECT *,
+    CAST(coalesce(sum(duration_ms + 500) OVER (PARTITION BY book_id ORDER BY chapter_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM lines))
+    SELECT book_id, ';FFMETADATA1' || chr(10) || 'title=Book ' || book_id || chr(10) || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || start_ms || chr(10) || 'END=' || end_ms || chr(10) || 'title=Chapter \\#' || chapter_no || chr(10), chr(10) ORDER BY chapter_no) AS document FROM t GROUP BY 1"""
+)
+def a9_chapter_metadata(spark, sf_dir):
+    titled = lines(spark, sf_dir).withColumn("title", F.concat(F.lit("Chapter #"), F.col("chapter_no").cast("string")))
+    return sinks.chapter_metadata(estimate.chapter_timeline(titled, 500))
+
+
+@query("SELECT c_name AS pattern, CASE WHEN c_custkey % 3 = 0 THEN 'ru' ELSE 'en' END AS lang FROM (SELECT c_name, max(c_custkey) AS c_custkey FROM customer GROUP BY 1)")
+def a3_infer_rule_language(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_no"), F.col("c_name").alias("pattern"), F.when(F.col("c_custkey") % 3 == 0, "слово").otherwise("word").alias("plain"), F.lit("").alias("markup"))
+    return dictionaries.infer_rule_languages(rows)
+
+
+@query()
+def a5_ingest_feeds_xml(spark, sf_dir):
+    """Feeds of one entry made of each page's url and number."""
+    entry = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><title>f</title><entry><id>"), F.col("page_id").cast("string"), F.lit("</id><title>t</title><author><name>n</name></author><link rel='http://opds-spec.org/acquisition' type='application/epub+zip' href='"), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&apos;")), F.lit("'/></entry></feed>"))
+    return feeds.ingest_feeds_xml(table(spark, sf_dir, "pages").select(F.col("page_id").alias("feed_id"), entry.alias("body")))
+
+
+@query()
+def a6_ingest_feeds_json(spark, sf_dir):
+    author = F.when(F.col("page_id") % 3 == 0, '"A"').when(F.col("page_id") % 3 == 1, '{"name":"A"}').otherwise('["A",{"name":"B"}]')
+    body = F.concat(F.lit('{"metadata":{},"navigation":[{"title":"n","href":"/n"}],"publications":[{"metadata":{"title":"t","author":'), author, F.lit(',"subject":["s",{"name":"u"}]},"links":[{"href":'), F.to_json(F.struct("url")).substr(F.lit(8), F.length(F.to_json(F.struct("url"))) - 8), F.lit(',"type":"application/epub+zip"}]}]}'))
+    return feeds.ingest_feeds_json(table(spark, sf_dir, "pages").select(F.col("page_id").alias("feed_id"), body.alias("body")))
+
+
+@query()
+def b5_transliterate(spark, sf_dir):
+    return cleaning.latin_tokens(docs(spark, sf_dir))
+
+
+@query("SELECT DISTINCT w AS word, len(w) > 0 AS latin FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_]+', '  ', 'g'), '(?:^| )([A-Za-z]+)(?: |$)', 1)) AS w FROM documents)")
+def b5_latin_words(spark, sf_dir):
+    return cleaning.latin_tokens(docs(spark, sf_dir)).select("word", (F.length("spoken") > 0).alias("latin"))
+
+
+@query(f"SELECT doc_id, pos, CASE WHEN len(sentence) % 2 = 0 THEN '~' || sentence ELSE sentence END AS sentence FROM (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {sql_sentences('text')} AS p FROM documents))")
+def b9_stress_by_sentence(spark, sf_dir):
+    every = segment.sentences(docs(spark, sf_dir))
+    lexicon = every.where(F.length("sentence") % 2 == 0).select("sentence", F.concat(F.lit("~"), "sentence").alias("stressed")).distinct()
+    return cleaning.stress_by_sentence(every, lexicon)
+
+
+@query()
+def b10_prepare_corpus(spark, sf_dir):
+    return prepare.prepare_corpus(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+@query()
+def c6_gender_of(spark, sf_dir):
+    words = cleaning.latin_tokens(docs(spark, sf_dir)).select(F.col("spoken").alias("word")).distinct()
+    return words.withColumn("gender", numbers.gender_of(F.col("word")))
+
+
+@query(r"SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[\t\n\f\r ]*\n+'), lambda x: regexp_replace(" + sql_trim("x") + r", '[\t\n\f\r ]+', ' ', 'g')), lambda x: x <> '') AS p FROM documents)")
+def d1_loose_paragraphs(spark, sf_dir):
+    return segment.loose_paragraphs(docs(spark, sf_dir))
+
+
+@query()
+def d9_chunk_job(spark, sf_dir):
+    return prepare.chunk_job(docs(spark, sf_dir))
+
+
+@query()
+def d8_heard_chunks(spark, sf_dir):
+    return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", 2000), F.lit("en"))
