@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import let
-
 #: English number words.
 EN_BELOW_20 = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 EN_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -30,10 +30,6 @@ def words(*items: Column) -> Column:
     return F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in items))
 
 
-def _pick(names: list[str], at: Column) -> Column:
-    return F.get(F.array(*map(F.lit, names)), at.cast("int"))
-
-
 def extract_numbers(df: DataFrame, col: str = "text") -> DataFrame:
     """(doc_id, pos, number) of runs of digits, with a minus before, that fit 64 bits."""
     found = F.transform(F.regexp_extract_all(col, F.lit(r"(-?[0-9]+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
@@ -45,39 +41,53 @@ def has_numbers(text: Column) -> Column:
     return F.regexp_like(text, F.lit("-?[0-9]+"))
 
 
-def _en_below_100(rest: Column) -> Column:
-    tens = F.concat(_pick(EN_TENS, F.floor(rest / 10) - 2), F.when(rest % 10 > 0, F.concat(F.lit("-"), _pick(EN_BELOW_20, rest % 10))).otherwise(""))
-    return F.when(rest == 0, "").when(rest < 20, _pick(EN_BELOW_20, rest)).otherwise(tens)
+def _table(names: list[str], at: Column) -> Column:
+    """names[at]; the constant is folded into one literal, however long."""
+    return F.get(F.split(F.lit("|".join(names)), "\\|"), at.cast("int"))
+
+
+def _en_name(n: int) -> str:
+    """English words of 1 to 99; 0 is empty."""
+    return "" if not n else EN_BELOW_20[n] if n < 20 else "-".join([EN_TENS[n // 10 - 2], *([EN_BELOW_20[n % 10]] if n % 10 else [])])
 
 
-def _en_below_1000(n: Column) -> Column:
-    return words(F.when(n >= 100, F.concat(_pick(EN_BELOW_20, F.floor(n / 100)), F.lit(" hundred"))).otherwise(""), let(n % 100, _en_below_100))
+def _en_ordinal_name(n: int) -> str:
+    head, last = re.fullmatch("(.*?)([a-z]*)", _en_name(n)).groups()
+    return head + EN_ORDINALS.get(last, "")
+
+
+EN_LOW, EN_LOW_ORDINAL = [_en_name(i) for i in range(100)], [_en_ordinal_name(i) for i in range(100)]
+EN_HUNDREDS = ["", *(f"{EN_BELOW_20[i]} hundred" for i in range(1, 10))]
+
+
+def _hundreds(n: Column, names: list[str]) -> Column:
+    return _table(names, F.call_function("div", n, F.lit(100)))
 
 
 def _group(n: Column, k: int) -> Column:
     return F.call_function("div", n, F.lit(1000**k)) % 1000 if k else n % 1000
 
 
-def _en_below_trillion(n: Column) -> Column:
-    def said(g: Column, k: int) -> Column:
-        return F.when(g > 0, F.concat(_en_below_1000(g), F.lit(EN_SCALES[k]))).otherwise("")
+def _scaled(n: Column, scale: str) -> Column:
+    return F.when(n > 0, F.concat(words(_hundreds(n, EN_HUNDREDS), _table(EN_LOW, n % 100)), F.lit(scale))).otherwise("")
 
-    return words(let(_group(n, 3), lambda g: said(g, 3)), let(_group(n, 2), lambda g: said(g, 2)), let(_group(n, 1), lambda g: said(g, 1)), let(_group(n, 0), lambda g: said(g, 0)))
+
+def _en(number: Column, last: list[str], tail: str) -> Column:
+    n = F.abs(number)
+    high, low = F.call_function("div", n, F.lit(10**12)), n % 1000
+    trillions = words(*(_scaled(_group(high, k), EN_SCALES[k]) for k in (2, 1, 0)))
+    above = words(F.when(number < 0, "minus").otherwise(""), F.when(high > 0, F.concat(trillions, F.lit(" trillion"))).otherwise(""), *(_scaled(_group(n, k), EN_SCALES[k]) for k in (3, 2, 1)), _hundreds(low, EN_HUNDREDS), _table(last, low % 100))
+    return F.when(number == F.lit(-(1 << 63)), number.cast("string")).otherwise(F.concat(above, F.when(low % 100 == 0, tail).otherwise("")))
 
 
 def cardinal_en(number: Column) -> Column:
     """English words of a 64-bit integer but the smallest, which has no opposite and stays digits."""
-    n = F.abs(number)
-    high = let(F.call_function("div", n, F.lit(10**12)), lambda h: F.when(h > 0, F.concat(_en_below_trillion(h), F.lit(" trillion"))).otherwise(""))
-    spoken = words(F.when(number < 0, "minus").otherwise(""), high, _en_below_trillion(n % 10**12))
-    return F.when(number == F.lit(-(1 << 63)), number.cast("string")).when(number == 0, "zero").otherwise(spoken)
+    return F.when(number == 0, EN_BELOW_20[0]).otherwise(_en(number, EN_LOW, ""))
 
 
 def ordinal_en(number: Column) -> Column:
     """As cardinal_en, with the last word an ordinal."""
-    known = F.create_map(*(F.lit(x) for pair in EN_ORDINALS.items() for x in pair))
-    inflected = lambda w: F.when(w == "", "").otherwise(F.coalesce(known[w], F.concat(w, F.lit("th"))))
-    return let(cardinal_en(number), lambda w: F.concat(F.regexp_replace(w, "[a-z]+$", ""), let(F.regexp_extract(w, "([a-z]+)$", 1), inflected)))
+    return F.when(number == 0, EN_ORDINALS["zero"]).otherwise(_en(number, EN_LOW_ORDINAL, "th"))
 
 
 def _gendered(name: str, gender: str) -> str:
@@ -89,52 +99,94 @@ def _gendered(name: str, gender: str) -> str:
     return name[:-2] + ("ая" if gender == "f" else "ое")
 
 
-def _ru_below_1000(n: Column, gender: str) -> Column:
-    small = [RU_OWN[gender].get(i, w) for i, w in enumerate(RU_BELOW_20)]
-    low = lambda rest: F.when(rest == 0, "").when(rest < 20, _pick(small, rest)).otherwise(words(_pick(RU_TENS, F.floor(rest / 10) - 2), F.when(rest % 10 > 0, _pick(small, rest % 10)).otherwise("")))
-    return words(F.when(n >= 100, _pick(RU_HUNDREDS, F.floor(n / 100) - 1)).otherwise(""), let(n % 100, low))
+def _ru_name(n: int, gender: str) -> str:
+    """Russian words of 1 to 99; 0 is empty."""
+    small = lambda i: RU_OWN[gender].get(i, RU_BELOW_20[i])
+    return "" if not n else small(n) if n < 20 else " ".join([RU_TENS[n // 10 - 2], *([small(n % 10)] if n % 10 else [])])
 
 
-def _ru_scale(n: Column, k: int) -> Column:
-    one, few, many = RU_SCALES[k - 1]
-    return F.when((n % 100).between(11, 14), many).when(n % 10 == 1, one).when((n % 10).between(2, 4), few).otherwise(many)
+def _ru_ordinal_name(n: int, gender: str) -> str:
+    if not n:
+        return ""
+    last = RU_ORDINAL_BELOW_20[n] if n < 20 else RU_ORDINAL_BELOW_20[n % 10] if n % 10 else RU_ORDINAL_TENS[n // 10 - 2]
+    return " ".join([*([RU_TENS[n // 10 - 2]] if n > 20 and n % 10 else []), _gendered(last, gender)])
 
 
-def _ru_group(n: Column, k: int, gender: str) -> Column:
-    def said(g: Column) -> Column:
-        own = _ru_below_1000(g, gender if k == 0 else "f" if k == 1 else "m")
-        return F.when(g > 0, words(own, _ru_scale(g, k)) if k else own).otherwise("")
+def _ru_gender(k: int, gender: str) -> str:
+    """The gender of a group's number: thousands are feminine, what is above masculine."""
+    return gender if k == 0 else "f" if k == 1 else "m"
+
 
-    return let(_group(n, k), said)
+def _ru_group(n: Column, k: int, gender: str) -> Column:
+    """A group of three digits with its scale; empty for 0."""
+    g, own = _group(n, k), _ru_gender(k, gender)
+    number = words(_hundreds(g, ["", *RU_HUNDREDS]), _table([_ru_name(i, own) for i in range(100)], g % 100))
+    if not k:
+        return number
+    one, few, many = RU_SCALES[k - 1]
+    return F.when(g > 0, words(number, F.when((g % 100).between(11, 14), many).when(g % 10 == 1, one).when((g % 10).between(2, 4), few).otherwise(many))).otherwise("")
 
 
-def _ru(number: Column, zero: str, spoken: Column) -> Column:
-    signed = F.when(number == 0, zero).otherwise(words(F.when(number < 0, "минус").otherwise(""), spoken))
-    return F.when((number <= -(10**15)) | (number >= 10**15), number.cast("string")).otherwise(signed)
+def _ru(number: Column, zero: str, *groups: Column) -> Column:
+    spoken = words(F.when(number < 0, "минус").otherwise(""), *groups)
+    return F.when((number <= -(10**15)) | (number >= 10**15), number.cast("string")).when(number == 0, zero).otherwise(spoken)
 
 
 def cardinal_ru(number: Column, gender: str = "m") -> Column:
     """Russian words of a number below 10^15; larger ones stay digits. Thousands are feminine."""
     n = F.abs(number)
-    return _ru(number, "ноль", words(*(_ru_group(n, k, gender) for k in (4, 3, 2, 1, 0))))
+    return _ru(number, RU_BELOW_20[0], *(_ru_group(n, k, gender) for k in (4, 3, 2, 1, 0)))
 
 
 def ordinal_ru(number: Column, gender: str = "m") -> Column:
     """As cardinal_ru with the last group that isn't zero inflected."""
-    n, own = F.abs(number), lambda names: [_gendered(x, gender) for x in names]
-
-    def below(g: Column) -> Column:
-        hundreds = F.when(g >= 100, _pick(RU_HUNDREDS, F.floor(g / 100) - 1)).otherwise("")
-        low = lambda rest: F.when(rest < 20, _pick(own(RU_ORDINAL_BELOW_20), rest)).when(rest % 10 == 0, _pick(own(RU_ORDINAL_TENS), F.floor(rest / 10) - 2)).otherwise(words(_pick(RU_TENS, F.floor(rest / 10) - 2), _pick(own(RU_ORDINAL_BELOW_20), rest % 10)))
-        return F.when(g == 0, "").when(g % 100 == 0, _pick(own(RU_ORDINAL_HUNDREDS), F.floor(g / 100) - 1)).otherwise(words(hundreds, let(g % 100, low)))
+    n = F.abs(number)
 
     def scaled(k: int) -> Column:
         """A group that only zeros follow: its number, if not 1, and the scale's ordinal."""
-        last = F.lit(_gendered(RU_ORDINAL_SCALES[k - 1], gender))
-        own_words = lambda g: F.when(g == 0, "").when(g == 1, last).otherwise(words(_ru_below_1000(g, "f" if k == 1 else "m"), last))
-        return F.when(n % 1000**k == 0, let(_group(n, k), own_words)).otherwise(_ru_group(n, k, gender))
-
-    return _ru(number, own(RU_ORDINAL_BELOW_20)[0], words(scaled(4), scaled(3), scaled(2), scaled(1), let(_group(n, 0), below)))
+        g, last = _group(n, k), _gendered(RU_ORDINAL_SCALES[k - 1], gender)
+        number = words(_hundreds(g, ["", *RU_HUNDREDS]), _table([_ru_name(i, _ru_gender(k, gender)) for i in range(100)], g % 100))
+        alone = F.when(g == 0, "").when(g == 1, last).otherwise(words(number, F.lit(last)))
+        return F.when(n % 1000**k == 0, alone).otherwise(_ru_group(n, k, gender))
+
+    low = _group(n, 0)
+    hundred = F.when(low % 100 == 0, _hundreds(low, ["", *(_gendered(x, gender) for x in RU_ORDINAL_HUNDREDS)])).otherwise(_hundreds(low, ["", *RU_HUNDREDS]))
+    return _ru(number, _gendered(RU_ORDINAL_BELOW_20[0], gender), *map(scaled, (4, 3, 2, 1)), hundred, _table([_ru_ordinal_name(i, gender) for i in range(100)], low % 100))
+
+
+def russian_words(n: int, gender: str = "m", ordinal: bool = False) -> str:
+    """The same for one number, for texts whose numbers depend on each other's words."""
+    if abs(n) >= 10**15:
+        return str(n)
+    sign, n = ("минус " if n < 0 else ""), abs(n)
+    if not n:
+        return _gendered(RU_ORDINAL_BELOW_20[0], gender) if ordinal else RU_BELOW_20[0]
+    groups = [(k, n // 1000**k % 1000) for k in (4, 3, 2, 1, 0) if n // 1000**k % 1000]
+    name = lambda g, own: [*([RU_HUNDREDS[g // 100 - 1]] if g >= 100 else []), *([_ru_name(g % 100, own)] if g % 100 else [])]
+    out: list[str] = []
+    for k, g in groups:
+        if ordinal and k == groups[-1][0]:
+            if k:
+                out += [*(name(g, _ru_gender(k, gender)) if g > 1 else []), _gendered(RU_ORDINAL_SCALES[k - 1], gender)]
+            elif g % 100:
+                out += [*name(g - g % 100, "m"), _ru_ordinal_name(g % 100, gender)]
+            else:
+                out.append(_gendered(RU_ORDINAL_HUNDREDS[g // 100 - 1], gender))
+        else:
+            out += name(g, _ru_gender(k, gender))
+            if k:
+                one, few, many = RU_SCALES[k - 1]
+                out.append(many if 11 <= g % 100 <= 14 else one if g % 10 == 1 else few if 2 <= g % 10 <= 4 else many)
+    return sign + " ".join(out)
+
+
+def russian_gender(word: str) -> str:
+    """gender_of() of one word."""
+    w = word.lower()
+    for pattern, gender in ((r"..*(?<=[оеё])в$|.*ей$", "m"), (r".+[иы]$", "f"), (r"^.[^аеёиоуыэюя]{2}а$", "n"), (r"^.{1,2}[рл]я$", "n"), (r".*[ая]$", "f"), (r".*[оеё]$", "n")):
+        if re.search(pattern, w):
+            return gender
+    return "m"
 
 
 def gender_of(word: Column) -> Column:

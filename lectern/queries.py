@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import catalog, cleaning, estimate, jobs, markup, numbers, segment
+from lectern.operators import catalog, cleaning, estimate, jobs, markup, numbers, russian, segment
 from lectern.plans import prepare
 from lectern.sources import dictionaries, feeds, sinks
 from lectern.sources.books import read_books
@@ -821,3 +821,17 @@ def d9_chunk_job(spark, sf_dir):
 @query()
 def d8_heard_chunks(spark, sf_dir):
     return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", 2000), F.lit("en"))
+
+
+@query()
+def c4_inflect_ru(spark, sf_dir):
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", *(russian.inflect(numbers.ordinal_ru(n, "m"), c, "m").alias(c) for c in ("genitive", "dative", "instrumental", "prepositional")))
+
+
+@query()
+def c7_number_context_ru(spark, sf_dir):
+    """Part numbers beside a word that asks for a case or gender."""
+    word = F.get(F.array(*map(F.lit, ("марта", "года", "книги", "рубля"))), (F.col("p_size") % 4).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.col("p_partkey").cast("string"), word).alias("text"))
+    return russian.normalize_numbers_ru(rows, nouns={"рубля": ("m", "c")})
