@@ -36,7 +36,7 @@ _SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-_*/|])[^\W_](?:\1[^\W_]){2,}(?!\w)")
 _RUN = re.compile(r"(.)\1*", re.S)
 BEGINNINGS = (4, 5, 6, 7)
 #: Tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
@@ -159,15 +159,14 @@ class Lexicon:
     @classmethod
     def learn(cls, sets: list[set[str]], labels: np.ndarray, most: int = 20_000) -> Lexicon:
         """Lower bounds (one standard error) of log-odds of texts having an n-gram; the `most` largest over 1."""
-        toxic, other, made = Counter(), Counter(), {}
-        own = lambda w: made.get(w) or made.setdefault(w, grams(w))
+        toxic, other = Counter(), Counter()
         for words, label in zip(sets, labels, strict=True):
             if label:
-                toxic.update({g for w in words for g in own(w)})
+                toxic.update({g for w in words for g in grams(w)})
         toxic = Counter({g: n for g, n in toxic.items() if n > 1})
         for words, label in zip(sets, labels, strict=True):
             if not label:
-                other.update({g for w in words for g in own(w)} & toxic.keys())
+                other.update(g for g in {g for w in words for g in grams(w)} if g in toxic)
         a, b = int(labels.sum()), int((1 - labels).sum())
         found = {}
         for g, n in toxic.items():
@@ -223,7 +222,7 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000, longest: int = 1 << 16, seed: int = 3) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, longest: int = 1 << 16, seed: int = 3) -> ToxicityModel:
     """Fits on at most `fit_rows` toxic and twice as many other labelled documents of at most `longest` bytes.
 
     The character model counts all documents; of it at most 29^3 sums come to the driver, of the
@@ -246,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000, longest: int =
     if not y.any() or y.all():
         rate = (rates.get(1, 0) + 0.5) / (sum(rates.values()) + 1)
         return ToxicityModel(chars, {}, [math.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0])
-    sets = [set(r["words"].split()) for r in rows]
+    pool: dict[str, str] = {}
+    sets = [{pool.setdefault(w, w) for w in r["words"].split()} for r in rows]
     fold = np.array([r["doc_id"] // 7 % 2 for r in rows])
     x = np.zeros((len(rows), 5))
     for k in (0, 1):
