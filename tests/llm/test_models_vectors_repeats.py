@@ -160,7 +160,8 @@ def slow_vectors(rows, least=0.95):
     unit = {}
     for k, (_, v) in enumerate(rows):
         if v and None not in v and np.isfinite(v).all() and np.any(v):
-            unit[k] = np.array(v, float) / np.linalg.norm(np.array(v, float))
+            scaled = np.array(v, float) / np.abs(v).max()  # else squares over- or underflow
+            unit[k] = scaled / np.linalg.norm(scaled)
     linked = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least]
     root = list(range(len(rows)))
 
