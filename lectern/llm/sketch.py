@@ -95,16 +95,18 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     next document and no place in the order: theirs is empty.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sketched = named.where("doc_id IS NOT NULL").withColumn("sketch", sketch(F.col("text")))
+    there = named.where("doc_id IS NOT NULL")
     third = F.max(F.floor(F.length("text") / 3)).cast("int").alias("most")
     wanted = next_ids(named).join(named.groupBy("doc_id").agg(third), F.col("id") == F.col("doc_id")).select("id", "next_id", "most")
+    # sketches are taken after the shuffle of the texts, so that both joins share one
     heads = (
-        sketched.join(wanted, sketched.doc_id == wanted.next_id)
+        there.join(wanted, there.doc_id == wanted.next_id)
+        .select("id", F.struct(F.expr("left(text, most)").alias("head"), sketch(F.col("text")).alias("next_sketch")).alias("n"))
         .groupBy("id")
-        .agg(F.min(F.struct(F.expr("left(text, most)").alias("head"), F.col("sketch").alias("next_sketch"))).alias("n"))
+        .agg(F.min("n").alias("n"))
         .select("id", "n.head", "n.next_sketch")
     )
-    paired = sketched.join(heads, sketched.doc_id == heads.id).drop("id")
+    paired = there.join(heads, there.doc_id == heads.id).select("doc_id", "text", sketch(F.col("text")).alias("sketch"), "head", "next_sketch")
     lone = named.where("doc_id IS NULL").select("*", sketch(F.col("text")).alias("sketch"), F.lit("").alias("head"), F.array().cast("array<bigint>").alias("next_sketch"))
     kept_part = F.expr("left(text, length(text) - int(floor(length(text) / 3)))")
     new_part = F.expr("left(head, int(floor(length(text) / 3)))")
