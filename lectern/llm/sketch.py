@@ -98,13 +98,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     there = named.where("doc_id IS NOT NULL")
     third = F.max(F.floor(F.length("text") / 3)).cast("int").alias("most")
     wanted = next_ids(named).join(named.groupBy("doc_id").agg(third), F.col("id") == F.col("doc_id")).select("id", "next_id", "most")
-    # sketches are taken after the shuffle of the texts, so that both joins share one
-    heads = (
+    # sketches are taken after the shuffle of the texts, and what goes to other documents is kept, so
+    # that the texts of one join at a time are on disk
+    heads = keep(
         there.join(wanted, there.doc_id == wanted.next_id)
         .select("id", F.struct(F.expr("left(text, most)").alias("head"), sketch(F.col("text")).alias("next_sketch")).alias("n"))
         .groupBy("id")
         .agg(F.min("n").alias("n"))
-        .select("id", "n.head", "n.next_sketch")
+        .select("id", "n.head", "n.next_sketch"),
+        "heads",
     )
     paired = there.join(heads, there.doc_id == heads.id).select("doc_id", "text", sketch(F.col("text")).alias("sketch"), "head", "next_sketch")
     lone = named.where("doc_id IS NULL").select("*", sketch(F.col("text")).alias("sketch"), F.lit("").alias("head"), F.array().cast("array<bigint>").alias("next_sketch"))
