@@ -271,3 +271,18 @@ def normalize_numbers_en(df: DataFrame, col: str = "text", ordinal_nouns: tuple[
     digits = lambda p: F.regexp_like(p, F.lit("^[\x02-]?[0-9]+$"))
     spoken = F.transform(pieces, lambda p: F.coalesce(F.when(digits(p) & number(p).isNotNull(), F.when(F.startswith(p, F.lit("\x02")), ordinal_en(number(p))).otherwise(cardinal_en(number(p)))), F.replace(p, F.lit("\x02"), F.lit(""))))
     return df.withColumn(col, F.array_join(spoken, ""))
+
+
+def roman_in_words(df: DataFrame, col: str = "text", nouns: tuple[str, ...] = ("chapter", "page", "part", "volume", "book", "century")) -> DataFrame:
+    """Valid numerals beside a noun in English words: cardinals after it, ordinals before it; others stay."""
+    known = "|".join(nouns)
+    marked = F.regexp_replace(F.col(col), rf"((?<![\p{{L}}])(?i:{known})[\t\n\f\r ]+)([IVXLCDM]+)(?![A-Za-z0-9_])", "$1\x02$2\x02")
+    marked = F.regexp_replace(marked, rf"(?<![A-Za-z0-9_\x02])([IVXLCDM]+)(?=[\t\n\f\r ]+(?i:{known})(?![\p{{L}}]))", "\x03$1\x03")
+    pieces = F.regexp_extract_all(marked, F.lit("(\x02[IVXLCDM]+\x02|\x03[IVXLCDM]+\x03|[^\x02\x03]+)"), F.lit(1))
+
+    def spoken(p: Column) -> Column:
+        roman = F.translate(p, "\x02\x03", "")
+        said = F.when(F.startswith(p, F.lit("\x02")), cardinal_en(roman_value(roman))).otherwise(ordinal_en(roman_value(roman)))
+        return F.when(F.regexp_like(p, F.lit("^[\x02\x03]")), F.when(is_roman(roman), said).otherwise(roman)).otherwise(p)
+
+    return df.withColumn(col, F.array_join(F.transform(pieces, spoken), ""))

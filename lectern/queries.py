@@ -579,6 +579,11 @@ def c10_roman_numerals(spark, sf_dir):
     return numbers.roman_numerals(docs(spark, sf_dir))
 
 
+@query()
+def c10_roman_in_words(spark, sf_dir):
+    return numbers.roman_in_words(docs(spark, sf_dir)).select("doc_id", "text")
+
+
 NOUNS = "SELECT lower(p_name) AS noun, ['m', 'f', 'n'][CAST(min(p_partkey) % 3 AS INT) + 1] AS gender FROM part GROUP BY 1"
 
 

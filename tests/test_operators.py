@@ -81,6 +81,11 @@ def test_roman(spark):
     assert [(r.roman, r.value) for r in got.orderBy("pos").collect()] == [("IV", 4), ("XIX", 19)]
 
 
+def test_roman_in_words(spark):
+    got = numbers.roman_in_words(texts(spark, "Chapter V and the IV page, not IIII or MIX.", "page IIII", "XX century, Part\nII", ""))
+    assert pieces(got, "text") == ["Chapter five and the fourth page, not IIII or MIX.", "page IIII", "twentieth century, Part\ntwo", ""]
+
+
 def test_numbers_in_texts(spark):
     got = numbers.normalize_numbers_en(texts(spark, "Chapter 5 has 21 pages, page 3.", "It is -5, 1,000 and Tu-154.", "99999999999999999999 stays", ""))
     assert pieces(got, "text") == ["Chapter fifth has twenty-one pages, page third.", "It is minus five, one,zero and Tu one hundred fifty-four.", "99999999999999999999 stays", ""]
