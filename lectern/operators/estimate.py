@@ -129,12 +129,41 @@ def resolve_genre(job: Column, book: Column, default: str = "Audiobook") -> Colu
     return F.coalesce(F.nullif(job, F.lit("")), F.nullif(book, F.lit("")), F.lit(default))
 
 
-def chapter_timeline(chapters: DataFrame, gap_ms: int) -> DataFrame:
-    """Adds start_ms and end_ms: all before, with a gap after each, and the chapter's own duration."""
-    before = W.partitionBy("book_id").orderBy("chapter_no").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("duration_ms") + gap_ms).over(before), F.lit(0).cast("long"))
+#: Chapter numbers of a part of a book, within which running sums are taken.
+SPAN = 4096
+
+
+def number_chapters(rows: DataFrame, book: str, first: str, second: str, rest: list[str], span: int = SPAN) -> DataFrame:
+    """Adds chapter_no: each row's place among its book's, from 1, by `first`, the whole number `second` and `rest`.
+
+    Places are counted within parts of a book, which keep the order, and after the rows of the parts before.
+    """
+    own = rows.withColumn("_part", F.floor(F.col(second) / span))
+    at = [book, first, "_part"]
+    before = W.partitionBy(book).orderBy(first, "_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = own.groupBy(*at).agg(F.count("*").alias("n")).select(*(F.col(c).alias(f"_{c}") for c in at), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = own.withColumn("_inside", F.row_number().over(W.partitionBy(*at).orderBy(second, *rest)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at]
+    placed = inside.join(counts, same[0] & same[1] & same[2])
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias("chapter_no"))
+
+
+def chapter_timeline(chapters: DataFrame, gap_ms: int, span: int = SPAN) -> DataFrame:
+    """Adds start_ms and end_ms: all before, with a gap after each, and the chapter's own duration.
+
+    Sums run within parts of `span` chapter numbers and start from the sum of the parts before.
+    """
+    own = chapters.withColumn("_part", F.floor(F.col("chapter_no") / span))
+    took, none = F.col("duration_ms") + gap_ms, F.lit(0).cast("long")
+    so_far = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sums = own.groupBy("book_id", "_part").agg(F.sum(took).alias("_took"))
+    before = F.coalesce(F.sum("_took").over(so_far(W.partitionBy("book_id").orderBy("_part"))), none)
+    parts = sums.select(F.col("book_id").alias("_book"), F.col("_part").alias("_of"), before.alias("_before"))
+    inside = own.withColumn("_inside", F.coalesce(F.sum(took).over(so_far(W.partitionBy("book_id", "_part").orderBy("chapter_no"))), none))
+    placed = inside.join(parts, F.col("book_id").eqNullSafe(F.col("_book")) & F.col("_part").eqNullSafe(F.col("_of")))
     title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
-    return chapters.withColumn("start_ms", start).withColumns({"end_ms": F.col("start_ms") + F.col("duration_ms"), "title": title})
+    timed = placed.withColumn("start_ms", F.col("_before") + F.col("_inside")).drop("_book", "_of", "_part", "_before", "_inside")
+    return timed.withColumns({"end_ms": F.col("start_ms") + F.col("duration_ms"), "title": title})
 
 
 def estimate_size(seconds: Column, kbps: int) -> Column:

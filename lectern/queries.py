@@ -181,6 +181,18 @@ def lines(spark, sf_dir) -> DataFrame:
     return once.select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("chapter_no"), (F.col("q").cast("long") * 1000).alias("duration_ms"), (F.col("q") * 60).alias("seconds"))
 
 
+#: Every row of an order, placed by all of its columns.
+ORDERED = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+ALL_LINES = f"lines AS (SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, {', '.join(f'{c} NULLS FIRST' for c in ORDERED)}) AS chapter_no, CAST(l_quantity AS BIGINT) * 1000 AS duration_ms, l_quantity * 60 AS seconds FROM lineitem)"
+
+
+def all_lines(spark, sf_dir) -> DataFrame:
+    """Every lineitem row as a chapter; lines() has only those whose line number occurs once in their order."""
+    placed = estimate.number_chapters(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ORDERED[0], list(ORDERED[1:]))
+    q = F.col("l_quantity")
+    return placed.select(F.col("l_orderkey").alias("book_id"), "chapter_no", (q.cast("long") * 1000).alias("duration_ms"), (q * 60).alias("seconds"))
+
+
 @query(
     f"""WITH {LINES} SELECT book_id, chapter_no, start_ms, start_ms + duration_ms AS end_ms, 'Chapter ' || chapter_no AS title FROM (SELECT *,
     CAST(coalesce(sum(duration_ms + 500) OVER (PARTITION BY book_id ORDER BY chapter_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM lines)"""
@@ -189,6 +201,11 @@ def f11_chapter_timeline(spark, sf_dir):
     return estimate.chapter_timeline(lines(spark, sf_dir).withColumn("title", F.lit("")), 500).select("book_id", "chapter_no", "start_ms", "end_ms", "title")
 
 
+@query(SQL["f11_chapter_timeline"].replace(LINES, ALL_LINES))
+def f11_chapter_timeline_all(spark, sf_dir):
+    return estimate.chapter_timeline(all_lines(spark, sf_dir).withColumn("title", F.lit("")), 500).select("book_id", "chapter_no", "start_ms", "end_ms", "title")
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * CAST(16000.0 AS DOUBLE) * CAST(1.05 AS DOUBLE)) AS BIGINT) AS bytes FROM lineitem")
 def f12_estimate_size(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", estimate.estimate_size(F.col("l_extendedprice"), 128).alias("bytes"))
@@ -205,6 +222,11 @@ def f13_pack_parts(spark, sf_dir):
     return estimate.pack_parts(lines(spark, sf_dir), 80).select("book_id", "chapter_no", "size", "part_no")
 
 
+@query(SQL["f13_pack_parts"].replace(LINES, ALL_LINES))
+def f13_pack_parts_all(spark, sf_dir):
+    return estimate.pack_parts(all_lines(spark, sf_dir), 80).select("book_id", "chapter_no", "size", "part_no")
+
+
 @query(
     f"""{PARTS}, p AS (SELECT DISTINCT book_id, part_no FROM walk), t AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY book_id) > 1
     THEN printf('Book %d, Part %03d', book_id, part_no) ELSE 'Book ' || book_id END AS label FROM p) SELECT *, label || '.m4b' AS file FROM t"""
@@ -214,6 +236,12 @@ def f14_part_titles(spark, sf_dir):
     return estimate.part_titles(parts.withColumn("title", F.concat(F.lit("Book "), F.col("book_id").cast("string")))).select("book_id", "part_no", "label", "file")
 
 
+@query(SQL["f14_part_titles"].replace(LINES, ALL_LINES))
+def f14_part_titles_all(spark, sf_dir):
+    parts = estimate.pack_parts(all_lines(spark, sf_dir), 80).select("book_id", "part_no").distinct()
+    return estimate.part_titles(parts.withColumn("title", F.concat(F.lit("Book "), F.col("book_id").cast("string")))).select("book_id", "part_no", "label", "file")
+
+
 @query(
     f"""WITH {LINES} SELECT book_id AS id, count(*) FILTER (WHERE chapter_no % 2 = 1) AS active,
     coalesce(sum(seconds) FILTER (WHERE chapter_no % 2 = 1), 0) / count(*) AS progress FROM lines GROUP BY 1"""
@@ -224,6 +252,13 @@ def f15_build_progress(spark, sf_dir):
     return estimate.build_progress(told.select(F.col("book_id").alias("id"), "parts", "worker_progress"))
 
 
+@query(SQL["f15_build_progress"].replace(LINES, ALL_LINES))
+def f15_build_progress_all(spark, sf_dir):
+    worker = F.struct(F.col("chapter_no").cast("int").alias("worker"), F.col("seconds").alias("progress"), (F.col("chapter_no") % 2 == 1).alias("active"))
+    told = all_lines(spark, sf_dir).groupBy("book_id").agg(F.to_json(F.collect_list(worker)).alias("worker_progress"), F.count("*").alias("parts"))
+    return estimate.build_progress(told.select(F.col("book_id").alias("id"), "parts", "worker_progress"))
+
+
 STATUS = {"O": "pending", "P": "converting", "F": "completed"}
 JOBS = "jobs AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'converting' ELSE 'completed' END AS status, o_orderdate AS created_at, o_orderpriority AS note FROM orders)"
 
@@ -765,6 +800,12 @@ def a9_chapter_metadata(spark, sf_dir):
     return sinks.chapter_metadata(estimate.chapter_timeline(titled, 500))
 
 
+@query(SQL["a9_chapter_metadata"].replace(LINES, ALL_LINES))
+def a9_chapter_metadata_all(spark, sf_dir):
+    titled = all_lines(spark, sf_dir).withColumn("title", F.concat(F.lit("Chapter #"), F.col("chapter_no").cast("string")))
+    return sinks.chapter_metadata(estimate.chapter_timeline(titled, 500))
+
+
 @query("SELECT c_name AS pattern, CASE WHEN c_custkey % 3 = 0 THEN 'ru' ELSE 'en' END AS lang FROM (SELECT c_name, max(c_custkey) AS c_custkey FROM customer GROUP BY 1)")
 def a3_infer_rule_language(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_no"), F.col("c_name").alias("pattern"), F.when(F.col("c_custkey") % 3 == 0, "слово").otherwise("word").alias("plain"), F.lit("").alias("markup"))

@@ -253,3 +253,23 @@ def test_prepare(spark):
     got = prepare.prepare_corpus(texts(spark, "“Mr. X” read 3 pages…"))
     assert pieces(got, "text") == ["Mister X read three pages..."]
     assert all(r.chunk.startswith("<speak>") for r in prepare.chunk_job(texts(spark, "One. Two.\n\nThree.")).collect())
+
+
+def test_every_line_is_a_chapter(spark, sf_dir):
+    from lectern.queries import QUERIES
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    got = QUERIES["f13_pack_parts_all"](spark, sf_dir)
+    assert got.count() == got.select("book_id", "chapter_no").distinct().count() == rows.count()
+    assert QUERIES["f11_chapter_timeline_all"](spark, sf_dir).count() == rows.count()
+
+
+def test_chapters_of_a_crowded_book(spark):
+    rows = spark.range(500).select(F.lit(1).alias("book_id"), (F.col("id") % 3).alias("line"), (F.col("id") % 50).alias("key"), F.col("id").alias("rest"), (F.col("id") + 1).alias("duration_ms"), F.lit("").alias("title"))
+    placed = estimate.number_chapters(rows, "book_id", "line", "key", ["rest"], span=7)
+    want = sorted((r.line, r.key, r.rest) for r in rows.collect())
+    assert [(r.line, r.key, r.rest) for r in placed.orderBy("chapter_no").collect()] == want
+    at = 0
+    for r in estimate.chapter_timeline(placed, 5, span=8).orderBy("chapter_no").collect():
+        assert (r.start_ms, r.end_ms) == (at, at + r.duration_ms)
+        at = r.end_ms + 5
