@@ -47,15 +47,17 @@ def simhash(text: bytes, words: int = 4) -> int:
     return int(np.packbits((2 * on > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of every row; null text is empty."""
+def fingerprints(docs: DataFrame, words: int = 4, carry: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint as a signed long) of every row, and its string `carry` if asked for; null text is empty."""
+    more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.array([simhash(bytes(t.as_buffer()) if t.is_valid else b"", words) for t in batch.column(1)], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fingerprint", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fingerprint long", *(f"{c} string" for c in more)]))
 
 
 def _segment(fingerprint: Column, low: int, bits: int) -> Column:
@@ -100,7 +102,31 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, segments: tu
     return every.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: of each component the one of the smallest doc_id, once."""
-    stay = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+def with_row(docs: DataFrame) -> DataFrame:
+    """Adds _row: 128 bits of all columns, null apart from empty; rows that share them are whole copies."""
+    parts = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumn("_row", F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), *parts)), 16, "0") for i in (1, 2))))
+
+
+def first_row() -> Column:
+    """The row of a group that stays: the smallest doc_id, null last, then the smallest _row."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+
+
+def staying(own: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of `own` that the column `first` names, without _row; whole copies once."""
+    stay = firsts.select(F.col("first._row").alias("_stay"))
+    return own.join(stay, F.col("_row") == F.col("_stay"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def one_per_group(docs: DataFrame, words: int = 4, most: int = 4, segments: tuple = SEGMENTS) -> DataFrame:
+    """Of each component of linked fingerprints one row: of the smallest doc_id, null last, then by all columns.
+
+    Rows are told apart by their columns, so rows that share a doc_id or have none go or stay by their own texts.
+    """
+    own = with_row(docs)
+    every = fingerprints(own, words, carry="_row")
+    classes = keep(every.groupBy("fingerprint").agg(first_row().alias("first")), "simhash-classes")
+    reached = components(links(classes.select(F.col("fingerprint").alias("id"), "fingerprint"), most, segments), "simhash-edges")
+    named = classes.join(reached, classes.fingerprint == reached.node, "left").select("first", F.coalesce("component", "fingerprint").alias("component"))
+    return staying(own, named.groupBy("component").agg(F.min("first").alias("first")))

@@ -66,6 +66,14 @@ def test_simhash_edge_cases(spark):
     assert simhash.one_per_group(df.unionByName(df)).count() == len({r.component_id for r in again.where("doc_id IS NOT NULL").collect()})
 
 
+def test_one_per_group_goes_by_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b), (1, a), (2, c), (2, "other words"), (3, c), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text or "") for r in simhash.one_per_group(df).collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (2, c), (2, "other words"), (None, "")], key=str)
+
+
 def test_links_find_every_pair(spark):
     rng = np.random.default_rng(1)
     values = set()
