@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing, repeats, simhash, toxicity
+from lectern.llm import mixing, packing, repeats, shingles, toxicity
 from lectern.llm.common import keep, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by fingerprints of five-word shingles the smallest doc_id."""
-    return simhash.one_per_group(docs.select(COLUMNS), words=5, most=4)
+    """Of each group of documents linked by a Jaccard similarity of five-word shingles of 0.8 or more the smallest doc_id."""
+    return shingles.one_per_group(docs.select(COLUMNS), words=5, most=4, least=0.8)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,25 +28,34 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def simhash(text: bytes, words: int = 4) -> int:
-    """A text's fingerprint: a bit is on if it is on in over half the XXH64 hashes (seed 42) of its shingles.
+def shingle_hashes(text: bytes, words: int = 4) -> np.ndarray:
+    """XXH64 hashes (seed 42) of a text's shingles in order, repeats too.
 
-    A-Z count as a-z; a shingle is `words` words joined by one space, repeats count; a text of
-    fewer words is one shingle, one of none has fingerprint 0.
+    A-Z count as a-z; a shingle is `words` words joined by one space; a text of fewer words is one
+    shingle, one of none has none.
     """
     tokens = text.translate(_LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends = b" ".join(tokens), np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     last = ends[words - 1 :].tolist() or [len(joined)]
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)], np.uint64)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is on if it is on in over half of them; 0 of none."""
     octets = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
     on = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _ONES for i in range(8)])
     return int(np.packbits((2 * on > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: bytes, words: int = 4) -> int:
+    """A text's fingerprint."""
+    return of_hashes(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, carry: str | None = None) -> DataFrame:
     """(doc_id, fingerprint as a signed long) of every row, and its string `carry` if asked for; null text is empty."""
     more = [carry] if carry else []
