@@ -25,16 +25,23 @@ from lectern.llm.labelled import held_out, learnable, sample
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Log-probabilities of the channel.
 AS_LETTER, AS_ITSELF, SHORTENED, DOUBLED, WHOLE_RUN, DROPPED, KEPT = -1.0, -2.5, -0.5, -1.5, -4.0, -0.5, -2.5
+#: Of a letter twice that stands for one.
+ONE_OF_TWO = -6.0
 
 #: Character classes of the language model: 0 white space, 1-26 letters, 27 other letters, 28 all else.
 CLASSES = 29
 _CLASS = bytes(0 if b in b" \t\n\r\x0b\x0c" else b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 28 for b in range(256))
 
-_TOKEN_CUE = re.compile(r"[0134578@$!|+9][a-z]|(?<=[a-z])[01345@$](?=[.,;:?]|$)|([a-z])\1\1|[^\W_]([.\-_*/|])[^\W_]\2[^\W_]\2")
-_BLANKS_CUE = re.compile(r" [^\W_] [^\W_] [^\W_]")
-_SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-_*/|])[^\W_](?:\1[^\W_]){2,}(?!\w)")
+_MARKS = "".join(map(re.escape, LOOKALIKES))
+#: A look-alike beside a letter or among three with a mark that is no digit, a letter twice, or three single characters with marks between.
+_TOKEN_CUE = re.compile(rf"[^\W\d_][{_MARKS}]|[{_MARKS}][^\W\d_]|(?=[{_MARKS}]*[@$!|+])[{_MARKS}]{{3}}|([^\W\d_])\1|[^\W_][.\-_*/|][^\W_][.\-_*/|][^\W_]")
+_BLANKS_CUE = re.compile(r"\s[^\W_]\s+[^\W_]\s+[^\W_]")
+_SPACED = re.compile(r"(?<!\w)[^\W_](?:(?:[.\-_*/|]|\s+)[^\W_]){2,}(?!\w)")
+_BLANKS = re.compile(r"\s+")
 _RUN = re.compile(r"(.)\1*", re.S)
 BEGINNINGS = (4, 5, 6, 7)
+#: Between the readings of a token.
+BOTH = "\0"
 #: Tokens that a worker remembers.
 REMEMBERED = 250_000
 
@@ -83,6 +90,8 @@ def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
             units += [[(char, AS_ITSELF), *((x, AS_LETTER) for x in LOOKALIKES[char])]] * len(run)
         elif len(run) >= 3 and char.isalpha():
             units.append([(char, SHORTENED), (char * 2, DOUBLED), (run, WHOLE_RUN)])
+        elif len(run) == 2 and char.isalpha():
+            units.append([(run, 0.0), (char, ONE_OF_TWO)])
         else:
             units.append([(run, 0.0)])
     return units
@@ -114,28 +123,34 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> str:
 
 
 class Restorer:
-    """Restores texts. Most tokens have no cue of obfuscation: their lattice has one path, themselves."""
+    """Restores texts. Most tokens have no cue of obfuscation: they stand for themselves."""
 
     def __init__(self, model: CharModel):
         self.model = model
 
+    def spaced(self, m: re.Match) -> str:
+        """The reading of single characters with marks or blanks between; itself where all of these stay."""
+        once = _BLANKS.sub(" ", m[0])
+        out = decode(once, self.model, True)
+        return m[0] if out == once else out
+
     def token(self, token: str) -> str:
         """A token of lower case, between white space."""
         if not _TOKEN_CUE.search(token):
             return token
-        joined = _SPACED.sub(lambda m: decode(m[0], self.model, True), token)
+        joined = _SPACED.sub(self.spaced, token)
         return joined if joined != token else decode(token, self.model)
 
     def tokens(self, text: str) -> set[str]:
-        """The distinct tokens of a text in lower case; single letters with blanks between are read as one span."""
+        """The distinct tokens of a text in lower case; single characters with blanks between are read as one span."""
         text = text.lower()
         if _BLANKS_CUE.search(f" {text}"):
-            text = _SPACED.sub(lambda m: decode(m[0], self.model, True), text)
+            text = _SPACED.sub(self.spaced, text)
         return set(text.split())
 
     def __call__(self, text: str) -> str:
         """The whole restored text."""
-        joined = _SPACED.sub(lambda m: decode(m[0], self.model, True), text.lower())
+        joined = _SPACED.sub(self.spaced, text.lower())
         return "".join(x if x.isspace() else self.token(x) for x in re.split(r"(\s+)", joined))
 
 
@@ -177,11 +192,14 @@ class Lexicon:
         return cls(dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]))
 
     def weight(self, token: str) -> float:
-        """The largest weight of a restored token's n-grams; 0 if it has none. Remembered."""
+        """The largest weight of the n-grams of a token, restored and as it is; 0 if it has none. Remembered.
+
+        Without a restorer a token is its readings with BOTH between.
+        """
         if (out := self.with_weight.get(token)) is None:
-            word = self.restorer.token(token) if self.restorer else token
+            words = {token, self.restorer.token(token)} if self.restorer else set(token.split(BOTH))
             out, get = 0.0, self.weights.get
-            for g in grams(word.strip(_EDGE)):
+            for g in {g for word in words for g in grams(word.strip(_EDGE))}:
                 out = max(out, get(g, 0.0))
             if len(self.without) > REMEMBERED:
                 self.without.clear()
@@ -236,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, longest: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(chars)
         for batch in batches:
-            words = [" ".join(sorted({restore.token(w).strip(_EDGE) for w in restore.tokens(t)})) for t in batch.column(2).to_pylist()]
+            words = [" ".join(sorted({BOTH.join(sorted({w.strip(_EDGE), restore.token(w).strip(_EDGE)})) for w in restore.tokens(t)})) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words)], ["doc_id", "label", "words"])
 
     rows = sample(docs, chosen, 3 * fit_rows, longest, seed).mapInArrow(run, "doc_id long, label int, words string").collect()
@@ -247,15 +265,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, longest: int =
         return ToxicityModel(chars, {}, [math.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0])
     pool: dict[str, str] = {}
     sets = [{pool.setdefault(w, w) for w in r["words"].split()} for r in rows]
+    readings = [{pool.setdefault(w, w) for both in s for w in both.split(BOTH)} for s in sets]
     fold = np.array([r["doc_id"] // 7 % 2 for r in rows])
     x = np.zeros((len(rows), 5))
     for k in (0, 1):
-        lexicon = Lexicon.learn([s for s, f in zip(sets, fold, strict=True) if f != k], y[fold != k])
+        lexicon = Lexicon.learn([s for s, f in zip(readings, fold, strict=True) if f != k], y[fold != k])
         for i in np.flatnonzero(fold == k):
             x[i] = lexicon.features(sets[i])
     beta = logistic(x, y)
     beta[0] += math.log((rates[1] / rates[0]) / (y.sum() / (len(y) - y.sum())))
-    return ToxicityModel(chars, Lexicon.learn(sets, y).weights, beta.tolist())
+    return ToxicityModel(chars, Lexicon.learn(readings, y).weights, beta.tolist())
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

@@ -80,6 +80,28 @@ def test_restoring(char_model):
     assert any("moron" in t for t in restore.tokens("a m o r o n b."))
 
 
+#: A word for each look-alike at its start, middle and end.
+@pytest.mark.parametrize("mark", sorted(toxicity.LOOKALIKES))
+def test_every_lookalike_is_read(char_model, mark):
+    restore = toxicity.Restorer(char_model)
+    letter = toxicity.LOOKALIKES[mark][0]
+    for word in (f"{letter}nder", f"su{letter}er", f"hous{letter}"):
+        token = word.replace(letter, mark, 1)
+        assert restore.token(token) == toxicity.decode(token, char_model)
+        assert toxicity._TOKEN_CUE.search(token)
+
+
+def test_cues_cover_short_words_and_doubled_letters(char_model):
+    for token in ("idi07", "cun7", "sh17", "sh!7", "ki11", "ki!!", "dumb455", "a55", "a$$", "@$$", "idioot", "a.s.s", "a.s-s"):
+        assert toxicity._TOKEN_CUE.search(token), token
+    restore = toxicity.Restorer(char_model)
+    assert {"".join(x) for x in [toxicity.lattice("idioot", False)[3][1][0]]} == {"o"}
+    assert restore("m  o  r  o  n") == "moron" and restore("m.o-r.o n") == "moron"
+    assert restore("idi07 idioot") == "idiot idiot"
+    lexicon = toxicity.Lexicon({"^idiot$": 3.0, "^letter$": 2.0}, restore)
+    assert lexicon.weight("idi07") == 3.0 and lexicon.weight("letter") == 2.0
+
+
 def test_obfuscated_words_score_like_plain_ones(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
