@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import SPACE, keep
 
 #: Words of a shingle, and one in how many hashes is kept.
-WORDS, SCALE = 5, 16
+WORDS, SCALE = 5, 4
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:

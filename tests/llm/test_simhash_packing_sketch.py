@@ -201,3 +201,16 @@ def test_sketch_edge_cases(spark):
     s = {c: sketch.sketch(F.col(c)) for c in both.columns}
     assert both.select(sketch.merge(s["a"], s["b"]) == s["c"]).first()[0]
     assert both.select(sketch.containment(s["a"], s["c"])).first()[0] == 1
+
+
+def test_sketches_estimate_ordinary_documents(spark, sf_dir):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = sorted(docs, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    off = []
+    for r in op7_document_fingerprints(spark, sf_dir).collect():
+        text, k = docs[r.doc_id], len(docs[r.doc_id]) // 3
+        a, b = shingles(text), shingles(text[: len(text) - k] + docs[after[r.doc_id]][:k])
+        off.append(abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)))
+    print("mean", sum(off) / len(off), "over 0.3", sum(x > 0.3 for x in off), "of", len(off))
+    assert sum(off) / len(off) < 0.07
