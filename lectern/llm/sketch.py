@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import SPACE, keep
 
 #: Words of a shingle, and one in how many hashes is kept.
-WORDS, SCALE = 5, 4
+WORDS, SCALE = 5, 2
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -32,29 +32,21 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     """Sorted distinct hashes below 1 / scale of their range; null text is empty.
 
-    A text whose hashes are all above keeps its smallest one, so that only a text without words
-    has an empty sketch. Hashes count as unsigned: the kept ones are those whose top bits are 0.
+    An empty sketch says that no hash was low enough: a text without words has it always, one of n
+    shingles once in (scale / (scale - 1)) ** n. Hashes count as unsigned: the kept ones are those
+    whose top bits are 0.
     """
-    ceiling = (1 << 64) // scale
-    unsigned_order = lambda h: h.bitwiseXOR(F.lit(-(1 << 63)))
+    low = F.filter(shingle_hashes(F.coalesce(text, F.lit("")), words), lambda h: (h >= 0) & (h <= ((1 << 64) - 1) // scale))
+    return F.array_sort(F.array_distinct(low))
 
-    def kept(all_: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(all_, lambda h: (h >= 0) & (h < ceiling))))
-        least = F.transform(F.array_compact(F.array(F.array_min(F.transform(all_, unsigned_order)))), unsigned_order)
-        return F.when(F.size(low) > 0, low).otherwise(least)
 
-    return F.get(F.transform(F.array(shingle_hashes(F.coalesce(text, F.lit("")), words)), kept), F.lit(0))
-
-
-def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+def merge(a: Column, b: Column) -> Column:
     """The sketch of two texts' shingles together."""
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: (h >= 0) & (h < (1 << 64) // scale))
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(F.transform(F.array_sort(F.transform(both, lambda h: h.bitwiseXOR(F.lit(-(1 << 63))))), lambda h: h.bitwiseXOR(F.lit(-(1 << 63)))), 1, 1))
+    return F.array_sort(F.array_union(a, b))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; two empty sketches are alike (1), an empty and another aren't (0)."""
+    """Estimated Jaccard similarity; two empty sketches count as alike (1), an empty and another as unlike (0)."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
@@ -68,22 +60,49 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def next_ids(ids: DataFrame, ranges: int = 256) -> DataFrame:
-    """(id, next_id): each distinct id's next smaller one, after the smallest the largest.
+#: Rows of a part of the order of ids, ranges between quantiles, and the most parts there are.
+PART_ROWS, RANGES, MOST_PARTS = 1000, 256, 1 << 20
+
 
-    Ids fall into ranges between approximate quantiles, so windows sort a share of them; only
-    the ranges' bounds (at most `ranges`) are joined across. Null ids are left out.
+def _parts(ids: DataFrame) -> tuple[Column, list[int]]:
+    """A part number for the column doc_id that rises with it, and the ids that hold several ranges of rows.
+
+    Ids fall into ranges between approximate quantiles and, within one, into slots of equal width,
+    so that a part has some PART_ROWS rows if the ids in a range lie evenly.
+    """
+    n, low, high = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    wanted = min(MOST_PARTS, -(-n // PART_ROWS) or 1)
+    ranges = min(RANGES, wanted)
+    bounds = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.001) if n and ranges > 1 else []
+    ends = [float(low or 0), *sorted(set(bounds)), float(high or 0)]
+    slots, at = -(-wanted // ranges), F.col("doc_id").cast("double")
+    steps = F.array(*map(F.lit, ends))
+    number = F.size(F.filter(F.array(*map(F.lit, ends[1:-1])).cast("array<double>"), lambda b: b <= at))
+    start, width = F.get(steps, number), F.get(steps, number + 1) - F.get(steps, number)
+    slot = F.least(F.lit(slots - 1), F.floor(F.when(width > 0, (at - start) / width * slots).otherwise(0.0)))
+    return (number * slots + slot).cast("long"), [int(b) for b in set(bounds) if bounds.count(b) > 1]
+
+
+def _next_payload(rows: DataFrame) -> DataFrame:
+    """Adds n (text and sketch of the next document) to rows of doc_id, text, part, which is a window's work.
+
+    The rows of a part and those of the next smaller id meet; only where one part ends and the next
+    begins is a row in two parts (broadcast: the ids of these, at most MOST_PARTS).
     """
-    distinct = keep(ids.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct(), "sketch-ids")
-    bounds = sorted(set(distinct.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.001))) if ranges > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= F.col("id").cast("double")))
-    placed = distinct.withColumn("part", part)
-    edges = placed.groupBy("part").agg(F.max("id").alias("top"))
-    below = edges.select("part", F.lag("top").over(W.orderBy("part")).alias("below"))
-    largest = F.lit(edges.agg(F.max("top")).first()[0]).cast("long")
-    within = placed.withColumn("inside", F.lag("id").over(W.partitionBy("part").orderBy("id")))
-    # at most `ranges` rows
-    return within.join(F.broadcast(below), "part").select("id", F.coalesce("inside", "below", largest).alias("next_id"))
+    tops = rows.groupBy("part").agg(F.max("doc_id").alias("top"))
+    order = W.orderBy("part")
+    above = tops.select("top", F.lead("part").over(order).alias("above"), F.min("part").over(W.partitionBy()).alias("lowest"))
+    guests = F.broadcast(above.select("top", F.coalesce("above", "lowest").alias("above")))
+    place = lambda part, guest: F.struct(part.alias("part"), F.lit(guest).alias("guest"))
+    placed = rows.join(guests, F.col("doc_id") == F.col("top"), "left").select("doc_id", "text", "lent", F.explode(F.array_compact(F.array(place(F.col("part"), False), F.when(F.col("above").isNotNull(), place(F.col("above"), True))))).alias("p"))
+    sketched = placed.select("doc_id", "text", "lent", "p.*").repartition("part").withColumn("sketch", sketch(F.col("text")))
+    # guests first: they have the largest of the smaller ids, for the smallest ids the largest of all
+    w = W.partitionBy("part").orderBy(F.col("guest").desc(), "doc_id", "text")
+    named = F.struct("doc_id", "guest")
+    opens = sketched.withColumn("opens", F.lag(named).over(w).isNull() | (F.lag(named).over(w) != named))
+    before = F.last(F.when(F.col("opens"), F.struct("text", "sketch")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    own = F.last(F.when(F.col("opens"), F.col("before")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return opens.withColumn("before", before).withColumn("n", own).where("NOT guest").select("doc_id", "text", "lent", "sketch", "n")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -92,24 +111,26 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n / 3) code points replaced by the first as many (or all)
     of the next document's by descending doc_id. Of rows that repeat a doc_id, the next document
     is the one of the smallest text; each repeated row comes back. Rows without doc_id have no
-    next document and no place in the order: theirs is empty.
+    next document and no place in the order: theirs is empty. Other columns, whatever their names,
+    aren't read; an empty table gives no rows.
+
+    Each text is shuffled once, with its neighbours in the order of ids. An id that holds a good
+    share of all rows lends one row to the order and joins what that finds.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     there = named.where("doc_id IS NOT NULL")
-    third = F.max(F.floor(F.length("text") / 3)).cast("int").alias("most")
-    wanted = next_ids(named).join(named.groupBy("doc_id").agg(third), F.col("id") == F.col("doc_id")).select("id", "next_id", "most")
-    # sketches are taken after the shuffle of the texts, and what goes to other documents is kept, so
-    # that the texts of one join at a time are on disk
-    heads = keep(
-        there.join(wanted, there.doc_id == wanted.next_id)
-        .select("id", F.struct(F.expr("left(text, most)").alias("head"), sketch(F.col("text")).alias("next_sketch")).alias("n"))
-        .groupBy("id")
-        .agg(F.min("n").alias("n"))
-        .select("id", "n.head", "n.next_sketch"),
-        "heads",
-    )
-    paired = there.join(heads, there.doc_id == heads.id).select("doc_id", "text", sketch(F.col("text")).alias("sketch"), "head", "next_sketch")
-    lone = named.where("doc_id IS NULL").select("*", sketch(F.col("text")).alias("sketch"), F.lit("").alias("head"), F.array().cast("array<bigint>").alias("next_sketch"))
+    part, crowded = _parts(there.select("doc_id"))
+    found = ["doc_id", "text", "sketch", "n"]
+    if crowded:
+        hot = F.col("doc_id").isin(crowded)
+        one = there.where(hot).groupBy("doc_id").agg(F.min("text").alias("text"))
+        ordered = _next_payload(there.where(~hot).withColumn("lent", F.lit(False)).unionByName(one.withColumn("lent", F.lit(True))).withColumn("part", part))
+        told = keep(ordered.where("lent").select(F.col("doc_id").alias("id"), "n"), "sketch-lent")
+        own = there.where(hot).join(told, F.col("doc_id") == F.col("id")).withColumn("sketch", sketch(F.col("text")))
+        paired = ordered.where("NOT lent").select(found).unionByName(own.select(found))
+    else:
+        paired = _next_payload(there.withColumn("lent", F.lit(False)).withColumn("part", part)).select(found)
+    lone = named.where("doc_id IS NULL").select("*", sketch(F.col("text")).alias("sketch"), F.struct(F.lit("").alias("text"), F.array().cast("array<bigint>").alias("sketch")).alias("n"))
     kept_part = F.expr("left(text, length(text) - int(floor(length(text) / 3)))")
-    new_part = F.expr("left(head, int(floor(length(text) / 3)))")
-    return paired.unionByName(lone).withColumn("edited", F.concat(kept_part, new_part)).drop("head")
+    new_part = F.expr("left(n.text, int(floor(length(text) / 3)))")
+    return paired.unionByName(lone).select("doc_id", "text", "sketch", F.concat(kept_part, new_part).alias("edited"), F.col("n.sketch").alias("next_sketch"))

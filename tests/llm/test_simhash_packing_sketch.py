@@ -167,6 +167,17 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
+def low_hashes(of):
+    """Hashes of shingles below the threshold: each word's XXH64 is the next word's seed."""
+    out = set()
+    for s in of:
+        h = 42
+        for w in s:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        out.add(h)
+    return sorted(h for h in out if h < (1 << 64) // sketch.SCALE)
+
+
 def check_op7(docs, rows):
     ids = sorted(docs, reverse=True)
     after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
@@ -185,7 +196,10 @@ def check_op7(docs, rows):
         if a == b:
             assert r.near_edited == 1 and r.fingerprint == r.edited_fingerprint
         h = [int(r.fingerprint[i : i + 16], 16) for i in range(0, len(r.fingerprint), 16)]
-        assert bool(h) == bool(a) and (len(h) == 1 or all(x < (1 << 64) // sketch.SCALE for x in h))
+        assert h == low_hashes(a)
+        other = low_hashes(shingles(nxt))
+        both = set(h) | set(other)
+        assert r.near_next == pytest.approx(len(set(h) & set(other)) / len(both) if both else 1)
 
 
 def test_sketch_edge_cases(spark):
@@ -197,6 +211,12 @@ def test_sketch_edge_cases(spark):
     doubled = df.unionByName(df).unionByName(spark.createDataFrame([(None, "n", "", 0)], kind))
     assert sketch.edited_pairs(doubled).count() == 2 * len(texts) + 1
     assert sketch.edited_pairs(df.limit(0)).count() == 0
+    # one id with most of the rows: its next document is 5's, and it is the next one of 7 with its smallest text
+    crowd = spark.createDataFrame([(6, f"t{i:04d} a b c d e") for i in range(3000)] + [(5, "five " * 30), (7, "seven " * 30)], "doc_id long, text string")
+    got = row(crowd).withColumn("edited_is", F.col("edited_sha256")).collect()
+    after = {5: "seven " * 30, 6: "five " * 30, 7: "t0000 a b c d e"}
+    sha = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    assert len(got) == 3002 and Counter(r.edited_sha256 for r in got) == Counter([sha(t, after[i]) for i, t in ((r.doc_id, r.text) for r in crowd.collect())])
     both = spark.createDataFrame([(" ".join(f"w{i}" for i in range(900)), " ".join(f"w{i}" for i in range(896, 2000)), " ".join(f"w{i}" for i in range(2000)))], "a string, b string, c string")
     s = {c: sketch.sketch(F.col(c)) for c in both.columns}
     assert both.select(sketch.merge(s["a"], s["b"]) == s["c"]).first()[0]
