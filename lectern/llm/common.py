@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -23,10 +22,12 @@ _own_folder: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder stands in.
+    Where that is unset, on one machine alone, a temporary folder stands in; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
         base = _own_folder[0]
@@ -38,19 +39,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     # shuffle files of a step that is done go when its plan is garbage in Python and, after that, in the driver's JVM
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
 
 
-def drop(df: DataFrame) -> None:
+def drop(kept: DataFrame) -> None:
     """Removes the files behind a table that keep() wrote."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept._kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,26 +86,76 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.concat_tables(held)
 
 
+#: Edges that a task joins at a time.
+EDGES = 500_000
+
+
+def forest(edges: DataFrame, name: str) -> DataFrame:
+    """Kept (a, b): edges as stars, from each node to the smallest one that it reaches in its task.
+
+    Tasks take some EDGES kept edges each and start anew after as many nodes, so memory is bounded;
+    what edges connect, stars connect.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        def stars(like: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(x, r) for x in list(root) if (r := find(x)) != x]
+            root.clear()
+            return pa.record_batch([pa.array([f[i] for f in found], like.column(i).type) for i in (0, 1)], ["a", "b"])
+
+        batch = None
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            if len(root) > EDGES:
+                yield stars(batch)
+        if root:
+            yield stars(batch)
+
+    sized = edges.select("a", "b").coalesce(-(-edges.count() // EDGES) or 1)
+    return keep(sized.mapInArrow(run, f"a {kind}, b {kind}"), name)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) reaches.
 
-    Alternates large-star and small-star steps until the edges no longer change; each round is
-    a few aggregations and equi-joins, written to the shared folder. Only two numbers a round
-    come to the driver. Nodes without edges don't appear. Null ends and loops are ignored.
+    Edges become stars within tasks; then large-star and small-star steps and these alternate until
+    each node has one smaller neighbour, its root, or none. Each round is three aggregations, written
+    to the shared folder; two numbers a round come to the driver. A node's neighbours meet in one task only
+    if they are few: those of a hub (over 256 and one in 100,000 of all ends, so at most 100,000
+    hubs, which are broadcast) are relabelled where they are. Nodes without edges don't appear.
+    Null ends and loops are ignored.
     """
-    now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
+    first = keep(edges.where("a <> b").select("a", "b"), name)
+    now = forest(first, name)
+    drop(first)
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        near = keep(both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most"), F.count("*").alias("n")), name)
+        unsettled, ends = near.agg(F.count_if(F.expr("m < a AND most <> m")), F.sum("n")).first()
+        if not unsettled:
+            drop(now)
+            return near.select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+        hubs = F.broadcast(near.where(F.col("n") > max(256, ends // 100_000)).select(F.col("a").alias("hub"), F.least("a", "m").alias("to")))
+        dealt = both.join(hubs, F.col("a") == F.col("hub"), "left")
+        of_hubs = dealt.where("hub IS NOT NULL AND b > a").select(F.col("b").alias("a"), F.col("to").alias("b"))
+        few = dealt.where("hub IS NULL").groupBy("a").agg(F.collect_set("b").alias("b")).select("a", F.least("a", F.array_min("b")).alias("m"), F.explode("b").alias("b"))
+        large = of_hubs.unionByName(few.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        # from forest() a node has at most one smaller neighbour a task
+        small = large.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b"))
+        linked = small.select(F.explode(F.concat(F.array(F.struct("a", F.col("b")[0].alias("b"))), F.transform(F.slice("b", 2, 1 << 30), lambda x: F.struct(x.alias("a"), F.col("b")[0].alias("b"))))).alias("e"))
+        after = keep(linked.select("e.a", "e.b"), name)
         drop(now)
-        now = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        drop(near)
+        now = forest(after, name)
+        drop(after)

@@ -4,9 +4,10 @@ Candidates share a band of MinHash values, share a SimHash fingerprint, or have
 bits apart; each candidate pair is checked with the whole sets. Texts of one set are one node, so
 copies take no part in the search.
 
-In a bucket all nodes are first compared with its smallest. Then those that ended in another
-component than it are compared with all nodes of the bucket in other components than theirs. Pairs
-within a component need no check, so the components are those of all pairs of the buckets.
+In a bucket all nodes are first compared with its head, the node that shares most buckets with most
+others. Then those that ended in another component than it are compared with all nodes of the bucket
+in other components than theirs. Pairs within a component need no check, so the components are
+those of all pairs of the buckets.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, keep
+from lectern.llm.common import components, drop, keep
 from lectern.llm.simhash import SEGMENTS, first_row, links, of_hashes, shingle_hashes, staying, with_row
 
 #: A pair of likeness 0.8 shares one of so many bands of so many values but for 1 in 2,800; of 0.85, 1 in 124,000.
@@ -50,22 +52,23 @@ def _bytes(text: pa.Scalar) -> bytes:
 
 
 def signatures(own: DataFrame, words: int) -> DataFrame:
-    """doc_id, _row, node (128 bits of the shingle set), fingerprint and bands of every row; null text is empty."""
+    """doc_id, _row, node (128 bits of the shingle set), its size, fingerprint and bands of every row; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for t in batch.column(2):
                 every = shingle_hashes(_bytes(t), words)
                 own_set = np.unique(every)
                 nodes.append(xxhash.xxh3_128_hexdigest(own_set.astype("<u8").tobytes()))
+                sizes.append(len(own_set))
                 prints.append(of_hashes(every))
                 keys.append(bands(own_set))
             prints = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.string()), prints, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_row", "node", "fingerprint", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), prints, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_row", "node", "size", "fingerprint", "bands"])
 
     rows = own.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, _row string, node string, fingerprint long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, _row string, node string, size long, fingerprint long, bands array<long>")
 
 
 def sets_of(own: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -106,26 +109,34 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def node_components(own: DataFrame, nodes: DataFrame, words: int, most: int, least: float, segments: tuple) -> DataFrame:
-    """(node, component) of the nodes that have a near copy. nodes: node, first, fingerprint, bands."""
+    """(node, component) of the nodes that have a near copy. nodes: node, first, size, fingerprint, bands."""
     keys = F.concat("bands", F.array(F.xxhash64(F.lit("fingerprint"), "fingerprint")))
-    entries = nodes.where(F.size("bands") > 0).select("node", F.explode(keys).alias("key"))
-    crowded = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
-    members = keep(entries.join(crowded, "key"), "near-members")
-    prints = nodes.where(F.size("bands") > 0).groupBy("fingerprint").agg(F.min("node").alias("id"))
+    entries = nodes.where("size > 0").select("node", "size", F.explode(keys).alias("key"))
+    crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a node has one row a band, so its window is small
+    shared = F.sum("n").over(W.partitionBy("node"))
+    members = keep(entries.join(crowded, "key").select("key", "node", "size", shared.alias("shared")), "near-members")
+    heads = members.groupBy("key").agg(F.max(F.struct("shared", "node", "size")).alias("head")).select("key", F.col("head.node").alias("head"), F.col("head.size").alias("head_size"))
+    prints = nodes.where("size > 0").groupBy("fingerprint").agg(F.min("node").alias("id"))
     close = keep(links(prints, most, segments).distinct(), "near-prints")
     wanted = members.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
     sets = keep(sets_of(own, nodes.select("node", F.col("first._row").alias("_row")).join(wanted, "node", "left_semi"), words), "near-sets")
 
-    heads = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    found = keep(alike(heads.unionByName(close.select("a", "b")).distinct(), sets, least), "near-edges")
+    like_sized = lambda x, y: F.least(x, y) >= F.lit(least - 1e-9) * F.greatest(x, y)
+    to_head = members.join(heads, "key").where((F.col("node") != F.col("head")) & like_sized("size", "head_size")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    found = keep(alike(to_head.unionByName(close.select("a", "b")).distinct(), sets, least), "near-edges")
     reached = components(found, "near-heads")
-    placed = members.join(reached, "node", "left").select("key", "node", "head", F.coalesce("component", "node").alias("c"))
+    placed = members.join(reached, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c")).join(heads, "key")
     of_head = placed.where("node = head").select("key", F.col("c").alias("main"))
     placed = keep(placed.join(of_head, "key"), "near-placed")
-    odd = placed.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    across = odd.join(placed, "key").where("cx <> c AND node <> head").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    odd = placed.where("c <> main").select("key", F.col("node").alias("x"), F.col("size").alias("of_x"), F.col("c").alias("cx"))
+    met = odd.join(placed, "key").where((F.col("cx") != F.col("c")) & (F.col("node") != F.col("head")) & like_sized("of_x", "size"))
+    across = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     more = keep(alike(across, sets, least), "near-more")
-    return components(found.unionByName(more), "near-components")
+    every = components(found.unionByName(more), "near-components")
+    for done in (members, close, sets, placed):
+        drop(done)
+    return every
 
 
 def one_per_group(docs: DataFrame, words: int = 5, most: int = 4, least: float = 0.8, segments: tuple = SEGMENTS) -> DataFrame:
@@ -134,7 +145,7 @@ def one_per_group(docs: DataFrame, words: int = 5, most: int = 4, least: float =
     Texts without words are one group.
     """
     own = with_row(docs)
-    signed = signatures(own, words).groupBy("node").agg(first_row().alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    signed = signatures(own, words).groupBy("node").agg(first_row().alias("first"), F.first("size").alias("size"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
     nodes = keep(signed, "near-nodes")
     reached = node_components(own, nodes, words, most, least, segments)
     named = nodes.join(reached, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
