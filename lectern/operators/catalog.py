@@ -128,6 +128,6 @@ def search_templates(templates: DataFrame, queries: DataFrame) -> DataFrame:
     pick = lambda field: F.expr(f"min_by(template, pos) FILTER (WHERE field = '{field}')")
     fields = ("title", "author", "series", "any")
     sources = templates.groupBy("source_id").agg(*(pick(f).alias(f) for f in fields))
-    asked = queries.join(F.broadcast(sources))
+    asked = queries.crossJoin(sources)
     own = F.coalesce(*(F.when(F.col("field") == f, F.col(f)) for f in fields), *fields)
     return asked.select("query_id", "source_id", search_url(own, F.col("query")).alias("url"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import go_trim, replace_all
+from lectern.sources.bundled import ENGLISH_RULES, Rule
 
 #: Characters that go, those that become another, and those that become words.
 GONE = "$%#^*@~|\\/<>{}[]" + "“”„‘’‚«»‹›\"'`" + "​‌‍﻿" + "†‡¶" + "′″‴" + "­"
@@ -81,52 +82,80 @@ def speakable(df: DataFrame, col: str = "text", lang_col: str = "lang") -> DataF
     return df.where(is_speakable(F.col(col), F.col(lang_col)))
 
 
-#: English rules (pattern, replacement).
-ENGLISH_RULES = (
-    (r"\bMr\.", "Mister"),
-    (r"\bMrs\.", "Missus"),
-    (r"\bMs\.", "Miss"),
-    (r"\bDr\.", "Doctor"),
-    (r"\bProf\.", "Professor"),
-    (r"\bSt\.", "Saint"),
-    (r"\bvs\.", "versus"),
-    (r"\betc\.", "etcetera"),
-    (r"\be\.g\.", "for example"),
-    (r"\bi\.e\.", "that is"),
-    (r"\$(\d+)", "$1 dollars"),
-    (r"(\d+)%", "$1 percent"),
-    ("&", " and "),
-    (r"(?i)\bCopyright\b", "Copyright"),
-    (r"\(c\)", "Copyright"),
-    ("©", "Copyright"),
-)
+def required(pattern: str) -> str:
+    """The longest run of characters that any match of a pattern has; empty if that can't be told simply."""
+    if "|" in pattern or pattern.startswith("(?"):
+        return ""
+    runs, depth, last = [""], 0, None
+    for m in re.finditer(r"\\(.)|(\[\^?\]?[^\]]*\])|([()])|([?*]|\{[^}]*\})|([+^$.])|(.)", pattern, re.S):
+        escaped, several, bracket, optional, other, plain = m.groups()
+        literal = plain or (escaped if escaped and not escaped.isalnum() else None)
+        depth += {"(": 1, ")": -1}.get(bracket, 0)
+        if literal and not depth:
+            runs[-1] += literal
+        else:
+            if optional and last:
+                runs[-1] = runs[-1][:-1]
+            runs.append("")
+        last = literal if not depth else None
+    return max(runs, key=len)
 
 
-def apply_rule(text: Column, pattern: str, replacement: str) -> Column:
-    """One rule on whole words: blank or start before; blank, mark or end after, which becomes one blank.
+#: What a rule's match begins and ends with; the text has a blank put before it.
+LEAD, TRAIL = "[\\t\\n\\f\\r ]", "(?:[\\t\\n\\f\\r .,)]|\\z)"
 
-    The core keeps its own groups, numbered from 1; the wrapper's groups are named.
-    """
-    lead = r"(?:(?<=\A)|[\t\n\f\r ])"
+
+def _java(pattern: str) -> str:
+    """A rule's pattern between its marks, in Java's dialect; its groups keep their numbers."""
     flags = re.match(r"\(\?([a-z]+)\)", pattern)
     core = pattern[flags.end() :] if flags else pattern
-    core = f"(?{flags[1]}:{core})" if flags else f"(?:{core})"
-    wrapped = f"{lead}{core}(?:[\\t\\n\\f\\r .,)]|\\z)"
-    # a first character stands for the start, so that each match has a character before its core
-    spaced = F.regexp_replace(F.concat(F.lit("\x00"), text), wrapped.replace(lead, "([\\x00\\t\\n\\f\\r ])"), "\x01$1" + re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}", replacement) + " ")
-    return replace_all(spaced, (("\x01\x00", ""), ("\x00", ""), ("\x01\t", " "), ("\x01\n", " "), ("\x01\f", " "), ("\x01\r", " "), ("\x01", "")))
+    core = re.sub(r"(?<!\\)((?:\\\\)*)\\s", r"\1[\\t\\n\\f\\r ]", core)
+    return f"{LEAD}(?{flags[1]}:{core}){TRAIL}" if flags else f"{LEAD}(?:{core}){TRAIL}"
+
+
+def _apply(text: Column, rule: Rule, markup: bool) -> Column:
+    """One rule on whole words: what stands before becomes one blank, so does what stands after; only where it can fit."""
+    said = (rule.markup if markup and rule.markup else rule.plain).replace("\\", "\\\\")
+    done = F.regexp_replace(text, _java(rule.pattern), f" {said} ")
+    literal = required(rule.pattern)
+    return F.when(F.contains(text, F.lit(literal)), done).otherwise(text) if literal else done
+
+
+def with_rules(text: Column, rules, lang: str | Column = "", markup: bool = False) -> Column:
+    """A text after all enabled rules of its language in order; an empty language takes all rules.
+
+    rules: Rule or (pattern, plain), a driver's list of at most a few hundred. The rules are one
+    fold over their numbers, so the plan grows with them once, however long the list.
+    """
+    chosen = [r for r in (Rule(*x) for x in rules) if r.enabled]
+    if not chosen:
+        return text
+    numbers = lambda want: F.lit([i for i, r in enumerate(chosen) if not want or not r.lang or r.lang == want]).cast("array<int>")
+    if isinstance(lang, str):
+        own = numbers(lang)
+    else:
+        known = sorted({r.lang for r in chosen} - {""})
+        own = F.when(lang == "", numbers("")) if known else numbers("-")
+        for one in known:
+            own = own.when(lang == one, numbers(one))
+        own = own.otherwise(numbers("-")) if known else own
+
+    def step(now: Column, i: Column) -> Column:
+        out = None
+        for k, rule in enumerate(chosen):
+            out = F.when(i == k, _apply(now, rule, markup)) if out is None else out.when(i == k, _apply(now, rule, markup))
+        return out
 
+    return F.aggregate(own, F.concat(F.lit(" "), text), step, lambda t: F.substr(t, F.lit(2)))
 
-def apply_rules(df: DataFrame, rules=ENGLISH_RULES, col: str = "text") -> DataFrame:
-    """The rules in order. Rules are a driver's list: at most a few hundred."""
-    text = F.col(col)
-    for pattern, replacement in rules:
-        text = apply_rule(text, pattern, replacement)
-    return df.withColumn(col, text)
 
+def apply_rules(df: DataFrame, rules=ENGLISH_RULES, col: str = "text", lang: str | Column = "", markup: bool = False) -> DataFrame:
+    """The enabled rules of a language in order; lang is one for all rows, or a column; empty: every rule."""
+    return df.withColumn(col, with_rules(F.col(col), rules, lang, markup))
 
-def sanitize(df: DataFrame, rules=ENGLISH_RULES) -> DataFrame:
-    return df.transform(clean_text).transform(apply_rules, rules)
+
+def sanitize(df: DataFrame, rules=ENGLISH_RULES, lang: str | Column = "", markup: bool = False) -> DataFrame:
+    return apply_rules(clean_text(df), rules, lang=lang, markup=markup)
 
 
 #: What a name's characters may not be.
@@ -190,13 +219,30 @@ def latin_tokens(df: DataFrame, col: str = "text") -> DataFrame:
     return words.withColumn("spoken", transliterated(F.col("word")))
 
 
-def transliterate(df: DataFrame, col: str = "text") -> DataFrame:
-    """Latin words of texts in Cyrillic, piece by piece in order."""
-    pieces = F.regexp_extract_all(col, F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
+def transliterated_text(text: Column) -> Column:
+    """A text with its Latin words in Cyrillic, piece by piece in order."""
+    pieces = F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
     spoken = F.transform(pieces, lambda p: F.when(F.regexp_like(p, F.lit("^[A-Za-z]+$")), transliterated(p)).otherwise(p))
-    return df.withColumn(col, F.array_join(spoken, ""))
+    return F.array_join(spoken, "")
+
+
+def transliterate(df: DataFrame, col: str = "text") -> DataFrame:
+    """Latin words of texts in Cyrillic."""
+    return df.withColumn(col, transliterated_text(F.col(col)))
 
 
 def stress_by_sentence(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sentences with the lexicon's stressed form where it has one."""
     return sentences.join(lexicon, "sentence", "left").select(*(c for c in sentences.columns if c != "sentence"), F.coalesce("stressed", "sentence").alias("sentence"))
+
+
+def stress_texts(df: DataFrame, pieces: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Texts put together from their pieces (doc_id, pos, sentence), stressed where the lexicon has a form of one.
+
+    A piece's blanks around it don't count in the lookup and stay. Texts without pieces stay.
+    """
+    bare = pieces.withColumn("whole", F.col("sentence")).withColumn("sentence", go_trim(F.col("sentence")))
+    stressed = bare.join(lexicon, "sentence", "left").withColumn("said", F.when(F.col("stressed").isNull(), F.col("whole")).otherwise(F.replace("whole", "sentence", "stressed")))
+    texts = stressed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("_s"))
+    joined = df.join(texts, "doc_id", "left")
+    return joined.withColumn("text", F.coalesce(F.array_join(F.transform("_s", lambda x: x["said"]), ""), "text")).select(*df.columns)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.functions.text import go_trim, word_count
 
@@ -55,14 +59,13 @@ def book_estimate(stats: DataFrame) -> DataFrame:
 def cost_matrix(books: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of every book under every price, keyed provider_model, or provider alone for the default model."""
     key = F.when(F.col("model") == "default", F.col("provider")).otherwise(F.concat_ws("_", "provider", "model"))
-    # the price table has a row per model on offer
-    return books.join(F.broadcast(prices)).select("book_id", key.alias("key"), (F.col("chars") / F.lit(1e6) * F.col("price")).alias("cost"))
+    return books.crossJoin(prices).select("book_id", key.alias("key"), (F.col("chars") / F.lit(1e6) * F.col("price")).alias("cost"))
 
 
 def cheapest_models(books: DataFrame, prices: DataFrame, provider: str) -> DataFrame:
     """A provider's paid models by cost, then name, with their rank per book."""
     paid = prices.where((F.col("provider") == provider) & (F.col("model") != "default") & (F.col("price") > 0))
-    costs = books.join(F.broadcast(paid)).withColumn("cost", F.col("chars") / F.lit(1e6) * F.col("price"))
+    costs = books.crossJoin(paid).withColumn("cost", F.col("chars") / F.lit(1e6) * F.col("price"))
     rank = F.row_number().over(W.partitionBy("book_id").orderBy("cost", "model"))
     return costs.select("book_id", "model", "cost", rank.cast("long").alias("rank"))
 
@@ -84,18 +87,27 @@ def price_for_voice(voices: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds model and price to provider, voice: the model's, else tts-1's or Standard's, else 0."""
     named = voices.withColumn("model", voice_model(F.col("provider"), F.col("voice")))
     fallback = prices.where((F.col("model") == "tts-1") | ((F.col("model") == "Standard") & (F.col("provider") != "openai"))).select("provider", F.col("price").alias("other"))
-    joined = named.join(F.broadcast(prices.select("provider", "model", "price")), ["provider", "model"], "left").join(F.broadcast(fallback), "provider", "left")
+    joined = named.join(prices.select("provider", "model", "price"), ["provider", "model"], "left").join(fallback, "provider", "left")
     return joined.select(*voices.columns, "model", F.coalesce("price", "other", F.lit(0.0)).alias("price"))
 
 
 def voice_match(requests: DataFrame, voices: DataFrame, prefix_providers: tuple[str, ...] = ("opentts",)) -> DataFrame:
-    """Voices of a request (provider, language, model; empty: any), by name; some providers match a language's beginning."""
-    r, v = requests.alias("r"), voices.alias("v")
-    begins = F.col("v.provider").isin(*prefix_providers) & F.startswith("v.language", "r.language")
-    fits = lambda c: (F.col(f"r.{c}") == "") | (F.col(f"v.{c}") == F.col(f"r.{c}"))
-    matched = r.join(v, fits("provider") & (fits("language") | begins) & fits("model"))
-    rank = F.row_number().over(W.partitionBy("r.request_id").orderBy("v.name", "v.voice_id"))
-    return matched.select("r.request_id", "v.voice_id", "v.name", rank.cast("long").alias("rank"))
+    """Voices of a request (provider, language, model; empty: any), by name; some providers match a language's beginning.
+
+    A voice is looked up under each request that it answers: its own or no provider, language and
+    model, and the beginnings of its language where they count, so the join is on equal keys.
+    """
+    language, empty = F.coalesce("language", F.lit("")), F.lit("")
+    begins = F.when(F.col("provider").isin(*prefix_providers), F.transform(F.sequence(F.lit(0), F.length(language)), lambda n: F.left(language, n)))
+    keys = {"_provider": F.array(empty, F.coalesce("provider", empty)), "_language": F.coalesce(begins, F.array(empty, language)), "_model": F.array(empty, F.coalesce("model", empty))}
+    answers = voices
+    for name, every in keys.items():
+        answers = answers.withColumn(name, F.explode(F.array_distinct(every)))
+    answers = answers.select("voice_id", "name", *keys)
+    asked = requests.select("request_id", *(F.col(k[1:]).alias(k) for k in keys))
+    matched = asked.join(answers, list(keys))
+    rank = F.row_number().over(W.partitionBy("request_id").orderBy("name", "voice_id"))
+    return matched.select("request_id", "voice_id", "name", rank.cast("long").alias("rank"))
 
 
 def voice_counts(voices: DataFrame) -> DataFrame:
@@ -110,15 +122,20 @@ def distinct_values(voices: DataFrame, column: str, provider: str = "") -> DataF
 def join_names(df: DataFrame, key: str, items: str, separator: str, names: DataFrame | None = None, most: int = 5) -> DataFrame:
     """(key, joined): an array's items trimmed, the first of those alike but for case, `most` at most, in order.
 
-    names: (code, name), to translate codes by; the first casing stands for those without a name.
+    names: (code, name), to translate codes by, with a column lang if df has one too; the first
+    casing stands for those without a name.
     """
-    one = df.select(key, F.posexplode(items).alias("at", "item")).withColumn("item", go_trim(F.col("item"))).where("item <> ''")
-    first = one.groupBy(key, F.lower("item").alias("code")).agg(F.min(F.struct("at", "item")).alias("f"))
+    by = ["code"]
+    if names is not None and "lang" in names.columns and "lang" in df.columns:
+        by.append("lang")
+    more = by[1:]
+    one = df.select(key, *more, F.posexplode(items).alias("at", "item")).withColumn("item", go_trim(F.col("item"))).where("item <> ''")
+    first = one.groupBy(key, *more, F.lower("item").alias("code")).agg(F.min(F.struct("at", "item")).alias("f"))
     rank = F.row_number().over(W.partitionBy(key).orderBy("f.at"))
     top = first.withColumn("rank", rank).where(F.col("rank") <= most)
     name = F.col("f.item")
     if names is not None:
-        top, name = top.join(F.broadcast(names), "code", "left"), F.coalesce("name", "f.item")
+        top, name = top.join(names, by, "left"), F.coalesce("name", "f.item")
     listed = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", name.alias("name")))).alias("l"))
     joined = listed.select(key, F.array_join(F.transform("l", lambda x: x["name"]), separator).alias("joined"))
     return df.select(key).join(joined, key, "left").select(key, F.coalesce("joined", F.lit("")).alias("joined"))
@@ -174,25 +191,33 @@ def estimate_size(seconds: Column, kbps: int) -> Column:
 def pack_parts(chapters: DataFrame, max_mb: int, kbps: int = 128) -> DataFrame:
     """Adds size and part_no: chapters in order, a new part when one would not fit in a part that has some.
 
-    A book's chapters are folded as one sorted array; max_mb of 0 or less makes one part.
+    Where a part begins depends on all before it in its book, so books are read in order, a row at a
+    time: what is held is one part's sum, however many chapters a book has. Rows that repeat a
+    chapter number go by size and are placed each. max_mb of 0 or less makes one part.
     """
     kbps = kbps if kbps > 0 else 128
     sized = chapters.withColumn("size", estimate_size(F.col("seconds"), kbps))
     if max_mb <= 0:
         return sized.withColumn("part_no", F.lit(1).cast("long"))
     limit = max_mb * 1024 * 1024
-    kind = "struct<part:bigint,filled:bigint,used:int,out:array<struct<chapter_no:bigint,part_no:bigint>>>"
-
-    def step(a: Column, c: Column) -> Column:
-        new = (a["filled"] + c["size"] > limit) & (a["used"] > 0)
-        part = a["part"] + F.when(new, 1).otherwise(0)
-        filled = F.when(new, c["size"]).otherwise(a["filled"] + c["size"])
-        return F.struct(part.alias("part"), filled.alias("filled"), F.lit(1).alias("used"), F.array_append(a["out"], F.struct(c["chapter_no"].alias("chapter_no"), part.alias("part_no"))).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(1).alias("part"), F.lit(0).alias("filled"), F.lit(0).alias("used"), F.array().alias("out")).cast(kind)
-    books = sized.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "size"))).alias("c"))
-    parts = books.select("book_id", F.explode(F.aggregate("c", start, step)["out"]).alias("o")).select("book_id", "o.chapter_no", "o.part_no")
-    return sized.join(parts, ["book_id", "chapter_no"])
+    at = [sized.columns.index(c) for c in ("book_id", "size")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, part, filled, first = None, 0, 0, True
+        for batch in batches:
+            parts = []
+            for own, size in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if first or own != book:
+                    book, part, filled, first = own, 1, size or 0, False
+                elif filled + (size or 0) > limit:
+                    part, filled = part + 1, size or 0
+                else:
+                    filled += size or 0
+                parts.append(part)
+            yield batch.append_column("part_no", pa.array(parts, pa.int64()))
+
+    ordered = sized.repartition("book_id").sortWithinPartitions("book_id", "chapter_no", "size")
+    return ordered.mapInArrow(run, StructType([*sized.schema.fields, StructField("part_no", LongType())]))
 
 
 def part_titles(parts: DataFrame) -> DataFrame:

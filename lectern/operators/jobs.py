@@ -25,6 +25,12 @@ def retention(jobs: DataFrame, cutoff: Column) -> DataFrame:
     return jobs.where(~(F.col("status").isin(*TERMINAL) & (F.col("created_at") < cutoff)))
 
 
+def retention_counts(jobs: DataFrame, cutoff: Column) -> DataFrame:
+    """(kept, gone): how many jobs retention() keeps and how many go."""
+    stays = ~(F.col("status").isin(*TERMINAL) & (F.col("created_at") < cutoff))
+    return jobs.agg(F.count(F.when(stays, 1)).alias("kept"), F.count(F.when(~F.coalesce(stays, F.lit(False)), 1)).alias("gone"))
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], keep_first: str = "created_at") -> DataFrame:
     """Changed rows replace those of equal keys, new ones join; `keep_first` stays as it was."""
     b, c = base.alias("b"), changes.alias("c")
@@ -47,9 +53,20 @@ def dictionary_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("entries"))
 
 
-def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Enabled rows in display order, with their rank; a dimension of sources or providers, so one task ranks it."""
-    return rows.where("enabled").withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+def ranked(rows: DataFrame, first: str, name: str, descending: bool = False) -> DataFrame:
+    """Enabled rows by `first`, then by name, with their rank.
+
+    Rows are numbered within those of equal `first` and equal first letters of the name, and after
+    the rows of the groups before; only the groups' sizes meet in one place.
+    """
+    own = rows.where("enabled").withColumn("_start", F.left(F.col(name).cast("string"), F.lit(3)))
+    at = [first, "_start"]
+    sizes = own.groupBy(*at).agg(F.count("*").alias("n"))
+    order = W.orderBy(F.desc(first) if descending else first, "_start").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in at), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before"))
+    inside = own.withColumn("_inside", F.row_number().over(W.partitionBy(*at).orderBy(name)))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in at))
+    return inside.join(before, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias("rank"))
 
 
 def single_default(rows: DataFrame, chosen: int) -> DataFrame:

@@ -76,8 +76,13 @@ def breaks(text: Column, p: Pauses) -> Column:
     return F.get(F.transform(F.array(parts), one), F.lit(0))
 
 
+def with_breaks(text: Column, p: Pauses) -> Column:
+    """As breaks(); a blank text stays."""
+    return F.when(go_trim(text) == "", text).otherwise(breaks(text, p))
+
+
 def add_breaks(df: DataFrame, p: Pauses, col: str = "text") -> DataFrame:
-    return df.withColumn(col, F.when(go_trim(F.col(col)) == "", F.col(col)).otherwise(breaks(F.col(col), p)))
+    return df.withColumn(col, with_breaks(F.col(col), p))
 
 
 def wrap_speak(df: DataFrame, p: Pauses, col: str = "text") -> DataFrame:

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
+from lectern.sources.bundled import NOUNS
+
 #: English number words.
 EN_BELOW_20 = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 EN_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -231,13 +234,19 @@ def roman_numerals(df: DataFrame, col: str = "text") -> DataFrame:
 def lookup_nouns(df: DataFrame, nouns: DataFrame, word_col: str = "word") -> DataFrame:
     """Left join with nouns (noun, gender, form, singular, plurals) by a word's own or one of its plural forms.
 
-    The noun itself goes before a plural, then the smallest noun. The dictionary is broadcast if
-    Spark finds it small.
+    Where both tables have a column lang, languages must be equal too. The noun itself goes before
+    a plural, then the smallest noun. The dictionary is broadcast if Spark finds it small.
     """
-    own = nouns.select(F.lower("noun").alias("surface"), F.lit(0).alias("rank"), "noun", "gender", "form")
-    plural = nouns.select(F.explode("plurals").alias("surface"), F.lit(1).alias("rank"), "noun", "gender", "form").withColumn("surface", F.lower("surface"))
-    best = own.unionByName(plural).groupBy("surface").agg(F.min(F.struct("rank", "noun", "gender", "form")).alias("m"))
-    joined = df.join(best, F.lower(word_col) == best.surface, "left")
+    by = ["lang"] if "lang" in df.columns and "lang" in nouns.columns else []
+    own = nouns.select(*by, F.lower("noun").alias("surface"), F.lit(0).alias("rank"), "noun", "gender", "form")
+    plural = nouns.select(*by, F.explode("plurals").alias("surface"), F.lit(1).alias("rank"), "noun", "gender", "form").withColumn("surface", F.lower("surface"))
+    best = own.unionByName(plural).groupBy(*by, "surface").agg(F.min(F.struct("rank", "noun", "gender", "form")).alias("m"))
+    for name in by:
+        best = best.withColumnRenamed(name, f"_{name}")
+    same = F.lower(word_col) == F.col("surface")
+    for name in by:
+        same = same & (F.col(name) == F.col(f"_{name}"))
+    joined = df.join(best, same, "left")
     return joined.select(*(F.col(c) for c in df.columns), F.col("m.noun").alias("noun"), F.col("m.gender").alias("gender"), F.col("m.form").alias("form"))
 
 
@@ -259,30 +268,80 @@ def normalize_titles(df: DataFrame, lang: str = "en", col: str = "title") -> Dat
     return df.withColumn(col, normalize_with(F.col(col), convert))
 
 
-#: English nouns that an ordinal follows.
-ORDINAL_NOUNS = ("chapter", "page")
+def noun_forms(nouns, lang: str) -> dict[str, tuple[str, str]]:
+    """Each form of a language's nouns to (gender, form); a noun itself goes before a plural, then the smallest noun.
+
+    nouns: rows (lang, noun, gender, form, singular, plurals), a list or a DataFrame. A dictionary is a list
+    that a person maintains: a DataFrame of more than MOST_NOUNS rows is an error.
+    """
+    if isinstance(nouns, DataFrame):
+        nouns = nouns.where(F.col("lang") == lang).limit(MOST_NOUNS + 1).collect()
+        if len(nouns) > MOST_NOUNS:
+            raise ValueError(f"over {MOST_NOUNS} nouns: join with lookup_nouns")
+    forms: dict[str, tuple] = {}
+    for n in nouns:
+        if n.lang == lang:
+            for rank, words in ((0, [n.noun]), (1, n.plurals)):
+                for word in words:
+                    own = (rank, n.noun, n.gender, n.form)
+                    forms[word.lower()] = min(forms.get(word.lower(), own), own)
+    return {word: (gender, form) for word, (_, _, gender, form) in forms.items()}
+
+
+#: Nouns of a dictionary that become part of an expression.
+MOST_NOUNS = 50_000
+#: The word at the end and at the start of a text, blanks apart.
+_WORD_BEFORE, _WORD_AFTER = r"([\p{L}'-]+)[\t\n\x0B\f\r \x85\xA0]*\z", r"\A[\t\n\x0B\f\r \x85\xA0]*([\p{L}'-]+)"
+#: Where a number with its minus begins and ends.
+_NUMBER_EDGE = "(?=-[0-9])|(?<![0-9-])(?=[0-9])|(?<=[0-9])(?![0-9])"
+#: Put around Roman numerals for a moment: private characters in an order that no text has.
+_MARK = "\ue000\ue001\ue000"
+
+
+def _word(piece: Column, pattern: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(piece, F.lit("")), pattern, 1))
+
+
+def numbers_in_words_en(text: Column, ordinal_words: list[str]) -> Column:
+    """Numbers in English words: ordinals right after one of the words, else cardinals.
+
+    A hyphen between a letter and a number becomes a blank; a number with a hyphen after a digit stays.
+    """
+    open_hyphens = F.regexp_replace(text, r"(?<=\p{L})-(?=[0-9])", " ")
+
+    def spoken(pieces: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            n, before = p.try_cast("bigint"), F.coalesce(F.get(pieces, i - 1), F.lit(""))
+            said = F.when(_word(before, _WORD_BEFORE).isin(ordinal_words), ordinal_en(n)).otherwise(cardinal_en(n)) if ordinal_words else cardinal_en(n)
+            joined = F.startswith(p, F.lit("-")) & F.regexp_like(before, F.lit("[0-9]\\z"))
+            return F.when(F.regexp_like(p, F.lit("^-?[0-9]+$")) & n.isNotNull() & ~joined, said).otherwise(p)
+
+        return F.array_join(F.transform(pieces, one), "")
+
+    return F.when(has_numbers(text), let(F.split(open_hyphens, _NUMBER_EDGE), spoken)).otherwise(text)
+
+
+def normalize_numbers_en(df: DataFrame, col: str = "text", nouns=NOUNS) -> DataFrame:
+    """Numbers in words: ordinals right after a noun that asks for one, else cardinals."""
+    ordinal = sorted(w for w, (_, form) in noun_forms(nouns, "en").items() if form == "o")
+    return df.withColumn(col, numbers_in_words_en(F.col(col), ordinal))
+
 
+def romans_in_words_en(text: Column, words: list[str]) -> Column:
+    """Valid numerals beside one of the words: cardinals after it, ordinals before it; others stay."""
+    pieces = F.split(F.regexp_replace(text, ROMAN, f"{_MARK}$1{_MARK}"), _MARK)
 
-def normalize_numbers_en(df: DataFrame, col: str = "text", ordinal_nouns: tuple[str, ...] = ORDINAL_NOUNS) -> DataFrame:
-    """Numbers in words: ordinals right after one of the nouns, else cardinals."""
-    marked = F.regexp_replace(F.col(col), f"(?i)(?<![\\p{{L}}\\p{{Nd}}'-])({'|'.join(ordinal_nouns)})([\\t\\n\\f\\r ]+)(?=[0-9])", "$1$2\x02")
-    pieces = F.regexp_extract_all(F.regexp_replace(marked, r"(?<=\p{L})-(?=[0-9])", " "), F.lit("(\x02?[0-9]+|(?<![\\p{L}\\p{Nd}])-[0-9]+|[^0-9\x02-]+|-)"), F.lit(1))
-    number = lambda p: F.replace(p, F.lit("\x02"), F.lit("")).try_cast("bigint")
-    digits = lambda p: F.regexp_like(p, F.lit("^[\x02-]?[0-9]+$"))
-    spoken = F.transform(pieces, lambda p: F.coalesce(F.when(digits(p) & number(p).isNotNull(), F.when(F.startswith(p, F.lit("\x02")), ordinal_en(number(p))).otherwise(cardinal_en(number(p)))), F.replace(p, F.lit("\x02"), F.lit(""))))
-    return df.withColumn(col, F.array_join(spoken, ""))
+    def spoken(all_: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            beside = [_word(F.get(all_, i - 1), _WORD_BEFORE).isin(words), _word(F.get(all_, i + 1), _WORD_AFTER).isin(words)]
+            said = F.when(beside[0], cardinal_en(roman_value(p))).when(beside[1], ordinal_en(roman_value(p))).otherwise(p)
+            return F.when(is_roman(p), said).otherwise(p)
 
+        return F.array_join(F.transform(all_, one), "")
 
-def roman_in_words(df: DataFrame, col: str = "text", nouns: tuple[str, ...] = ("chapter", "page", "part", "volume", "book", "century")) -> DataFrame:
-    """Valid numerals beside a noun in English words: cardinals after it, ordinals before it; others stay."""
-    known = "|".join(nouns)
-    marked = F.regexp_replace(F.col(col), rf"((?<![\p{{L}}])(?i:{known})[\t\n\f\r ]+)([IVXLCDM]+)(?![A-Za-z0-9_])", "$1\x02$2\x02")
-    marked = F.regexp_replace(marked, rf"(?<![A-Za-z0-9_\x02])([IVXLCDM]+)(?=[\t\n\f\r ]+(?i:{known})(?![\p{{L}}]))", "\x03$1\x03")
-    pieces = F.regexp_extract_all(marked, F.lit("(\x02[IVXLCDM]+\x02|\x03[IVXLCDM]+\x03|[^\x02\x03]+)"), F.lit(1))
+    return F.when(F.regexp_like(text, F.lit(ROMAN)), let(pieces, spoken)).otherwise(text)
 
-    def spoken(p: Column) -> Column:
-        roman = F.translate(p, "\x02\x03", "")
-        said = F.when(F.startswith(p, F.lit("\x02")), cardinal_en(roman_value(roman))).otherwise(ordinal_en(roman_value(roman)))
-        return F.when(F.regexp_like(p, F.lit("^[\x02\x03]")), F.when(is_roman(roman), said).otherwise(roman)).otherwise(p)
 
-    return df.withColumn(col, F.array_join(F.transform(pieces, spoken), ""))
+def roman_in_words(df: DataFrame, col: str = "text", nouns=NOUNS) -> DataFrame:
+    """Valid numerals beside a known noun in English words."""
+    return df.withColumn(col, romans_in_words_en(F.col(col), sorted(noun_forms(nouns, "en"))))

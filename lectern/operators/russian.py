@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.numbers import russian_gender, russian_words
+from lectern.operators.numbers import VALUES, noun_forms, russian_gender, russian_words
+from lectern.sources.bundled import NOUNS
 
 #: Months in the genitive, words that a genitive date follows, decades that are one word.
 MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
@@ -56,6 +57,7 @@ DATES = re.compile(rf"([0-9]+)-([0-9]+)\s+({'|'.join(MONTHS)})")
 TIMES = re.compile(r"(?<![A-Za-z0-9_])([0-9]{1,2})[:.]([0-9]{1,2})(?:[:.]([0-9]{1,2}))?(?![A-Za-z0-9_])")
 SUFFIXED = re.compile(r"([0-9]+)-(ого|ому|ему|ым|им|ом|ой|ую|ая|ое|ые|ых|го|му|[мйяехюуо])(?!\w)")
 NUMBER = re.compile(r"-?[0-9]+")
+ROMANS = re.compile(r"(?<![A-Za-z0-9_])[IVXLCDM]+(?![A-Za-z0-9_])")
 
 
 def _inflected(words: str, pairs) -> str:
@@ -74,9 +76,33 @@ def _suffixed(n: int, suffix: str) -> str:
     return _inflected(russian_words(n, gender, True), (FEMININE if gender == "f" else OTHERS).get(case, ()))
 
 
-def preprocess(text: str) -> str:
-    """Abbreviated years, years of birth, date ranges, times, and numbers with a suffix, in this order."""
-    text = text.replace("гг.", "годов")
+def _roman(numeral: str) -> int | None:
+    """The value of a valid numeral, from right to left."""
+    if re.search("I{4}|V{4}|X{4}|L{4}|C{4}|D{4}", numeral):
+        return None
+    total = last = 0
+    for c in reversed(numeral):
+        total, last = total + (-VALUES[c] if VALUES[c] < last else VALUES[c]), VALUES[c]
+    return total
+
+
+def romans(text: str, nouns: dict[str, tuple[str, str]]) -> str:
+    """Roman numerals beside a known noun: in the noun's form after it, as an ordinal before it."""
+
+    def spoken(m: re.Match) -> str:
+        value = _roman(m[0])
+        before, after = word_before(text, m.start()), word_after(text, m.end())
+        if value is None or before not in nouns and after not in nouns:
+            return m[0]
+        gender, form = nouns[before] if before in nouns else (nouns[after][0], "o")
+        return russian_words(value, gender, form == "o")
+
+    return ROMANS.sub(spoken, text)
+
+
+def preprocess(text: str, nouns: dict[str, tuple[str, str]] | None = None) -> str:
+    """Roman numerals, abbreviated years, years of birth, date ranges, times, and numbers with a suffix, in this order."""
+    text = romans(text, nouns or {}).replace("гг.", "годов")
     text = BIRTH.sub(lambda m: f"{_genitive(int(m[1]), 'm')} года рождения", text)
     text = DATES.sub(lambda m: f"{_genitive(int(m[1]), 'n')}, тире, {_genitive(int(m[2]), 'n')} {m[3]}", text)
     text = TIMES.sub(lambda m: " ".join(x for x in m.groups() if x), text)
@@ -96,12 +122,36 @@ def in_context(n: int, before: str, after: str, nouns: dict[str, tuple[str, str]
     return russian_words(n, nouns[after][0] if after in nouns else russian_gender(after) if after else "m")
 
 
-_BEFORE, _AFTER = re.compile(r"([^\W\d_][\w'-]*)\s*$"), re.compile(r"\s*([^\W\d_](?:[^\W_]|['-])*)")
+_AFTER = re.compile(r"\s*([^\W\d_](?:[^\W\d_]|['-])*|['-](?:[^\W\d_]|['-])*)")
+
+
+_STEM = re.compile(r"(?:[^\W\d_]|['-])*")
+
+
+def word_before(text: str, at: int) -> str:
+    """The word in small letters right before a place, blanks apart; empty if something else stands there."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and (text[start - 1].isalpha() or text[start - 1] in "-'"):
+        start -= 1
+    return text[start:at].lower()
+
+
+def word_after(text: str, at: int) -> str:
+    """The word in small letters right after a place, blanks apart."""
+    m = _AFTER.match(text, at)
+    return m[1].lower() if m else ""
 
 
 def spoken(text: str, nouns: dict[str, tuple[str, str]]) -> str:
-    """Numbers in words from right to left: a number's right neighbour may be words already."""
-    text = preprocess(text)
+    """Numbers in words from right to left: a number's right neighbour may be words already.
+
+    What is behind a number is kept as a list of pieces, so each number costs what stands beside it.
+    """
+    text = preprocess(text, nouns)
+    tail: list[str] = []
+    end_of_rest, after = len(text), ""
     for m in reversed(list(NUMBER.finditer(text))):
         start, end, joined = m.start(), m.end(), ""
         if text[start] == "-" and start:
@@ -112,19 +162,28 @@ def spoken(text: str, nouns: dict[str, tuple[str, str]]) -> str:
         n = int(text[start:end])
         if not -(1 << 63) <= n < 1 << 63:
             continue
-        before = _BEFORE.search(text[max(0, start - 80) : start])
-        after = _AFTER.match(text[end : end + 80])
-        words = in_context(n, before[1].lower() if before else "", after[1].lower() if after else "", nouns)
-        text = text[: start - len(joined)] + joined + words + text[end:]
-    return text
+        between = text[end:end_of_rest]
+        # the next number's words are the neighbour if only blanks or part of a word stand between
+        words = in_context(n, word_before(text, start - len(joined)), word_after(between + after, 0), nouns)
+        tail += [between, words, joined]
+        end_of_rest, after = start - len(joined), joined + words + _STEM.match(between)[0]
+    return text[:end_of_rest] + "".join(reversed(tail))
+
+
+def normalize_numbers_ru(df: DataFrame, col: str = "text", nouns=NOUNS) -> DataFrame:
+    """Numbers in words, by the word before or after them; in Arrow batches, as one replacement changes the next one's context.
+
+    nouns: a dictionary as for numbers.noun_forms(), or its result.
+    """
+    return df.withColumn(col, numbers_in_words_ru(nouns)(F.col(col)))
 
 
-def normalize_numbers_ru(df: DataFrame, col: str = "text", nouns: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """Numbers in words, by the word before or after them; in Arrow batches, as one replacement changes the next one's context."""
-    known = nouns or {}
+def numbers_in_words_ru(nouns=NOUNS):
+    """A column function for Russian numbers and numerals; null stays null."""
+    known = nouns if isinstance(nouns, dict) else noun_forms(nouns, "ru")
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else spoken(t, known))
 
-    return df.withColumn(col, run(F.col(col)))
+    return run

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,52 +136,68 @@ def split_by_size(text: str, most: int, words: bool = True) -> list[str]:
     return [x for x in out if x]
 
 
-def chunk(df: DataFrame, mode: str = "sentence", most: int = 900, keep_words: bool = True) -> DataFrame:
-    """(doc_id, chunk_no, chunk): by sentence, paragraph or size, none over `most` bytes.
+def chunk(df: DataFrame, mode: str = "sentence", most: int | Column = 900, keep_words: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_no, chunk, and the columns `carry`): by sentence, paragraph or size, none over `most` bytes.
 
-    Only chunks that are too long, which are few, go to Python.
+    most is one size or a column. A text's pieces stay on its row, numbered there; only texts that
+    have a piece that is too long, which are few, go to Python.
     """
     if mode == "paragraph":
-        pieces = loose_paragraphs(df).withColumnRenamed("paragraph", "piece")
+        parts = F.split("text", r"\n[\t\n\f\r ]*\n+")
+        pieces = F.transform(parts, lambda p: F.regexp_replace(go_trim(p), r"[\t\n\f\r ]+", " "))
     elif mode == "size":
-        pieces = _rows(df, F.array(F.coalesce("text", F.lit(""))), "piece")
+        pieces = F.array(F.coalesce("text", F.lit("")))
     else:
-        ended = F.split("text", r"(?<=[.!?])(?=[\t\n\f\r ])[\t\n\f\r ]+")
-        pieces = _rows(df, F.filter(F.transform(ended, go_trim), lambda x: x != ""), "piece")
+        pieces = F.transform(F.split("text", r"(?<=[.!?])(?=[\t\n\f\r ])[\t\n\f\r ]+"), go_trim)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.assign(piece=[split_by_size(x, most, keep_words) for x in pdf["piece"]]).explode("piece").dropna(subset=["piece"])
-            pdf["sub"] = pdf.groupby(["doc_id", "pos"]).cumcount()
-            yield pdf[["doc_id", "pos", "sub", "piece"]]
+    @F.pandas_udf("array<string>")
+    def cut(lists: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [y for p in x for y in split_by_size(p, int(n), keep_words)] for x, n in zip(lists, sizes, strict=True)], dtype=object)
 
-    long = pieces.where(F.octet_length("piece") > most).mapInPandas(cut, "doc_id long, pos long, sub long, piece string")
-    short = pieces.where(F.octet_length("piece") <= most).select("doc_id", "pos", F.lit(0).cast("long").alias("sub"), "piece")
-    listed = short.unionByName(long).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "piece"))).alias("p"))
-    return listed.select("doc_id", F.posexplode("p").alias("n", "x")).select("doc_id", F.col("n").cast("long").alias("chunk_no"), F.col("x.piece").alias("chunk"))
+    limit = F.lit(most) if isinstance(most, int) else most
+    listed = df.select("doc_id", *carry, limit.cast("long").alias("_most"), (pieces if mode == "size" else F.filter(pieces, lambda x: x != "")).alias("_p"))
+    long = F.exists("_p", lambda x: F.octet_length(x) > F.col("_most"))
+    fitted = listed.withColumn("_c", cut(F.when(long, F.col("_p")), F.col("_most")))
+    return fitted.select("doc_id", *carry, F.posexplode(F.coalesce("_c", "_p")).alias("_n", "chunk")).select("doc_id", F.col("_n").cast("long").alias("chunk_no"), "chunk", *carry)
 
 
-def merge_small(chunks: DataFrame, least: int = 100, most: int = 900) -> DataFrame:
+def merged_small(chunks: list[str], least: int, most: int) -> list[str]:
     """Chunks in order: one under `least` bytes takes the next, if both fit in `most`."""
-    kind = "struct<now:string,out:array<string>>"
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for c in chunks:
+        n = len(c.encode())
+        if size and (size + 1 + n > most or size >= least):
+            out.append(" ".join(held))
+            held, size = [], 0
+        if size:
+            held.append(c)
+            size += 1 + n
+        else:
+            held, size = [c], n
+    out.append(" ".join(held))
+    return [x for x in out if x]
+
+
+def merge_small(chunks: DataFrame, least: int = 100, most: int | Column = 900, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of each text merged in order; `most` may be a column, one value a text, as may the columns `carry`.
+
+    The order decides, so a text's chunks meet on one row; one pass over them in Arrow batches is linear.
+    """
 
-    def step(a: Column, c: Column) -> Column:
-        size = F.octet_length(a["now"])
-        flush = (size + 1 + F.octet_length(c) > most) | (size >= least)
-        return (
-            F.when(size == 0, F.struct(c.alias("now"), a["out"].alias("out")))
-            .when(flush, F.struct(c.alias("now"), F.array_append(a["out"], a["now"]).alias("out")))
-            .otherwise(F.struct(F.concat(a["now"], F.lit(" "), c).alias("now"), a["out"].alias("out")))
-            .cast(kind)
-        )
+    @F.pandas_udf("array<string>")
+    def merge(lists: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([merged_small(list(x), least, int(n)) for x, n in zip(lists, sizes, strict=True)], dtype=object)
 
-    listed = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]).alias("c"))
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out")).cast(kind)
-    merged = F.aggregate("c", start, step, lambda a: F.filter(F.array_append(a["out"], a["now"]), lambda x: x != ""))
-    return listed.select("doc_id", F.posexplode(merged).alias("n", "chunk")).select("doc_id", F.col("n").cast("long").alias("chunk_no"), "chunk")
+    limit = F.lit(most) if isinstance(most, int) else most
+    together = chunks.withColumn("_most", limit.cast("long")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"), F.first("_most").alias("_most"), *(F.first(c).alias(c) for c in carry))
+    merged = merge(F.transform("c", lambda x: x["chunk"]), F.col("_most"))
+    return together.withColumn("_m", merged).select("doc_id", *carry, F.posexplode("_m").alias("n", "chunk")).select("doc_id", F.col("n").cast("long").alias("chunk_no"), "chunk", *carry)
 
 
 def drop_silent_chunks(chunks: DataFrame, lang: Column) -> DataFrame:
+    """Chunks that can be heard; the others leave a gap in the numbers."""
     return chunks.where((go_trim(F.col("chunk")) != "") & is_speakable(F.col("chunk"), lang))
 
 

@@ -1,43 +1,97 @@
-"""Whole preparation jobs: from books to spoken chunks."""
+"""Whole preparation jobs: from books to spoken chunks, by language and provider."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import cleaning, markup, numbers, segment
+from lectern.operators import cleaning, markup, numbers, russian, segment
+from lectern.sources import bundled
+
+#: A provider's columns: its name, what it wants, and its most bytes a chunk.
+PROVIDERS = "provider string, speaks_markup boolean, normalize_numbers boolean, transliterate boolean, stress boolean, max_chunk long"
 
 
 @dataclass(frozen=True)
 class Options:
-    """Steps of a job; a provider's most bytes a chunk, and the least that a chunk is merged below."""
+    """Steps of a job where no provider says otherwise; the most bytes a chunk, and the least that a chunk is merged below."""
 
-    rules: tuple = cleaning.ENGLISH_RULES
+    rules: tuple = bundled.RULES
+    nouns: tuple | DataFrame = bundled.NOUNS
+    speaks_markup: bool = False
     spell_numbers: bool = True
     transliterate: bool = False
+    stress: bool = False
     separators: bool = True
     pauses: markup.Pauses = markup.Pauses(sentence=400, paragraph=700)
     most: int = 4000
     least: int = 100
 
 
-def prepare_corpus(df: DataFrame, options: Options | None = None) -> DataFrame:
-    """Cleaning and rules, numbers, transliteration, separators, in this order."""
+def _wanted(df: DataFrame, o: Options, providers: DataFrame | None) -> DataFrame:
+    """Adds _lang (empty: en) and a row's provider's wishes; without a known provider the options count."""
+    lang = F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("en")) if "lang" in df.columns else F.lit("en")
+    wishes = {"speaks_markup": o.speaks_markup, "normalize_numbers": o.spell_numbers, "transliterate": o.transliterate, "stress": o.stress, "max_chunk": o.most}
+    named = df.withColumn("_lang", F.when(cleaning.is_russian(lang), "ru").otherwise(F.lower(lang)))
+    if providers is None:
+        return named.withColumns({f"_{k}": F.lit(v) for k, v in wishes.items()})
+    theirs = providers.select(F.col("provider").alias("_provider"), *(F.col(k).alias(f"_{k}") for k in wishes))
+    joined = named.join(theirs, F.col("provider") == F.col("_provider"), "left").drop("_provider")
+    return joined.withColumns({f"_{k}": F.coalesce(f"_{k}", F.lit(v)) for k, v in wishes.items()})
+
+
+def spoken_numbers(text: Column, lang: Column, nouns) -> Column:
+    """Roman numerals and numbers in a row's language; English words for languages that have none of their own."""
+    forms = numbers.noun_forms(nouns, "en")
+    romans = numbers.romans_in_words_en(text, sorted(forms))
+    english = numbers.numbers_in_words_en(romans, sorted(w for w, (_, form) in forms.items() if form == "o"))
+    russian_words = russian.numbers_in_words_ru(nouns)(F.when(lang == "ru", text))
+    return F.when(lang == "ru", russian_words).when(lang == "en", english).otherwise(numbers.numbers_in_words_en(text, []))
+
+
+def normalize_numbers(df: DataFrame, col: str = "text", lang_col: str = "lang", nouns=bundled.NOUNS) -> DataFrame:
+    """Numbers of texts in words, each by its language."""
+    return df.withColumn(col, spoken_numbers(F.col(col), F.lower(F.coalesce(F.col(lang_col), F.lit("en"))), nouns))
+
+
+def prepare_corpus(df: DataFrame, options: Options | None = None, providers: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """Cleaning and rules, numbers, transliteration, stress, separators, in this order, by each row's language.
+
+    df: doc_id, text, and lang and provider if it has them. Rules are those of the language, with
+    their markup if the provider speaks it; Latin words and stress are for Russian alone.
+    lexicon: (sentence, stressed).
+    """
     o = options or Options()
-    out = cleaning.sanitize(df, o.rules)
-    if o.spell_numbers:
-        out = numbers.normalize_numbers_en(out)
-    if o.transliterate:
-        out = cleaning.transliterate(out)
+    lang, text = F.col("_lang"), F.col("text")
+    out = cleaning.clean_text(_wanted(df, o, providers))
+    plain = cleaning.with_rules(text, o.rules, lang)
+    marked = F.when(F.col("_speaks_markup"), cleaning.with_rules(text, o.rules, lang, markup=True)).otherwise(plain)
+    out = out.withColumn("text", plain if providers is None and not o.speaks_markup else marked)
+    if providers is not None or o.spell_numbers:
+        out = out.withColumn("text", F.when(F.col("_normalize_numbers"), spoken_numbers(text, F.when(F.col("_normalize_numbers"), lang), o.nouns)).otherwise(text))
+    if providers is not None or o.transliterate:
+        out = out.withColumn("text", F.when(F.col("_transliterate") & (lang == "ru"), cleaning.transliterated_text(text)).otherwise(text))
+    if lexicon is not None:
+        stressed = segment.sentences_lossless(out.where(F.col("_stress") & (lang == "ru")))
+        out = cleaning.stress_texts(out, stressed, lexicon)
+    out = out.drop("_lang", "_speaks_markup", "_normalize_numbers", "_transliterate", "_stress", "_max_chunk")
     return segment.mark_separators(out) if o.separators else out
 
 
-def chunk_job(df: DataFrame, options: Options | None = None) -> DataFrame:
-    """(doc_id, chunk_no, chunk): pauses, then chunks, merged, without silent ones, each wrapped for speech."""
+def chunk_job(df: DataFrame, options: Options | None = None, providers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_no, chunk): pauses, then chunks of the provider's size, merged, without silent ones, each wrapped for speech.
+
+    With providers only those that speak markup get pauses and a wrapper.
+    """
     o = options or Options()
-    spoken = markup.add_breaks(df, o.pauses)
-    merged = segment.merge_small(segment.chunk(spoken, "sentence", o.most), o.least, o.most)
-    heard = segment.drop_silent_chunks(merged, F.lit(""))
-    return heard.withColumn("chunk", F.concat(F.lit("<speak>"), "chunk", F.lit("</speak>")))
+    named = _wanted(df, o, providers)
+    speaks = F.col("_speaks_markup") if providers is not None else F.lit(True)
+    spoken = named.withColumn("_speaks_markup", speaks).withColumn("text", F.when(F.col("_speaks_markup"), markup.with_breaks(F.col("text"), o.pauses)).otherwise(F.col("text")))
+    more = ("_lang", "_speaks_markup", "_max_chunk")
+    chunks = segment.chunk(spoken, "sentence", F.col("_max_chunk"), carry=more)
+    merged = segment.merge_small(chunks, o.least, F.col("_max_chunk"), carry=more)
+    heard = segment.drop_silent_chunks(merged, F.col("_lang") if providers is not None else F.lit(""))
+    wrapped = F.when(F.col("_speaks_markup"), F.concat(F.lit("<speak>"), "chunk", F.lit("</speak>"))).otherwise(F.col("chunk"))
+    return heard.select("doc_id", "chunk_no", wrapped.alias("chunk"))

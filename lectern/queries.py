@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.folders import shared_folder
 from lectern.operators import catalog, cleaning, estimate, jobs, markup, numbers, russian, segment
 from lectern.plans import prepare
-from lectern.sources import dictionaries, feeds, sinks
+from lectern.sources import bundled, dictionaries, feeds, sinks
 from lectern.sources.books import read_books
 from lectern.streaming import events
 
@@ -172,22 +173,13 @@ def f10_resolve_genre(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(key.alias("id"), genre.alias("genre"))
 
 
-LINES = "lines AS (SELECT l_orderkey AS book_id, CAST(l_linenumber AS BIGINT) AS chapter_no, CAST(l_quantity AS BIGINT) * 1000 AS duration_ms, l_quantity * 60 AS seconds FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1)"
-
-
-def lines(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    once = rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max("l_quantity").alias("q")).where("n = 1")
-    return once.select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("chapter_no"), (F.col("q").cast("long") * 1000).alias("duration_ms"), (F.col("q") * 60).alias("seconds"))
-
-
 #: Every row of an order, placed by all of its columns.
 ORDERED = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-ALL_LINES = f"lines AS (SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, {', '.join(f'{c} NULLS FIRST' for c in ORDERED)}) AS chapter_no, CAST(l_quantity AS BIGINT) * 1000 AS duration_ms, l_quantity * 60 AS seconds FROM lineitem)"
+LINES = f"lines AS (SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, {', '.join(f'{c} NULLS FIRST' for c in ORDERED)}) AS chapter_no, CAST(l_quantity AS BIGINT) * 1000 AS duration_ms, l_quantity * 60 AS seconds FROM lineitem)"
 
 
-def all_lines(spark, sf_dir) -> DataFrame:
-    """Every lineitem row as a chapter; lines() has only those whose line number occurs once in their order."""
+def lines(spark, sf_dir) -> DataFrame:
+    """Every lineitem row as a chapter."""
     placed = estimate.number_chapters(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ORDERED[0], list(ORDERED[1:]))
     q = F.col("l_quantity")
     return placed.select(F.col("l_orderkey").alias("book_id"), "chapter_no", (q.cast("long") * 1000).alias("duration_ms"), (q * 60).alias("seconds"))
@@ -201,11 +193,6 @@ def f11_chapter_timeline(spark, sf_dir):
     return estimate.chapter_timeline(lines(spark, sf_dir).withColumn("title", F.lit("")), 500).select("book_id", "chapter_no", "start_ms", "end_ms", "title")
 
 
-@query(SQL["f11_chapter_timeline"].replace(LINES, ALL_LINES))
-def f11_chapter_timeline_all(spark, sf_dir):
-    return estimate.chapter_timeline(all_lines(spark, sf_dir).withColumn("title", F.lit("")), 500).select("book_id", "chapter_no", "start_ms", "end_ms", "title")
-
-
 @query("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * CAST(16000.0 AS DOUBLE) * CAST(1.05 AS DOUBLE)) AS BIGINT) AS bytes FROM lineitem")
 def f12_estimate_size(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", estimate.estimate_size(F.col("l_extendedprice"), 128).alias("bytes"))
@@ -222,11 +209,6 @@ def f13_pack_parts(spark, sf_dir):
     return estimate.pack_parts(lines(spark, sf_dir), 80).select("book_id", "chapter_no", "size", "part_no")
 
 
-@query(SQL["f13_pack_parts"].replace(LINES, ALL_LINES))
-def f13_pack_parts_all(spark, sf_dir):
-    return estimate.pack_parts(all_lines(spark, sf_dir), 80).select("book_id", "chapter_no", "size", "part_no")
-
-
 @query(
     f"""{PARTS}, p AS (SELECT DISTINCT book_id, part_no FROM walk), t AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY book_id) > 1
     THEN printf('Book %d, Part %03d', book_id, part_no) ELSE 'Book ' || book_id END AS label FROM p) SELECT *, label || '.m4b' AS file FROM t"""
@@ -236,12 +218,6 @@ def f14_part_titles(spark, sf_dir):
     return estimate.part_titles(parts.withColumn("title", F.concat(F.lit("Book "), F.col("book_id").cast("string")))).select("book_id", "part_no", "label", "file")
 
 
-@query(SQL["f14_part_titles"].replace(LINES, ALL_LINES))
-def f14_part_titles_all(spark, sf_dir):
-    parts = estimate.pack_parts(all_lines(spark, sf_dir), 80).select("book_id", "part_no").distinct()
-    return estimate.part_titles(parts.withColumn("title", F.concat(F.lit("Book "), F.col("book_id").cast("string")))).select("book_id", "part_no", "label", "file")
-
-
 @query(
     f"""WITH {LINES} SELECT book_id AS id, count(*) FILTER (WHERE chapter_no % 2 = 1) AS active,
     coalesce(sum(seconds) FILTER (WHERE chapter_no % 2 = 1), 0) / count(*) AS progress FROM lines GROUP BY 1"""
@@ -252,13 +228,6 @@ def f15_build_progress(spark, sf_dir):
     return estimate.build_progress(told.select(F.col("book_id").alias("id"), "parts", "worker_progress"))
 
 
-@query(SQL["f15_build_progress"].replace(LINES, ALL_LINES))
-def f15_build_progress_all(spark, sf_dir):
-    worker = F.struct(F.col("chapter_no").cast("int").alias("worker"), F.col("seconds").alias("progress"), (F.col("chapter_no") % 2 == 1).alias("active"))
-    told = all_lines(spark, sf_dir).groupBy("book_id").agg(F.to_json(F.collect_list(worker)).alias("worker_progress"), F.count("*").alias("parts"))
-    return estimate.build_progress(told.select(F.col("book_id").alias("id"), "parts", "worker_progress"))
-
-
 STATUS = {"O": "pending", "P": "converting", "F": "completed"}
 JOBS = "jobs AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'converting' ELSE 'completed' END AS status, o_orderdate AS created_at, o_orderpriority AS note FROM orders)"
 
@@ -284,23 +253,35 @@ def h3_retention(spark, sf_dir):
     return jobs.retention(job_table(spark, sf_dir), F.lit("1996-01-01").cast("timestamp_ntz"))
 
 
+@query(f"WITH {JOBS} SELECT count(*) FILTER (WHERE NOT (status IN ('completed', 'failed', 'cancelled') AND created_at < TIMESTAMP '1996-01-01')) AS kept, count(*) FILTER (WHERE status = 'completed' AND created_at < TIMESTAMP '1996-01-01') AS gone FROM jobs")
+def h3_retention_counts(spark, sf_dir):
+    return jobs.retention_counts(job_table(spark, sf_dir), F.lit("1996-01-01").cast("timestamp_ntz"))
+
+
+CHANGED = "c AS (SELECT o_custkey AS id, 'ordered' AS name, max(o_totalprice) AS value FROM orders GROUP BY 1 UNION ALL SELECT -s_suppkey, s_name, s_acctbal FROM supplier)"
+
+
+def changed(spark, sf_dir) -> DataFrame:
+    """Customers that ordered, and suppliers as new ones."""
+    ordered = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.lit("ordered").alias("name"), F.max("o_totalprice").alias("value"))
+    return ordered.unionByName(table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("value")))
+
+
+def customers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("value"))
+
+
 @query(
-    """WITH b AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS value FROM customer WHERE c_custkey % 3 <> 0), c AS (SELECT c_custkey AS id, upper(c_name) AS name, -c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0)
+    f"""WITH b AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS value FROM customer), {CHANGED}
     SELECT coalesce(c.id, b.id) AS id, coalesce(b.name, c.name) AS name, CASE WHEN c.id IS NULL THEN b.value ELSE c.value END AS value FROM b FULL JOIN c ON b.id = c.id"""
 )
 def h4_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("value"))
-    changes = rows.where("id % 2 = 0").select("id", F.upper("name").alias("name"), (-F.col("value")).alias("value"))
-    return jobs.upsert(rows.where("id % 3 <> 0"), changes, ["id"], keep_first="name")
+    return jobs.upsert(customers(spark, sf_dir), changed(spark, sf_dir), ["id"], keep_first="name")
 
 
-@query(
-    """WITH d AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), c AS (SELECT c_custkey AS id, upper(c_name) AS name FROM customer WHERE c_custkey % 2 = 0)
-    SELECT * FROM d WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT * FROM c"""
-)
+@query(f"WITH d AS (SELECT c_custkey AS id, c_name AS name FROM customer), {CHANGED} SELECT * FROM d WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT id, name FROM c")
 def h5_overlay(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return jobs.overlay(rows.where("id % 3 <> 0"), rows.where("id % 2 = 0").withColumn("name", F.upper("name")), ["id"])
+    return jobs.overlay(customers(spark, sf_dir).drop("value"), changed(spark, sf_dir).drop("value"), ["id"])
 
 
 WORDS_OF_PARTS = "SELECT DISTINCT ['en', 'ru'][p_size % 2 + 1] AS lang, lower(p_name) AS noun FROM part"
@@ -323,7 +304,7 @@ def h6_dictionary_counts(spark, sf_dir):
 @query("SELECT n_nationkey AS id, n_name AS name, n_regionkey = 1 AS is_default, row_number() OVER (ORDER BY n_regionkey = 1 DESC, n_name) AS rank FROM nation WHERE n_nationkey % 5 <> 0")
 def h7_ranked_sources(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") == 1).alias("is_default"), (F.col("n_nationkey") % 5 != 0).alias("enabled"))
-    return jobs.ranked(rows, F.desc("is_default"), "name").drop("enabled")
+    return jobs.ranked(rows, "is_default", "name", descending=True).drop("enabled")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, row_number() OVER (ORDER BY s_nationkey, s_name) AS rank FROM supplier WHERE s_acctbal > 0")
@@ -344,7 +325,7 @@ def h9_seed_if_empty(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT n_name AS key, ['int', 'double', 'bool', 'string'][n_nationkey % 4 + 1] AS kind, 'default' AS value FROM nation),
-    s AS (SELECT n_name AS key, CASE WHEN n_regionkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'true' END AS own FROM nation WHERE n_nationkey % 3 <> 0)
+    s AS (SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_regionkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'true' END AS own FROM nation)
     SELECT d.key, kind, CASE WHEN (kind = 'int' AND TRY_CAST(own AS BIGINT) IS NOT NULL) OR (kind = 'double' AND TRY_CAST(own AS DOUBLE) IS NOT NULL) OR (kind = 'bool' AND own IN ('true', 'false')) OR (kind = 'string' AND own IS NOT NULL)
     THEN own ELSE value END AS value FROM d LEFT JOIN s ON s.key = d.key"""
 )
@@ -352,7 +333,7 @@ def h10_merge_settings(spark, sf_dir):
     rows = table(spark, sf_dir, "nation")
     kinds = F.get(F.array(*map(F.lit, ("int", "double", "bool", "string"))), (F.col("n_nationkey") % 4).cast("int"))
     defaults = rows.select(F.col("n_name").alias("key"), kinds.alias("kind"), F.lit("default").alias("value"))
-    stored = rows.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("key"), F.when(F.col("n_regionkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise("true").alias("value"))
+    stored = rows.select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 3 == 0, None).when(F.col("n_regionkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise("true").alias("value"))
     return jobs.merge_settings(defaults, stored)
 
 
@@ -467,9 +448,9 @@ def b6_safe_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", cleaning.file_name(F.col("url")).alias("name"), cleaning.file_name_with_extension(F.col("url"), F.lit("epub")).alias("file"))
 
 
-@query(f"WITH {CHAPTERS} SELECT book_id, chapter_no, printf('%04d', chapter_no) || '_' || {sql_file_name('left(content, 60)')} || '.txt' AS file FROM chapters")
+@query(f"WITH {CHAPTERS} SELECT book_id, chapter_no, printf('%04d', chapter_no) || '_' || {sql_file_name('content')} || '.txt' AS file FROM chapters")
 def a8_chapter_file_names(spark, sf_dir):
-    name = F.concat(F.lpad(F.col("chapter_no").cast("string"), 4, "0"), F.lit("_"), cleaning.file_name(F.left("content", F.lit(60))), F.lit(".txt"))
+    name = sinks.chapter_file(F.col("chapter_no"), F.col("content"))
     return read_books(docs(spark, sf_dir)).select("book_id", "chapter_no", name.alias("file"))
 
 
@@ -495,7 +476,7 @@ def b2_speakable(spark, sf_dir):
 
 
 def sql_rules(x: str) -> str:
-    for pattern, new in cleaning.ENGLISH_RULES:
+    for pattern, new, *_ in cleaning.ENGLISH_RULES:
         flags, core = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
         group = re.sub(r"\$(\d)", lambda m: "\\" + str(int(m[1]) + 2), new)
         x = f"regexp_replace({x}, '{flags}(^|[\\t\\n\\f\\r ])({core})(?:[\\t\\n\\f\\r .,)]|$)', chr(1) || '\\1' || '{group} ', 'g')"
@@ -760,7 +741,7 @@ def i1_latest_state(spark, sf_dir):
 
 @query(f"SELECT job_id, event_id, ts FROM ({CHANGES}) WHERE status = 'pending'")
 def i2_pending_intake(spark, sf_dir):
-    return events.run_available(events.pending_intake(streamed(spark, sf_dir)), "append", "i2").select("job_id", "event_id", "ts")
+    return events.run_available(events.pending_intake(streamed(spark, sf_dir)), "append", "i2", order=("ts", "event_id")).select("job_id", "event_id", "ts")
 
 
 @query(f"SELECT job_id, event_id, ts, status FROM ({CHANGES})")
@@ -785,6 +766,16 @@ def i6_throttle_progress(spark, sf_dir):
     return events.run_available(events.throttled(streamed(spark, sf_dir).select("job_id", "event_id", "value")), "append", "i6").select("job_id", "event_id", "value")
 
 
+@query(
+    f"""WITH e AS (SELECT user_id AS job_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events)
+    SELECT job_id, event_id, n / total AS progress FROM e WHERE n % 5 = 0 OR (10 * n >= total AND 10 * n // total > greatest(0, 10 * n - total) // total)"""
+)
+def i6_saved_progress(spark, sf_dir):
+    done = streamed(spark, sf_dir).select("job_id", "event_id")
+    totals = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("total"))
+    return events.run_available(events.saved_progress(done.join(totals, "job_id")), "append", "i6s").select("job_id", "event_id", "progress")
+
+
 @query()
 def i7_ttl_previews(spark, sf_dir):
     return events.run_available(events.ttl_previews(streamed(spark, sf_dir)), "append", "i7").select("job_id", "opened", "ended", "events")
@@ -800,12 +791,6 @@ def a9_chapter_metadata(spark, sf_dir):
     return sinks.chapter_metadata(estimate.chapter_timeline(titled, 500))
 
 
-@query(SQL["a9_chapter_metadata"].replace(LINES, ALL_LINES))
-def a9_chapter_metadata_all(spark, sf_dir):
-    titled = all_lines(spark, sf_dir).withColumn("title", F.concat(F.lit("Chapter #"), F.col("chapter_no").cast("string")))
-    return sinks.chapter_metadata(estimate.chapter_timeline(titled, 500))
-
-
 @query("SELECT c_name AS pattern, CASE WHEN c_custkey % 3 = 0 THEN 'ru' ELSE 'en' END AS lang FROM (SELECT c_name, max(c_custkey) AS c_custkey FROM customer GROUP BY 1)")
 def a3_infer_rule_language(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_no"), F.col("c_name").alias("pattern"), F.when(F.col("c_custkey") % 3 == 0, "слово").otherwise("word").alias("plain"), F.lit("").alias("markup"))
@@ -881,3 +866,283 @@ def c7_number_context_ru(spark, sf_dir):
     word = F.get(F.array(*map(F.lit, ("марта", "года", "книги", "рубля"))), (F.col("p_size") % 4).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.col("p_partkey").cast("string"), word).alias("text"))
     return russian.normalize_numbers_ru(rows, nouns={"рубля": ("m", "c")})
+
+
+@query(
+    f"""WITH n AS ({NOUNS}), f AS (SELECT noun AS form, 0 AS rank, noun, gender FROM n UNION ALL SELECT noun || 's', 1, noun, gender FROM n),
+    b AS (SELECT form, min((rank, noun, gender)) AS m FROM f GROUP BY 1), w AS (SELECT p_partkey, unnest([p_name, upper(p_name) || 'S', p_brand]) AS word FROM part)
+    SELECT p_partkey, word, m[2] AS noun, m[3] AS gender FROM w LEFT JOIN b ON lower(word) = form"""
+)
+def c5_lookup_plurals(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    nouns = parts.groupBy(F.lower("p_name").alias("noun")).agg(F.min("p_partkey").alias("k")).select("noun", F.get(F.array(*map(F.lit, "mfn")), (F.col("k") % 3).cast("int")).alias("gender"), F.lit("c").alias("form"), F.array(F.concat("noun", F.lit("s"))).alias("plurals"))
+    words = parts.select("p_partkey", F.explode(F.array("p_name", F.concat(F.upper("p_name"), F.lit("S")), "p_brand")).alias("word"))
+    return numbers.lookup_nouns(words, nouns).drop("form")
+
+
+#: Written out for the SQL alone, so that a wrong table in the library shows.
+SQL_ORDINALS = "['первый','второй','третий','четвёртый','пятый','шестой','седьмой','восьмой','девятый','десятый','одиннадцатый','двенадцатый','тринадцатый','четырнадцатый','пятнадцатый','шестнадцатый','семнадцатый','восемнадцатый','девятнадцатый']"
+SQL_ORDINAL_TENS = "['двадцатый','тридцатый','сороковой','пятидесятый','шестидесятый','семидесятый','восьмидесятый','девяностый']"
+SQL_ORDINAL_HUNDREDS = "['сотый','двухсотый','трёхсотый','четырёхсотый','пятисотый','шестисотый','семисотый','восьмисотый','девятисотый']"
+SQL_TENS = "['двадцать','тридцать','сорок','пятьдесят','шестьдесят','семьдесят','восемьдесят','девяносто']"
+SQL_HUNDREDS = "['сто','двести','триста','четыреста','пятьсот','шестьсот','семьсот','восемьсот','девятьсот']"
+
+
+def sql_ordinal_ru(n: str, gender: str) -> str:
+    """Of 0 to 999,999."""
+
+    def own(word: str) -> str:
+        if gender == "m":
+            return word
+        soft, hard = ("третья", "ая") if gender == "f" else ("третье", "ое")
+        return f"CASE WHEN {word} = 'третий' THEN '{soft}' ELSE left({word}, length({word}) - 2) || '{hard}' END"
+
+    low, rest, thousands = f"({n} % 100)", f"({n} % 1000)", f"({n} // 1000)"
+    last = f"CASE WHEN {low} = 0 THEN NULL WHEN {low} < 20 THEN {own(f'{SQL_ORDINALS}[{low}]')} WHEN {low} % 10 = 0 THEN {own(f'{SQL_ORDINAL_TENS}[{low} // 10 - 1]')} ELSE {SQL_TENS}[{low} // 10 - 1] || ' ' || {own(f'{SQL_ORDINALS}[{low} % 10]')} END"
+    hundred = f"CASE WHEN {rest} < 100 THEN NULL WHEN {low} = 0 THEN {own(f'{SQL_ORDINAL_HUNDREDS}[{rest} // 100]')} ELSE {SQL_HUNDREDS}[{rest} // 100] END"
+    alone = own("'тысячный'")
+    many = f"CASE WHEN {thousands} = 1 THEN {alone} ELSE {sql_ru(thousands, 'f')} || ' ' || {alone} END"
+    above = f"CASE WHEN {thousands} > 0 THEN {sql_ru(f'({n} - {rest})', 'm')} END"
+    none = own("'нулевой'")
+    return f"CASE WHEN {n} = 0 THEN {none} WHEN {rest} = 0 THEN {many} ELSE concat_ws(' ', {above}, {hundred}, {last}) END"
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{sql_ordinal_ru('p_partkey', g)} AS ordinal_{g}" for g in "mfn") + " FROM part")
+def c3_ordinals_ru(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", *(numbers.ordinal_ru(F.col("p_partkey"), g).alias(f"ordinal_{g}") for g in "mfn"))
+
+
+SQL_CASES = {"genitive": ("ьего", "ого"), "dative": ("ьему", "ому"), "instrumental": ("ьим", "ым"), "prepositional": ("ьем", "ом")}
+
+
+@query(
+    "SELECT p_partkey, "
+    + ", ".join(f"CASE WHEN w LIKE '%ий' THEN left(w, length(w) - 2) || '{soft}' ELSE left(w, length(w) - 2) || '{hard}' END AS {case}" for case, (soft, hard) in SQL_CASES.items())
+    + f", left(f, length(f) - 2) || CASE WHEN f LIKE '%ья' THEN 'ьей' ELSE 'ой' END AS of_her FROM (SELECT p_partkey, {sql_ordinal_ru('p_partkey', 'm')} AS w, {sql_ordinal_ru('p_partkey', 'f')} AS f FROM part)"
+)
+def c4_inflected_ru(spark, sf_dir):
+    n = F.col("p_partkey")
+    cases = [russian.inflect(numbers.ordinal_ru(n, "m"), c, "m").alias(c) for c in SQL_CASES]
+    return table(spark, sf_dir, "part").select("p_partkey", *cases, russian.inflect(numbers.ordinal_ru(n, "f"), "genitive", "f").alias("of_her"))
+
+
+def sql_spoken(x: str) -> str:
+    """A Latin word in Cyrillic."""
+    names = "эй би си ди и эф джи эйч ай джей кей эл эм эн оу пи кью ар эс ти ю ви дабл_ю экс уай зет".split()
+    named = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE c ".format(x) + " ".join(f"WHEN '{chr(65 + i)}' THEN '{n.replace('_', ' ')}'" for i, n in enumerate(names)) + " END), ' ')"
+    low = f"lower({x})"
+    for pair, said in (("ch", "ч"), ("sh", "ш"), ("th", "т"), ("ph", "ф"), ("ck", "к")):
+        low = f"replace({low}, '{pair}', '{said}')"
+    sounds = "а б к д е ф г х и дж к л м н о п к р с т у в в кс й з".split()
+    sounded = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE c ".format(low) + " ".join(f"WHEN '{chr(97 + i)}' THEN '{n}'" for i, n in enumerate(sounds)) + " ELSE c END), '')"
+    return f"CASE WHEN regexp_matches({x}, '^[A-Z]+$') THEN {named} ELSE {sounded} END"
+
+
+SPOKEN_WORDS = f"(SELECT word, {sql_spoken('word')} AS spoken FROM (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_]+', '  ', 'g'), '(?:^| )([A-Za-z]+)(?: |$)', 1)) AS w FROM documents)))"
+
+
+@query(f"SELECT * FROM {SPOKEN_WORDS}")
+def b5_spoken_words(spark, sf_dir):
+    return cleaning.latin_tokens(docs(spark, sf_dir))
+
+
+@query(
+    f"""SELECT word, CASE WHEN regexp_matches(word, '.(ов|ев|ёв|ей)$') OR regexp_matches(word, '^(ов|ев|ёв|ей)$') THEN 'm' WHEN regexp_matches(word, '.[иы]$') THEN 'f'
+    WHEN regexp_matches(word, '^.[^аеёиоуыэюя][^аеёиоуыэюя]а$') THEN 'n' WHEN regexp_matches(word, '^..?[рл]я$') THEN 'n' WHEN regexp_matches(word, '[ая]$') THEN 'f' WHEN regexp_matches(word, '[оеё]$') THEN 'n' ELSE 'm' END AS gender
+    FROM (SELECT DISTINCT spoken AS word FROM {SPOKEN_WORDS})"""
+)
+def c6_word_genders(spark, sf_dir):
+    words = cleaning.latin_tokens(docs(spark, sf_dir)).select(F.col("spoken").alias("word")).distinct()
+    return words.withColumn("gender", numbers.gender_of(F.col("word")))
+
+
+@query(r"SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, regexp_extract_all(text, '(?s)(.*?[.!?…](?:[ \n\r\t]|$)|.+$)', 1) AS p FROM documents)")
+def d3_lossless_pieces(spark, sf_dir):
+    return segment.sentences_lossless(docs(spark, sf_dir))
+
+
+WHOLE_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\\t\\n\\f\\r ]+', '\\1' || chr(3), 'g'), chr(3)), lambda x: {sql_trim('x')}), lambda x: x <> '')"
+LOOSE = f"list_filter(list_transform(string_split_regex(text, '\\n[\\t\\n\\f\\r ]*\\n+'), lambda x: regexp_replace({sql_trim('x')}, '[\\t\\n\\f\\r ]+', ' ', 'g')), lambda x: x <> '')"
+#: Bytes that no sentence or paragraph of the tables has.
+NEVER_CUT = 10_000_000
+
+
+@query(f"SELECT doc_id, unnest(range(len(p))) AS chunk_no, unnest(p) AS chunk FROM (SELECT doc_id, {WHOLE_SENTENCES} AS p FROM documents)")
+def d6_whole_sentences(spark, sf_dir):
+    return segment.chunk(docs(spark, sf_dir), "sentence", NEVER_CUT)
+
+
+@query(f"SELECT doc_id, unnest(range(len(p))) AS chunk_no, unnest(p) AS chunk FROM (SELECT doc_id, {LOOSE} AS p FROM documents)")
+def d6_whole_paragraphs(spark, sf_dir):
+    return segment.chunk(docs(spark, sf_dir), "paragraph", NEVER_CUT)
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id, {WHOLE_SENTENCES} AS p FROM documents), c AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS rn, unnest(p) AS chunk FROM l),
+    walk AS (SELECT doc_id, rn, chunk AS now, CAST(0 AS BIGINT) AS chunk_no FROM c WHERE rn = 1
+      UNION ALL SELECT c.doc_id, c.rn, CASE WHEN strlen(now) + 1 + strlen(chunk) > 900 OR strlen(now) >= 100 THEN chunk ELSE now || ' ' || chunk END,
+      CASE WHEN strlen(now) + 1 + strlen(chunk) > 900 OR strlen(now) >= 100 THEN chunk_no + 1 ELSE chunk_no END FROM walk w JOIN c ON c.doc_id = w.doc_id AND c.rn = w.rn + 1)
+    SELECT doc_id, chunk_no, arg_max(now, rn) AS chunk FROM walk GROUP BY 1, 2"""
+)
+def d7_merged_sentences(spark, sf_dir):
+    return segment.merge_small(segment.chunk(docs(spark, sf_dir), "sentence", NEVER_CUT), 100, 900)
+
+
+@query(f"SELECT * FROM (SELECT doc_id, unnest(range(len(p))) AS chunk_no, unnest(p) AS chunk FROM (SELECT doc_id, {LOOSE} AS p FROM documents)) WHERE regexp_matches(chunk, '[\\p{{L}}\\p{{Nd}}]') AND regexp_matches(chunk, '[A-Za-zÀ-ſ]')")
+def d8_heard_paragraphs(spark, sf_dir):
+    return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", NEVER_CUT), F.lit("en"))
+
+
+def sql_any_en(n: str) -> str:
+    """Words of any 64-bit number but the smallest."""
+    size, big = f"abs({n})", f"(abs({n}) // 1000000000000)"
+    rest = f"(abs({n}) % 1000000000000)"
+    spoken = f"CASE WHEN {big} = 0 THEN {sql_en(size)} WHEN {rest} = 0 THEN {sql_en(big)} || ' trillion' ELSE {sql_en(big)} || ' trillion ' || {sql_en(rest)} END"
+    return f"(CASE WHEN {n} < 0 THEN 'minus ' ELSE '' END || {spoken})"
+
+
+def sql_any_ordinal_en(n: str) -> str:
+    spoken = sql_any_en(n)
+    return f"(regexp_replace({spoken}, '[a-z]+$', '') || CASE regexp_extract({spoken}, '[a-z]+$') " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in numbers.EN_ORDINALS.items()) + f" ELSE regexp_extract({spoken}, '[a-z]+$') || 'th' END)"
+
+
+def numbers_cte(source: str, name: str, ordinals: str) -> str:
+    """CTEs that spell the numbers of source (doc_id, lang, text); ordinals: a condition for words that ask for one."""
+    n, before = "TRY_CAST(p AS BIGINT)", "coalesce(l[i - 1], '')"
+    asks = f"({ordinals}) AND regexp_matches(lower({before}), '(?:^|[^\\p{{L}}''-])(?:chapter|chapters|page|pages)[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}]*$')"
+    fits = f"regexp_matches(p, '^-?[0-9]+$') AND {n} IS NOT NULL AND NOT (p[1] = '-' AND regexp_matches({before}, '[0-9]$'))"
+    return f"""{name}_pieces AS (SELECT doc_id, lang, regexp_extract_all(regexp_replace(text, '(\\p{{L}})-([0-9])', '\\1 \\2', 'g'), '-?[0-9]+|[^0-9-]+|-') AS l FROM {source}),
+    {name} AS (SELECT doc_id, lang, array_to_string(list_transform(l, lambda p, i: CASE WHEN {fits} THEN CASE WHEN {asks} THEN {sql_any_ordinal_en(n)} ELSE {sql_any_en(n)} END ELSE p END), '') AS text FROM {name}_pieces)"""
+
+
+@query(f"WITH {numbers_cte('documents', 'spoken', 'true')} SELECT doc_id, text FROM spoken")
+def c8_numbers_en(spark, sf_dir):
+    return numbers.normalize_numbers_en(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+KNOWN_NOUNS = "|".join(sorted({w for n in bundled.NOUNS if n.lang == "en" for w in (n.noun, *n.plurals)}))
+
+
+def romans_cte(source: str, name: str) -> str:
+    """CTEs that spell the Roman numerals beside a noun in source (doc_id, lang, text)."""
+    twice = "regexp_replace(text, '([^A-Za-z0-9_])', '\\1\\1', 'g')"
+    marked = f"regexp_replace({twice}, '(^|[^A-Za-z0-9_])([IVXLCDM]+)([^A-Za-z0-9_]|$)', '\\1' || chr(2) || '\\2' || chr(2) || '\\3', 'g')"
+    once = f"regexp_replace({marked}, '(?s)([^A-Za-z0-9_\\x02])[^A-Za-z0-9_\\x02]', '\\1', 'g')"
+    blank = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}]*"
+    return f"""{name}_lists AS (SELECT doc_id, lang, string_split({once}, chr(2)) AS l FROM {source}),
+    {name}_rows AS (SELECT doc_id, lang, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS r, l FROM {name}_lists),
+    {name}_values AS (SELECT *, lang = 'en' AND i % 2 = 0 AND NOT regexp_matches(r, 'I{{4}}|V{{4}}|X{{4}}|L{{4}}|C{{4}}|D{{4}}') AS valid,
+      list_transform(string_split(r, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 ELSE 1000 END) AS v FROM {name}_rows),
+    {name}_numbers AS (SELECT *, CAST({ROMAN_SQL} AS BIGINT) AS n FROM {name}_values),
+    {name} AS (SELECT doc_id, lang, string_agg(CASE WHEN valid AND regexp_matches(lower(l[i - 1]), '(?:^|[^\\p{{L}}''-])(?:{KNOWN_NOUNS}){blank}$') THEN {sql_any_en('n')}
+      WHEN valid AND regexp_matches(lower(l[i + 1]), '^{blank}(?:{KNOWN_NOUNS})(?:[^\\p{{L}}''-]|$)') THEN {sql_any_ordinal_en('n')} ELSE r END, '' ORDER BY i) AS text FROM {name}_numbers GROUP BY 1, 2)"""
+
+
+@query(f"WITH english AS (SELECT doc_id, 'en' AS lang, text FROM documents), {romans_cte('english', 'spoken')} SELECT doc_id, text FROM spoken")
+def c10_romans_en(spark, sf_dir):
+    return numbers.roman_in_words(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+@query(f"WITH {romans_cte('documents', 'romans')}, {numbers_cte('romans', 'spoken', chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))} SELECT doc_id, text FROM spoken")
+def c8_normalize_numbers(spark, sf_dir):
+    return prepare.normalize_numbers(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, CASE WHEN lang = 'en' THEN {sql_rules('text')} ELSE text END AS text FROM documents")
+def b3_rules_by_language(spark, sf_dir):
+    return cleaning.apply_rules(docs(spark, sf_dir), bundled.RULES, lang=F.col("lang")).select("doc_id", "text")
+
+
+PREPARED = f"""cleaned AS (SELECT doc_id, lang, {sql_clean('text')} AS text FROM documents), ruled AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN {sql_rules('text')} ELSE text END AS text FROM cleaned),
+  {romans_cte('ruled', 'romans')}, {numbers_cte('romans', 'spoken', chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))},
+  split AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN {IS_SEPARATOR} THEN '{segment.MARKER}' ELSE x END) AS l FROM spoken)"""
+
+
+@query(f"""WITH {PREPARED} SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: z[2] = 1 OR z[1] <> '{segment.MARKER}' OR l[z[2] - 1] <> '{segment.MARKER}'), lambda z: z[1]), chr(10)) AS text FROM split""")
+def b10_prepared_by_language(spark, sf_dir):
+    return prepare.prepare_corpus(docs(spark, sf_dir)).select("doc_id", "text")
+
+
+PATH = "(SELECT *, regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1) AS p FROM pages)"
+BASE_URL = "https://books.example.org/opds/root.xml"
+
+
+def paths(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*(/.*)$", 1).alias("p"))
+
+
+@query(
+    f"""SELECT page_id AS feed_id, CAST(0 AS BIGINT) AS pos, CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'https://books.example.org' || p END AS cover,
+    CASE WHEN page_id % 3 = 0 THEN 'https://books.example.org' || p END AS navigation, page_id % 3 = 0 AS is_navigation, CASE WHEN page_id % 3 > 0 THEN 'https://books.example.org/opds/' || substr(p, 2) END AS url, CASE WHEN page_id % 3 > 0 THEN 'epub' END AS format FROM {PATH}"""
+)
+def a5_feed_entries(spark, sf_dir):
+    """Atom feeds of one entry, a folder or a book, with references to resolve."""
+    xml = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&apos;"))
+    book = F.concat(F.lit("<link rel='http://opds-spec.org/image/thumbnail' href='"), xml(F.col("p")), F.lit("'/><link rel='http://opds-spec.org/acquisition/open-access' type='application/epub+zip' href='"), xml(F.substr("p", F.lit(2))), F.lit("'/>"))
+    folder = F.concat(F.lit("<link rel='subsection' href='"), xml(F.col("p")), F.lit("'/>"))
+    body = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><id>"), F.col("page_id").cast("string"), F.lit("</id>"), F.when(F.col("page_id") % 3 == 0, folder).otherwise(book), F.lit("</entry></feed>"))
+    entries = feeds.ingest_feeds_xml(paths(spark, sf_dir).select(F.col("page_id").alias("feed_id"), body.alias("body"), F.lit(BASE_URL).alias("base_url")))
+    return entries.select("feed_id", "pos", "id", "cover", "navigation", "is_navigation", F.get("downloads", F.lit(0))["url"].alias("url"), F.get("downloads", F.lit(0))["format"].alias("format"))
+
+
+@query(
+    f"""WITH e AS (SELECT page_id AS feed_id, unnest([0, 1, 2, 3]) AS pos, p FROM {PATH})
+    SELECT feed_id, CAST(pos AS BIGINT) AS pos, ['n', 'g', 'in group', 'own'][pos + 1] AS title, pos < 2 AS is_navigation, CASE pos WHEN 0 THEN 'https://books.example.org/n' WHEN 1 THEN 'https://books.example.org/opds/g' END AS navigation,
+    CASE WHEN pos = 3 THEN 'https://books.example.org' || p END AS cover, CASE WHEN pos = 3 THEN 'https://books.example.org/opds/' || substr(p, 2) END AS url, CASE WHEN pos = 3 THEN 'pdf' END AS format FROM e"""
+)
+def a6_feed_entries(spark, sf_dir):
+    """JSON feeds with navigation, a group and a publication, with references to resolve."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'^\{"x":(.*)\}$', 1)
+    body = F.concat(F.lit('{"navigation":[{"title":"n","href":"/n"}],"groups":[{"navigation":[{"title":"g","href":"g"}],"publications":[{"metadata":{"title":"in group"}}]}],"publications":[{"metadata":{"title":"own"},"images":[{"rel":"cover","href":'), quoted(F.col("p")), F.lit('}],"links":[{"rel":"http://opds-spec.org/acquisition/buy","type":"application/pdf","href":'), quoted(F.substr("p", F.lit(2))), F.lit("}]}]}"))
+    entries = feeds.ingest_feeds_json(paths(spark, sf_dir).select(F.col("page_id").alias("feed_id"), body.alias("body"), F.lit(BASE_URL).alias("base_url")))
+    return entries.select("feed_id", "pos", "title", "is_navigation", "navigation", "cover", F.get("downloads", F.lit(0))["url"].alias("url"), F.get("downloads", F.lit(0))["format"].alias("format"))
+
+
+@query(
+    """SELECT p_partkey AS query_id, r_regionkey AS source_id, 'https://s' || r_regionkey || '.example/find?' || CASE WHEN p_size % 2 = 0 THEN 'author=' ELSE 'title=' END || replace(url_encode(p_name), '%20', '+') AS url FROM part, region"""
+)
+def g7_feed_searches(spark, sf_dir):
+    """Templates out of the links of feeds; who asks for a series gets titles, as no feed has series."""
+    key = F.col("r_regionkey").cast("string")
+    body = F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><link rel='search' type='application/atom+xml' href='/find?q={searchTerms}&amp;author={atom:author}&amp;title={atom:title}'/><link rel='next' href='/2'/></feed>")
+    links = feeds.feed_links(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("feed_id"), body.alias("body"), F.concat(F.lit("https://s"), key, F.lit(".example/opds")).alias("base_url")))
+    field = F.when(F.col("p_size") % 2 == 0, "author").otherwise("series")
+    return catalog.search_templates(feeds.search_links(links), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), field.alias("field"), F.col("p_name").alias("query")))
+
+
+def written(spark, lines: DataFrame, name: str) -> str:
+    """Lines (at, line) in order as one text file, as a dictionary is; its folder."""
+    folder = shared_folder(spark, name)
+    lines.coalesce(1).sortWithinPartitions("at").select("line").write.text(folder)
+    return folder
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, lower(p_name) AS key, p_name, ['m', 'f', 'n', 'x'][p_size % 4 + 1] AS g, ['o', 'c', 'z'][p_size % 3 + 1] AS f, p_brand FROM part)
+    SELECT 'en' AS lang, arg_max(p_name, p_partkey) AS noun, arg_max(CASE WHEN g = 'x' THEN 'm' ELSE g END, p_partkey) AS gender, arg_max(CASE WHEN f = 'z' THEN 'c' ELSE f END, p_partkey) AS form, arg_max(p_name, p_partkey) AS singular, [arg_max(p_brand, p_partkey), arg_max(p_name || 's', p_partkey)] AS plurals FROM n GROUP BY key"""
+)
+def a1_load_nouns(spark, sf_dir):
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.col("p_size") % n).cast("int"))
+    line = F.concat_ws(",", "p_name", pick("mfnx", 4), pick("ocz", 3), F.concat(F.lit(" "), "p_name"), F.concat_ws("|", "p_brand", F.lit(" "), F.concat("p_name", F.lit("s "))))
+    return dictionaries.load_nouns(spark, written(spark, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("at"), line.alias("line")), "nouns"), "en")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS rule_no, 'en' AS lang, c_name || ', \"' || c_mktsegment || '\"' AS pattern, c_mktsegment AS plain, '' AS markup, 'of ' || c_custkey AS comment FROM customer")
+def a2_parse_rules(spark, sf_dir):
+    """Quoted fields with commas and quotes inside."""
+    line = F.concat(F.lit('"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('""",'), "c_mktsegment", F.lit(",,of "), F.col("c_custkey").cast("string"))
+    path = written(spark, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("at"), line.alias("line")), "rules")
+    return dictionaries.parse_rules(dictionaries.text_lines(spark, path), "en").withColumn("rule_no", F.col("rule_no").cast("long"))
+
+
+@query()
+def c11_preprocess_ru(spark, sf_dir):
+    """Chapters by Roman numeral and years by suffix, in words."""
+    roman = F.get(F.array(*map(F.lit, ("I", "IV", "IX", "XIV", "XX", "XL"))), (F.col("p_size") % 6).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Глава "), roman, F.lit(", "), F.col("p_partkey").cast("string"), F.lit("-го и "), roman, F.lit(" том")).alias("text"))
+    return russian.normalize_numbers_ru(rows)
+
+
+for _name in ("f11_chapter_timeline", "f13_pack_parts", "f14_part_titles", "f15_build_progress", "a9_chapter_metadata"):
+    # earlier names of the queries over every line
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

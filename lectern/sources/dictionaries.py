@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import go_trim
+from lectern.sources.bundled import NOUNS, Noun, Rule
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of lines that are neither blank nor comments; a dictionary is read as one file."""
     whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).withColumn("line", go_trim(F.col("line")))
@@ -33,7 +32,7 @@ def parse_nouns(lines: DataFrame, lang: str) -> DataFrame:
 
 
 def load_nouns(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    return parse_nouns(_lines(spark, path), lang)
+    return parse_nouns(text_lines(spark, path), lang)
 
 
 def parse_rules(lines: DataFrame, lang: str) -> DataFrame:
@@ -43,16 +42,29 @@ def parse_rules(lines: DataFrame, lang: str) -> DataFrame:
     return rows.select(F.col("line_no").alias("rule_no"), F.lit(lang).alias("lang"), "r.*").fillna("", ["plain", "markup"])
 
 
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that runs rules takes a pattern."""
+    try:
+        spark.sql("SELECT regexp_like('', :p)", {"p": pattern}).collect()
+    except Exception:  # the pattern's own error, of a class that depends on where it is found
+        return False
+    return True
+
+
+def rules_of(rules: DataFrame) -> list[Rule]:
+    """Rules with their language and markup in file order, without those whose pattern doesn't compile; at most hundreds."""
+    rows = rules.orderBy("rule_no").select("pattern", "plain", "markup", "lang").collect()
+    return [Rule(*r) for r in rows if compiles(rules.sparkSession, r["pattern"])]
+
+
 def load_rules(spark: SparkSession, path: str, lang: str) -> list[tuple[str, str]]:
     """(pattern, replacement) in file order, without patterns that don't compile; a file holds at most hundreds."""
-    out = []
-    for r in parse_rules(_lines(spark, path), lang).orderBy("rule_no").collect():
-        try:
-            re.compile(r["pattern"])
-        except re.error:
-            continue
-        out.append((r["pattern"], r["plain"]))
-    return out
+    return [(r.pattern, r.plain) for r in load_rule_set(spark, path, lang)]
+
+
+def load_rule_set(spark: SparkSession, path: str, lang: str) -> list[Rule]:
+    """A file's rules as apply_rules() takes them, with their markup."""
+    return rules_of(parse_rules(text_lines(spark, path), lang))
 
 
 def rule_language(plain: Column, markup: Column) -> Column:
@@ -63,3 +75,14 @@ def rule_language(plain: Column, markup: Column) -> Column:
 def infer_rule_languages(rules: DataFrame) -> DataFrame:
     """The language of each pattern; the last of equal patterns decides."""
     return rules.groupBy("pattern").agg(F.max_by(rule_language(F.col("plain"), F.col("markup")), "rule_no").alias("lang"))
+
+
+def noun_table(spark: SparkSession, nouns: tuple[Noun, ...] = NOUNS) -> DataFrame:
+    """A list of nouns as a table for joins."""
+    return spark.createDataFrame([(*n[:5], list(n.plurals)) for n in nouns], "lang string, noun string, gender string, form string, singular string, plurals array<string>")
+
+
+def overlay_nouns(defaults: DataFrame, custom: DataFrame) -> DataFrame:
+    """Custom nouns and those defaults that none shadows, by language and small letters."""
+    key = lambda t: (F.col(f"{t}.lang") == F.col("c.lang")) & (F.lower(f"{t}.noun") == F.lower("c.noun"))
+    return defaults.alias("d").join(custom.alias("c"), key("d"), "left_anti").unionByName(custom)

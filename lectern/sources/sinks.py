@@ -23,8 +23,34 @@ def escape_metadata(text: Column) -> Column:
     return replace_all(text, (("\\", "\\\\"), ("=", "\\="), (";", "\\;"), ("#", "\\#"), ("\n", " ")))
 
 
-def chapter_metadata(timeline: DataFrame) -> DataFrame:
-    """(book_id, document): the book's tags and a block per chapter in order."""
+#: A book's tags in order, and the columns that they come from.
+TAGS = (("title", "title"), ("artist", "author"), ("album_artist", "author"), ("album", "album"), ("grouping", "series"), ("genre", "genre"), ("date", "year"), ("description", "description"), ("comment", "description"))
+
+
+def book_tags(books: DataFrame) -> Column:
+    """The tag lines of a book: empty ones are left out, the album is the title and the genre Audiobook unless given.
+
+    A series has its number behind it. Columns of TAGS, and series_number, that books don't have count as empty.
+    """
+    own = lambda c: F.coalesce(F.col(c), F.lit("")) if c in books.columns else F.lit("")
+    values = {c: own(c) for _, c in TAGS}
+    values["album"] = F.when(values["album"] == "", values["title"]).otherwise(values["album"])
+    values["genre"] = F.when(values["genre"] == "", "Audiobook").otherwise(values["genre"])
+    values["series"] = F.when((values["series"] != "") & (own("series_number") != ""), F.concat(values["series"], F.lit(" #"), own("series_number"))).otherwise(values["series"])
+    lines = [F.when(values[c] != "", F.concat(F.lit(f"{tag}="), values[c] if tag == "date" else escape_metadata(values[c]), F.lit("\n"))).otherwise("") for tag, c in TAGS]
+    return F.concat(*lines)
+
+
+def chapter_metadata(timeline: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """(book_id, document): the book's tags and a block per chapter in order.
+
+    books: book_id and the columns of TAGS that are known; without it a book has its number as title alone.
+    """
     block = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), F.col("start_ms").cast("string"), F.lit("\nEND="), F.col("end_ms").cast("string"), F.lit("\ntitle="), escape_metadata(F.col("title")), F.lit("\n"))
     listed = timeline.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_no", block.alias("block")))).alias("b"))
-    return listed.select("book_id", F.concat(F.lit(";FFMETADATA1\ntitle=Book "), F.col("book_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n")).alias("document"))
+    blocks = F.concat(F.lit("\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n"))
+    if books is None:
+        return listed.select("book_id", F.concat(F.lit(";FFMETADATA1\ntitle=Book "), F.col("book_id").cast("string"), F.lit("\n"), blocks).alias("document"))
+    tagged = books.select(F.col("book_id").alias("_book"), book_tags(books).alias("_tags"))
+    joined = listed.join(tagged, F.col("book_id") == F.col("_book"), "left")
+    return joined.select("book_id", F.concat(F.lit(";FFMETADATA1\n"), F.coalesce("_tags", F.lit("genre=Audiobook\n")), blocks).alias("document"))

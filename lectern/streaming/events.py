@@ -23,14 +23,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over what is there. Append keeps all batches, complete the last one."""
+def run_available(stream: DataFrame, mode: str, name: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what is there. Append keeps all batches, complete the last one; `order` sorts each batch."""
     spark, out = stream.sparkSession, shared_folder(stream.sparkSession, name)
     stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{out}/rows/batch=-1")
     last: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        (batch.orderBy(*order) if order else batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
         last.append(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
@@ -47,6 +47,7 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def pending_intake(events: DataFrame) -> DataFrame:
+    """Pending events; run_available() puts each batch in order, oldest first."""
     return events.where("status = 'pending'").select("job_id", "event_id", "ts")
 
 
@@ -85,6 +86,22 @@ def throttled(progress: DataFrame, step: float = 0.1) -> DataFrame:
     return progress.groupBy("job_id").applyInPandasWithState(run, "job_id long, event_id long, value double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def saved_progress(done: DataFrame, every: int = 5, step: int = 10) -> DataFrame:
+    """Finished chapters (job_id, event_id, total) of a job at which its progress is saved: each `every`th, and where it passes a tenth."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, rows, out = state.get[0] if state.exists else 0, pd.concat(list(batches)).sort_values("event_id"), []
+        for event, total in zip(rows["event_id"].tolist(), rows["total"].tolist(), strict=True):
+            n += 1
+            # in whole numbers, so that a tenth is a tenth
+            if n % every == 0 or step * n >= total and step * n // total > max(0, step * n - total) // total:
+                out.append((key[0], event, n / total))
+        state.update((n,))
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "progress"])
+
+    return done.groupBy("job_id").applyInPandasWithState(run, "job_id long, event_id long, progress double", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def ttl_previews(events: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
     """(job_id, opened, ended, events): previews that close when no event came for their time to live."""
 

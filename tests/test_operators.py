@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import catalog, cleaning, estimate, jobs, markup, numbers, segment
 from lectern.plans import prepare
-from lectern.sources import dictionaries, feeds, sinks
+from lectern.sources import bundled, dictionaries, feeds, sinks
 from lectern.sources.books import read_books
 
 
@@ -82,7 +82,8 @@ def test_roman(spark):
 
 
 def test_roman_in_words(spark):
-    got = numbers.roman_in_words(texts(spark, "Chapter V and the IV page, not IIII or MIX.", "page IIII", "XX century, Part\nII", ""))
+    nouns = [*bundled.NOUNS, bundled.Noun("en", "century", "m", "c", "century", ("centuries",))]
+    got = numbers.roman_in_words(texts(spark, "Chapter V and the IV page, not IIII or MIX.", "page IIII", "XX century, Part\nII", ""), nouns=nouns)
     assert pieces(got, "text") == ["Chapter five and the fourth page, not IIII or MIX.", "page IIII", "twentieth century, Part\ntwo", ""]
 
 
