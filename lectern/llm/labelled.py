@@ -17,12 +17,12 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
     return own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int, longest: int, seed: int) -> DataFrame:
-    """(doc_id, label, text) of at most `rows` labelled documents of at most `longest` bytes.
+def sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int) -> DataFrame:
+    """(doc_id, label, text) of at most `rows` labelled documents, whole texts.
 
     The documents are those of the smallest hashed ids, so reruns agree. Broadcast: their ids, at
     most `rows`; only their texts are moved.
     """
     ids = labels.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")

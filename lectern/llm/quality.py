@@ -1,15 +1,16 @@
 """Quality scores by Naive Bayes support vectors.
 
-A text's indicators are n-grams of its shape (upper and lower case runs, digits, each mark, with
-runs told from single ones) and of how its words repeat. Each indicator is scaled by the log of
-the ratio of its class counts, and a linear hinge-loss model is fitted to them by dual coordinate
-descent.
+A text's indicators are its words and pairs of words, its n-grams of four characters, n-grams of its
+shape (upper and lower case runs, digits, each mark, with runs told from single ones), and how its
+words repeat. Each indicator is scaled by the log of the ratio of its class counts, and a linear
+hinge-loss model is fitted to them by dual coordinate descent.
 """
 
 from __future__ import annotations
 
 import math
 import operator
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.labelled import held_out, learnable, sample
 
-#: Indicators: n-grams are hashed to so many.
-WIDTH = 1 << 18
+#: Indicators: n-grams of shapes are hashed to so many, and so are words with pairs, and characters.
+PART = 1 << 18
+WIDTH = 3 * PART
+#: What words and characters weigh beside shapes, of which a text has far fewer.
+CONTENT = 0.1
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
 
 def _shapes() -> bytes:
     """By byte: 1 upper, 2 lower, 3 digit, 4 blank, 5 line end, 6 control, 7 up: marks.
@@ -58,9 +64,18 @@ def indicators(text: bytes) -> np.ndarray:
             gram = (gram[: len(gram) - (n > 1)] << np.uint32(7)) + s[n - 1 :]
             if not len(gram):
                 break
-            found.append(((gram + np.uint32(n << 28)) * np.uint32(2654435761) >> np.uint32(14)) % np.uint32(WIDTH - 64) + np.uint32(64))
-    words = text.split()
+            found.append(((gram + np.uint32(n << 28)) * np.uint32(2654435761) >> np.uint32(14)) % np.uint32(PART - 64) + np.uint32(64))
+    low = text.translate(_LOWER)
+    if len(low) >= 4:
+        c = np.frombuffer(low, np.uint8).astype(np.uint32)
+        four = c[:-3] | c[1:-2] << np.uint32(8) | c[2:-1] << np.uint32(16) | c[3:] << np.uint32(24)
+        found.append((four * np.uint32(2654435761) >> np.uint32(13)) % np.uint32(PART) + np.uint32(2 * PART))
+    words = low.split()
     if words:
+        own = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        pairs = (own[:-1] * np.uint32(31) + own[1:]) * np.uint32(2654435761)
+        found += [(h >> np.uint32(13)) % np.uint32(PART) + np.uint32(PART) for h in (own * np.uint32(2246822519), pairs)]
+        words = text.split()
         again = sum(map(operator.eq, words, words[1:]))
         swapped = sum(map(operator.eq, words, words[2:]))
         # how often a word is followed by itself, at once or after another: once, twice, 4 times ...; in so many of 2, 4, 8 ... words
@@ -75,7 +90,9 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0)
     p, q = np.full(WIDTH, alpha), np.full(WIDTH, alpha)
     for x, label in zip(rows, y, strict=True):
         (p if label > 0 else q)[x] += 1
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    ratios = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratios[PART:] *= CONTENT
+    return ratios
 
 
 def hinge_dual(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 0.05, epochs: int = 20, seed: int = 9) -> np.ndarray:
@@ -122,11 +139,13 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[1]), float(beta[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 9000, longest: int = 1 << 16, seed: int = 9) -> QualityModel:
-    """Fits on at most `fit_rows` labelled documents of at most `longest` bytes, whose indicators come to the driver.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, seed: int = 9) -> QualityModel:
+    """Fits on at most `fit_rows` labelled documents, whole texts of any length, whose indicators come to the driver.
 
     Margins of each half under the other half's model give the curve from margins to scores.
-    With labels of one kind or none, every text scores their smoothed rate.
+    With labels of one kind or none, every text scores their smoothed rate. Repeated rows of a doc_id
+    are texts of their own; other columns than doc_id and text aren't read. A text's indicators are at
+    most WIDTH numbers, however long it is.
     """
     own = learnable(labels, "quality")
 
@@ -135,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 9000, longest: int =
             found = [indicators(bytes(t.as_buffer())).astype(np.int32) for t in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "found"])
 
-    got = sample(docs, own, fit_rows, longest, seed).mapInArrow(run, "doc_id long, label int, found array<int>").toArrow().sort_by("doc_id")
+    got = sample(docs, own, fit_rows, seed).mapInArrow(run, "doc_id long, label int, found array<int>").toArrow().sort_by("doc_id")
     y = np.where(got.column("label").to_numpy() > 0, 1, -1)
     rows = [x.values.to_numpy() for x in got.column("found")]
     if len(set(y.tolist())) < 2:
@@ -152,7 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 9000, longest: int =
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null text is empty. The model is of fixed size."""
+    """doc_id, held_out, score, predicted of every row; null text is empty, and whole texts of any length count.
+
+    The model is of fixed size. Repeated rows get equal scores, an empty table none; other columns aren't read.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

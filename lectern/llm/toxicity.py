@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import drop, keep
 from lectern.llm.labelled import held_out, learnable, sample
 
-#: What a character may stand for besides itself.
+#: What a character may stand for besides itself: digits and marks, and letters of other alphabets that look alike.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
+LOOKALIKES |= dict(zip("аеорсухіј", "aeopcyxij", strict=True))
+#: Characters without width, and what they hide in.
+_UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 #: Log-probabilities of the channel.
 AS_LETTER, AS_ITSELF, SHORTENED, DOUBLED, WHOLE_RUN, DROPPED, KEPT = -1.0, -2.5, -0.5, -1.5, -4.0, -0.5, -2.5
 #: Of a letter twice that stands for one.
@@ -44,6 +49,8 @@ BEGINNINGS = (4, 5, 6, 7)
 BOTH = "\0"
 #: Tokens that a worker remembers.
 REMEMBERED = 250_000
+#: A weight that counts twice above it, and the numbers that a text is scored by.
+STRONG, FEATURES = 2.5, 5
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
@@ -141,16 +148,21 @@ class Restorer:
         joined = _SPACED.sub(self.spaced, token)
         return joined if joined != token else decode(token, self.model)
 
+    @staticmethod
+    def plain(text: str) -> str:
+        """Small letters, wide ones as narrow, without what can't be seen."""
+        return (text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_UNSEEN))).lower()
+
     def tokens(self, text: str) -> set[str]:
         """The distinct tokens of a text in lower case; single characters with blanks between are read as one span."""
-        text = text.lower()
+        text = self.plain(text)
         if _BLANKS_CUE.search(f" {text}"):
             text = _SPACED.sub(self.spaced, text)
         return set(text.split())
 
     def __call__(self, text: str) -> str:
         """The whole restored text."""
-        joined = _SPACED.sub(self.spaced, text.lower())
+        joined = _SPACED.sub(self.spaced, self.plain(text))
         return "".join(x if x.isspace() else self.token(x) for x in re.split(r"(\s+)", joined))
 
 
@@ -163,59 +175,70 @@ def grams(word: str) -> list[str]:
     return [marked, *(marked[:n] for n in BEGINNINGS if n < len(marked))]
 
 
+#: One character of each that may stand for each other; marks between letters go.
+_SKELETON = {ord(c): ord(LOOKALIKES[c][0]) for c in LOOKALIKES} | {ord("l"): ord("i")} | dict.fromkeys(map(ord, ".-_*/"))
+
+
+def skeleton(text: str) -> str:
+    """What all readings of a text share: look-alikes as one, runs as one character, no marks between letters."""
+    return _RUN.sub(r"\1", text.translate(_SKELETON))
+
+
+def lower_bound(toxic: int, other: int, toxic_texts: int, other_texts: int) -> float:
+    """The log-odds of texts having an n-gram less one standard error."""
+    odds = math.log((toxic + 0.5) / (toxic_texts + 1)) - math.log((other + 0.5) / (other_texts + 1))
+    return odds - math.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+
+
 class Lexicon:
-    """Words' weights from the n-grams that tell toxic from other texts."""
+    """Words' weights from the n-grams that tell toxic from other texts: those whose log-odds are surely over 1."""
 
     def __init__(self, weights: dict[str, float], restorer: Restorer | None = None):
         self.weights, self.restorer = weights, restorer
-        self.without: set[str] = set()
-        self.with_weight: dict[str, float] = {}
+        self.known: dict[str, float] = {}
+        self.starts = {skeleton(g.strip("^$")) for g in weights}
+        self.longest = max(map(len, self.starts), default=0)
 
     @classmethod
-    def learn(cls, sets: list[set[str]], labels: np.ndarray, most: int = 20_000) -> Lexicon:
-        """Lower bounds (one standard error) of log-odds of texts having an n-gram; the `most` largest over 1."""
-        toxic, other = Counter(), Counter()
-        for words, label in zip(sets, labels, strict=True):
-            if label:
-                toxic.update({g for w in words for g in grams(w)})
-        toxic = Counter({g: n for g, n in toxic.items() if n > 1})
-        for words, label in zip(sets, labels, strict=True):
-            if not label:
-                other.update(g for g in {g for w in words for g in grams(w)} if g in toxic)
-        a, b = int(labels.sum()), int((1 - labels).sum())
-        found = {}
-        for g, n in toxic.items():
-            k = other[g]
-            low = math.log((n + 0.5) / (a + 1)) - math.log((k + 0.5) / (b + 1)) - math.sqrt(1 / (n + 0.5) + 1 / (k + 0.5))
-            if low > 1:
-                found[g] = low
-        return cls(dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]))
+    def learn(cls, counts: dict[str, tuple[int, int]], toxic_texts: int, other_texts: int) -> Lexicon:
+        """counts: an n-gram to how many toxic and other texts have it; of those in at least two toxic ones."""
+        lows = {g: lower_bound(n, k, toxic_texts, other_texts) for g, (n, k) in counts.items() if n > 1}
+        return cls({g: low for g, low in lows.items() if low > 1})
+
+    def may_weigh(self, token: str) -> bool:
+        """Whether any reading of a token can begin like a word of the lexicon: readings share the skeleton."""
+        bare = token.lstrip(_EDGE)
+        if "|" in token or len(bare) < len(token) and any(c in LOOKALIKES for c in token[: len(token) - len(bare)]):
+            return True
+        shape = skeleton(bare)
+        return any(shape[:n] in self.starts for n in range(min(len(shape), self.longest) + 1))
 
     def weight(self, token: str) -> float:
         """The largest weight of the n-grams of a token, restored and as it is; 0 if it has none. Remembered.
 
         Without a restorer a token is its readings with BOTH between.
         """
-        if (out := self.with_weight.get(token)) is None:
-            words = {token, self.restorer.token(token)} if self.restorer else set(token.split(BOTH))
+        if (out := self.known.get(token)) is None:
             out, get = 0.0, self.weights.get
+            if self.restorer is None:
+                words = set(token.split(BOTH))
+            else:
+                words = {token, self.restorer.token(token)} if self.may_weigh(token) else ()
             for g in {g for word in words for g in grams(word.strip(_EDGE))}:
                 out = max(out, get(g, 0.0))
-            if len(self.without) > REMEMBERED:
-                self.without.clear()
-            if out:
-                self.with_weight[token] = out
-            else:
-                self.without.add(token)
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self.known[token] = out
         return out
 
     def features(self, tokens: set[str]) -> list[float]:
-        w = [x for x in map(self.weight, tokens.difference(self.without)) if x]
-        strong = sum(x > 2.5 for x in w)
-        return [1.0, max(w, default=0.0), math.log1p(sum(w)), math.log1p(strong), 10 * strong / (len(tokens) + 1)]
+        """1, the largest weight, what it has over STRONG, and what other words have over 1: in all, and for the text's size."""
+        w = sorted((x for x in map(self.weight, tokens) if x), reverse=True)
+        top, over = w[0] if w else 0.0, [x - 1 for x in w]
+        return [1.0, top, max(top - STRONG, 0.0), math.log1p(sum(over[1:])), 10 * sum(over) / (len(tokens) + 10)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Coefficients of a logistic model by Newton steps; the first column isn't shrunk."""
     beta, shrink = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(50):
@@ -240,45 +263,78 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, longest: int = 1 << 16, seed: int = 3) -> ToxicityModel:
-    """Fits on at most `fit_rows` toxic and twice as many other labelled documents of at most `longest` bytes.
+def _fold(doc_id: int) -> int:
+    return doc_id // 7 % 2
+
+
+def _gram_counts(sampled: DataFrame, label: int, only: frozenset | None) -> dict[str, list[int]]:
+    """How many texts of a label have each n-gram, by fold: of toxic texts those in at least two, of others the ones asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for doc_id, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {g for both in words.split() for w in both.split(BOTH) for g in grams(w)}
+                found.update((g, _fold(doc_id)) for g in (own if only is None else own & only))
+        rows = list(found.items())
+        yield pa.record_batch([pa.array([g for (g, _), _ in rows], pa.string()), pa.array([f for (_, f), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["gram", "fold", "n"])
+
+    each = sampled.where(F.col("label") == label).select("doc_id", "words").mapInArrow(run, "gram string, fold int, n long")
+    added = each.groupBy("gram").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))
+    return {r["gram"]: [r["n0"], r["n1"]] for r in (added.where("n0 + n1 > 1") if label else added).collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, seed: int = 3) -> ToxicityModel:
+    """Fits on at most `fit_rows` toxic and twice as many other labelled documents, whole texts of any length.
 
     The character model counts all documents; of it at most 29^3 sums come to the driver, of the
-    sample the distinct restored words. Without toxic labels every text scores near 0.
+    sample the counts of n-grams that two toxic texts have, and a few numbers a text. Without toxic
+    labels every text scores near 0. Repeated rows of a doc_id are texts of their own; other columns
+    than doc_id and text aren't read.
     """
     chars = CharModel({r["gram"]: r["n"] for r in char_counts(docs).collect()})
     own = learnable(labels, "toxic").select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
     rates = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = own.where("label = 1").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(fit_rows).unionByName(own.where("label = 0").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(2 * fit_rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(chars)
         for batch in batches:
-            words = [" ".join(sorted({BOTH.join(sorted({w.strip(_EDGE), restore.token(w).strip(_EDGE)})) for w in restore.tokens(t)})) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words)], ["doc_id", "label", "words"])
+            words = [" ".join({BOTH.join(sorted({w.strip(_EDGE), restore.token(w).strip(_EDGE)})) for w in restore.tokens(t)}) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words, pa.string())], ["doc_id", "label", "words"])
 
-    rows = sample(docs, chosen, 3 * fit_rows, longest, seed).mapInArrow(run, "doc_id long, label int, words string").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    y = np.array([r["label"] for r in rows], np.int64)
-    if not y.any() or y.all():
+    sampled = keep(sample(docs, chosen, 3 * fit_rows, seed).mapInArrow(restored, "doc_id long, label int, words string"), "toxic-sample")
+    sizes = {(r["label"], r["fold"]): r["n"] for r in sampled.groupBy("label", F.expr("pmod(doc_id div 7, 2)").alias("fold")).agg(F.count("*").alias("n")).collect()}
+    texts = lambda label, folds=(0, 1): sum(sizes.get((label, f), 0) for f in folds)
+    if not texts(1) or not texts(0):
         rate = (rates.get(1, 0) + 0.5) / (sum(rates.values()) + 1)
-        return ToxicityModel(chars, {}, [math.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0])
-    pool: dict[str, str] = {}
-    sets = [{pool.setdefault(w, w) for w in r["words"].split()} for r in rows]
-    readings = [{pool.setdefault(w, w) for both in s for w in both.split(BOTH)} for s in sets]
-    fold = np.array([r["doc_id"] // 7 % 2 for r in rows])
-    x = np.zeros((len(rows), 5))
-    for k in (0, 1):
-        lexicon = Lexicon.learn([s for s, f in zip(readings, fold, strict=True) if f != k], y[fold != k])
-        for i in np.flatnonzero(fold == k):
-            x[i] = lexicon.features(sets[i])
-    beta = logistic(x, y)
+        drop(sampled)
+        return ToxicityModel(chars, {}, [math.log(rate / (1 - rate)), *[0.0] * (FEATURES - 1)])
+    toxic = _gram_counts(sampled, 1, None)
+    other = _gram_counts(sampled, 0, frozenset(toxic))
+    learn = lambda folds: Lexicon.learn({g: (sum(n[f] for f in folds), sum(other.get(g, (0, 0))[f] for f in folds)) for g, n in toxic.items()}, texts(1, folds), texts(0, folds))
+    # each half's features are those that the other half's lexicon gives
+    halves = sampled.sparkSession.sparkContext.broadcast([learn((1,)).weights, learn((0,)).weights])
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicons = [Lexicon(w) for w in halves.value]
+        for batch in batches:
+            rows = [lexicons[_fold(i)].features(set(w.split())) for i, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+
+    rows = sorted((r["doc_id"], r["label"], r["x"]) for r in sampled.mapInArrow(featured, "doc_id long, label int, x array<double>").collect())
+    drop(sampled)
+    y = np.array([r[1] for r in rows])
+    beta = logistic(np.array([r[2] for r in rows]), y)
     beta[0] += math.log((rates[1] / rates[0]) / (y.sum() / (len(y) - y.sum())))
-    return ToxicityModel(chars, Lexicon.learn(readings, y).weights, beta.tolist())
+    return ToxicityModel(chars, learn((0, 1)).weights, beta.tolist())
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null text is empty. The model is of bounded size."""
+    """doc_id, held_out, score, predicted of every row; null text is empty, and whole texts of any length count.
+
+    The model is of bounded size. Repeated rows get equal scores, an empty table none; other columns aren't read.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +347,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows, with all their columns, whose text scores below the threshold."""
+    """The rows, with all their columns, whatever their names, whose text scores below the threshold.
+
+    Null and empty texts score like any text without toxic words; repeated rows stay or go together.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
