@@ -20,37 +20,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from lectern.llm.common import fresh
+
 TURNS = "array<struct<role:string,text:string>>"
 END, START = "</turn>\n", "### "
 
-#: (name, required paths, optional paths, rule). A rule is either (array path, role field, text field, role names)
-#: or a sequence of (role, paths joined by an empty line).
+#: (name, required paths, optional paths, rule), in order of precedence: of several layouts that a record fits the first
+#: counts, so lists of messages go before single texts. A rule is either (array path, role field, text field, role names) or
+#: a sequence of (role, paths joined by an empty line). A path with [] is there if any item has it.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 LAYOUTS = (
-    ("messages", ("messages[].content", "messages[].role"), (), ("messages", "role", "content", {})),
-    ("conversations", ("conversations[].from", "conversations[].value"), (), ("conversations", "from", "value", ROLE_NAMES)),
-    ("turns", ("turns[].speaker", "turns[].text"), (), ("turns", "speaker", "text", {})),
+    ("messages", ("messages[].role",), ("messages[].content",), ("messages", "role", "content", {})),
+    ("conversations", ("conversations[].from",), ("conversations[].value",), ("conversations", "from", "value", ROLE_NAMES)),
+    ("turns", ("turns[].speaker",), ("turns[].text",), ("turns", "speaker", "text", {})),
+    ("chosen_messages", ("chosen[].role",), ("chosen[].content",), ("chosen", "role", "content", {})),
+    ("chosen", ("chosen", "prompt"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("chosen",)))),
     ("prompt", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     ("response", ("prompt", "response"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     ("instruction", ("instruction", "output"), ("input", "system"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     ("question", ("question", "answer"), ("context",), (("user", ("context", "question")), ("assistant", ("answer",)))),
 )
-PATHS = tuple(sorted({p for _, a, b, _ in LAYOUTS for p in (*a, *b)}))
 
 
 def fingerprint(paths: tuple[str, ...]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def own_paths(layout: int) -> tuple[str, ...]:
+    _, need, able, _ = LAYOUTS[layout]
+    return tuple(sorted((*need, *able)))
+
+
 def mappings() -> dict[str, int]:
     """Fingerprint to the number of its layout, for every choice of optional paths."""
     return {fingerprint((*need, *more)): i for i, (_, need, able, _) in enumerate(LAYOUTS) for n in range(len(able) + 1) for more in combinations(able, n)}
 
 
-def schema_fingerprint(record: Column) -> Column:
-    """Hash of those paths of a VARIANT record that any layout uses; others (ids, scores) don't count."""
-    got = lambda path: F.try_variant_get(record, "$." + path.replace("[]", "[0]"), "variant")
-    there = F.array(*(F.when(got(p).isNotNull(), F.lit(p)) for p in PATHS))
+def _there(record: Column, path: str) -> Column:
+    """Whether a VARIANT record has a path."""
+    head, _, tail = path.partition("[].")
+    if not tail:
+        return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+    items = F.try_variant_get(record, f"$.{head}", "array<variant>")
+    return F.coalesce(F.exists(items, lambda x: F.try_variant_get(x, f"$.{tail}", "variant").isNotNull()), F.lit(False))
+
+
+def schema_fingerprint(record: Column, layout: int) -> Column:
+    """Hash of those paths of a VARIANT record that a layout uses; others (ids, scores, other layouts' fields) don't count."""
+    there = F.array(*(F.when(_there(record, p), F.lit(p)) for p in own_paths(layout)))
     return F.sha2(F.array_join(F.array_compact(there), "\n"), 256)
 
 
@@ -70,38 +87,59 @@ def _apply(layout: int, items, text) -> Column:
     _, _, able, rule = LAYOUTS[layout]
     if isinstance(rule[0], str):
         path, role, said, names = rule
-        spoken = lambda x: F.coalesce(x[role], F.lit(""))
         known = F.create_map(*(F.lit(v) for pair in names.items() for v in pair)) if names else None
-        who = lambda x: spoken(x) if known is None else F.coalesce(known[spoken(x)], spoken(x))
-        return F.transform(items(path, role, said), lambda x: _turn(who(x), F.coalesce(x[said], F.lit(""))))
+        who = lambda x: x["role"] if known is None else F.coalesce(known[x["role"]], x["role"])
+        return F.transform(items(path, role, said), lambda x: _turn(who(x), x["text"]))
     parts = [_turn(F.lit(role), F.concat_ws("\n\n", *map(text, paths))) if not all(p in able for p in paths) else F.when(F.coalesce(*map(text, paths)).isNotNull(), _turn(F.lit(role), F.concat_ws("\n\n", *map(text, paths)))) for role, paths in rule]
     return F.array_compact(F.array(*parts))
 
 
-def canonical_turns(df: DataFrame, record_col: str) -> DataFrame:
-    """Adds layout and turns (array<struct<role, text>>), both null if no mapping has the record's fingerprint.
+def _variant_text(x: Column, field: str) -> Column:
+    """A field as text: a list of parts gives its texts, line by line, anything else itself; null is empty."""
+    own = F.try_variant_get(x, f"$.{field}", "variant")
+    parts = F.transform(F.try_variant_get(own, "$", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+    listed = F.startswith(F.schema_of_variant(own), F.lit("ARRAY"))
+    return F.coalesce(F.when(listed, F.array_join(parts, "\n")).otherwise(F.try_variant_get(own, "$", "string")), F.lit(""))
 
-    JSON text and VARIANT records may each have another layout: their fingerprints are computed
-    row by row. The fields of a struct are the same for all rows, so it is fingerprinted once.
-    Null texts and roles become empty; an optional field that is null gives no turn.
+
+def canonical_turns(df: DataFrame, record_col: str) -> DataFrame:
+    """Adds layout, turns (array<struct<role, text>>) and unknown_layout, in place of columns of these names.
+
+    JSON text and VARIANT records may each have another layout: their fingerprints are computed row
+    by row, one for each layout's paths, and the first layout whose mapping has its fingerprint
+    counts. The fields of a struct are the same for all rows, so it is fingerprinted once. Null texts
+    and roles become empty; a message without content keeps its turn, with an empty text; an
+    optional field that is null gives no turn. Where no layout fits, layout and turns are null and
+    unknown_layout is the record's schema (null too if it isn't JSON).
     """
     kind, record, chosen = df.schema[record_col].dataType, F.col(record_col), mappings()
+    fits = lambda i: [k for k, n in chosen.items() if n == i]
     if isinstance(kind, StructType):
-        at = chosen.get(fingerprint(tuple(p for p in struct_paths(kind) if p in PATHS)))
+        paths = struct_paths(kind)
+        at = next((i for i in range(len(LAYOUTS)) if fingerprint(tuple(p for p in paths if p in own_paths(i))) in fits(i)), None)
         if at is None:
-            return df.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS)})
-        turns = _apply(at, lambda path, role, said: record[path], lambda path: (record[path] if path in kind.names else F.lit(None)).cast("string"))
-        return df.withColumns({"layout": F.lit(LAYOUTS[at][0]), "turns": turns.cast(TURNS)})
+            return df.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS), "unknown_layout": F.lit(kind.simpleString())})
+        empty = F.lit("")
+        field = lambda x, path, name: F.coalesce(x[name].cast("string"), empty) if f"{path}[].{name}" in paths else empty
+        items = lambda path, role, said: F.transform(record[path], lambda x: _turn(field(x, path, role), field(x, path, said)))
+        turns = _apply(at, items, lambda path: (record[path] if path in kind.names else F.lit(None)).cast("string"))
+        return df.withColumns({"layout": F.lit(LAYOUTS[at][0]), "turns": turns.cast(TURNS), "unknown_layout": F.lit(None).cast("string")})
     record = F.try_parse_json(record) if kind.typeName() == "string" else record
-    items = lambda path, role, said: F.try_variant_get(record, "$." + path, f"array<struct<`{role}`: string, `{said}`: string>>")
+    items = lambda path, role, said: F.transform(F.try_variant_get(record, f"$.{path}", "array<variant>"), lambda x: _turn(_variant_text(x, role), _variant_text(x, said)))
     text = lambda path: F.try_variant_get(record, "$." + path, "string")
-    layout = turns = None
-    for i, (name, *_) in enumerate(LAYOUTS):
-        mine = F.col("_key").isin([k for k, n in chosen.items() if n == i])
+    number = None
+    for i in range(len(LAYOUTS)):
+        mine = schema_fingerprint(record, i).isin(fits(i))
+        number = F.when(mine, i) if number is None else number.when(mine, i)
+    at = fresh(df, "_layout")
+    numbered, which = df.withColumn(at, number), F.col(at)
+    layout = F.get(F.array(*(F.lit(n) for n, *_ in LAYOUTS)), which)
+    turns = None
+    for i in range(len(LAYOUTS)):
         made = _apply(i, items, text).cast(TURNS)
-        layout = F.when(mine, name) if layout is None else layout.when(mine, name)
-        turns = F.when(mine, made) if turns is None else turns.when(mine, made)
-    return df.withColumn("_key", schema_fingerprint(record)).withColumns({"layout": layout, "turns": turns}).drop("_key")
+        turns = F.when(which == i, made) if turns is None else turns.when(which == i, made)
+    unknown = F.when(which.isNull(), F.schema_of_variant(record))
+    return numbered.withColumns({"layout": layout, "turns": turns, "unknown_layout": unknown}).drop(at)
 
 
 def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -123,23 +161,24 @@ def escape_role(role: Column) -> Column:
 
 
 def format_turns(df: DataFrame, turns_col: str = "turns", loss_role: str = "assistant") -> DataFrame:
-    """Adds formatted and loss_spans (struct(start, length) in code points over each loss_role text).
+    """Adds formatted and loss_spans (struct(start, length) in code points over each loss_role text), in place of such columns.
 
     An empty or null list of turns gives an empty string and no spans. A conversation is one row,
     however long; its spans are running sums over its turns.
     """
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit(": "))
     pieces = F.transform(F.coalesce(F.col(turns_col), F.array().cast(TURNS)), lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == loss_role).alias("loss")))
-    sized = df.withColumn("_pieces", pieces).withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
+    own = fresh(df, "_pieces")
+    sized = df.withColumn(own, pieces).withColumn("formatted", F.array_join(F.transform(own, lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
     spans = F.aggregate(
-        "_pieces",
+        own,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
         lambda a, p: F.struct(
             (a["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).cast("long").alias("at"),
             F.when(p["loss"], F.array_append(a["spans"], F.struct((a["at"] + F.length(p["head"])).cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length")))).otherwise(a["spans"]).alias("spans"),
         ),
     )
-    return sized.withColumn("loss_spans", spans["spans"]).drop("_pieces")
+    return sized.withColumn("loss_spans", spans["spans"]).drop(own)
 
 
 def parse_turns(formatted: Column) -> Column:
@@ -157,8 +196,9 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
 def format_records(df: DataFrame, record_col: str) -> DataFrame:
     """Formats a column of records (VARIANT, struct or JSON text) of any known layout.
 
-    Adds layout, turns, formatted, loss_spans. Records that aren't JSON, or of an unknown layout,
-    get a null layout and an empty string.
+    Adds layout, turns, unknown_layout, formatted, loss_spans, in place of columns of these names; others
+    stay. Records that aren't JSON, or of an unknown layout, get a null layout and an empty string.
+    Repeated rows come back each; an empty table gives none.
     """
     return format_turns(canonical_turns(df, record_col))
 

@@ -57,6 +57,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def unit(*parts: Column | str) -> Column:
     """A repeatable number in [0, 1) drawn from a hash of the given columns."""
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
