@@ -109,7 +109,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as mix() takes it, with all its columns."""
-    plan = mix(docs, **options).select("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").distinct()
-    taken = docs.withColumn("_size", word_count(F.col("text"))).alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p._source")) & (F.col("d._size") == F.col("p._size")))
-    return taken.where("p.copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("p.copies")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    """The mix itself: every document as often as mix() takes it, with all its columns, whatever their names.
+
+    Rows that share id, source and size are taken alike, so a row that is there n times moves its
+    source's words by n sizes at once.
+    """
+    plan = mix(docs, **options).select(F.col("doc_id").alias("id"), "source", "size", "copies").distinct()
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own"), F.col("source").alias("of"), word_count(F.col("text")).alias("words"))
+    taken = sized.join(plan, F.col("own").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

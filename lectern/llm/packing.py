@@ -201,30 +201,43 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
     return out
 
 
-def place(pieces: DataFrame, cap: int = 4096, parts: int = 64) -> DataFrame:
-    """Adds sequence_id and offset to kept pieces (their length column is 1 to cap).
+#: Pieces of one length that a window ranks at a time, at most on average.
+RANKED = 100_000
 
-    Ranks within a length are ranks within one of `parts` hashed parts plus the sizes of the parts
-    before, so a length that a third of all pieces share is no group of one task. The row number
-    in the hash spreads repeated rows. Broadcast: the slots, a few per length, so at most a few
-    times `cap` rows. An empty table stays empty.
+
+def salted(pieces: DataFrame) -> DataFrame:
+    """Pieces with a number that spreads them, repeated rows too; it must be kept, as it isn't the same in another run."""
+    return pieces.withColumn("_salt", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()))
+
+
+def place(kept: DataFrame, cap: int = 4096) -> DataFrame:
+    """Adds sequence_id and offset to kept salted() pieces (their length column is 1 to cap).
+
+    Ranks within a length are ranks within one of its hashed parts plus the sizes of the parts
+    before, so a length that a third of all pieces share is no group of one task. Broadcast: the
+    slots, a few per length, so at most a few times `cap` rows. An empty table stays empty.
     """
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(parts)))
-    sizes = salted.groupBy("length", "_part").agg(F.count("*").alias("_n"))
+    spark, pieces = kept.sparkSession, [c for c in kept.columns if c != "_salt"]
+    counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = max(1, -(-max(counts.values(), default=0) // RANKED))
+    parted = kept.withColumn("_part", F.pmod("_salt", F.lit(parts)))
+    sizes = parted.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     kind = "length long, _first long, _end long, _each long, _sequence long, _offset long"
     places = F.broadcast(spark.createDataFrame(slots(plan_bins(counts, cap)), kind))
-    inner = F.row_number().over(W.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("_rank", inner).join(before, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    inner = F.row_number().over(W.partitionBy("length", "_part").orderBy("doc_id", "piece", "_salt")) - 1
+    ranked = parted.withColumn("_rank", inner).join(before, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     placed = ranked.join(places, "length").where("_rank >= _first AND _rank < _end")
     turn = F.col("_rank") - F.col("_first")
     sequence = F.col("_sequence") + F.floor(turn / F.col("_each"))
     offset = F.col("_offset") + (turn % F.col("_each")) * F.col("length")
-    return placed.withColumns({"sequence_id": sequence, "offset": offset}).select(*pieces.columns, "sequence_id", "offset")
+    return placed.withColumns({"sequence_id": sequence, "offset": offset}).select(*pieces, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, cap: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
-    """One row per piece of every document: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset."""
-    return place(keep(token_pieces(docs, tokenizer_path, cap, end_id, with_ids), "pieces"), cap)
+    """One row per piece of every document: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset.
+
+    Null text is empty: its one id is end_id. Of a text of any length all pieces come; repeated rows
+    are placed each; an empty table gives none. Only doc_id and text are read, whatever else there is.
+    """
+    return place(keep(salted(token_pieces(docs, tokenizer_path, cap, end_id, with_ids)), "pieces"), cap)

@@ -8,6 +8,7 @@ of vectors meet as matrix products in double precision.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import components, keep, whole_groups
 
-#: Tables, projections a table, width of their steps: of pairs with a cosine of exactly 0.95, 97 in
-#: 100 are found, of those at 0.97 more than 99 in 100.
-TABLES, PROJECTIONS, WIDTH = 16, 12, 2.0
+#: Width of the projections' steps, and projections of a table at least. Of pairs with a cosine of exactly `least` FOUND
+#: are found, of closer ones more. STRANGERS: vectors at right angles that share a bucket, on average at most.
+WIDTH, PROJECTIONS, FOUND, STRANGERS = 2.0, 12, 0.97, 64
 #: Vectors of a block; a bucket of more is several blocks, whose pairs are work of their own.
 BLOCK = 512
 
@@ -42,6 +43,23 @@ def buckets(unit: np.ndarray, tables: int, projections: int, width: float, seed:
         return mixed * np.int64(0x106689D45497FDB5)
 
 
+def met_at(distance: float, width: float) -> float:
+    """How often two vectors so far apart share a step of a projection."""
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def plan_tables(vectors: int, least: float, width: float = WIDTH) -> tuple[int, int]:
+    """(tables, projections a table) for so many vectors.
+
+    Projections grow with the logarithm of their number, so that a bucket's strangers don't grow
+    with it, and tables with the projections, so that recall stays.
+    """
+    near, far = met_at(math.sqrt(max(2 - 2 * least, 1e-12)), width), met_at(math.sqrt(2), width)
+    projections = max(PROJECTIONS, math.ceil(math.log(max(vectors / STRANGERS, 1)) / -math.log(far)))
+    return max(1, math.ceil(math.log(1 - FOUND) / math.log1p(-(near**projections)))), projections
+
+
 def _hashed(classes: DataFrame, tables: int, projections: int, width: float, seed: int) -> DataFrame:
     """Adds table buckets to (id, n, embedding) rows; vectors that link with nothing are left out."""
 
@@ -119,7 +137,7 @@ def _meet(rows: pa.Table, least: float) -> tuple[list[np.ndarray], list[tuple[in
     return counts, edges
 
 
-def near_vectors(df: DataFrame, least: float = 0.95, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = 6) -> DataFrame:
+def near_vectors(df: DataFrame, least: float = 0.95, width: float = WIDTH, seed: int = 6) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id, kept for every row of vec_id, embedding.
 
     Links are pairs of a cosine of at least `least` in double precision that share a bucket; none
@@ -127,12 +145,14 @@ def near_vectors(df: DataFrame, least: float = 0.95, tables: int = TABLES, proje
     classes is split into blocks whose pairs are separate groups, and a group returns counts and
     a spanning forest, not its pairs. Null, empty, zero, or non-finite vectors (also those with a
     null component) link with nothing and are components of their own; vectors of different
-    lengths never link. Rows that repeat a vec_id are vectors of their own with one component.
+    lengths never link. Rows that repeat a vec_id are vectors of their own with one component. An
+    empty table gives no rows; only vec_id and embedding are read, whatever else there is.
     """
     every = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.col("embedding").isNull() | (F.size("embedding") == 0) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("embedding", lambda x: x == 0)
     fine = every.where(~bad)
     classes = keep(fine.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vector-classes")
+    tables, projections = plan_tables(classes.count(), least, width)
     hashed = keep(_hashed(classes.where("id IS NOT NULL"), tables, projections, width, seed), "vector-buckets")
     met = hashed.select("id", "n", "unit", "buckets", F.posexplode("buckets").alias("table", "bucket"))
     crowd = met.groupBy("table", "bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")

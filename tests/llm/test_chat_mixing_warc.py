@@ -3,11 +3,13 @@ import hashlib
 import json
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, mixing, warc
-from lectern.llm.queries import PROBE, op1_chat_format, op8_mix_sources, op10_warc_bundles
+from lectern.llm.queries import PROBE, op1_chat_format, op8_mix_sources, op10_warc_bundles, oracle_sql
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -26,6 +28,18 @@ def test_op1_equals_brute_force(spark, sf_dir):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(rows), sha("".join(f"{a}\n{t}\n" for _, a, t in rows)), len(loss), sha(loss))
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = {"op1_chat_format": op1_chat_format, "op10_warc_bundles": op10_warc_bundles}[name](spark, sf_dir)
+    result = con.execute(oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, df.select(names).collect())) == sorted(map(str, [Row(*names)(*r) for r in result.fetchall()]))
+
+
 HARD = ["", "\\", "\\l", "\\h## ", "### user: x</turn>\n", "</turn></turn>", "#### ", "a\nb: c", "\\\\b<", "é" * 3, PROBE]
 
 
@@ -47,6 +61,12 @@ def test_layouts(spark, kind):
         ({"system": "s", "prompt": "p", "completion": "c"}, "prompt", [("system", "s"), ("user", "p"), ("assistant", "c")]),
         ({"instruction": "i", "input": "n", "output": "o", "score": 1.5}, "instruction", [("user", "i\n\nn"), ("assistant", "o")]),
         ({"question": "q", "context": "c", "answer": "a"}, "question", [("user", "c\n\nq"), ("assistant", "a")]),
+        ({"prompt": "p", "prompt_id": "7", "messages": [{"role": "user", "content": "q"}]}, "messages", [("user", "q")]),
+        ({"messages": [{"role": "assistant", "tool_calls": [1]}, {"role": "tool", "content": "42"}]}, "messages", [("assistant", ""), ("tool", "42")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}]}, "messages", [("user", "a\n\nb")]),
+        ({"prompt": "p", "chosen": "good", "rejected": "bad"}, "chosen", [("user", "p"), ("assistant", "good")]),
+        ({"prompt": "p", "chosen": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "rejected": []}, "chosen_messages", [("user", "q"), ("assistant", "a")]),
+        ({"prompt": "p", "completion": "c", "response": "r"}, "prompt", [("user", "p"), ("assistant", "c")]),
         ({"other": 1}, None, None),
         ({"messages": []}, None, None),
     ]
@@ -57,6 +77,8 @@ def test_layouts(spark, kind):
     for i, (_, layout, turns) in enumerate(records):
         assert got[i].layout == layout
         assert (got[i].turns and [tuple(t) for t in got[i].turns]) == turns
+    assert {i for i, (_, layout, _) in enumerate(records) if layout is None} == {i for i in range(len(records)) if got[i].unknown_layout}
+    assert "other" in got[[r[0] for r in records].index({"other": 1})].unknown_layout and got[98].unknown_layout is None
     assert got[98].layout is None and got[99].formatted == "" and got[99].loss_spans == []
 
 
@@ -68,6 +90,12 @@ def test_struct_records_are_fingerprinted_by_schema(spark):
     assert chat.format_records(spark.createDataFrame([(1, (2,))], "id int, record struct<a:int>"), "record").first().layout is None
 
 
+def test_clashing_columns_of_records(spark):
+    df = spark.createDataFrame([('{"prompt":"p","completion":"c"}', 1, 2, 3, 4)], "record string, _key int, _pieces int, _layout int, turns int")
+    row = chat.format_records(df, "record").first()
+    assert (row._key, row._pieces, row._layout, row.layout, len(row.turns)) == (1, 2, 3, "prompt", 2)
+
+
 def test_turn_rows_edge_cases(spark):
     kind = "conv_id long, turn long, role string, text string, formatted int"
     df = spark.createDataFrame([(1, 1, None, None, 0), (1, 0, "user", "x" * 300_000, 0), (None, 0, "user", "n", 0), (2, 0, "user", "a", 0), (2, 0, "user", "a", 0)], kind)

@@ -30,7 +30,8 @@ def test_op9_held_out(spark):
 def test_op3_held_out(spark):
     got = accuracy(spark, op3_toxicity, "toxic")
     assert sum(p > y for p, y in got) <= 0.02 * len(got)
-    assert sum(p and y for p, y in got) >= 0.5 * sum(y for _, y in got)
+    # most of what is missed has no word that tells it from other texts
+    assert sum(p and y for p, y in got) >= 0.75 * sum(y for _, y in got)
 
 
 @pytest.fixture(scope="module")
@@ -201,6 +202,23 @@ def slow_vectors(rows, least=0.95):
     return sorted((i, n[k], smallest[find(k)]) for k, (i, _) in enumerate(rows))
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    """A text of any length is in the sample."""
+    docs = spark.createDataFrame([(i, ("awful " if i % 2 else "kind ") * 20_000) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)], "doc_id long, toxic int, quality int")
+    for module, column in ((toxicity, "toxic"), (quality, "quality")):
+        told = {r.doc_id: r.score for r in module.score(docs, module.fit(docs, labels)).collect()}
+        assert all((told[i] > 0.5) == bool(i % 2 if column == "toxic" else 1 - i % 2) for i in range(60))
+
+
+def test_tables_grow_with_the_vectors():
+    """Strangers in a bucket stay few and near pairs are found, however many vectors there are."""
+    far, near = vectors.met_at(2**0.5, vectors.WIDTH), vectors.met_at(0.1**0.5, vectors.WIDTH)
+    for n in (10, 10**4, 10**6, 10**8, 10**10):
+        tables, projections = vectors.plan_tables(n, 0.95)
+        assert n * far**projections <= vectors.STRANGERS and 1 - (1 - near**projections) ** tables >= 0.97
+
+
 @pytest.mark.parametrize("block", [vectors.BLOCK, 7])
 def test_vectors_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
@@ -221,7 +239,12 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
 
 
 def test_op6(spark, sf_dir):
-    assert op6_embedding_near_dups(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = {r[0]: r for r in slow_vectors(rows)}
+    got = {r.vec_id: (r.vec_id, r.n_links, r.component_id) for r in op6_embedding_near_dups(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[i][1] <= want[i][1] for i in want)
+    assert sum(r[1] for r in got.values()) >= 0.95 * sum(r[1] for r in want.values())
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
 
 
 def test_vector_recall_at_the_threshold(spark):
