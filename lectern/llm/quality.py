@@ -87,10 +87,12 @@ def indicators(text: bytes) -> np.ndarray:
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """The log of each indicator's share of its class's counts over its share of the other's; 0 of one that no text has."""
     p, q = np.full(WIDTH, alpha), np.full(WIDTH, alpha)
     for x, label in zip(rows, y, strict=True):
         (p if label > 0 else q)[x] += 1
-    ratios = np.log(p / p.sum()) - np.log(q / q.sum())
+    seen = p + q > 2 * alpha
+    ratios = np.where(seen, np.log(p / p[seen].sum()) - np.log(q / q[seen].sum()), 0.0)
     ratios[PART:] *= CONTENT
     return ratios
 
