@@ -93,6 +93,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.concat_tables(held)
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join two parts of what the pairs before have joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        rx, ry = find(x), find(y)
+        if rx != ry:
+            root[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+    return out
+
+
 #: Edges that a task joins at a time.
 EDGES = 500_000
 

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, drop, keep
+from lectern.llm.common import components, drop, keep, spanning, whole_groups
 from lectern.llm.simhash import SEGMENTS, first_row, links, of_hashes, shingle_hashes, staying, with_row
 
 #: A pair of likeness 0.8 shares one of so many bands of so many values but for 1 in 2,800; of 0.85, 1 in 124,000.
 BANDS, ROWS = 20, 5
 #: Tasks that the pairs of one node are dealt to.
 SALTS = 16
+#: Shingles of a block's sets, about; columns of a matrix.
+CELLS, COLUMNS = 250_000, 4096
 
 _rng = np.random.default_rng(5)
 _FLIP, _TIMES = _rng.integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
@@ -108,6 +110,59 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, "a string, b string")
 
 
+def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many hashes each of the chosen sets has in common with each set; those that one set alone has don't matter."""
+    every = np.concatenate(sets)
+    value, at, n = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.full(len(value), -1)
+    shared = np.flatnonzero(n > 1)
+    column[shared] = np.arange(len(shared))
+    who, where = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), column[at]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        here = (where >= low) & (where < low + COLUMNS)
+        cells = np.zeros((len(sets), min(COLUMNS, len(shared) - low)), np.float32)
+        cells[who[here], where[here] - low] = 1
+        out += cells[rows] @ cells.T
+    return out
+
+
+def met_in_blocks(placed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that connect what the pairs of odd nodes with nodes of other components connect, bucket by bucket.
+
+    placed: key, node, size, c (component), main (the head's). A bucket's nodes are dealt to blocks
+    of some CELLS hashes; every two blocks are one group of work, so memory is bounded however large
+    a bucket is, and a group returns a spanning forest of its links.
+    """
+    worth = placed.groupBy("key").agg(F.sum("size").alias("cells"), F.max(F.col("c") != F.col("main")).alias("any")).where("any")
+    one = placed.join(worth, "key").withColumn("blocks", F.ceil(F.col("cells") / CELLS)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    sides = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    spread = one.select("key", "node", "c", (F.col("c") != F.col("main")).alias("odd"), F.explode(sides).alias("side"))
+    groups = spread.select(F.xxhash64("key", "side.i", "side.j").alias("work"), "node", "c", "odd").join(sets, "node").repartition("work").sortWithinPartitions("work")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "work"):
+            work = rows.column("work").to_numpy()
+            cuts = np.flatnonzero(np.append(True, work[1:] != work[:-1]))
+            for low, high in zip(cuts, np.append(cuts[1:], len(work)), strict=True):
+                own = rows.slice(low, high - low).combine_chunks()
+                odd = np.flatnonzero(own.column("odd").to_numpy(zero_copy_only=False))
+                if high - low < 2 or not len(odd):
+                    continue
+                hashes = [np.frombuffer(h.as_buffer(), "<u8") for h in own.column("hashes").combine_chunks()]
+                size = np.array([len(h) for h in hashes])
+                part = np.unique(own.column("c").to_pylist(), return_inverse=True)[1]
+                both = overlaps(hashes, odd)
+                near = (both >= least * (size[odd][:, None] + size[None] - both) - 1e-4) & (part[odd][:, None] != part[None])
+                x, y = np.nonzero(near)
+                if len(x):
+                    names = own.column("node").to_pylist()
+                    links = spanning(odd[x], y)
+                    yield pa.record_batch([pa.array([names[p[i]] for p in links], pa.string()) for i in (0, 1)], ["a", "b"])
+
+    return groups.select("work", "node", "c", "odd", "hashes").mapInArrow(run, "a string, b string")
+
+
 def node_components(own: DataFrame, nodes: DataFrame, words: int, most: int, least: float, segments: tuple) -> DataFrame:
     """(node, component) of the nodes that have a near copy. nodes: node, first, size, fingerprint, bands."""
     keys = F.concat("bands", F.array(F.xxhash64(F.lit("fingerprint"), "fingerprint")))
@@ -126,13 +181,10 @@ def node_components(own: DataFrame, nodes: DataFrame, words: int, most: int, lea
     to_head = members.join(heads, "key").where((F.col("node") != F.col("head")) & like_sized("size", "head_size")).select(F.col("head").alias("a"), F.col("node").alias("b"))
     found = keep(alike(to_head.unionByName(close.select("a", "b")).distinct(), sets, least), "near-edges")
     reached = components(found, "near-heads")
-    placed = members.join(reached, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c")).join(heads, "key")
+    placed = members.join(reached, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c")).join(heads.select("key", "head"), "key")
     of_head = placed.where("node = head").select("key", F.col("c").alias("main"))
-    placed = keep(placed.join(of_head, "key"), "near-placed")
-    odd = placed.where("c <> main").select("key", F.col("node").alias("x"), F.col("size").alias("of_x"), F.col("c").alias("cx"))
-    met = odd.join(placed, "key").where((F.col("cx") != F.col("c")) & (F.col("node") != F.col("head")) & like_sized("of_x", "size"))
-    across = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    more = keep(alike(across, sets, least), "near-more")
+    placed = keep(placed.join(of_head, "key").select("key", "node", "size", "c", "main"), "near-placed")
+    more = keep(met_in_blocks(placed, sets, least), "near-more")
     every = components(found.unionByName(more), "near-components")
     for done in (members, close, sets, placed):
         drop(done)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, keep, whole_groups
+from lectern.llm.common import components, keep, spanning, whole_groups
 
 #: Width of the projections' steps, and projections of a table at least. Of pairs with a cosine of exactly `least` FOUND
 #: are found, of closer ones more. STRANGERS: vectors at right angles that share a bucket, on average at most.
@@ -82,25 +82,6 @@ def _hashed(classes: DataFrame, tables: int, projections: int, width: float, see
     return classes.select("id", "n", "embedding").mapInArrow(run, "id long, n long, unit array<double>, buckets array<long>")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Those of the pairs that join two parts of what the pairs before have joined."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            root[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
-
-
 def _meet(rows: pa.Table, least: float) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
     """Of whole groups (sorted by key): links to count (id, others) and edges that keep what they connect."""
     key, own, other = (rows.column(c).to_numpy() for c in ("key", "block", "side"))
@@ -133,7 +114,7 @@ def _meet(rows: pa.Table, least: float) -> tuple[list[np.ndarray], list[tuple[in
             i, j = x[i[new]] + lo, y[j[new]] + lo
             if len(i):
                 counts.append(np.stack([np.concatenate([ids[i], ids[j]]), np.concatenate([n[j], n[i]])]))
-                edges += _forest(ids[i], ids[j])
+                edges += spanning(ids[i], ids[j])
     return counts, edges
 
 
