@@ -201,8 +201,8 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
     return out
 
 
-#: Pieces of one length that a window ranks at a time, at most on average.
-RANKED = 100_000
+#: Parts of each length at least, and pieces of one length that a window ranks at a time, at most on average.
+PARTS, RANKED = 64, 100_000
 
 
 def salted(pieces: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def place(kept: DataFrame, cap: int = 4096) -> DataFrame:
     """
     spark, pieces = kept.sparkSession, [c for c in kept.columns if c != "_salt"]
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    parts = max(1, -(-max(counts.values(), default=0) // RANKED))
+    parts = max(PARTS, -(-max(counts.values(), default=0) // RANKED))
     parted = kept.withColumn("_part", F.pmod("_salt", F.lit(parts)))
     sizes = parted.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
