@@ -93,6 +93,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.concat_tables(held)
 
 
+def meet(rows: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined with other, which has one row a key and in n how many rows have it at most; its n isn't carried.
+
+    Keys of over one in 100,000 of all n, so at most 100,000 keys, are broadcast and their rows stay
+    where they are; the rest is shuffled.
+    """
+    bound = max(1000, (other.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    often, few = other.where(F.col("n") > bound).drop("n"), other.where(F.col("n") <= bound).drop("n")
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(few, key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Those of the pairs that join two parts of what the pairs before have joined."""
     root: dict[int, int] = {}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import drop, keep, whole_groups
+from lectern.llm.common import drop, keep, meet, whole_groups
 
 #: Bytes of a digit: anchors are one, and each sort pass goes one deeper.
 DIGIT = 50
@@ -153,9 +153,12 @@ def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return first, np.bincount(at, weights=rows.column("n").to_numpy()).astype(np.int64)
 
 
-def _passes(group: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
-    """Rows that share their group and all digits with another: most significant digit first, the lonely drop out."""
-    rows = np.arange(len(group))
+def _passes(group: np.ndarray, digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that share their group and all digits with another, and that other row.
+
+    Most significant digit first; what is alone drops out.
+    """
+    rows = number = np.arange(len(group))
     for digit in digits:
         key = _mixed(group[rows] * np.uint64(0x2545F4914F6CDD1D) + digit[rows])
         order = np.argsort(key)
@@ -168,14 +171,35 @@ def _passes(group: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
         group = group.copy()
         group[rows] = number
         if not len(rows):
-            break
-    return rows
+            return rows, rows
+    follows = np.append(number[1:] == number[:-1], False)
+    return rows, np.where(follows, np.roll(rows, -1), np.roll(rows, 1))
+
+
+def _equal(cells: np.ndarray, one: np.ndarray, other: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
+    """Whether two contexts have the same bytes in the window at `start`."""
+    at = start[None] + np.arange(depth)[:, None]
+    return (cells[at, one[None]] == cells[at, other[None]]).all(0)
+
 
+def _by_bytes(cells: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, depth: int, back: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last repeated window of each context (past the end and -1: none), windows compared as they are."""
+    low, high = np.full(len(group), len(cells)), np.full(len(group), -1)
+    for start in range(back + 1):
+        seen: dict[tuple, int] = {}
+        for i in np.flatnonzero((left <= start) & (right >= start + depth)).tolist():
+            other = seen.setdefault((group[i], cells[start : start + depth, i].tobytes()), i)
+            if other != i:
+                both = [i, other]
+                low[both], high[both] = np.minimum(low[both], start), start
+    return low, high
 
-def covered(rows: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the contexts of whole anchor groups: which have repeated windows, and how far these reach back and on.
 
-    Windows are compared by digests of their digits inside one anchor's group.
+def covered(rows: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the contexts of whole anchor groups: which have repeated windows, how far these reach back and on, and how often each occurs.
+
+    Windows are sorted by digests of their digits inside one anchor's group; the first and the last
+    one of a context, which alone decide, are then compared byte by byte with a window that they equal.
     """
     first, n = _merged(rows)
     back, wide = depth - DIGIT, 2 * depth - DIGIT
@@ -198,33 +222,45 @@ def covered(rows: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         power = _power(wide)
         column = lambda c: _SYMBOL[cells[c]] * power[c]
         sums = [sum((column(c) for c in range(d, d + DIGIT)), np.zeros(len(rest), np.uint64)) for d in range(0, depth, DIGIT)]
+        found = {end: [np.full(len(rest), at), np.full(len(rest), -1)] for end, at in (("low", wide), ("high", -1))}
         for start in range(back + 1):
             ok = np.flatnonzero((left[rest] <= start) & (right[rest] >= start + depth))
             if len(ok) > 1:
-                hit = rest[ok[_passes(of[ok], [s[ok] for s in sums])]]
-                low[hit], high[hit] = np.minimum(low[hit], start), np.maximum(high[hit], start)
+                hit, mate = (ok[x] for x in _passes(of[ok], [s[ok] for s in sums]))
+                new = found["low"][0][hit] == wide
+                found["low"][0][hit[new]], found["low"][1][hit[new]] = start, mate[new]
+                found["high"][0][hit], found["high"][1][hit] = start, mate
             if start < back:
                 for i, s in enumerate(sums):
                     at = start + i * DIGIT
                     s += column(at + DIGIT) - column(at)
+        hit = np.flatnonzero(found["high"][0] >= 0)
+        true = np.ones(len(hit), bool)
+        for at, mate in found.values():
+            true &= _equal(cells, hit, mate[hit], at[hit], depth)
+        lows, highs = found["low"][0], found["high"][0]
+        again = np.flatnonzero(np.isin(of, of[hit[~true]]))
+        if len(again):
+            lows[again], highs[again] = _by_bytes(cells[:, again], of[again], left[rest[again]], right[rest[again]], depth, back)
+        low[rest], high[rest] = np.minimum(low[rest], lows), np.maximum(high[rest], highs)
     hit = np.flatnonzero(high >= 0)
-    return first[hit], back - low[hit], high[hit] + depth - back
+    return first[hit], back - low[hit], high[hit] + depth - back, n[hit]
 
 
-REACHES = "context binary, back int, ahead int"
+REACHES = "context binary, back int, ahead int, n long"
 
 
 def _resolved(classes: DataFrame, depth: int, width: int) -> DataFrame:
-    """(context, back, ahead) of contexts with repeated windows; whole anchor groups meet in a task."""
+    """(context, back, ahead, n) of contexts with repeated windows; whole anchor groups meet in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def settle() -> pa.RecordBatch:
             rows = pa.concat_tables(held).combine_chunks()
-            at, back, ahead = covered(rows, depth)
+            at, back, ahead, n = covered(rows, depth)
             held.clear()
-            return pa.record_batch([rows.column("context").take(pa.array(at)).combine_chunks(), pa.array(back.astype(np.int32)), pa.array(ahead.astype(np.int32))], ["context", "back", "ahead"])
+            return pa.record_batch([rows.column("context").take(pa.array(at)).combine_chunks(), pa.array(back.astype(np.int32)), pa.array(ahead.astype(np.int32)), pa.array(n)], ["context", "back", "ahead", "n"])
 
         for rows in whole_groups(batches, "h"):
             held.append(rows)
@@ -238,23 +274,33 @@ def _resolved(classes: DataFrame, depth: int, width: int) -> DataFrame:
 
 
 def _spread(classes: DataFrame, depth: int) -> DataFrame:
-    """As _resolved for anchors of very many contexts: their windows are counted by digest over all tasks."""
-    back = depth - DIGIT
+    """As _resolved for anchors of very many contexts: each pass of the sort is an aggregation over all tasks."""
+    back, digits = depth - DIGIT, [f"d{i}" for i in range(depth // DIGIT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 text, first = row["bytes"], back - row["reach"]
-                starts = range(max(0, len(text) - depth + 1))
-                windows = [xxhash.xxh3_128_digest(text[s : s + depth], s + first) for s in starts if s + first <= back]
-                n = len(windows)
-                yield pa.record_batch([pa.array([row["context"]] * n, pa.binary()), pa.array([row["n"]] * n, pa.int64()), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(windows, pa.binary())], ["context", "n", "start", "window"])
-
-    one = classes.groupBy("context").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"))
-    windows = one.mapInArrow(run, "context binary, n long, start int, window binary")
-    many = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    there = windows.join(many, "window", "left_semi").groupBy("context").agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    return there.select("context", (back - F.col("low")).cast("int").alias("back"), (F.col("high") + depth - back).cast("int").alias("ahead"))
+                n = min(len(text) - depth, row["reach"]) + 1
+                if n <= 0:
+                    continue
+                digest = np.array([xxhash.xxh64_intdigest(text[s : s + DIGIT]) for s in range(n + depth - DIGIT)], np.uint64).view(np.int64)
+                same = [pa.array([row[c]] * n, t) for c, t in (("context", pa.binary()), ("n", pa.int64()), ("h", pa.int64()))]
+                yield pa.record_batch([*same, pa.array(np.arange(first, first + n, dtype=np.int32)), *(pa.array(digest[i * DIGIT : i * DIGIT + n]) for i in range(len(digits)))], ["context", "n", "h", "start", *digits])
+
+    one = classes.groupBy("context").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"), F.first("h").alias("h"))
+    rows = one.mapInArrow(run, ", ".join(["context binary", "n long", "h long", "start int", *(f"{d} long" for d in digits)]))
+    key, kept = ["h", "start"], []
+    for digit in digits:
+        key = [*key, digit]
+        kept.append(keep(rows.groupBy(key).agg(F.sum("n").alias("n")).where("n > 1"), "digit"))
+        kept.append(keep(meet(rows, kept[-1], key), "windows"))
+        rows = kept[-1]
+    ends = rows.groupBy("context").agg(F.min("start").alias("low"), F.max("start").alias("high"), F.first("n").alias("n"))
+    reaches = keep(ends.select("context", (back - F.col("low")).cast("int").alias("back"), (F.col("high") + depth - back).cast("int").alias("ahead"), "n"), "spread")
+    for done in kept:
+        drop(done)
+    return reaches
 
 
 def repeated_intervals(named: DataFrame, depth: int) -> DataFrame:
@@ -262,9 +308,10 @@ def repeated_intervals(named: DataFrame, depth: int) -> DataFrame:
     spark = named.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = keep(_anchor_rows(named, depth), "anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = keep(every.join(twice, "h", "left_semi").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("place", "h"))).alias("places")), "places")
+    twice = keep(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-twice")
+    places = keep(meet(every, twice, ["h"]).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("place", "h"))).alias("places")), "places")
     drop(every)
+    drop(twice)
     found = keep(_contexts(named.join(places, _NAME), depth), "contexts")
     drop(places)
     classes = found.where("bytes IS NOT NULL")
@@ -276,9 +323,11 @@ def repeated_intervals(named: DataFrame, depth: int) -> DataFrame:
     reaches = _resolved(classes.where(~hot), depth, width)
     if crowded:
         reaches = reaches.unionByName(_spread(classes.where(hot), depth))
-    spans = found.where("bytes IS NULL").join(keep(reaches, "reaches"), "context").select("id", "th", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))
+    reaches = keep(reaches, "reaches")
+    spans = meet(found.where("bytes IS NULL").drop("n"), reaches, ["context"]).select("id", "th", (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))
     cuts = keep(spans.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts")), "cuts")
     drop(found)
+    drop(reaches)
     return cuts
 
 
@@ -299,7 +348,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, carry: tuple[str, ...] = (
     own, so they repeat each other. Texts under `depth` bytes keep everything. text, null unless
     asked for, is what is kept without characters that a cut has broken. A text's anchors and cuts
     are lists on its row; nothing else is grouped without a bound. An anchor with very many
-    contexts is counted window by window over all tasks instead of in one.
+    contexts is sorted by the same passes, as aggregations over all tasks instead of in one.
     """
     if depth % DIGIT or depth <= DIGIT:
         raise ValueError(f"depth is a multiple of {DIGIT} above it")

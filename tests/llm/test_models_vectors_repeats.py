@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,25 @@ def test_repeats_edge_cases(spark, monkeypatch, depth, spread):
     assert repeats.remove_repeats(df.limit(0), depth).count() == 0
 
 
+def test_colliding_digests_are_told_apart(monkeypatch):
+    random.seed(1)
+    middle = bytes(random.choices(b"ab", k=50))
+    before, after = ([bytes(random.choices(b"xy", k=50)) for _ in range(4)] for _ in range(2))
+    reaches = [random.randrange(51) for _ in range(60)]
+    texts = [random.choice(before)[50 - r :] + middle + random.choice(after)[: random.randrange(51)] for r in reaches]
+    numbers = [str(i).encode() for i in range(60)]
+    rows = pa.table({"h": pa.array([7] * 60, pa.int64()), "context": numbers, "n": pa.array([1] * 60, pa.int64()), "reach": pa.array(reaches, pa.int32()), "bytes": texts})
+    windows = [[(r - i, t[i : i + 100]) for i in range(min(r, len(t) - 100) + 1)] for r, t in zip(reaches, texts, strict=True)]
+    seen = Counter(w for own in windows for w in own)
+    again = [[back for back, text in own if seen[back, text] > 1] for own in windows]
+    want = [(i, max(b), 100 - min(b)) for i, b in enumerate(again) if b]
+    assert 0 < len(want) < 60
+    for mixed in (repeats._mixed, lambda h: h & np.uint64(1)):
+        monkeypatch.setattr(repeats, "_mixed", mixed)
+        at, back, ahead, _ = repeats.covered(rows, 100)
+        assert list(zip(at.tolist(), back.tolist(), ahead.tolist(), strict=True)) == want
+
+
 def slow_vectors(rows, least=0.95):
     unit = {}
     for k, (_, v) in enumerate(rows):
