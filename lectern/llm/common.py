@@ -34,13 +34,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
 
 
+def _release(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of a step that is done when its plan is garbage in Python and, after that, in the JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: cuts lineage, survives lost executors."""
+    """Writes df as Parquet to the shared folder and rereads it: cuts lineage, survives lost executors.
+
+    Shuffle files of earlier steps are released first, so that they and this step's don't add up.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    _release(spark)
     df.write.parquet(path)
-    # shuffle files of a step that is done go when its plan is garbage in Python and, after that, in the driver's JVM
-    gc.collect()
-    spark._jvm.System.gc()
+    _release(spark)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
