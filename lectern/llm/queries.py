@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, mixing, packing, quality, repeats, simhash, sketch, toxicity, vectors, warc
+from lectern.llm import chat, extract, lexical, mixing, packing, quality, repair, repeats, simhash, sketch, toxicity, vectors, warc
 from lectern.llm.common import table
 
 #: Turns that spell the template's own control strings, added to the conversations.
@@ -81,7 +81,20 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(pages, least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-ALL = (op1_chat_format, op2_simhash_near_dups, op3_toxicity, op4_suffix_repeats, op5_pack_sequences, op6_embedding_near_dups, op7_document_fingerprints, op8_mix_sources, op9_quality, op10_warc_bundles)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows), rows)
+
+
+ALL = (op1_chat_format, op2_simhash_near_dups, op3_toxicity, op4_suffix_repeats, op5_pack_sequences, op6_embedding_near_dups, op7_document_fingerprints, op8_mix_sources, op9_quality, op10_warc_bundles, op11_ranked_search, op12_extract_text, op13_repair_conversations)
 
 
 def queries() -> dict:
@@ -104,5 +117,18 @@ OP10_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, min(page_id
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
 
 
+#: The scores from every posting of every item's terms.
+OP11_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+  l AS (SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0),
+  s AS (SELECT count(*) AS docs, sum(n) AS terms FROM l),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+  p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM l) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+  i AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // CAST(terms AS BIGINT)))) AS gain FROM p JOIN w USING (term), s),
+  c AS (SELECT item_id, r, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL),
+  k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank, doc_id, score FROM c WHERE score > 0)
+  SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op10_warc_bundles": OP10_SQL}
+    return {"op11_ranked_search": OP11_SQL, "op1_chat_format": OP1_SQL, "op10_warc_bundles": OP10_SQL}
