@@ -24,57 +24,61 @@ from lectern.llm.common import keep, whole_groups
 #: A term is a maximal run of anything but ASCII that is neither a digit nor a letter.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Postings that a task holds before it writes a segment, documents of a part of a stratum, (item, term) rows of a block of
+#: Terms that a task holds before it writes a segment, documents of a part of a stratum, (item, term) rows of a block of
 #: items, and terms that are broadcast at most.
-SEGMENT, PART, BLOCK, BROADCAST = 300_000, 8192, 1 << 17, 1 << 20
+SEGMENT, PART, BLOCK, BROADCAST = 1_000_000, 2048, 1 << 17, 1 << 20
 #: Stands for a null id inside tasks: nulls come first.
 NONE = -(1 << 63)
-INDEX = "seg long, n long, term string, tf long, docs array<long>, rows array<int>"
+INDEX = "term string, postings array<struct<n:bigint,tf:int,doc:bigint,place:bigint>>"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Kept (seg, n, term, tf, docs, rows): the documents of n terms that hold a term tf times, in segments.
+    """Kept (term, postings): a segment's documents that hold a term, by their number of terms n, then by tf.
 
-    A null term lists a segment's documents of n terms. Each row of docs is a document, in one
-    segment, named by its place in `rows`, so repeated rows and ids, null ones too, stay apart.
+    A null term lists a segment's documents themselves. Each row of docs is a document, in one
+    segment, named by a place of its own, so repeated rows and ids, null ones too, stay apart.
     Documents without terms, null texts too, aren't listed. A text is read whole, as one value; only
     the two columns are read, whatever else the table has. An empty table gives no rows.
     """
     lower = str.maketrans(UPPER, LOWER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, seg = re.compile(TERM), TaskContext.get().partitionId() << 32
-        lists: dict[tuple, tuple[list, list]] = {}
-        held = row = 0
+        terms, first = re.compile(TERM), TaskContext.get().partitionId() << 36
+        held: list[str] = []
+        lengths: list[int] = []
+        ids: list[int | None] = []
 
         def segment() -> pa.RecordBatch:
-            keys = sorted(lists, key=lambda x: (x[1] or "", x[0], x[2]))
-            ends = np.cumsum([0, *(len(lists[x][0]) for x in keys)]).astype(np.int32)
-            flat = [pa.array([d for x in keys for d in lists[x][i]], kind) for i, kind in ((0, pa.int64()), (1, pa.int32()))]
-            ns, names, tfs = zip(*keys, strict=True)
-            return pa.record_batch(
-                [pa.array([seg] * len(keys), pa.int64()), pa.array(ns, pa.int64()), pa.array(names, pa.string()), pa.array(tfs, pa.int64()), *(pa.ListArray.from_arrays(pa.array(ends), x) for x in flat)],
-                ["seg", "n", "term", "tf", "docs", "rows"],
-            )
+            coded = pa.array(held, pa.string()).dictionary_encode()
+            names, n = coded.dictionary, np.array(lengths, np.int64)
+            pairs, tf = np.unique(np.repeat(np.arange(len(n)), n) * len(names) + coded.indices.to_numpy(), return_counts=True)
+            doc, term = np.divmod(pairs, len(names))
+            order = np.lexsort((tf, n[doc], term))
+            doc, term, tf = doc[order], term[order], tf[order]
+            starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            # the documents themselves are listed behind the terms
+            every = np.argsort(n, kind="stable")
+            doc, tf = np.r_[doc, every], np.r_[tf, np.zeros(len(n), np.int64)]
+            columns = [pa.array(n[doc]), pa.array(tf.astype(np.int32)), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(first + doc)]
+            listed = pa.StructArray.from_arrays(columns, ["n", "tf", "doc", "place"])
+            offsets = pa.array(np.r_[starts, len(term), len(doc)].astype(np.int32))
+            own = pa.concat_arrays([names.take(pa.array(term[starts])), pa.nulls(1, pa.string())])
+            return pa.record_batch([own, pa.ListArray.from_arrays(offsets, listed)], ["term", "postings"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = terms.findall(text.lower() if text.isascii() else text.translate(lower)) if text else []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                said = text.as_py()
+                found = terms.findall(said.lower() if said.isascii() else said.translate(lower)) if said else []
                 if not found:
                     continue
-                counts: dict[str, int] = {}
-                for t in found:
-                    counts[t] = counts.get(t, 0) + 1
-                for key in ((len(found), None, 0), *((len(found), t, tf) for t, tf in counts.items())):
-                    ids, rows = lists.setdefault(key, ([], []))
-                    ids.append(doc)
-                    rows.append(row)
-                row += 1
-                held += len(counts)
-                if held >= SEGMENT:
+                held += found
+                lengths.append(len(found))
+                ids.append(doc)
+                if len(held) >= SEGMENT:
                     yield segment()
-                    lists, held, row, seg = {}, 0, 0, seg + 1
-        if lists:
+                    first += len(ids)
+                    held, lengths, ids = [], [], []
+        if held:
             yield segment()
 
     return keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, INDEX), "lexical-index")
@@ -132,7 +136,7 @@ def _each(tables: Iterator[pa.Table], key: str) -> Iterator[pa.Table]:
 def visit(postings: DataFrame, block: list[tuple], floors: dict, k: int, only: dict | None = None) -> DataFrame:
     """(item, doc_id, score): each task's k best documents of each item of a block among its strata.
 
-    postings: (g, m, term, tf, docs, rows, seg), a part of a stratum by g, in the order of the visit.
+    postings: (g, m, term, tf, doc, place), a part of a stratum by g, in the order of the visit.
     block: (item, term, weight); floors: a score that an item's best documents reach at least; only:
     the strata that are visited at all, by item.
     """
@@ -156,34 +160,36 @@ def visit(postings: DataFrame, block: list[tuple], floors: dict, k: int, only: d
             m = part.column("m")[0].as_py()
             if strata is not None and m not in strata:
                 continue
-            names, tfs = part.column("term").to_pylist(), part.column("tf").to_numpy()
-            lists = part.column("docs").combine_chunks()
-            lengths = np.diff(lists.offsets.to_numpy())
-            impacts = tfs * 1_000_000_000 // (tfs * 1000 + 8 * m)
-            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            bound, has = np.zeros(len(items), np.int64), {}
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                who, weight = asks.get(names[a], (None, None))
-                if who is not None:
-                    bound[who] += weight * impacts[a:z].max()
-                    for item, w in zip(who.tolist(), weight.tolist(), strict=True):
-                        has.setdefault(item, []).append((ends[a], ends[z], w))
+            coded = part.column("term").combine_chunks().dictionary_encode()
+            names, term = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            # rows go by term, so its number changes where the term does
+            cuts = np.r_[0, np.flatnonzero(term[1:] != term[:-1]) + 1, len(term)].tolist()
+            levels, level = np.unique(part.column("tf").to_numpy(), return_inverse=True)
+            impacts = (levels.astype(np.int64) * 1_000_000_000 // (levels.astype(np.int64) * 1000 + 8 * m))[level]
+            spans = [(*asks[names[term[a]]], a, z) for a, z in zip(cuts, cuts[1:], strict=False) if names[term[a]] in asks]
+            bound = np.zeros(len(items), np.int64)
+            for who, weight, a, z in spans:
+                bound[who] += weight * impacts[a:z].max()
             wanted = (bound >= top.floors) & (bound > 0)
             if strata is not None:
                 wanted &= strata[m]
             if not wanted.any():
                 continue
-            flat = lists.flatten()
-            ids = flat.fill_null(NONE).to_numpy()
-            places = (np.repeat(part.column("seg").to_numpy(), lengths) << 20) + part.column("rows").combine_chunks().flatten().to_numpy()
-            _, first, local = np.unique(places, return_index=True, return_inverse=True)
-            gains = np.repeat(impacts, lengths).astype(np.float64)
-            for item in np.flatnonzero(wanted).tolist():
-                spans = has[item]
-                # sums stay below 2**53, where doubles are exact
-                scores = np.bincount(np.concatenate([local[a:z] for a, z, _ in spans]), np.concatenate([gains[a:z] * w for a, z, w in spans]), len(first))
-                top.add(item, scores.astype(np.int64), ids[first])
+            rows = np.flatnonzero(wanted)
+            line = np.full(len(items), -1)
+            line[rows] = np.arange(len(rows))
+            _, first, local = np.unique(part.column("place").to_numpy(), return_index=True, return_inverse=True)
+            scores = np.zeros((len(rows), len(first)), np.int64)
+            for who, weight, a, z in spans:
+                own = line[who]
+                if (own >= 0).all():
+                    scores[own[:, None], local[None, a:z]] += weight[:, None] * impacts[None, a:z]
+                elif (own >= 0).any():
+                    scores[own[own >= 0][:, None], local[None, a:z]] += weight[own >= 0][:, None] * impacts[None, a:z]
+            ids = part.column("doc").fill_null(NONE).to_numpy()[first]
+            best = scores.max(axis=1)
+            for i in np.flatnonzero((best >= top.floors[rows]) & (best > 0)).tolist():
+                top.add(int(rows[i]), scores[i], ids)
         for item, (scores, docs) in top.best.items():
             own = pa.array([None if d == NONE else d for d in docs.tolist()], pa.int64())
             yield pa.record_batch([pa.array([item] * len(scores), pa.int32()), own, pa.array(scores, pa.int64())], ["item", "doc_id", "score"])
@@ -207,27 +213,28 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, b: int = 90, id_col:
     the second visits, by falling bound, strata whose bound reaches it. Nulls: a null doc_id comes
     first, a null item text has no terms. Empty tables and items without known terms give no rows.
     """
-    there = index.where("term IS NULL").select("n", F.size("docs").cast("long").alias("docs"))
-    docs, terms = there.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0))).first()
+    there = index.where("term IS NULL").select(F.explode("postings.n").alias("n"))
+    docs, terms = there.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     kind = items.schema[id_col].dataType.simpleString()
     if not docs:
         return items.sparkSession.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     m = normaliser(F.col("n"), b, docs, terms)
-    strata = there.groupBy(m.alias("m")).agg(F.ceil(F.sum("docs") / PART).alias("parts"))
+    strata = there.groupBy(m.alias("m")).agg(F.ceil(F.count("*") / PART).alias("parts"))
     asked = keep(item_terms(items, id_col, text_col), "lexical-items")
     names = asked.select("term").distinct()
     if names.count() <= BROADCAST:
         names = F.broadcast(names)
-    found = keep(index.where("term IS NOT NULL").join(names, "term", "left_semi").withColumn("m", m), "lexical-found")
-    df = found.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    listed = index.where("term IS NOT NULL").join(names, "term", "left_semi").select("term", F.inline("postings"))
+    found = keep(listed.select("term", m.alias("m"), "tf", "doc", "place"), "lexical-found")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.floor(1000 * F.ln(F.lit(2.0 * docs + 2) / (2 * F.col("df") + 1))).cast("long")
     weights = keep(asked.join(df, "term").select("item_id", "term", weight.alias("w")).where("w > 0"), "lexical-weights")
 
-    peaks = found.groupBy("m", "term").agg(F.max("tf").alias("tf"), F.sum(F.size("docs")).alias("docs"))
+    peaks = found.groupBy("m", "term").agg(F.max("tf").cast("long").alias("tf"), F.count("*").alias("docs"))
     bounds = keep(weights.join(peaks, "term").groupBy("item_id", "m").agg(F.sum(F.col("w") * impact(F.col("tf"), F.col("m"))).alias("bound"), F.max("docs").alias("docs")), "lexical-bounds")
     order = bounds.groupBy("m").agg(F.max("bound").alias("bound"))
-    dealt = found.join(strata.join(order, "m"), "m").withColumn("g", F.col("m") * (1 << 20) + F.pmod(F.xxhash64("seg"), F.col("parts")))
-    postings = dealt.repartition("g").sortWithinPartitions(F.desc("bound"), "g", "term").select("g", "m", "term", "tf", "docs", "rows", "seg")
+    dealt = found.join(strata.join(order, "m"), "m").withColumn("g", F.col("m") * (1 << 20) + F.pmod(F.xxhash64("place"), F.col("parts")))
+    postings = dealt.repartition("g").sortWithinPartitions(F.desc("bound"), "g", "term").select("g", "m", "term", "tf", "doc", "place")
     blocks = -(-weights.count() // BLOCK)
     block = F.pmod(F.xxhash64("item_id"), F.lit(max(blocks, 1)))
     before = F.coalesce(F.sum("docs").over(W.partitionBy("item_id").orderBy(F.desc("bound"), "m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
