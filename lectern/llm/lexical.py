@@ -25,7 +25,7 @@ from lectern.llm.common import keep, whole_groups
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms that a task holds before it writes a segment, documents of a part of a stratum, (item, term) rows of a block of
-#: items, and terms that are broadcast at most.
+#: items, and terms or strata that are broadcast at most.
 SEGMENT, PART, BLOCK, BROADCAST = 1_000_000, 2048, 1 << 17, 1 << 20
 #: Stands for a null id inside tasks: nulls come first.
 NONE = -(1 << 63)
@@ -233,7 +233,10 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, b: int = 90, id_col:
     peaks = found.groupBy("m", "term").agg(F.max("tf").cast("long").alias("tf"), F.count("*").alias("docs"))
     bounds = keep(weights.join(peaks, "term").groupBy("item_id", "m").agg(F.sum(F.col("w") * impact(F.col("tf"), F.col("m"))).alias("bound"), F.max("docs").alias("docs")), "lexical-bounds")
     order = bounds.groupBy("m").agg(F.max("bound").alias("bound"))
-    dealt = found.join(strata.join(order, "m"), "m").withColumn("g", F.col("m") * (1 << 20) + F.pmod(F.xxhash64("place"), F.col("parts")))
+    sizes = keep(strata.join(order, "m"), "lexical-strata")
+    if sizes.count() <= BROADCAST:
+        sizes = F.broadcast(sizes)
+    dealt = found.join(sizes, "m").withColumn("g", F.col("m") * (1 << 20) + F.pmod(F.xxhash64("place"), F.col("parts")))
     postings = dealt.repartition("g").sortWithinPartitions(F.desc("bound"), "g", "term").select("g", "m", "term", "tf", "doc", "place")
     blocks = -(-weights.count() // BLOCK)
     block = F.pmod(F.xxhash64("item_id"), F.lit(max(blocks, 1)))

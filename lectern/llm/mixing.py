@@ -18,6 +18,8 @@ from lectern.llm.common import WORD, drop, keep, unit
 
 #: Documents of a block and blocks of the next one, on average.
 FAN_IN = 32
+#: Copies of a row that a task writes out at a time.
+CHUNK = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -63,24 +65,22 @@ def _pivot(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies.
+def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, n, source_size, target, total): how often the mix takes the n rows of an id, source and size together.
 
-    size counts words (null text: 0); copies is 0 to `most`. Rows that repeat a document's id,
-    source and size count as often as they occur and get the same copies. An empty table gives
-    no rows; a source without words gets target 0 and no copies. A null id is a document like
-    any other. Only these columns are read, whatever else the table has.
+    n rows ask for n * rate copies; the whole part is certain, and only the fraction, less than one
+    document, is rounded in pairs. So rows that repeat are as near their share as any others.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     units = keep(sized.groupBy("id", "source", "size").agg(F.count("*").alias("n")), "mix-units")
     sources = source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rated = units.alias("u").join(sources.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.*", "source_size", "target", rate.alias("rate"))
-    whole = F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.floor("rate")).cast("int")
-    rated = keep(rated.withColumn("whole", whole).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))), "mix-rated")
+    rated = units.alias("u").join(sources.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source"))).select("u.*", "source_size", "target", (rate * F.col("n")).alias("share"))
+    whole = F.when(F.abs(F.col("share") - F.round("share")) < 1e-9, F.round("share")).otherwise(F.floor("share")).cast("long")
+    rated = keep(rated.withColumn("whole", whole).withColumn("p", F.greatest(F.col("share") - F.col("whole"), F.lit(0.0))), "mix-rated")
     drop(units)
 
-    open_units = rated.where("p >= 1e-9").withColumn("band", F.floor(4 * F.log2(F.col("size") * F.col("n") + 1)).cast("int"))
+    open_units = rated.where("p >= 1e-9").withColumn("band", F.floor(4 * F.log2(F.col("size") + 1)).cast("int"))
     bands = open_units.groupBy("source", "band").agg(F.ceil(F.count("*") / FAN_IN).alias("blocks"))
     item = F.struct(F.struct("id", "size").alias("unit"), "p")
     level = (
@@ -103,18 +103,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     for more in decided[1:]:
         extra = extra.unionByName(more)
     same = F.col("r.source").eqNullSafe(F.col("e.source")) & F.col("r.id").eqNullSafe(F.col("e.id")) & (F.col("r.size") == F.col("e.size"))
-    chosen = rated.alias("r").join(extra.alias("e"), same, "left").select("r.*", (F.col("whole") + F.coalesce("v", F.lit(0))).alias("copies"))
-    each = chosen.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies")
+    total = F.col("whole") + F.coalesce("v", F.lit(0))
+    return rated.alias("r").join(extra.alias("e"), same, "left").select("r.id", "r.source", "r.size", "n", F.col("source_size").cast("long").alias("source_size"), "target", total.alias("total"))
+
+
+def _each(n: Column, place: str, df: DataFrame) -> DataFrame:
+    """A row for each number from 0 to n - 1 in the column `place`, CHUNK numbers a row before they are dealt out and written out."""
+    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / CHUNK))))
+    many = chunks.where("_chunk > 0").repartition("_chunk")
+    inside = F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, n) - 1)
+    return chunks.where("_chunk = 0").unionByName(many).withColumn(place, F.explode(inside)).drop("_chunk")
+
+
+def _copies(place: Column) -> Column:
+    """Copies of the row at a place among n rows that are taken `total` times: as even as can be, the first ones once more."""
+    return (F.floor(F.col("total") / F.col("n")) + (place < F.col("total") % F.col("n")).cast("long")).cast("int")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies.
+
+    size counts words (null text: 0); copies is 0 to `most`. Rows that repeat a document's id,
+    source and size are rows of their own, whose copies differ by one at most. An empty table gives
+    no rows; a source without words gets target 0 and no copies. A null id is a document like
+    any other. Only these columns are read, whatever else the table has.
+    """
+    planned = plan(docs, weights, most, seed, id_col, text_col, source_col)
+    each = _each(F.col("n"), "place", planned)
+    return each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _copies(F.col("place")).alias("copies"))
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as mix() takes it, with all its columns, whatever their names.
+    """The mix itself: every document as often as plan() takes it, with all its columns, whatever their names.
 
-    Rows that share id, source and size are taken alike, so a row that is there n times moves its
-    source's words by n sizes at once.
+    Rows that share id, source and size are numbered where they lie, each task's after those of the
+    tasks before, and take their copies by number. A null text counts as empty, a text is one value
+    however long, and an empty table gives none.
     """
-    plan = mix(docs, **options).select(F.col("doc_id").alias("id"), "source", "size", "copies").distinct()
+    planned = plan(docs, **options).select("id", "source", "size", "n", "total")
     sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own"), F.col("source").alias("of"), word_count(F.col("text")).alias("words"))
-    taken = sized.join(plan, F.col("own").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
-    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    taken = sized.join(planned, F.col("own").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))).where("total > 0")
+    alone = taken.where("n = 1").select("row", F.col("total").cast("int").alias("copies"))
+    several = keep(taken.where("n > 1").select("row", "id", "source", "size", "n", "total", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "mix-several")
+    key = ["id", "source", "size"]
+    parts = several.groupBy(*key, "part").agg(F.count("*").alias("own"))
+    before = F.coalesce(F.sum("own").over(W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(*(F.col(c).alias(f"_{c}") for c in (*key, "part")), before.alias("before"))
+    inside = several.withColumn("inside", F.row_number().over(W.partitionBy(*key, "part").orderBy("at")) - 1)
+    placed = inside.join(starts, F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("part") == F.col("_part")))
+    numbered = placed.select("row", _copies(F.col("before") + F.col("inside")).alias("copies"))
+    return alone.unionByName(numbered).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -15,7 +15,7 @@ its windows contain the anchor.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -273,9 +273,15 @@ def _resolved(classes: DataFrame, depth: int, width: int) -> DataFrame:
     return dealt.mapInArrow(run, REACHES)
 
 
-def _spread(classes: DataFrame, depth: int) -> DataFrame:
-    """As _resolved for anchors of very many contexts: each pass of the sort is an aggregation over all tasks."""
+def _spread(classes: DataFrame, depth: int, digest: Callable[[bytes], int] | None = xxhash.xxh64_intdigest) -> DataFrame:
+    """As _resolved for anchors of very many contexts: each pass of the sort is an aggregation over all tasks.
+
+    Digits are sorted by their digests; the first and the last window of each context, which alone
+    decide, are then compared byte by byte with one that they equal, and anchors where that fails are
+    sorted again with the digits themselves (digest None).
+    """
     back, digits = depth - DIGIT, [f"d{i}" for i in range(depth // DIGIT)]
+    kind = pa.int64() if digest else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,25 +290,45 @@ def _spread(classes: DataFrame, depth: int) -> DataFrame:
                 n = min(len(text) - depth, row["reach"]) + 1
                 if n <= 0:
                     continue
-                digest = np.array([xxhash.xxh64_intdigest(text[s : s + DIGIT]) for s in range(n + depth - DIGIT)], np.uint64).view(np.int64)
+                every = [text[s : s + DIGIT] for s in range(n + depth - DIGIT)]
+                read = pa.array(np.array([digest(x) for x in every], np.uint64).view(np.int64)) if digest else pa.array(every, kind)
                 same = [pa.array([row[c]] * n, t) for c, t in (("context", pa.binary()), ("n", pa.int64()), ("h", pa.int64()))]
-                yield pa.record_batch([*same, pa.array(np.arange(first, first + n, dtype=np.int32)), *(pa.array(digest[i * DIGIT : i * DIGIT + n]) for i in range(len(digits)))], ["context", "n", "h", "start", *digits])
+                yield pa.record_batch([*same, pa.array(np.arange(first, first + n, dtype=np.int32)), *(read.slice(i * DIGIT, n) for i in range(len(digits)))], ["context", "n", "h", "start", *digits])
 
-    one = classes.groupBy("context").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"), F.first("h").alias("h"))
-    rows = one.mapInArrow(run, ", ".join(["context binary", "n long", "h long", "start int", *(f"{d} long" for d in digits)]))
-    key, kept = ["h", "start"], []
+    one = keep(classes.groupBy("context").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"), F.first("h").alias("h")), "crowd")
+    rows = one.mapInArrow(run, ", ".join(["context binary", "n long", "h long", "start int", *(f"{d} {'long' if digest else 'binary'}" for d in digits)]))
+    key, kept = ["h", "start"], [one]
     for digit in digits:
         key = [*key, digit]
-        kept.append(keep(rows.groupBy(key).agg(F.sum("n").alias("n")).where("n > 1"), "digit"))
+        mates = [F.min("context").alias("one"), F.max("context").alias("other")] if digit == digits[-1] else []
+        kept.append(keep(rows.groupBy(key).agg(F.sum("n").alias("n"), *mates).where("n > 1"), "digit"))
         kept.append(keep(meet(rows, kept[-1], key), "windows"))
         rows = kept[-1]
-    ends = rows.groupBy("context").agg(F.min("start").alias("low"), F.max("start").alias("high"), F.first("n").alias("n"))
-    reaches = keep(ends.select("context", (back - F.col("low")).cast("int").alias("back"), (F.col("high") + depth - back).cast("int").alias("ahead"), "n"), "spread")
+    mate = F.when(F.col("one") == F.col("context"), F.col("other")).otherwise(F.col("one"))
+    window = F.struct("start", mate.alias("mate"))
+    ends = keep(rows.groupBy("context").agg(F.min(window).alias("low"), F.max(window).alias("high"), F.first("n").alias("n"), F.first("h").alias("h")), "ends")
+    kept.append(ends)
+    false = _differing(ends, one, depth, back) if digest else None
+    again = false is not None and false.limit(1).count()
+    true = ends.join(false, "h", "left_anti") if again else ends
+    reaches = true.select("context", (back - F.col("low.start")).cast("int").alias("back"), (F.col("high.start") + depth - back).cast("int").alias("ahead"), "n")
+    if again:
+        reaches = reaches.unionByName(_spread(classes.join(false, "h", "left_semi"), depth, None))
+    reaches = keep(reaches, "spread")
     for done in kept:
         drop(done)
     return reaches
 
 
+def _differing(ends: DataFrame, one: DataFrame, depth: int, back: int) -> DataFrame:
+    """(h): anchors with a context whose first or last window isn't, byte by byte, the one of the context that it was found equal to."""
+    cut = lambda of: F.expr(f"substring({of}.bytes, start - {back} + {of}.reach + 1, {depth})")
+    windows = ends.select("h", "context", F.explode(F.array("low", "high")).alias("w")).select("h", "context", "w.start", "w.mate").where("mate <> context")
+    own = windows.join(one.select("context", F.struct("bytes", "reach").alias("mine")), "context").select("h", "start", "mate", cut("mine").alias("window"))
+    mates = windows.groupBy("mate").agg(F.count("*").alias("n")).join(one.select(F.col("context").alias("mate"), F.struct("bytes", "reach").alias("theirs")), "mate")
+    return meet(own, mates, ["mate"]).where(F.col("window") != cut("theirs")).select("h").distinct()
+
+
 def repeated_intervals(named: DataFrame, depth: int) -> DataFrame:
     """(id, th, cuts): intervals that repeated strings of `depth` bytes cover, as array<struct<start, end>>."""
     spark = named.sparkSession
@@ -348,7 +374,8 @@ def remove_repeats(docs: DataFrame, depth: int = 200, carry: tuple[str, ...] = (
     own, so they repeat each other. Texts under `depth` bytes keep everything. text, null unless
     asked for, is what is kept without characters that a cut has broken. A text's anchors and cuts
     are lists on its row; nothing else is grouped without a bound. An anchor with very many
-    contexts is sorted by the same passes, as aggregations over all tasks instead of in one.
+    contexts is sorted by the same passes, as aggregations over all tasks instead of in one. Either way
+    the windows that decide are compared byte by byte.
     """
     if depth % DIGIT or depth <= DIGIT:
         raise ValueError(f"depth is a multiple of {DIGIT} above it")

@@ -194,10 +194,12 @@ def node_components(own: DataFrame, nodes: DataFrame, words: int, most: int, lea
 def one_per_group(docs: DataFrame, words: int = 5, most: int = 4, least: float = 0.8, segments: tuple = SEGMENTS) -> DataFrame:
     """Of each group of rows linked by near copies one: of the smallest doc_id, null last, then by all columns.
 
-    Texts without words are one group.
+    Texts without words, null ones too, are one group. Texts of the same shingles have one fingerprint,
+    the smallest of theirs, as repeats within a text count in it. Texts are read whole, however long;
+    an empty table gives none.
     """
     own = with_row(docs)
-    signed = signatures(own, words).groupBy("node").agg(first_row().alias("first"), F.first("size").alias("size"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    signed = signatures(own, words).groupBy("node").agg(first_row().alias("first"), F.first("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
     nodes = keep(signed, "near-nodes")
     reached = node_components(own, nodes, words, most, least, segments)
     named = nodes.join(reached, "node", "left").select("first", F.coalesce("component", "node").alias("component"))

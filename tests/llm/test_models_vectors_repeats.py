@@ -163,7 +163,7 @@ def test_op4(spark, sf_dir):
 
 
 @pytest.mark.parametrize("depth", [100, 200])
-@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("spread", [None, repeats._spread.__defaults__[0], lambda data: data[0] % 2])
 def test_repeats_edge_cases(spark, monkeypatch, depth, spread):
     random.seed(depth)
     letters = lambda n: "".join(random.choice("abcdefgé ") for _ in range(n))
@@ -173,7 +173,7 @@ def test_repeats_edge_cases(spark, monkeypatch, depth, spread):
     rows = [(i, t, 0, "x") for i, t in enumerate(texts)] + [(0, texts[0], 0, "x"), (None, pool[1], 0, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, place int, h string")
     if spread:
-        monkeypatch.setattr(repeats, "_resolved", lambda classes, d, width: repeats._spread(classes, d))
+        monkeypatch.setattr(repeats, "_resolved", lambda classes, d, width: repeats._spread(classes, d, spread))
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in repeats.remove_repeats(df, depth).collect())
     want = slow_repeats([(t or "").encode() for _, t, *_ in rows], depth)
     assert got == sorted((-1 if r[0] is None else r[0], *w) for r, w in zip(rows, want, strict=True))
