@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import mixing, packing, repeats, shingles, toxicity
@@ -52,10 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 4096 tokens; copy numbers the times that a document was taken."""
-    placed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cap=4096, end_id=1, with_ids=False).drop("ids")
-    # the mix takes a document at most three times, so these windows are small
-    return placed.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "piece", "ids_crc32").orderBy("sequence_id", "offset")))
+    """Where each piece of each document lies in sequences of 4096 tokens; a document that was taken again has its pieces again."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cap=4096, end_id=1, with_ids=False).drop("ids")
 
 
 STAGES = [
