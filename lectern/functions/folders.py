@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -20,3 +20,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             _own.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
         base = _own[0]
     return f"{base.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a shared folder and reread: computed once, and there if executors are lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

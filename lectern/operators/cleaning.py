@@ -60,7 +60,9 @@ WORDS = (
 def clean(text: Column) -> Column:
     """Characters that speech engines stumble over, and white space; characters go before words come."""
     kept = F.translate(text, BLANKS + "".join(a for a, _ in SINGLES) + GONE, " " * len(BLANKS) + "".join(b for _, b in SINGLES))
-    out = F.regexp_replace(replace_all(kept, WORDS), r"\.{4,}", "...")
+    signs = "[" + "".join(a for a, _ in WORDS) + "]"
+    said = F.when(F.regexp_like(kept, F.lit(signs)), replace_all(kept, WORDS)).otherwise(kept)
+    out = F.regexp_replace(said, r"\.{4,}", "...")
     out = F.regexp_replace(out, r"[\p{Cc}&&[^\n\r\t]]|\p{Co}", " ")
     out = replace_all(out, (("\r\n", "\n"), ("\r", "\n")))
     for pattern, new in ((r"\n[\t\n\f ]*\n", "\n\n"), ("[ \t]+", " "), ("(?md)^ +| +$", ""), ("\n{3,}", "\n\n")):
@@ -83,7 +85,8 @@ def speakable(df: DataFrame, col: str = "text", lang_col: str = "lang") -> DataF
 
 
 def required(pattern: str) -> str:
-    """The longest run of characters that any match of a pattern has; empty if that can't be told simply."""
+    """The longest run of characters that any match of a pattern has, in some case; empty if that can't be told simply."""
+    pattern = pattern[4:] if pattern.startswith("(?i)") else pattern
     if "|" in pattern or pattern.startswith("(?"):
         return ""
     runs, depth, last = [""], 0, None
@@ -101,6 +104,39 @@ def required(pattern: str) -> str:
     return max(runs, key=len)
 
 
+def _fold(text: str) -> str:
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _trie(words: list[str]) -> str:
+    """A regular expression for the longest of the words that a place begins, by their common beginnings."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[:1], []).append(w[1:])
+    done = "" in by_first
+    branches = [re.escape(c) + (_trie(rest) if rest != [""] else "") for c, rest in sorted(by_first.items()) if c]
+    joined = branches[0] if len(branches) == 1 and not done else f"(?:{'|'.join(branches)})"
+    return joined + "?" if done else joined
+
+
+#: A group of digits and points, which can't hold another rule's literal unless that is made of these alone.
+_DIGITS = re.compile(r"\((?:\\d|\\\.|[+*?.])*\)")
+
+
+def _made(rule: Rule, markup: bool, literal: str) -> bool:
+    """Whether what a rule does may give a text a literal where it had none: in what is said, beside a group's text, across blanks."""
+    said = f" {rule.markup if markup and rule.markup else rule.plain} "
+    fragments = [_fold(x) for x in re.split(r"\$\d+", said)]
+    if " " in literal or any(literal in f for f in fragments):
+        return True
+    if len(fragments) == 1:
+        return False
+    if "(" in _DIGITS.sub("", rule.pattern.replace("\\(", "")) or re.fullmatch(r"[\d.]+", literal):
+        return True
+    meets = lambda f, before: any((literal.startswith(f[len(f) - n :]) if before else literal.endswith(f[:n])) for n in range(1, min(len(f), len(literal)) + 1))
+    return any(meets(f, True) for f in fragments[:-1]) or any(meets(f, False) for f in fragments[1:])
+
+
 #: What a rule's match begins and ends with; the text has a blank put before it.
 LEAD, TRAIL = "[\\t\\n\\f\\r ]", "(?:[\\t\\n\\f\\r .,)]|\\z)"
 
@@ -114,39 +150,66 @@ def _java(pattern: str) -> str:
 
 
 def _apply(text: Column, rule: Rule, markup: bool) -> Column:
-    """One rule on whole words: what stands before becomes one blank, so does what stands after; only where it can fit."""
+    """One rule on whole words: what stands before becomes one blank, so does what stands after."""
     said = (rule.markup if markup and rule.markup else rule.plain).replace("\\", "\\\\")
-    done = F.regexp_replace(text, _java(rule.pattern), f" {said} ")
-    literal = required(rule.pattern)
-    return F.when(F.contains(text, F.lit(literal)), done).otherwise(text) if literal else done
+    return F.regexp_replace(text, _java(rule.pattern), f" {said} ")
+
+
+def fitting(text: Column, rules: list[Rule], numbers: list[int], markup: bool = False) -> Column:
+    """Which of the rules of these numbers can fit a text, in order: a scan for the literals of all of them.
+
+    Literals that a rule begins with are looked for after blanks and what a match may end with, others
+    everywhere. At each place the longest one is found, which tells of those that it begins with too. A
+    rule that may give a text another one's literal brings that one along, and a rule without a literal
+    is always there, so what isn't there would change nothing.
+    """
+    literals = {i: _fold(required(rules[i].pattern)) for i in numbers}
+    brings: dict[int, set[int]] = {}
+    for at in range(len(numbers) - 1, -1, -1):
+        i = numbers[at]
+        later = [j for j in numbers[at + 1 :] if literals[j] and _made(rules[i], markup, literals[j])]
+        brings[i] = {i}.union(*(brings[j] for j in later))
+    as_array = lambda s: F.lit(sorted(s)).cast("array<int>")
+    looked_up = lambda seen, by_literal: F.flatten(F.transform(seen, lambda x: F.coalesce(by_literal[F.lower(x)], as_array(numbers))))
+    found = [as_array(set().union(*(brings[i] for i in numbers if not literals[i])))]
+    leads = {i: _fold(re.sub(r"^(\(\?i\))?(\\b)?", "", rules[i].pattern).replace("\\", "")).startswith(x) for i, x in literals.items() if x}
+    for place, own in (("(?<=[\\t\\n\\f\\r .,)])", [i for i in leads if leads[i]]), ("", [i for i in leads if not leads[i]])):
+        known = sorted({literals[i] for i in own})
+        if known:
+            told = {x: set().union(*(brings[i] for i in own if x.startswith(literals[i]))) for x in known}
+            seen = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?iu){place}(?=({_trie(known)}))"), F.lit(1)))
+            found.append(looked_up(seen, F.create_map(*(c for x, s in told.items() for c in (F.lit(x), as_array(s))))))
+    return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
 def with_rules(text: Column, rules, lang: str | Column = "", markup: bool = False) -> Column:
     """A text after all enabled rules of its language in order; an empty language takes all rules.
 
-    rules: Rule or (pattern, plain), a driver's list of at most a few hundred. The rules are one
-    fold over their numbers, so the plan grows with them once, however long the list.
+    rules: Rule or (pattern, plain), a driver's list of at most a few hundred. One scan tells which of
+    them can fit, and the fold goes over the numbers of these, so a text pays for its own rules alone.
     """
     chosen = [r for r in (Rule(*x) for x in rules) if r.enabled]
     if not chosen:
         return text
-    numbers = lambda want: F.lit([i for i, r in enumerate(chosen) if not want or not r.lang or r.lang == want]).cast("array<int>")
+    spaced = F.concat(F.lit(" "), text)
+    numbers = lambda want: fitting(spaced, chosen, [i for i, r in enumerate(chosen) if not want or not r.lang or r.lang == want], markup)
     if isinstance(lang, str):
-        own = numbers(lang)
+        taken = numbers(lang)
     else:
         known = sorted({r.lang for r in chosen} - {""})
-        own = F.when(lang == "", numbers("")) if known else numbers("-")
+        taken = F.when(lang == "", numbers("")) if known else numbers("-")
         for one in known:
-            own = own.when(lang == one, numbers(one))
-        own = own.otherwise(numbers("-")) if known else own
+            taken = taken.when(lang == one, numbers(one))
+        taken = taken.otherwise(numbers("-")) if known else taken
 
-    def step(now: Column, i: Column) -> Column:
-        out = None
-        for k, rule in enumerate(chosen):
-            out = F.when(i == k, _apply(now, rule, markup)) if out is None else out.when(i == k, _apply(now, rule, markup))
-        return out
+    def branch(now: Column, i: Column, low: int, high: int) -> Column:
+        """The rule of number i among low to high - 1, halved until it is found."""
+        if high - low == 1:
+            return _apply(now, chosen[low], markup)
+        middle = (low + high) // 2
+        return F.when(i < middle, branch(now, i, low, middle)).otherwise(branch(now, i, middle, high))
 
-    return F.aggregate(own, F.concat(F.lit(" "), text), step, lambda t: F.substr(t, F.lit(2)))
+    return F.aggregate(taken, spaced, lambda now, i: branch(now, i, 0, len(chosen)), lambda t: F.substr(t, F.lit(2)))
 
 
 def apply_rules(df: DataFrame, rules=ENGLISH_RULES, col: str = "text", lang: str | Column = "", markup: bool = False) -> DataFrame:

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lectern.functions.folders import kept
 from lectern.functions.text import go_trim, word_count
 
 #: Provider, model, US dollars per million characters, free characters a month.
@@ -188,36 +193,163 @@ def estimate_size(seconds: Column, kbps: int) -> Column:
     return F.floor(seconds * F.lit(kbps * 1000 / 8) * F.lit(1.05)).cast("long")
 
 
-def pack_parts(chapters: DataFrame, max_mb: int, kbps: int = 128) -> DataFrame:
+def next_starts(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """Of each chapter the first one after it that a part begun there has no room for; their number if there is none."""
+    ends = np.cumsum(sizes)
+    after = np.searchsorted(ends, ends - sizes + limit, side="right")
+    return np.maximum(after, np.arange(1, len(sizes) + 1))
+
+
+def last_starts(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chapter the last part's beginning in a span if a part begins there, and how many parts begin in between."""
+    n = len(after)
+    last, count = np.arange(n), np.zeros(n, np.int64)
+    for i in range(n - 1, -1, -1):
+        if after[i] < n:
+            last[i], count[i] = last[after[i]], count[after[i]] + 1
+    return last, count
+
+
+def numbered_parts(after: np.ndarray, first: int) -> np.ndarray:
+    """Part numbers of a span's chapters, from 0 before its first beginning `first` (its length if there is none)."""
+    starts = np.zeros(len(after), np.int64)
+    while first < len(after):
+        starts[first] = 1
+        first = int(after[first])
+    return np.cumsum(starts)
+
+
+def pack_parts(chapters: DataFrame, max_mb: int, kbps: int = 128, span: int = SPAN) -> DataFrame:
     """Adds size and part_no: chapters in order, a new part when one would not fit in a part that has some.
 
-    Where a part begins depends on all before it in its book, so books are read in order, a row at a
-    time: what is held is one part's sum, however many chapters a book has. Rows that repeat a
-    chapter number go by size and are placed each. max_mb of 0 or less makes one part.
+    Rows go by chapter_no, then size, dealt out by ranges of that order, and each task cuts what it has
+    of a book into spans of `span` rows. A book in one span is done there. In other books the last
+    beginning of each chain in a span leads to a beginning in a later one, found by running sums over
+    the spans; pointer jumping over these leads, twice as far each round, tells where the chain from the
+    book's first chapter enters each span. So no task reads a book, however many chapters it has.
+    What the driver reads is a sum for each span of such books: spans grow with the table, so that
+    there are at most some 2**20. max_mb of 0 or less makes one part; null sizes count as 0.
     """
     kbps = kbps if kbps > 0 else 128
     sized = chapters.withColumn("size", estimate_size(F.col("seconds"), kbps))
     if max_mb <= 0:
         return sized.withColumn("part_no", F.lit(1).cast("long"))
-    limit = max_mb * 1024 * 1024
+    spark, limit = chapters.sparkSession, max_mb * 1024 * 1024
+    span = max(span, sized.count() >> 20)
     at = [sized.columns.index(c) for c in ("book_id", "size")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, part, filled, first = None, 0, 0, True
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds each row's span, its place there and its part if the span begins its book."""
+        number = TaskContext.get().partitionId() << 36
+
+        def spans(rows: pa.Table, whole: bool) -> Iterator[tuple[pa.Table, int]]:
+            """The spans of rows, and of what isn't `whole` the rows that may still go on."""
+            nonlocal number
+            books = rows.column(at[0])
+            same = pc.equal(books.slice(1), books.slice(0, len(books) - 1))
+            both = pc.and_(books.slice(1).is_null(), books.slice(0, len(books) - 1).is_null())
+            alike = pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(~alike) + 1).tolist(), len(books)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                sizes = pc.fill_null(rows.column(at[1]).slice(a, z - a), 0).to_numpy()
+                while z - a > span or (z - a and (whole or z < len(books))):
+                    n = min(span, z - a)
+                    parts = numbered_parts(next_starts(sizes[:n], limit), 0)
+                    more = [pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(parts)]
+                    out = rows.slice(a, n)
+                    for name, values in zip(("_span", "_at", "part_no"), more, strict=True):
+                        out = out.append_column(name, values)
+                    yield out, a + n
+                    number, a, sizes = number + 1, a + n, sizes[n:]
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            if not len(rows):
+                continue
+            done = 0
+            for out, done in spans(rows, False):
+                yield from out.to_batches()
+            rest = rows.slice(done)
+        if rest is not None and len(rest):
+            for out, _ in spans(rest, True):
+                yield from out.to_batches()
+
+    order = [F.asc_nulls_first(c) for c in ("book_id", "chapter_no", "size")]
+    dealt = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    longs = [StructField(c, LongType()) for c in ("_span", "_at", "part_no")]
+    rows = kept(dealt.mapInArrow(cut, StructType([*sized.schema.fields, *longs])), "part-rows")
+
+    books = rows.groupBy("book_id").agg(F.min("_span").alias("first"), F.max("_span").alias("last")).where("first < last")
+    if not books.limit(1).count():
+        return rows.drop("_span", "_at")
+    mine = F.col("r.book_id").eqNullSafe(F.col("b.book_id"))
+    long = kept(
+        rows.alias("r").join(books.alias("b"), mine).groupBy("r._span").agg(F.first("first").alias("book"), F.array_sort(F.collect_list(F.struct("_at", F.coalesce("size", F.lit(0)).alias("size")))).alias("s"))
+        .select("_span", "book", F.transform("s", lambda x: x["size"]).alias("sizes")),
+        "part-spans",
+    )
+    # at most some 2**20 spans
+    totals = long.select("book", "_span", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")).orderBy("book", "_span").toPandas()
+    begin = totals.groupby("book")["total"].cumsum() - totals["total"]
+    ends: dict[int, tuple[np.ndarray, np.ndarray]] = {b: (g["_span"].to_numpy(), (g["total"] + begin[g.index]).to_numpy()) for b, g in totals.groupby("book")}
+    begins = dict(zip(totals["_span"].tolist(), begin.tolist(), strict=True))
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each last beginning in a span the later span where its part ends, and the room that is left there."""
         for batch in batches:
-            parts = []
-            for own, size in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
-                if first or own != book:
-                    book, part, filled, first = own, 1, size or 0, False
-                elif filled + (size or 0) > limit:
-                    part, filled = part + 1, size or 0
-                else:
-                    filled += size or 0
-                parts.append(part)
-            yield batch.append_column("part_no", pa.array(parts, pa.int64()))
-
-    ordered = sized.repartition("book_id").sortWithinPartitions("book_id", "chapter_no", "size")
-    return ordered.mapInArrow(run, StructType([*sized.schema.fields, StructField("part_no", LongType())]))
+            for number, book, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes = np.array(sizes, np.int64)
+                exits = np.flatnonzero(next_starts(sizes, limit) == len(sizes))
+                spans, sums = ends[book]
+                value = begins[number] + np.cumsum(sizes)[exits] - sizes[exits] + limit
+                later = np.maximum(np.searchsorted(sums, value, side="right"), int(np.searchsorted(spans, number)) + 1)
+                there = later < len(spans)
+                to = spans[later[there]]
+                room = value[there] - np.array([begins[x] for x in to.tolist()], np.int64)
+                yield pa.record_batch([pa.array(np.full(len(to), number)), pa.array(exits[there]), pa.array(to), pa.array(room)], ["span", "exit", "to", "room"])
+
+    found = long.mapInArrow(leads, "span long, exit long, to long, room long")
+
+    def enter(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """Where parts begin in a span that leads reach, and the last beginning that follows there."""
+        if there.empty or asked.empty:
+            return pd.DataFrame(columns=["span", "exit", "to", "entry", "out"])
+        sizes = np.array(there["sizes"].iloc[0], np.int64)
+        entry = np.searchsorted(np.cumsum(sizes), asked["room"].to_numpy(), side="right")
+        last, _ = last_starts(next_starts(sizes, limit))
+        return pd.DataFrame({"span": asked["span"], "exit": asked["exit"], "to": asked["to"], "entry": entry, "out": last[entry]})
+
+    shape = "span long, exit long, to long, entry long, out long"
+    jumps = kept(long.groupBy("_span").cogroup(found.groupBy("to")).applyInPandas(enter, shape), "part-jumps")
+
+    def first_exit(lists: pd.Series) -> pd.Series:
+        return pd.Series([int(last_starts(next_starts(np.array(x, np.int64), limit))[0][0]) for x in lists], dtype="int64")
+
+    begun = long.where("_span = book").select(F.col("_span").alias("span"), F.pandas_udf(first_exit, "long")("sizes").alias("exit"))
+    reached, step = kept(begun, "part-reached"), jumps.select("span", "exit", "to", "out")
+    while True:
+        new = reached.join(step, ["span", "exit"]).select(F.col("to").alias("span"), F.col("out").alias("exit"))
+        more = kept(new, "part-reached")
+        if not more.limit(1).count():
+            break
+        reached = kept(reached.unionByName(more), "part-reached")
+        far = step.alias("a").join(step.alias("b"), (F.col("a.to") == F.col("b.span")) & (F.col("a.out") == F.col("b.exit")))
+        step = kept(far.select("a.span", "a.exit", "b.to", "b.out"), "part-jumps")
+
+    entries = reached.join(jumps, ["span", "exit"]).select(F.col("to").alias("_in"), "entry")
+
+    @F.pandas_udf("array<long>")
+    def parts(lists: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([numbered_parts(next_starts(np.array(x, np.int64), limit), len(x) if pd.isna(e) else int(e)) for x, e in zip(lists, entry, strict=True)], dtype=object)
+
+    own = F.when(F.col("_span") == F.col("book"), F.lit(0).cast("long")).otherwise(F.col("entry"))
+    inside = kept(long.join(entries, F.col("_span") == F.col("_in"), "left").select("_span", "book", parts("sizes", own).alias("parts")), "part-inside")
+    before = F.coalesce(F.sum(F.get("parts", F.size("parts") - 1)).over(W.partitionBy("book").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbers = inside.select(F.col("_span").alias("_of"), "parts", before.alias("_before"))
+    told = F.coalesce(F.get("parts", F.col("_at").cast("int")) + F.col("_before"), "part_no")
+    return rows.join(numbers, F.col("_span") == F.col("_of"), "left").select(*sized.columns, told.alias("part_no"))
 
 
 def part_titles(parts: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,50 +106,99 @@ def count_parts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", n.alias("separators"), (n > 0).alias("has_separators"))
 
 
-def _inside_tag(data: bytes, at: int) -> bool:
-    return data.rfind(b"<", 0, at) > data.rfind(b">", 0, at)
-
-
-_BLANK = b" \t\n\r\x0b\x0c"
-
-
-def _cut(data: bytes, most: int, words: bool) -> int:
-    """Where to break: after a sentence, else a word, in the second half of `most` bytes, else at it; never in a tag or character."""
-    for at in range(most, most // 2, -1):
-        if data[at - 1] in b".!?" and data[at] in _BLANK and not _inside_tag(data, at):
-            return at
-    if words:
-        for at in range(most, most // 2, -1):
-            if data[at - 1] in _BLANK and not _inside_tag(data, at):
+#: What pieces are trimmed of.
+_TRIM = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SENTENCE_END = re.compile(rb"[.!?](?=[ \t\n\r\x0b\x0c])")
+_WORD_END = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_TAG_MARK = re.compile(rb"[<>]")
+
+
+class Breaks:
+    """The places where a text may be cut, listed in one pass: after sentences, after words, and where tags open and close."""
+
+    def __init__(self, data: bytes, words: bool = True):
+        self.data = data
+        self.kinds = [[m.end() for m in _SENTENCE_END.finditer(data)]]
+        if words:
+            self.kinds.append([m.end() for m in _WORD_END.finditer(data)])
+        self.marks = [m.start() for m in _TAG_MARK.finditer(data)]
+
+    def tag_around(self, at: int, begin: int) -> int:
+        """Where the tag opens that a place is inside of, or -1; what lies before `begin` doesn't count."""
+        i = bisect_left(self.marks, at) - 1
+        opened = self.marks[i] if i >= 0 else -1
+        return opened if opened >= begin and self.data[opened] == 60 else -1
+
+    def last(self, places: list[int], begin: int, least: int, most: int) -> int:
+        """The last place over `least`, at `most` at most, that is in no tag, or -1; a tag is left by its beginning."""
+        while True:
+            i = bisect_right(places, most) - 1
+            if i < 0 or places[i] <= least:
+                return -1
+            most = self.tag_around(places[i], begin)
+            if most < 0:
+                return places[i]
+
+    def hard(self, begin: int, most: int) -> int:
+        """The last place after `begin`, at `most` at most, in no tag and no character; if there is none, in no character."""
+        at = self._whole(most)
+        while at > begin:
+            opened = self.tag_around(at, begin)
+            if opened < 0:
                 return at
-    for at in range(most, 0, -1):
-        if data[at] & 0xC0 != 0x80 and not _inside_tag(data, at):
+            at = self._whole(opened)
+        at = self._whole(most)
+        if at > begin:
             return at
-    return most
+        at = begin + 1  # a character that is longer than a piece stays whole
+        while at < len(self.data) and self.data[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
+    def _whole(self, at: int) -> int:
+        while at < len(self.data) and self.data[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    def cut(self, begin: int, most: int) -> int:
+        """Where the piece that begins at `begin` ends: after a sentence, else a word, in its second half, else as far as it goes."""
+        end = begin + most
+        if len(self.data) <= end:
+            return len(self.data)
+        for places in self.kinds:
+            at = self.last(places, begin, begin + most // 2, end)
+            if at >= 0:
+                return at
+        return self.hard(begin, end)
 
 
 def split_by_size(text: str, most: int, words: bool = True) -> list[str]:
-    """Pieces of at most `most` UTF-8 bytes, where no tag is longer than that."""
-    data, out = text.encode(), []
-    while len(data) > most:
-        at = _cut(data, most, words)
-        out.append(data[:at].decode(errors="ignore").strip())
-        data = data[at:]
-    out.append(data.decode(errors="ignore").strip())
+    """Pieces of at most `most` UTF-8 bytes, where no tag or character is longer than that.
+
+    The text is scanned once and read from cut to cut, so the work is linear in its length.
+    """
+    text = text.strip(_TRIM)
+    data = text.encode()
+    if len(data) <= most:
+        return [text] if text else []
+    breaks, out, begin = Breaks(data, words), [], 0
+    while begin < len(data):
+        end = breaks.cut(begin, max(most, 1))
+        out.append(data[begin:end].decode().strip(_TRIM))
+        begin = end
     return [x for x in out if x]
 
 
-def chunk(df: DataFrame, mode: str = "sentence", most: int | Column = 900, keep_words: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, chunk_no, chunk, and the columns `carry`): by sentence, paragraph or size, none over `most` bytes.
+def chunk_lists(df: DataFrame, mode: str = "sentence", most: int | Column = 900, keep_words: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns `carry`, most, chunks): by sentence, paragraph or size, none over `most` bytes; one row a text.
 
-    most is one size or a column. A text's pieces stay on its row, numbered there; only texts that
-    have a piece that is too long, which are few, go to Python.
+    most is one size or a column. Only texts that have a piece that is too long, which are few, go to Python.
     """
     if mode == "paragraph":
         parts = F.split("text", r"\n[\t\n\f\r ]*\n+")
         pieces = F.transform(parts, lambda p: F.regexp_replace(go_trim(p), r"[\t\n\f\r ]+", " "))
     elif mode == "size":
-        pieces = F.array(F.coalesce("text", F.lit("")))
+        pieces = F.array(go_trim(F.coalesce("text", F.lit(""))))
     else:
         pieces = F.transform(F.split("text", r"(?<=[.!?])(?=[\t\n\f\r ])[\t\n\f\r ]+"), go_trim)
 
@@ -155,10 +207,20 @@ def chunk(df: DataFrame, mode: str = "sentence", most: int | Column = 900, keep_
         return pd.Series([None if x is None else [y for p in x for y in split_by_size(p, int(n), keep_words)] for x, n in zip(lists, sizes, strict=True)], dtype=object)
 
     limit = F.lit(most) if isinstance(most, int) else most
-    listed = df.select("doc_id", *carry, limit.cast("long").alias("_most"), (pieces if mode == "size" else F.filter(pieces, lambda x: x != "")).alias("_p"))
-    long = F.exists("_p", lambda x: F.octet_length(x) > F.col("_most"))
-    fitted = listed.withColumn("_c", cut(F.when(long, F.col("_p")), F.col("_most")))
-    return fitted.select("doc_id", *carry, F.posexplode(F.coalesce("_c", "_p")).alias("_n", "chunk")).select("doc_id", F.col("_n").cast("long").alias("chunk_no"), "chunk", *carry)
+    listed = df.select("doc_id", *carry, limit.cast("long").alias("most"), F.filter(pieces, lambda x: x != "").alias("_p"))
+    long = F.exists("_p", lambda x: F.octet_length(x) > F.col("most"))
+    fitted = listed.withColumn("_c", cut(F.when(long, F.col("_p")), F.col("most")))
+    return fitted.select("doc_id", *carry, "most", F.coalesce("_c", "_p").alias("chunks"))
+
+
+def numbered(listed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_no, chunk, and the columns `carry`) out of lists of chunks."""
+    return listed.select("doc_id", *carry, F.posexplode("chunks").alias("_n", "chunk")).select("doc_id", F.col("_n").cast("long").alias("chunk_no"), "chunk", *carry)
+
+
+def chunk(df: DataFrame, mode: str = "sentence", most: int | Column = 900, keep_words: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_no, chunk, and the columns `carry`): the chunks of chunk_lists(), one a row."""
+    return numbered(chunk_lists(df, mode, most, keep_words, carry), carry)
 
 
 def merged_small(chunks: list[str], least: int, most: int) -> list[str]:
@@ -180,20 +242,27 @@ def merged_small(chunks: list[str], least: int, most: int) -> list[str]:
     return [x for x in out if x]
 
 
-def merge_small(chunks: DataFrame, least: int = 100, most: int | Column = 900, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Chunks of each text merged in order; `most` may be a column, one value a text, as may the columns `carry`.
+def merge_lists(listed: DataFrame, least: int = 100) -> DataFrame:
+    """chunk_lists() with chunks merged in order, each list on its own row: nothing is shuffled."""
+    at, most = listed.columns.index("chunks"), listed.columns.index("most")
 
-    The order decides, so a text's chunks meet on one row; one pass over them in Arrow batches is linear.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [None if x is None else merged_small(x, least, n) for x, n in zip(batch.column(at).to_pylist(), batch.column(most).to_pylist(), strict=True)]
+            yield batch.set_column(at, "chunks", pa.array(merged, pa.list_(pa.string())))
+
+    return listed.mapInArrow(run, listed.schema)
 
-    @F.pandas_udf("array<string>")
-    def merge(lists: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([merged_small(list(x), least, int(n)) for x, n in zip(lists, sizes, strict=True)], dtype=object)
 
+def merge_small(chunks: DataFrame, least: int = 100, most: int | Column = 900, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Numbered chunks of each text merged in order; `most` may be a column, one value a text, as may the columns `carry`.
+
+    The order decides, so a text's chunks meet on one row; where they still are on one, merge_lists() moves nothing.
+    """
     limit = F.lit(most) if isinstance(most, int) else most
-    together = chunks.withColumn("_most", limit.cast("long")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"), F.first("_most").alias("_most"), *(F.first(c).alias(c) for c in carry))
-    merged = merge(F.transform("c", lambda x: x["chunk"]), F.col("_most"))
-    return together.withColumn("_m", merged).select("doc_id", *carry, F.posexplode("_m").alias("n", "chunk")).select("doc_id", F.col("n").cast("long").alias("chunk_no"), "chunk", *carry)
+    together = chunks.withColumn("most", limit.cast("long")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"), F.first("most").alias("most"), *(F.first(c).alias(c) for c in carry))
+    listed = together.select("doc_id", *carry, "most", F.transform("c", lambda x: x["chunk"]).alias("chunks"))
+    return numbered(merge_lists(listed, least), carry)
 
 
 def drop_silent_chunks(chunks: DataFrame, lang: Column) -> DataFrame:

@@ -90,8 +90,7 @@ def chunk_job(df: DataFrame, options: Options | None = None, providers: DataFram
     speaks = F.col("_speaks_markup") if providers is not None else F.lit(True)
     spoken = named.withColumn("_speaks_markup", speaks).withColumn("text", F.when(F.col("_speaks_markup"), markup.with_breaks(F.col("text"), o.pauses)).otherwise(F.col("text")))
     more = ("_lang", "_speaks_markup", "_max_chunk")
-    chunks = segment.chunk(spoken, "sentence", F.col("_max_chunk"), carry=more)
-    merged = segment.merge_small(chunks, o.least, F.col("_max_chunk"), carry=more)
+    merged = segment.numbered(segment.merge_lists(segment.chunk_lists(spoken, "sentence", F.col("_max_chunk"), carry=more), o.least), more)
     heard = segment.drop_silent_chunks(merged, F.col("_lang") if providers is not None else F.lit(""))
     wrapped = F.when(F.col("_speaks_markup"), F.concat(F.lit("<speak>"), "chunk", F.lit("</speak>"))).otherwise(F.col("chunk"))
     return heard.select("doc_id", "chunk_no", wrapped.alias("chunk"))

@@ -663,19 +663,65 @@ def d5_count_parts(spark, sf_dir):
     return segment.count_parts(separated(spark, sf_dir))
 
 
-@query()
+WHOLE_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\\t\\n\\f\\r ]+', '\\1' || chr(3), 'g'), chr(3)), lambda x: {sql_trim('x')}), lambda x: x <> '')"
+LOOSE = f"list_filter(list_transform(string_split_regex(text, '\\n[\\t\\n\\f\\r ]*\\n+'), lambda x: regexp_replace({sql_trim('x')}, '[\\t\\n\\f\\r ]+', ' ', 'g')), lambda x: x <> '')"
+BLANKS_SQL = "(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+
+def pieces_cte(name: str, items: str, source: str = "documents", carry: str = "") -> str:
+    """A CTE (doc_id, pn, piece, most) of the items of each text."""
+    return f"{name} AS (SELECT doc_id, {carry} unnest(range(1, len(p) + 1)) AS pn, unnest(p) AS piece FROM (SELECT doc_id, {carry} {items} AS p FROM {source}))"
+
+
+def cut_cte(source: str, name: str, most: str, carry: str = "") -> str:
+    """CTEs that cut pieces of over `most` bytes (a number, or a column of source): (doc_id, chunk_no, chunk).
+
+    Every character's end is a place (its byte, its number, the byte where the tag around it opens);
+    the walk goes from cut to cut among the places that a piece can reach.
+    """
+    near = "l.places[w.i + 1 : w.i + l.most]"
+    last = lambda over, more: f"list_filter({near}, lambda x: x.b > w.b + {over} AND x.b <= w.b + l.most{more})[-1]"
+    return f"""{name}_ch AS (SELECT doc_id, {carry} pn, piece, {most} AS most, unnest(range(1, length(piece) + 1)) AS i, unnest(string_split(piece, '')) AS c FROM {source} WHERE strlen(piece) > {most}),
+    {name}_at AS (SELECT *, CAST(sum(strlen(c)) OVER w AS BIGINT) AS b, lead(c) OVER w AS follows FROM {name}_ch WINDOW w AS (PARTITION BY doc_id, pn ORDER BY i)),
+    {name}_mark AS (SELECT *, max(CASE WHEN c IN ('<', '>') THEN 2 * b + CAST(c = '<' AS INT) END) OVER (PARTITION BY doc_id, pn ORDER BY i) AS m FROM {name}_at),
+    {name}_place AS (SELECT *, {{'b': b, 'i': i, 'q': CASE WHEN m % 2 = 1 THEN m // 2 - 1 ELSE -1 END, 'k': CASE WHEN c IN ('.', '!', '?') AND follows IN {BLANKS_SQL} THEN 's' WHEN c IN {BLANKS_SQL} THEN 'w' ELSE '' END}} AS place FROM {name}_mark),
+    {name}_lists AS MATERIALIZED (SELECT doc_id, pn, any_value(piece) AS piece, any_value(most) AS most, max(b) AS total, max(i) AS chars, list(place ORDER BY i) AS places FROM {name}_place GROUP BY ALL),
+    {name}_walk AS (SELECT doc_id, pn, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS i FROM {name}_lists
+      UNION ALL SELECT doc_id, pn, n + 1, CASE WHEN total - b <= most THEN total ELSE place.b END, CASE WHEN total - b <= most THEN chars ELSE place.i END FROM (
+        SELECT w.*, l.total, l.chars, l.most, coalesce({last("l.most // 2", " AND x.q < w.b AND x.k = 's'")}, {last("l.most // 2", " AND x.q < w.b AND x.k = 'w'")}, {last("0", " AND x.q < w.b")}, {last("0", "")}, l.places[w.i + 1]) AS place
+        FROM {name}_walk w JOIN {name}_lists l ON l.doc_id = w.doc_id AND l.pn = w.pn WHERE w.b < l.total)),
+    {name}_cuts AS (SELECT *, lead(i) OVER (PARTITION BY doc_id, pn ORDER BY n) AS upto FROM {name}_walk),
+    {name}_all AS (SELECT doc_id, pn, CAST(0 AS BIGINT) AS n, piece AS chunk FROM {source} WHERE strlen(piece) <= {most}
+      UNION ALL SELECT doc_id, pn, n, {sql_trim("substr(piece, CAST(i + 1 AS BIGINT), CAST(upto - i AS BIGINT))")} FROM {name}_cuts JOIN (SELECT doc_id, pn, piece FROM {name}_lists) USING (doc_id, pn) WHERE upto IS NOT NULL),
+    {name} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pn, n) - 1 AS chunk_no, chunk FROM {name}_all WHERE chunk <> '')"""
+
+
+def merged_cte(source: str, name: str, least: int, most: str) -> str:
+    """CTEs that merge chunks (doc_id, chunk_no, chunk) of under `least` bytes with the next ones; most: bytes, by doc_id."""
+    full = f"strlen(now) + 1 + strlen(chunk) > {most} OR strlen(now) >= {least}"
+    return f"""{name}_walk AS (SELECT doc_id, chunk_no AS rn, chunk AS now, CAST(0 AS BIGINT) AS n FROM {source} WHERE chunk_no = 0
+      UNION ALL SELECT c.doc_id, c.chunk_no, CASE WHEN {full} THEN chunk ELSE now || ' ' || chunk END, CASE WHEN {full} THEN n + 1 ELSE n END FROM {name}_walk w JOIN {source} c ON c.doc_id = w.doc_id AND c.chunk_no = w.rn + 1),
+    {name} AS (SELECT doc_id, n AS chunk_no, arg_max(now, rn) AS chunk FROM {name}_walk GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {pieces_cte('p', WHOLE_SENTENCES)}, {cut_cte('p', 'cut', '900')} SELECT doc_id, chunk_no, chunk FROM cut")
 def d6_chunk_by_sentence(spark, sf_dir):
     return segment.chunk(docs(spark, sf_dir), "sentence", 900)
 
 
-@query()
+@query(f"WITH RECURSIVE p AS (SELECT doc_id, 1 AS pn, {sql_trim('text')} AS piece FROM documents), {cut_cte('p', 'cut', '900')} SELECT doc_id, chunk_no, chunk FROM cut")
 def d6_chunk_by_size(spark, sf_dir):
     return segment.chunk(docs(spark, sf_dir), "size", 900)
 
 
-@query()
+@query(f"WITH RECURSIVE {pieces_cte('p', LOOSE)}, {cut_cte('p', 'cut', '900')} SELECT doc_id, chunk_no, chunk FROM cut")
+def d6_chunk_by_paragraph(spark, sf_dir):
+    return segment.chunk(docs(spark, sf_dir), "paragraph", 900)
+
+
+@query(f"WITH RECURSIVE {pieces_cte('p', WHOLE_SENTENCES)}, {cut_cte('p', 'cut', '900')}, {merged_cte('cut', 'merged', 100, '900')} SELECT doc_id, chunk_no, chunk FROM merged")
 def d7_merge_small(spark, sf_dir):
-    return segment.merge_small(segment.chunk(docs(spark, sf_dir), "sentence", 900), 100, 900)
+    return segment.numbered(segment.merge_lists(segment.chunk_lists(docs(spark, sf_dir), "sentence", 900), 100))
 
 
 @query(f"WITH {CHAPTERS} SELECT book_id, chapter_no, CASE WHEN NOT regexp_matches(content, '[\\p{{L}}\\p{{Nd}}]') THEN 1000 END AS duration_ms FROM chapters")
@@ -844,14 +890,23 @@ def d1_loose_paragraphs(spark, sf_dir):
     return segment.loose_paragraphs(docs(spark, sf_dir))
 
 
-@query()
-def d9_chunk_job(spark, sf_dir):
-    return prepare.chunk_job(docs(spark, sf_dir))
+#: Providers by document: what they speak, and the most bytes of a chunk.
+CHUNK_PROVIDERS = (("local", False, False, False, False, 5000), ("cloud", True, False, False, False, 4000), ("hosted", True, False, False, False, 900))
+PROVIDER_OF = "['local', 'cloud', 'hosted', 'none'][doc_id % 4 + 1]"
+CHUNK_JOB = f"""{SPOKEN.replace("WITH p AS", "said_p AS").replace("FROM p)", "FROM said_p)").replace("s AS (SELECT", "said AS (SELECT")},
+  by_provider AS (SELECT s.doc_id, d.provider, d.lang, d.provider IN ('cloud', 'hosted') AS speaks, CASE d.provider WHEN 'local' THEN 5000 WHEN 'hosted' THEN 900 ELSE 4000 END AS most,
+    CASE WHEN d.provider IN ('cloud', 'hosted') AND {sql_trim("s.text")} <> '' THEN s.spoken ELSE s.text END AS text FROM said s JOIN (SELECT doc_id, lang, {PROVIDER_OF} AS provider FROM documents) d USING (doc_id)),
+  {pieces_cte("p", WHOLE_SENTENCES, "by_provider", "most,")}, {cut_cte("p", "cut", "most")},
+  sized AS (SELECT c.*, b.most FROM cut c JOIN by_provider b USING (doc_id)), {merged_cte("sized", "merged", 100, "c.most")}"""
 
 
-@query()
-def d8_heard_chunks(spark, sf_dir):
-    return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", 2000), F.lit("en"))
+@query(
+    f"""WITH RECURSIVE {CHUNK_JOB} SELECT doc_id, chunk_no, CASE WHEN speaks THEN '<speak>' || chunk || '</speak>' ELSE chunk END AS chunk FROM merged JOIN by_provider USING (doc_id)
+    WHERE regexp_matches(chunk, '[\\p{{L}}\\p{{Nd}}]') AND (lang <> 'en' OR regexp_matches(chunk, '[A-Za-zÀ-ſ]'))"""
+)
+def d9_chunk_job(spark, sf_dir):
+    provider = F.get(F.array(*(F.lit(x) for x in ("local", "cloud", "hosted", "none"))), F.pmod("doc_id", F.lit(4)).cast("int"))
+    return prepare.chunk_job(docs(spark, sf_dir).withColumn("provider", provider), prepare.Options(pauses=TAGS), spark.createDataFrame(CHUNK_PROVIDERS, prepare.PROVIDERS))
 
 
 @query()
@@ -961,36 +1016,9 @@ def d3_lossless_pieces(spark, sf_dir):
     return segment.sentences_lossless(docs(spark, sf_dir))
 
 
-WHOLE_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\\t\\n\\f\\r ]+', '\\1' || chr(3), 'g'), chr(3)), lambda x: {sql_trim('x')}), lambda x: x <> '')"
-LOOSE = f"list_filter(list_transform(string_split_regex(text, '\\n[\\t\\n\\f\\r ]*\\n+'), lambda x: regexp_replace({sql_trim('x')}, '[\\t\\n\\f\\r ]+', ' ', 'g')), lambda x: x <> '')"
-#: Bytes that no sentence or paragraph of the tables has.
-NEVER_CUT = 10_000_000
-
-
-@query(f"SELECT doc_id, unnest(range(len(p))) AS chunk_no, unnest(p) AS chunk FROM (SELECT doc_id, {WHOLE_SENTENCES} AS p FROM documents)")
-def d6_whole_sentences(spark, sf_dir):
-    return segment.chunk(docs(spark, sf_dir), "sentence", NEVER_CUT)
-
-
-@query(f"SELECT doc_id, unnest(range(len(p))) AS chunk_no, unnest(p) AS chunk FROM (SELECT doc_id, {LOOSE} AS p FROM documents)")
-def d6_whole_paragraphs(spark, sf_dir):
-    return segment.chunk(docs(spark, sf_dir), "paragraph", NEVER_CUT)
-
-
-@query(
-    f"""WITH RECURSIVE l AS (SELECT doc_id, {WHOLE_SENTENCES} AS p FROM documents), c AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS rn, unnest(p) AS chunk FROM l),
-    walk AS (SELECT doc_id, rn, chunk AS now, CAST(0 AS BIGINT) AS chunk_no FROM c WHERE rn = 1
-      UNION ALL SELECT c.doc_id, c.rn, CASE WHEN strlen(now) + 1 + strlen(chunk) > 900 OR strlen(now) >= 100 THEN chunk ELSE now || ' ' || chunk END,
-      CASE WHEN strlen(now) + 1 + strlen(chunk) > 900 OR strlen(now) >= 100 THEN chunk_no + 1 ELSE chunk_no END FROM walk w JOIN c ON c.doc_id = w.doc_id AND c.rn = w.rn + 1)
-    SELECT doc_id, chunk_no, arg_max(now, rn) AS chunk FROM walk GROUP BY 1, 2"""
-)
-def d7_merged_sentences(spark, sf_dir):
-    return segment.merge_small(segment.chunk(docs(spark, sf_dir), "sentence", NEVER_CUT), 100, 900)
-
-
-@query(f"SELECT * FROM (SELECT doc_id, unnest(range(len(p))) AS chunk_no, unnest(p) AS chunk FROM (SELECT doc_id, {LOOSE} AS p FROM documents)) WHERE regexp_matches(chunk, '[\\p{{L}}\\p{{Nd}}]') AND regexp_matches(chunk, '[A-Za-zÀ-ſ]')")
-def d8_heard_paragraphs(spark, sf_dir):
-    return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", NEVER_CUT), F.lit("en"))
+@query(f"WITH RECURSIVE {pieces_cte('p', LOOSE)}, {cut_cte('p', 'cut', '2000')} SELECT * FROM cut WHERE regexp_matches(chunk, '[\\p{{L}}\\p{{Nd}}]') AND regexp_matches(chunk, '[A-Za-zÀ-ſ]')")
+def d8_heard_chunks(spark, sf_dir):
+    return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", 2000), F.lit("en"))
 
 
 def sql_any_en(n: str) -> str:
