@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.folders import kept
+
 TERMINAL = ("completed", "failed", "cancelled")
 
 
@@ -53,20 +55,28 @@ def dictionary_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("entries"))
 
 
-def ranked(rows: DataFrame, first: str, name: str, descending: bool = False) -> DataFrame:
-    """Enabled rows by `first`, then by name, with their rank.
+def ranked_rows(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place in an order, from 1: dealt out by ranges of it, each task's rows after those of the tasks before.
 
-    Rows are numbered within those of equal `first` and equal first letters of the name, and after
-    the rows of the groups before; only the groups' sizes meet in one place.
+    A task's share is bounded by the ranges, whatever the keys begin with; only rows alike in all of the
+    order stay together. What meets in one place is a count for each range.
     """
-    own = rows.where("enabled").withColumn("_start", F.left(F.col(name).cast("string"), F.lit(3)))
-    at = [first, "_start"]
-    sizes = own.groupBy(*at).agg(F.count("*").alias("n"))
-    order = W.orderBy(F.desc(first) if descending else first, "_start").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in at), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before"))
-    inside = own.withColumn("_inside", F.row_number().over(W.partitionBy(*at).orderBy(name)))
-    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in at))
-    return inside.join(before, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("long").alias("rank"))
+    part, at = "_range", "_place"
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # written, so that numbers and counts are of the same ranges
+    own = kept(dealt.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    counts = own.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(part).alias("_of"), before.alias("_before"))
+    placed = own.join(F.broadcast(starts), F.col(part) == F.col("_of"))
+    return placed.select(*rows.columns, (F.col(at) + F.col("_before") + 1).cast("long").alias(name))
+
+
+def ranked(rows: DataFrame, first: str, name: str, descending: bool = False) -> DataFrame:
+    """Enabled rows by `first`, then by name, then by what else tells them apart, with their rank."""
+    rest = [c for c in rows.columns if c not in (first, name)]
+    order = [F.desc_nulls_last(first) if descending else F.asc_nulls_first(first), *(F.asc_nulls_first(c) for c in (name, *rest))]
+    return ranked_rows(rows.where("enabled"), order)
 
 
 def single_default(rows: DataFrame, chosen: int) -> DataFrame:

@@ -780,19 +780,35 @@ def streamed(spark, sf_dir) -> DataFrame:
     return events.event_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"), "value", "event_type")
 
 
+#: The events as events.arrivals() brings them: in four batches, each with the latest time before it.
+ARRIVED = f"""arrived AS (SELECT user_id AS job_id, event_id, ts, epoch_us(ts) AS us, value, c.status, CAST(least(event_id * 4 // (max(event_id) OVER () + 1) + CASE WHEN event_id % 7 = 3 THEN 1 WHEN event_id % 11 = 5 THEN 2 ELSE 0 END, 3) AS BIGINT) AS batch
+    FROM events JOIN (SELECT event_id, status FROM ({CHANGES})) c USING (event_id)),
+  tops AS (SELECT batch, max(us) AS top FROM arrived GROUP BY 1),
+  met AS (SELECT a.*, (SELECT max(top) FROM tops t WHERE t.batch < a.batch) AS before, (SELECT max(top) FROM tops t WHERE t.batch < a.batch - 1) AS before_last, (SELECT max(top) FROM tops) AS top FROM arrived a)"""
+#: Those that the watermark, so many milliseconds behind, hadn't passed when they came, and has at the end.
+DELAY = 3 * 24 * 3600 * 1000
+TAKEN = f"{ARRIVED}, taken AS (SELECT * FROM met WHERE us // 1000 > coalesce(before // 1000 - {DELAY}, 0) AND us // 1000 <= top // 1000 - {DELAY})"
+
+
+def arriving(spark, sf_dir) -> DataFrame:
+    status = F.coalesce(F.create_map(*(F.lit(x) for p in EVENT_STATUS.items() for x in p))[F.col("event_type")], F.lit("pending"))
+    return events.arrivals(spark, sf_dir).select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"), "value")
+
+
 @query(f"SELECT job_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(status, (ts, event_id)) AS status FROM ({CHANGES}) GROUP BY 1")
 def i1_latest_state(spark, sf_dir):
-    return events.run_available(events.latest_state(streamed(spark, sf_dir)), "complete", "i1")
+    return events.run_upserts(events.latest_state(arriving(spark, sf_dir)), ["job_id"], "i1", every=2)
 
 
-@query(f"SELECT job_id, event_id, ts FROM ({CHANGES}) WHERE status = 'pending'")
+@query(f"WITH {ARRIVED} SELECT job_id, event_id, ts, batch, row_number() OVER (PARTITION BY batch ORDER BY ts, event_id) AS place FROM arrived WHERE status = 'pending'")
 def i2_pending_intake(spark, sf_dir):
-    return events.run_available(events.pending_intake(streamed(spark, sf_dir)), "append", "i2", order=("ts", "event_id")).select("job_id", "event_id", "ts")
+    return events.run_intake(events.pending_intake(arriving(spark, sf_dir)), ["ts", "event_id"], "i2").select("job_id", "event_id", "ts", "batch", "place")
 
 
-@query(f"SELECT job_id, event_id, ts, status FROM ({CHANGES})")
+@query(f"WITH {ARRIVED} SELECT job_id, event_id, ts, status FROM met WHERE us > coalesce((before_last // 1000 - 300000) * 1000, 0)")
 def i3_unexpired(spark, sf_dir):
-    twice = streamed(spark, sf_dir).select("job_id", "event_id", "ts", "status").withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
+    """Each event twice; those expire that came over five minutes behind what the stream had seen two batches before."""
+    twice = arriving(spark, sf_dir).select("job_id", "event_id", "ts", "status").withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
     return events.run_available(events.unexpired(twice), "append", "i3").select("job_id", "event_id", "ts", "status")
 
 
@@ -807,24 +823,35 @@ def i5_gauges(spark, sf_dir):
     return events.run_available(events.gauges(streamed(spark, sf_dir).withColumnRenamed("event_type", "name").withColumn("labels", labels)), "complete", "i5")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TAKEN}, e AS (SELECT job_id, event_id, value, row_number() OVER (PARTITION BY job_id ORDER BY us, event_id) AS n FROM taken),
+    walk AS (SELECT job_id, event_id, value, n, value AS last, true AS let FROM e WHERE n = 1
+      UNION ALL SELECT e.job_id, e.event_id, e.value, e.n, CASE WHEN e.value >= w.last + 0.1 THEN e.value ELSE w.last END, e.value >= w.last + 0.1 FROM walk w JOIN e ON e.job_id = w.job_id AND e.n = w.n + 1)
+    SELECT job_id, event_id, value FROM walk WHERE let"""
+)
 def i6_throttle_progress(spark, sf_dir):
-    return events.run_available(events.throttled(streamed(spark, sf_dir).select("job_id", "event_id", "value")), "append", "i6").select("job_id", "event_id", "value")
+    return events.run_available(events.throttled(arriving(spark, sf_dir), delay="3 days"), "append", "i6").select("job_id", "event_id", "value")
 
 
 @query(
-    f"""WITH e AS (SELECT user_id AS job_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events)
-    SELECT job_id, event_id, n / total AS progress FROM e WHERE n % 5 = 0 OR (10 * n >= total AND 10 * n // total > greatest(0, 10 * n - total) // total)"""
+    f"""WITH {TAKEN}, e AS (SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY us, event_id) AS n FROM taken), t AS (SELECT user_id AS job_id, count(*) AS total FROM events GROUP BY 1)
+    SELECT job_id, event_id, n / total AS progress FROM e JOIN t USING (job_id) WHERE n % 5 = 0 OR (10 * n >= total AND 10 * n // total > greatest(0, 10 * n - total) // total)"""
 )
 def i6_saved_progress(spark, sf_dir):
-    done = streamed(spark, sf_dir).select("job_id", "event_id")
     totals = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("total"))
-    return events.run_available(events.saved_progress(done.join(totals, "job_id")), "append", "i6s").select("job_id", "event_id", "progress")
+    return events.run_available(events.saved_progress(arriving(spark, sf_dir).join(totals, "job_id"), delay="3 days"), "append", "i6s").select("job_id", "event_id", "progress")
 
 
-@query()
+@query(
+    f"""WITH {TAKEN}, e AS (SELECT job_id, us // 1000 AS ms, top // 1000 - {DELAY} AS now, us, event_id FROM taken),
+    g AS (SELECT *, coalesce(ms - lag(ms) OVER w > 3600000, true) AS opens FROM e WINDOW w AS (PARTITION BY job_id ORDER BY us, event_id)),
+    p AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY job_id ORDER BY us, event_id) AS n FROM g),
+    s AS (SELECT job_id, n, min(ms) AS opened, max(ms) AS ended, count(*) AS events, any_value(now) AS now FROM p GROUP BY 1, 2)
+    SELECT job_id, opened, ended, events FROM s WHERE ended + 3600000 <= now OR n < (SELECT max(n) FROM s t WHERE t.job_id = s.job_id)"""
+)
 def i7_ttl_previews(spark, sf_dir):
-    return events.run_available(events.ttl_previews(streamed(spark, sf_dir)), "append", "i7").select("job_id", "opened", "ended", "events")
+    """Previews of an hour that have closed; those whose hour the watermark hasn't passed are open."""
+    return events.run_available(events.ttl_previews(arriving(spark, sf_dir), 3_600_000, "3 days"), "append", "i7").select("job_id", "opened", "ended", "events")
 
 
 @query(

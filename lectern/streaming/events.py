@@ -7,13 +7,15 @@ over all that is there and returns what it wrote.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lectern.functions.folders import shared_folder
+from lectern.operators.jobs import ranked_rows, upsert
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,21 +25,111 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, mode: str, name: str, order: tuple[str, ...] = ()) -> DataFrame:
-    """Runs a stream over what is there. Append keeps all batches, complete the last one; `order` sorts each batch."""
+def arrivals(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """The events as they might arrive: in `batches` files, a micro-batch each, some events one or two batches after their turn."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder, last = shared_folder(spark, "arrivals"), events.agg(F.max("event_id")).first()[0]
+    turn = F.floor(F.col("event_id") * batches / F.lit((last or 0) + 1)) + F.when(F.col("event_id") % 7 == 3, 1).when(F.col("event_id") % 11 == 5, 2).otherwise(0)
+    for n in range(batches):
+        events.where(F.least(turn, F.lit(batches - 1)) == n).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start_available(stream: DataFrame, mode: str, write, folder: str) -> None:
+    """Runs a stream over what is there, batch by batch through `write`, with state in RocksDB: it may be larger than memory."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, ROCKSDB)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+    query.awaitTermination()
+
+
+def _local_times(rows: DataFrame) -> DataFrame:
+    times = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp"]
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times}) if times else rows
+
+
+def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Runs a stream over what is there and returns its rows. Append keeps all batches, each in a folder of its number; complete the last one."""
     spark, out = stream.sparkSession, shared_folder(stream.sparkSession, name)
-    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{out}/rows/batch=-1")
     last: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        (batch.orderBy(*order) if order else batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
         last.append(number)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    rows = spark.read.schema(stream.schema).parquet(f"{out}/rows/batch={last[-1] if last else -1}" if mode == "complete" else f"{out}/rows/*")
-    times = [f.name for f in stream.schema if f.dataType.typeName() == "timestamp"]
-    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times}) if times else rows
+    start_available(stream, mode, write, out)
+    if not last:
+        return _local_times(spark.createDataFrame([], stream.schema))
+    chosen = last[-1:] if mode == "complete" else sorted(set(last))
+    return _local_times(spark.read.schema(stream.schema).parquet(*(f"{out}/rows/batch={n}" for n in chosen)))
+
+
+class Upserts:
+    """A table of rows by key that a stream's batches change; writing a batch again changes nothing.
+
+    Each batch's changes are a folder of their own, replaced as a whole, so only they are written. What a
+    key's row is, the last batch with it says. Each `every` batches the changes since the last base
+    are merged into a new one, so reading looks at that and a few batches.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema, keys: list[str], every: int = 8):
+        self.spark, self.folder, self.schema, self.keys, self.every = spark, folder, schema, keys, every
+        self.batches: list[int] = []
+        self.base = -1
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        if number <= self.base:
+            return  # merged before
+        batch.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={number}")
+        self.batches = sorted({*self.batches, number})
+        if number % self.every == self.every - 1:
+            self.read().write.mode("overwrite").parquet(f"{self.folder}/base/upto={number}")
+            self.batches, self.base = [], number
+
+    def read(self) -> DataFrame:
+        read = lambda path: self.spark.read.schema(self.schema).parquet(path)
+        now = read(f"{self.folder}/base/upto={self.base}") if self.base >= 0 else self.spark.createDataFrame([], self.schema)
+        if not self.batches:
+            return now
+        rows = [read(f"{self.folder}/changes/batch={n}").withColumn("_batch", F.lit(n)) for n in self.batches]
+        changes = reduce(DataFrame.unionByName, rows)
+        value = F.struct("_batch", *(c for c in now.columns if c not in self.keys))
+        last = changes.groupBy(*self.keys).agg(F.max(value).alias("_v")).select(*(F.col(c) if c in self.keys else F.col(f"_v.{c}") for c in now.columns))
+        return upsert(now, last, self.keys, keep_first="")
+
+
+def run_upserts(stream: DataFrame, keys: list[str], name: str, every: int = 8) -> DataFrame:
+    """Runs a stream in update mode over what is there into a table by key, and returns the table."""
+    spark, out = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    table = Upserts(spark, f"{out}/table", stream.schema, keys, every)
+    start_available(stream, "update", table.write, out)
+    return _local_times(table.read())
+
+
+def run_intake(stream: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Runs a stream over what is there and returns its rows with batch and place: oldest first in each batch, by `order`.
+
+    A batch is a folder of its own, replaced as a whole if it comes again; places are given by ranges of the order.
+    """
+    spark, out = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    written: set[int] = set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        ranked_rows(batch, [F.asc_nulls_first(c) for c in order], "place").withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/rows/batch_no={number}")
+        written.add(number)
+
+    start_available(stream, "append", write, out)
+    if not written:
+        return _local_times(spark.createDataFrame([], stream.schema)).withColumns({"place": F.lit(0).cast("long"), "batch": F.lit(0).cast("long")})
+    return _local_times(spark.read.parquet(*(f"{out}/rows/batch_no={n}" for n in sorted(written))))
 
 
 def latest_state(events: DataFrame) -> DataFrame:
@@ -47,7 +139,7 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def pending_intake(events: DataFrame) -> DataFrame:
-    """Pending events; run_available() puts each batch in order, oldest first."""
+    """Pending events; run_intake() puts each batch in order, oldest first."""
     return events.where("status = 'pending'").select("job_id", "event_id", "ts")
 
 
@@ -69,57 +161,139 @@ def gauges(events: DataFrame) -> DataFrame:
     return events.groupBy("name", labels.alias("labels")).agg(last.alias("value"))
 
 
-def throttled(progress: DataFrame, step: float = 0.1) -> DataFrame:
-    """Progress (job_id, event_id, value) in order: a job's first, and each at least `step` over the last one let through."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, rows = state.get[0] if state.exists else None, pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for event, value in zip(rows["event_id"], rows["value"], strict=True):
-            if last is None or value >= last + step:
-                last = value
-                out.append((key[0], event, value))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "value"])
-
-    return progress.groupBy("job_id").applyInPandasWithState(run, "job_id long, event_id long, value double", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def saved_progress(done: DataFrame, every: int = 5, step: int = 10) -> DataFrame:
-    """Finished chapters (job_id, event_id, total) of a job at which its progress is saved: each `every`th, and where it passes a tenth."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, rows, out = state.get[0] if state.exists else 0, pd.concat(list(batches)).sort_values("event_id"), []
-        for event, total in zip(rows["event_id"].tolist(), rows["total"].tolist(), strict=True):
-            n += 1
-            # in whole numbers, so that a tenth is a tenth
-            if n % every == 0 or step * n >= total and step * n // total > max(0, step * n - total) // total:
-                out.append((key[0], event, n / total))
-        state.update((n,))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "progress"])
-
-    return done.groupBy("job_id").applyInPandasWithState(run, "job_id long, event_id long, progress double", "n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def ttl_previews(events: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
-    """(job_id, opened, ended, events): previews that close when no event came for their time to live."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], *state.get))
-            state.remove()
-        else:
-            now = list(state.get) if state.exists else None
-            for ts in sorted(t for b in batches for t in b["ts"].astype("int64") // 1_000_000):
-                if now and ts - now[1] > ttl_ms:
-                    out.append((key[0], *now))
-                    now = None
-                now = [now[0] if now else ts, ts, (now[2] if now else 0) + 1]
-            state.update(tuple(now))
-            state.setTimeoutTimestamp(max(now[1] + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["job_id", "opened", "ended", "events"])
-
-    timed = events.withWatermark("ts", f"{ttl_ms} milliseconds").select("job_id", "ts")
-    return timed.groupBy("job_id").applyInPandasWithState(run, "job_id long, opened long, ended long, events long", "opened long, ended long, events long", "append", GroupStateTimeout.EventTimeTimeout)
+#: What a job's event carries while it waits for its turn.
+_EVENT = "ts long, event_id long"
+_LATER = 1 << 62
+
+
+class InOrder(StatefulProcessor):
+    """Takes each job's events by (ts, event_id), whatever batch they came in, once the watermark has passed them.
+
+    Events wait in a map of the state store, of which one timer a job knows the first; one that comes
+    when the watermark has passed it is late and expires. What is held of a job is what its last
+    `delay` brought, and the few numbers of `now`. Subclasses say what an event does (take) and what
+    the watermark does when no event comes (pass_time).
+    """
+
+    #: The schema of `now`, and its value before the first event.
+    now_schema, begin = "n long", (0,)
+    columns = ["job_id", "event_id"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", _EVENT, "value double")
+        self.now = handle.getValueState("now", self.now_schema)
+
+    def take(self, job: object, now: tuple, ts: int, event: int, value: float) -> tuple[tuple, list[tuple]]:
+        raise NotImplementedError
+
+    def pass_time(self, job: object, now: tuple, watermark: int) -> tuple[tuple, list[tuple], int]:
+        """The new `now`, rows, and the time (ms) to look again."""
+        return now, [], _LATER
+
+    def _wake(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at < _LATER:
+            self.handle.registerTimer(max(at, 0))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        watermark, first = timerValues.getCurrentWatermarkInMs(), _LATER
+        for batch in rows:
+            for us, event, value in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True):
+                if us // 1000 > watermark:
+                    self.held.updateValue((us, event), (value,))
+                    first = min(first, us // 1000)
+        waits = min([first, *(t + 1 for t in self.handle.listTimers())])
+        # a timer fires when the watermark is over it
+        self._wake(waits - 1 if waits < _LATER else waits)
+        yield pd.DataFrame([], columns=self.columns)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        due, waits, out = [], _LATER, []
+        for (us, event), (value,) in self.held.iterator():
+            if us // 1000 <= watermark:
+                due.append((us, event, value))
+            else:
+                waits = min(waits, us // 1000)
+        now = tuple(self.now.get()) if self.now.exists() else self.begin
+        for us, event, value in sorted(due):
+            now, rows = self.take(key[0], now, us, event, value)
+            out += rows
+            self.held.removeKey((us, event))
+        now, rows, again = self.pass_time(key[0], now, watermark)
+        self.now.update(now)
+        self._wake(min(waits, again) - 1 if min(waits, again) < _LATER else _LATER)
+        yield pd.DataFrame(out + rows, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class _Throttle(InOrder):
+    now_schema, begin, columns = "last double", (float("-inf"),), ["job_id", "event_id", "value"]
+
+    def __init__(self, step: float):
+        self.step = step
+
+    def take(self, job, now, ts, event, value):
+        return ((value,), [(job, event, value)]) if value >= now[0] + self.step else (now, [])
+
+
+class _Save(InOrder):
+    """value: the job's number of chapters."""
+
+    columns = ["job_id", "event_id", "progress"]
+
+    def __init__(self, every: int, step: int):
+        self.every, self.step = every, step
+
+    def take(self, job, now, ts, event, value):
+        n, total, step = now[0] + 1, int(value), self.step
+        # in whole numbers, so that a tenth is a tenth
+        save = n % self.every == 0 or step * n >= total and step * n // total > max(0, step * n - total) // total
+        return (n,), [(job, event, n / total)] if save else []
+
+
+class _Previews(InOrder):
+    """now: when the open preview opened, its last event, and how many it has; none: no events."""
+
+    now_schema, begin, columns = "opened long, ended long, events long", (0, 0, 0), ["job_id", "opened", "ended", "events"]
+
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms
+
+    def take(self, job, now, ts, event, value):
+        ms, (opened, ended, n) = ts // 1000, now
+        if n and ms - ended > self.ttl:
+            return (ms, ms, 1), [(job, opened, ended, n)]
+        return (opened if n else ms, ms, n + 1), []
+
+    def pass_time(self, job, now, watermark):
+        if now[2] and now[1] + self.ttl <= watermark:
+            return self.begin, [(job, *now)], _LATER
+        return now, [], now[1] + self.ttl if now[2] else _LATER
+
+
+def _in_order(events: DataFrame, value: str, processor: InOrder, schema: str, delay: str) -> DataFrame:
+    timed = events.withWatermark("ts", delay).select("job_id", "event_id", F.unix_micros("ts").alias("us"), F.col(value).cast("double").alias("value"), "ts")
+    return timed.groupBy("job_id").transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def throttled(progress: DataFrame, step: float = 0.1, delay: str = "5 minutes") -> DataFrame:
+    """Progress (job_id, event_id, value) in order of (ts, event_id): a job's first, and each at least `step` over the last one let through."""
+    return _in_order(progress, "value", _Throttle(step), "job_id long, event_id long, value double", delay)
+
+
+def saved_progress(done: DataFrame, every: int = 5, step: int = 10, delay: str = "5 minutes") -> DataFrame:
+    """Finished chapters (job_id, event_id, ts, total) of a job at which its progress is saved: each `every`th, and where it passes a tenth."""
+    return _in_order(done, "total", _Save(every, step), "job_id long, event_id long, progress double", delay)
+
+
+def ttl_previews(events: DataFrame, ttl_ms: int = 300_000, delay: str = "5 minutes") -> DataFrame:
+    """(job_id, opened, ended, events): previews that close when no event came for their time to live, by event time.
+
+    The last preview of a job closes when the watermark is its time to live past it; until then it is open.
+    """
+    return _in_order(events, "event_id", _Previews(ttl_ms), "job_id long, opened long, ended long, events long", delay)
