@@ -271,13 +271,13 @@ def normalize_titles(df: DataFrame, lang: str = "en", col: str = "title") -> Dat
 def noun_forms(nouns, lang: str) -> dict[str, tuple[str, str]]:
     """Each form of a language's nouns to (gender, form); a noun itself goes before a plural, then the smallest noun.
 
-    nouns: rows (lang, noun, gender, form, singular, plurals), a list or a DataFrame. A dictionary is a list
-    that a person maintains: a DataFrame of more than MOST_NOUNS rows is an error.
+    nouns: rows (lang, noun, gender, form, singular, plurals), a list, or a DataFrame of at most MOST_NOUNS
+    rows of the language; known_words() joins larger ones.
     """
     if isinstance(nouns, DataFrame):
         nouns = nouns.where(F.col("lang") == lang).limit(MOST_NOUNS + 1).collect()
         if len(nouns) > MOST_NOUNS:
-            raise ValueError(f"over {MOST_NOUNS} nouns: join with lookup_nouns")
+            raise ValueError(f"over {MOST_NOUNS} nouns in one expression: English ones are joined by known_words")
     forms: dict[str, tuple] = {}
     for n in nouns:
         if n.lang == lang:
@@ -302,38 +302,87 @@ def _word(piece: Column, pattern: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(piece, F.lit("")), pattern, 1))
 
 
-def numbers_in_words_en(text: Column, ordinal_words: list[str]) -> Column:
-    """Numbers in English words: ordinals right after one of the words, else cardinals.
+def _among(word: Column, words: list[str] | Column) -> Column:
+    """Whether a word is in a list or an array column."""
+    return F.coalesce(F.array_contains(words, word), F.lit(False)) if isinstance(words, Column) else word.isin(words)
+
+
+def noun_surfaces(nouns: DataFrame, lang: str) -> DataFrame:
+    """(surface, form) of a language's nouns and their plurals, lower-case; a noun itself goes before a plural, then the smallest noun."""
+    mine = nouns.where(F.col("lang") == lang)
+    own = mine.select(F.lower("noun").alias("surface"), F.lit(0).alias("rank"), "noun", "gender", "form")
+    plural = mine.select(F.explode("plurals").alias("surface"), F.lit(1).alias("rank"), "noun", "gender", "form").withColumn("surface", F.lower("surface"))
+    return own.unionByName(plural).groupBy("surface").agg(F.min(F.struct("rank", "noun", "gender", "form"))["form"].alias("form"))
+
+
+def known_words(df: DataFrame, col: str, beside: Column, nouns: DataFrame, lang: str = "en", form: str | None = None) -> DataFrame:
+    """Adds _known: which of the words `beside` a text's numbers are nouns of a table of any size, of one form or any.
+
+    Each text's words are spans of (digest of the text, word), joined with the nouns, and come back by digest.
+    """
+    digest = F.md5(F.col(col))
+    spans = df.select(digest.alias("_key"), F.explode(F.array_distinct(beside)).alias("_word")).where("_word <> ''").distinct()
+    chosen = noun_surfaces(nouns, lang)
+    chosen = chosen.where(F.col("form") == form) if form else chosen
+    found = spans.join(chosen, F.col("_word") == F.col("surface")).groupBy("_key").agg(F.collect_set("_word").alias("_known"))
+    return df.join(found, digest == F.col("_key"), "left").drop("_key")
+
+
+def _open_hyphens(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?<=\p{L})-(?=[0-9])", " ")
+
+
+def words_before_numbers(text: Column) -> Column:
+    """The word right before each number, lower-case."""
+    beside = lambda pieces: F.transform(pieces, lambda p, i: F.when(F.regexp_like(p, F.lit("^-?[0-9]+$")), _word(F.get(pieces, i - 1), _WORD_BEFORE)).otherwise(""))
+    return F.when(has_numbers(text), let(F.split(_open_hyphens(text), _NUMBER_EDGE), beside))
+
+
+def words_beside_romans(text: Column) -> Column:
+    """The words right before and after each Roman numeral, lower-case."""
+
+    def beside(pieces: Column) -> Column:
+        each = F.transform(pieces, lambda p, i: F.when(is_roman(p), F.array(_word(F.get(pieces, i - 1), _WORD_BEFORE), _word(F.get(pieces, i + 1), _WORD_AFTER))).otherwise(F.array().cast("array<string>")))
+        return F.flatten(each)
+
+    return F.when(F.regexp_like(text, F.lit(ROMAN)), let(F.split(F.regexp_replace(text, ROMAN, f"{_MARK}$1{_MARK}"), _MARK), beside))
+
+
+def numbers_in_words_en(text: Column, ordinal_words: list[str] | Column) -> Column:
+    """Numbers in English words: ordinals right after one of the words (a list, or an array of each row's own), else cardinals.
 
     A hyphen between a letter and a number becomes a blank; a number with a hyphen after a digit stays.
     """
-    open_hyphens = F.regexp_replace(text, r"(?<=\p{L})-(?=[0-9])", " ")
 
     def spoken(pieces: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
             n, before = p.try_cast("bigint"), F.coalesce(F.get(pieces, i - 1), F.lit(""))
-            said = F.when(_word(before, _WORD_BEFORE).isin(ordinal_words), ordinal_en(n)).otherwise(cardinal_en(n)) if ordinal_words else cardinal_en(n)
+            none = isinstance(ordinal_words, list) and not ordinal_words
+            said = cardinal_en(n) if none else F.when(_among(_word(before, _WORD_BEFORE), ordinal_words), ordinal_en(n)).otherwise(cardinal_en(n))
             joined = F.startswith(p, F.lit("-")) & F.regexp_like(before, F.lit("[0-9]\\z"))
             return F.when(F.regexp_like(p, F.lit("^-?[0-9]+$")) & n.isNotNull() & ~joined, said).otherwise(p)
 
         return F.array_join(F.transform(pieces, one), "")
 
-    return F.when(has_numbers(text), let(F.split(open_hyphens, _NUMBER_EDGE), spoken)).otherwise(text)
+    return F.when(has_numbers(text), let(F.split(_open_hyphens(text), _NUMBER_EDGE), spoken)).otherwise(text)
 
 
 def normalize_numbers_en(df: DataFrame, col: str = "text", nouns=NOUNS) -> DataFrame:
-    """Numbers in words: ordinals right after a noun that asks for one, else cardinals."""
+    """Numbers in words: ordinals right after a noun that asks for one, else cardinals. A table of nouns is joined, however large."""
+    if isinstance(nouns, DataFrame):
+        known = known_words(df, col, words_before_numbers(F.col(col)), nouns, form="o")
+        return known.withColumn(col, numbers_in_words_en(F.col(col), F.col("_known"))).select(*df.columns)
     ordinal = sorted(w for w, (_, form) in noun_forms(nouns, "en").items() if form == "o")
     return df.withColumn(col, numbers_in_words_en(F.col(col), ordinal))
 
 
-def romans_in_words_en(text: Column, words: list[str]) -> Column:
-    """Valid numerals beside one of the words: cardinals after it, ordinals before it; others stay."""
+def romans_in_words_en(text: Column, words: list[str] | Column) -> Column:
+    """Valid numerals beside one of the words (a list, or an array of each row's own): cardinals after it, ordinals before it; others stay."""
     pieces = F.split(F.regexp_replace(text, ROMAN, f"{_MARK}$1{_MARK}"), _MARK)
 
     def spoken(all_: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
-            beside = [_word(F.get(all_, i - 1), _WORD_BEFORE).isin(words), _word(F.get(all_, i + 1), _WORD_AFTER).isin(words)]
+            beside = [_among(_word(F.get(all_, i - 1), _WORD_BEFORE), words), _among(_word(F.get(all_, i + 1), _WORD_AFTER), words)]
             said = F.when(beside[0], cardinal_en(roman_value(p))).when(beside[1], ordinal_en(roman_value(p))).otherwise(p)
             return F.when(is_roman(p), said).otherwise(p)
 
@@ -343,5 +392,8 @@ def romans_in_words_en(text: Column, words: list[str]) -> Column:
 
 
 def roman_in_words(df: DataFrame, col: str = "text", nouns=NOUNS) -> DataFrame:
-    """Valid numerals beside a known noun in English words."""
+    """Valid numerals beside a known noun in English words. A table of nouns is joined, however large."""
+    if isinstance(nouns, DataFrame):
+        known = known_words(df, col, words_beside_romans(F.col(col)), nouns)
+        return known.withColumn(col, romans_in_words_en(F.col(col), F.col("_known"))).select(*df.columns)
     return df.withColumn(col, romans_in_words_en(F.col(col), sorted(noun_forms(nouns, "en"))))

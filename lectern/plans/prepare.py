@@ -42,18 +42,30 @@ def _wanted(df: DataFrame, o: Options, providers: DataFrame | None) -> DataFrame
     return joined.withColumns({f"_{k}": F.coalesce(f"_{k}", F.lit(v)) for k, v in wishes.items()})
 
 
-def spoken_numbers(text: Column, lang: Column, nouns) -> Column:
-    """Roman numerals and numbers in a row's language; English words for languages that have none of their own."""
-    forms = numbers.noun_forms(nouns, "en")
-    romans = numbers.romans_in_words_en(text, sorted(forms))
-    english = numbers.numbers_in_words_en(romans, sorted(w for w, (_, form) in forms.items() if form == "o"))
-    russian_words = russian.numbers_in_words_ru(nouns)(F.when(lang == "ru", text))
-    return F.when(lang == "ru", russian_words).when(lang == "en", english).otherwise(numbers.numbers_in_words_en(text, []))
+def with_spoken_numbers(df: DataFrame, col: str, lang: Column, nouns) -> DataFrame:
+    """Texts with Roman numerals, then numbers in words, each by its language; where lang is null a text stays.
+
+    A list of English nouns is part of the expressions, a table is joined with the words beside the
+    numbers. Languages without words of their own get English ones.
+    """
+    text, known = F.col(col), F.col("_known")
+    english = F.when(lang == "en", text)
+    if isinstance(nouns, DataFrame):
+        out = numbers.known_words(df, col, numbers.words_beside_romans(english), nouns)
+        out = out.withColumn(col, F.when(lang == "en", numbers.romans_in_words_en(text, known)).otherwise(text)).drop("_known")
+        out = numbers.known_words(out, col, numbers.words_before_numbers(english), nouns, form="o")
+        ordinal: list[str] | Column = known
+    else:
+        forms = numbers.noun_forms(nouns, "en")
+        out = df.withColumn(col, F.when(lang == "en", numbers.romans_in_words_en(text, sorted(forms))).otherwise(text))
+        ordinal = sorted(w for w, (_, form) in forms.items() if form == "o")
+    said = F.when(lang == "ru", russian.numbers_in_words_ru(nouns)(F.when(lang == "ru", text))).when(lang == "en", numbers.numbers_in_words_en(text, ordinal))
+    return out.withColumn(col, said.when(lang.isNotNull(), numbers.numbers_in_words_en(text, [])).otherwise(text)).select(*df.columns)
 
 
 def normalize_numbers(df: DataFrame, col: str = "text", lang_col: str = "lang", nouns=bundled.NOUNS) -> DataFrame:
     """Numbers of texts in words, each by its language."""
-    return df.withColumn(col, spoken_numbers(F.col(col), F.lower(F.coalesce(F.col(lang_col), F.lit("en"))), nouns))
+    return with_spoken_numbers(df, col, F.lower(F.coalesce(F.col(lang_col), F.lit("en"))), nouns)
 
 
 def prepare_corpus(df: DataFrame, options: Options | None = None, providers: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
@@ -70,7 +82,7 @@ def prepare_corpus(df: DataFrame, options: Options | None = None, providers: Dat
     marked = F.when(F.col("_speaks_markup"), cleaning.with_rules(text, o.rules, lang, markup=True)).otherwise(plain)
     out = out.withColumn("text", plain if providers is None and not o.speaks_markup else marked)
     if providers is not None or o.spell_numbers:
-        out = out.withColumn("text", F.when(F.col("_normalize_numbers"), spoken_numbers(text, F.when(F.col("_normalize_numbers"), lang), o.nouns)).otherwise(text))
+        out = with_spoken_numbers(out, "text", F.when(F.col("_normalize_numbers"), lang), o.nouns)
     if providers is not None or o.transliterate:
         out = out.withColumn("text", F.when(F.col("_transliterate") & (lang == "ru"), cleaning.transliterated_text(text)).otherwise(text))
     if lexicon is not None:

@@ -1048,6 +1048,26 @@ def d8_heard_chunks(spark, sf_dir):
     return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", 2000), F.lit("en"))
 
 
+@query(f"WITH RECURSIVE {pieces_cte('p', WHOLE_SENTENCES)}, {cut_cte('p', 'cut', '4000')} SELECT doc_id, chunk_no, chunk FROM cut")
+def d6_whole_sentences(spark, sf_dir):
+    return segment.chunk(docs(spark, sf_dir), "sentence", 4000)
+
+
+@query(f"WITH RECURSIVE {pieces_cte('p', LOOSE)}, {cut_cte('p', 'cut', '5000')} SELECT doc_id, chunk_no, chunk FROM cut")
+def d6_whole_paragraphs(spark, sf_dir):
+    return segment.chunk(docs(spark, sf_dir), "paragraph", 5000)
+
+
+@query(f"WITH RECURSIVE {pieces_cte('p', WHOLE_SENTENCES)}, {cut_cte('p', 'cut', '2000')}, {merged_cte('cut', 'merged', 300, '2000')} SELECT doc_id, chunk_no, chunk FROM merged")
+def d7_merged_sentences(spark, sf_dir):
+    return segment.merge_small(segment.chunk(docs(spark, sf_dir), "sentence", 2000), 300, 2000)
+
+
+@query(f"WITH RECURSIVE {pieces_cte('p', LOOSE)}, {cut_cte('p', 'cut', '5000')} SELECT * FROM cut WHERE regexp_matches(chunk, '[\\p{{L}}\\p{{Nd}}]') AND regexp_matches(chunk, '[A-Za-zÀ-ſ]')")
+def d8_heard_paragraphs(spark, sf_dir):
+    return segment.drop_silent_chunks(segment.chunk(docs(spark, sf_dir), "paragraph", 5000), F.lit("en"))
+
+
 def sql_any_en(n: str) -> str:
     """Words of any 64-bit number but the smallest."""
     size, big = f"abs({n})", f"(abs({n}) // 1000000000000)"
@@ -1061,10 +1081,11 @@ def sql_any_ordinal_en(n: str) -> str:
     return f"(regexp_replace({spoken}, '[a-z]+$', '') || CASE regexp_extract({spoken}, '[a-z]+$') " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in numbers.EN_ORDINALS.items()) + f" ELSE regexp_extract({spoken}, '[a-z]+$') || 'th' END)"
 
 
-def numbers_cte(source: str, name: str, ordinals: str) -> str:
-    """CTEs that spell the numbers of source (doc_id, lang, text); ordinals: a condition for words that ask for one."""
+def numbers_cte(source: str, name: str, ordinals: str, asked: str = "") -> str:
+    """CTEs that spell the numbers of source (doc_id, lang, text); ordinals: a condition for words that ask for one, asked: what these are."""
     n, before = "TRY_CAST(p AS BIGINT)", "coalesce(l[i - 1], '')"
     asks = f"({ordinals}) AND regexp_matches(lower({before}), '(?:^|[^\\p{{L}}''-])(?:chapter|chapters|page|pages)[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}]*$')"
+    asks = asked or asks
     fits = f"regexp_matches(p, '^-?[0-9]+$') AND {n} IS NOT NULL AND NOT (p[1] = '-' AND regexp_matches({before}, '[0-9]$'))"
     return f"""{name}_pieces AS (SELECT doc_id, lang, regexp_extract_all(regexp_replace(text, '(\\p{{L}})-([0-9])', '\\1 \\2', 'g'), '-?[0-9]+|[^0-9-]+|-') AS l FROM {source}),
     {name} AS (SELECT doc_id, lang, array_to_string(list_transform(l, lambda p, i: CASE WHEN {fits} THEN CASE WHEN {asks} THEN {sql_any_ordinal_en(n)} ELSE {sql_any_en(n)} END ELSE p END), '') AS text FROM {name}_pieces)"""
@@ -1075,22 +1096,44 @@ def c8_numbers_en(spark, sf_dir):
     return numbers.normalize_numbers_en(docs(spark, sf_dir)).select("doc_id", "text")
 
 
+EVEN_BEFORE = "regexp_extract(lower(coalesce({0}, '')), '([\\p{{L}}''-]+)[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}]*$', 1)"
+EVEN_AFTER = "regexp_extract(lower(coalesce({0}, '')), '^[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}]*([\\p{{L}}''-]+)', 1)"
+
+
+def is_even(word: str) -> str:
+    return f"({word} <> '' AND length({word}) % 2 = 0)"
+
+
+def even_nouns(spark, sf_dir) -> DataFrame:
+    """Every word of the documents of an even length as an English noun that asks for ordinals: a dictionary of the corpus's own size."""
+    words = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}'-]+)"), F.lit(1))).alias("noun")).where(F.length("noun") % 2 == 0)
+    return words.select(F.lower("noun").alias("noun")).distinct().select(F.lit("en").alias("lang"), "noun", F.lit("m").alias("gender"), F.lit("o").alias("form"), F.col("noun").alias("singular"), F.array().cast("array<string>").alias("plurals"))
+
+
+@query(f"WITH {numbers_cte('documents', 'spoken', 'true', is_even(EVEN_BEFORE.format("array_to_string(l[greatest(1, i - 9) : i - 1], '')")))} SELECT doc_id, text FROM spoken")
+def c8_numbers_by_table(spark, sf_dir):
+    """Nouns out of a table that is joined."""
+    return numbers.normalize_numbers_en(docs(spark, sf_dir), nouns=even_nouns(spark, sf_dir)).select("doc_id", "text")
+
+
 KNOWN_NOUNS = "|".join(sorted({w for n in bundled.NOUNS if n.lang == "en" for w in (n.noun, *n.plurals)}))
 
 
-def romans_cte(source: str, name: str) -> str:
-    """CTEs that spell the Roman numerals beside a noun in source (doc_id, lang, text)."""
+def romans_cte(source: str, name: str, before: str = "", after: str = "") -> str:
+    """CTEs that spell the Roman numerals beside a noun in source (doc_id, lang, text); before, after: conditions in place of the known nouns."""
     twice = "regexp_replace(text, '([^A-Za-z0-9_])', '\\1\\1', 'g')"
     marked = f"regexp_replace({twice}, '(^|[^A-Za-z0-9_])([IVXLCDM]+)([^A-Za-z0-9_]|$)', '\\1' || chr(2) || '\\2' || chr(2) || '\\3', 'g')"
     once = f"regexp_replace({marked}, '(?s)([^A-Za-z0-9_\\x02])[^A-Za-z0-9_\\x02]', '\\1', 'g')"
     blank = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}]*"
+    before = before or f"regexp_matches(lower(l[i - 1]), '(?:^|[^\\p{{L}}''-])(?:{KNOWN_NOUNS}){blank}$')"
+    after = after or f"regexp_matches(lower(l[i + 1]), '^{blank}(?:{KNOWN_NOUNS})(?:[^\\p{{L}}''-]|$)')"
     return f"""{name}_lists AS (SELECT doc_id, lang, string_split({once}, chr(2)) AS l FROM {source}),
     {name}_rows AS (SELECT doc_id, lang, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS r, l FROM {name}_lists),
     {name}_values AS (SELECT *, lang = 'en' AND i % 2 = 0 AND NOT regexp_matches(r, 'I{{4}}|V{{4}}|X{{4}}|L{{4}}|C{{4}}|D{{4}}') AS valid,
       list_transform(string_split(r, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 ELSE 1000 END) AS v FROM {name}_rows),
     {name}_numbers AS (SELECT *, CAST({ROMAN_SQL} AS BIGINT) AS n FROM {name}_values),
-    {name} AS (SELECT doc_id, lang, string_agg(CASE WHEN valid AND regexp_matches(lower(l[i - 1]), '(?:^|[^\\p{{L}}''-])(?:{KNOWN_NOUNS}){blank}$') THEN {sql_any_en('n')}
-      WHEN valid AND regexp_matches(lower(l[i + 1]), '^{blank}(?:{KNOWN_NOUNS})(?:[^\\p{{L}}''-]|$)') THEN {sql_any_ordinal_en('n')} ELSE r END, '' ORDER BY i) AS text FROM {name}_numbers GROUP BY 1, 2)"""
+    {name} AS (SELECT doc_id, lang, string_agg(CASE WHEN valid AND {before} THEN {sql_any_en('n')}
+      WHEN valid AND {after} THEN {sql_any_ordinal_en('n')} ELSE r END, '' ORDER BY i) AS text FROM {name}_numbers GROUP BY 1, 2)"""
 
 
 @query(f"WITH english AS (SELECT doc_id, 'en' AS lang, text FROM documents), {romans_cte('english', 'spoken')} SELECT doc_id, text FROM spoken")
@@ -1098,6 +1141,12 @@ def c10_romans_en(spark, sf_dir):
     return numbers.roman_in_words(docs(spark, sf_dir)).select("doc_id", "text")
 
 
+@query(f"WITH english AS (SELECT doc_id, 'en' AS lang, text FROM documents), {romans_cte('english', 'spoken', is_even(EVEN_BEFORE.format('l[i - 1]')), is_even(EVEN_AFTER.format('l[i + 1]')))} SELECT doc_id, text FROM spoken")
+def c10_romans_by_table(spark, sf_dir):
+    """Nouns out of a table that is joined."""
+    return numbers.roman_in_words(docs(spark, sf_dir), nouns=even_nouns(spark, sf_dir)).select("doc_id", "text")
+
+
 @query(f"WITH {romans_cte('documents', 'romans')}, {numbers_cte('romans', 'spoken', chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))} SELECT doc_id, text FROM spoken")
 def c8_normalize_numbers(spark, sf_dir):
     return prepare.normalize_numbers(docs(spark, sf_dir)).select("doc_id", "text")
@@ -1201,3 +1250,8 @@ def c11_preprocess_ru(spark, sf_dir):
 for _name in ("f11_chapter_timeline", "f13_pack_parts", "f14_part_titles", "f15_build_progress", "a9_chapter_metadata"):
     # earlier names of the queries over every line
     QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
+
+for _name, _same in (("b5_transliterate", "b5_spoken_words"), ("b10_prepare_corpus", "b10_prepared_by_language"), ("c3_ordinal_ru", "c3_ordinals_ru"), ("c6_gender_of", "c6_word_genders"), ("c8_normalize_numbers_en", "c8_numbers_en"), ("c10_roman_in_words", "c10_romans_en")):
+    # earlier queries that give the same rows
+    SQL[_name] = SQL[_same]
+SQL["c4_inflect_ru"] = f"SELECT p_partkey, genitive, dative, instrumental, prepositional FROM ({SQL['c4_inflected_ru']})"

@@ -153,3 +153,18 @@ def test_genres_by_language(spark):
     names = spark.createDataFrame([("det_espionage", "ru", "Шпионский детектив"), ("det_espionage", "en", "Espionage")], "code string, lang string, name string")
     df = spark.createDataFrame([(1, "ru", ["det_espionage", "unknown_xyz"]), (2, "en", [" DET_ESPIONAGE ", "det_espionage"]), (3, "en", None)], "k int, lang string, v array<string>")
     assert {r.k: r.joined for r in estimate.join_names(df, "k", "v", "; ", names).collect()} == {1: "Шпионский детектив; unknown_xyz", 2: "Espionage", 3: ""}
+
+
+def test_a_million_nouns_are_joined(spark):
+    """The words of the bundled nouns do the same out of a table of a million."""
+    rows = [(1, "Chapter 4 and page 12, item 7", "en"), (2, "Part IV of the second act, X pages, Ax II.", "en"), (3, "Chapter 4", "fr"), (4, None, "en"), (5, "no number", "en"), (6, "Chapter 4 and page 12, item 7", "en")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    kind = "lang string, noun string, gender string, form string, singular string, plurals array<string>"
+    many = spark.range(1_000_000).select(F.lit("en").alias("lang"), F.concat(F.lit("noun-"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("noun"), F.lit("m").alias("gender"), F.lit("o").alias("form"), F.lit("").alias("singular"), F.array().cast("array<string>").alias("plurals"))
+    nouns = spark.createDataFrame([(n.lang, n.noun, n.gender, n.form, n.singular, list(n.plurals)) for n in bundled.NOUNS if n.lang == "en"], kind).unionByName(many)
+    for run in (numbers.normalize_numbers_en, numbers.roman_in_words, prepare.normalize_numbers):
+        want = sorted(map(str, run(df).collect()))
+        assert sorted(map(str, run(df, nouns=nouns).collect())) == want
+    joined = numbers.normalize_numbers_en(spark.createDataFrame([("noun-bc 5",)], "text string"), nouns=nouns)
+    assert joined.first().text == "noun-bc fifth"
+
