@@ -1,7 +1,7 @@
 r"""Chat formatting by schema fingerprints.
 
-A record's nested field paths are hashed; the hash selects a declarative mapping that turns the
-record's layout into canonical turns. The template writes a turn as
+A record's nested field paths are hashed, row by row; the hash selects a declarative mapping that
+turns the record's layout into canonical turns. The template writes a turn as
 
     ### role: text</turn>\n
 
@@ -18,128 +18,166 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import StructType
 
 from lectern.llm.common import fresh
 
 TURNS = "array<struct<role:string,text:string>>"
 END, START = "</turn>\n", "### "
 
-#: (name, required paths, optional paths, rule), in order of precedence: of several layouts that a record fits the first
-#: counts, so lists of messages go before single texts. A rule is either (array path, role field, text field, role names) or
-#: a sequence of (role, paths joined by an empty line). A path with [] is there if any item has it.
+#: What records are made of: single texts that a user is asked with, in order, texts that answer, of which the first that is
+#: there counts, and lists of messages with the fields for a role and a text, the first list and fields that are there.
+USERS = ("context", "instruction", "prompt", "question", "query", "inputs", "input")
+ANSWERS = ("completion", "response", "output", "answer", "targets", "chosen")
+LISTS = ("messages", "conversations", "turns", "chosen", "data.messages")
+ROLE_FIELDS, TEXT_FIELDS = ("role", "from", "speaker"), ("content", "value", "text")
+#: Roles of lists that say from whom a message is, in any case.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-LAYOUTS = (
-    ("messages", ("messages[].role",), ("messages[].content",), ("messages", "role", "content", {})),
-    ("conversations", ("conversations[].from",), ("conversations[].value",), ("conversations", "from", "value", ROLE_NAMES)),
-    ("turns", ("turns[].speaker",), ("turns[].text",), ("turns", "speaker", "text", {})),
-    ("chosen_messages", ("chosen[].role",), ("chosen[].content",), ("chosen", "role", "content", {})),
-    ("chosen", ("chosen", "prompt"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("chosen",)))),
-    ("prompt", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
-    ("response", ("prompt", "response"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    ("instruction", ("instruction", "output"), ("input", "system"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    ("question", ("question", "answer"), ("context",), (("user", ("context", "question")), ("assistant", ("answer",)))),
-)
-
-
-def fingerprint(paths: tuple[str, ...]) -> str:
+MAPPING = "fingerprint string, layout string, system boolean, users array<string>, list string, role_field string, text_field string, answer string"
+
+
+def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def own_paths(layout: int) -> tuple[str, ...]:
-    _, need, able, _ = LAYOUTS[layout]
-    return tuple(sorted((*need, *able)))
+def _name(users: tuple[str, ...], listed: str, answer: str) -> str:
+    if listed:
+        return {"chosen": "chosen_messages"}.get(listed, listed)
+    asked = next(u for u in ("instruction", "question", "prompt", "query", "inputs", "input", "context") if u in users)
+    return {"chosen": "chosen", "response": "response"}.get(answer, asked) if asked == "prompt" else asked
 
 
-def mappings() -> dict[str, int]:
-    """Fingerprint to the number of its layout, for every choice of optional paths."""
-    return {fingerprint((*need, *more)): i for i, (_, need, able, _) in enumerate(LAYOUTS) for n in range(len(able) + 1) for more in combinations(able, n)}
+def mappings() -> list[tuple]:
+    """Rows of MAPPING: what records of each set of paths become, by the set's fingerprint.
 
+    Any one or two user texts, a list or an answer (or both) and a system text make a layout; texts that
+    a list begins or ends with beside it stay.
+    """
+    asked = [u for n in range(3) for u in combinations(USERS, n)]
+    lists = [("", "", "")] + [(at, r, t) for at in LISTS for r in ROLE_FIELDS for t in (*TEXT_FIELDS, "")]
+    out = []
+    for system in (False, True):
+        for users in asked:
+            for at, r, t in lists:
+                for answer in ("", *ANSWERS):
+                    if (at and at != answer) or (users and answer and not at):
+                        paths = [*users, *(x for x in ("system" * system, answer) if x), *(f"{at}[].{f}" for f in (r, t) if at and f)]
+                        out.append((fingerprint(paths), _name(users, at, answer), system, list(users), at, r, t, answer))
+    return out
 
-def _there(record: Column, path: str) -> Column:
-    """Whether a VARIANT record has a path."""
-    head, _, tail = path.partition("[].")
-    if not tail:
-        return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
-    items = F.try_variant_get(record, f"$.{head}", "array<variant>")
-    return F.coalesce(F.exists(items, lambda x: F.try_variant_get(x, f"$.{tail}", "variant").isNotNull()), F.lit(False))
 
+def _field(x: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(x, f"$.{path}", kind)
 
-def schema_fingerprint(record: Column, layout: int) -> Column:
-    """Hash of those paths of a VARIANT record that a layout uses; others (ids, scores, other layouts' fields) don't count."""
-    there = F.array(*(F.when(_there(record, p), F.lit(p)) for p in own_paths(layout)))
-    return F.sha2(F.array_join(F.array_compact(there), "\n"), 256)
 
+def _kind(x: Column) -> Column:
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0), F.lit(""))
 
-def struct_paths(kind: DataType, at: str = "") -> list[str]:
-    """The nested field paths of a type; an array adds []."""
-    if isinstance(kind, StructType):
-        return [p for f in kind for p in struct_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    return struct_paths(kind.elementType, at + "[]") if isinstance(kind, ArrayType) else [at]
 
+def known_paths(record: Column) -> Column:
+    """The paths of a VARIANT record that a mapping reads, sorted; an array adds []."""
+    single = lambda p: F.when(~_kind(_field(record, p)).isin("", "ARRAY", "OBJECT"), F.array(F.lit(p)))
+
+    def inside(at: str, names: tuple[str, ...]) -> Column:
+        items = _field(record, at, "array<variant>")
+        has = lambda name: F.exists(items, lambda x: _field(x, name).isNotNull())
+        return F.coalesce(*(F.when(has(n), F.array(F.lit(f"{at}[].{n}"))) for n in names))
+
+    none = F.array().cast("array<string>")
+    listed = F.coalesce(*(F.when(inside(at, ROLE_FIELDS).isNotNull(), F.concat(inside(at, ROLE_FIELDS), F.coalesce(inside(at, TEXT_FIELDS), none))) for at in LISTS), none)
+    answer = F.coalesce(*(single(p) for p in ANSWERS), none)
+    return F.array_sort(F.concat(listed, answer, *(F.coalesce(single(p), none) for p in ("system", *USERS))))
 
-def _turn(role: Column, said: Column) -> Column:
-    return F.struct(role.alias("role"), said.alias("text"))
 
+def all_paths(record: Column) -> Column:
+    """The paths of a VARIANT record that have a value, sorted: two levels of objects and of lists of objects."""
 
-def _apply(layout: int, items, text) -> Column:
-    """A layout's turns; items(path, role, text) is a list of structs, text(path) a string column."""
-    _, _, able, rule = LAYOUTS[layout]
-    if isinstance(rule[0], str):
-        path, role, said, names = rule
-        known = F.create_map(*(F.lit(v) for pair in names.items() for v in pair)) if names else None
-        who = lambda x: x["role"] if known is None else F.coalesce(known[x["role"]], x["role"])
-        return F.transform(items(path, role, said), lambda x: _turn(who(x), x["text"]))
-    parts = [_turn(F.lit(role), F.concat_ws("\n\n", *map(text, paths))) if not all(p in able for p in paths) else F.when(F.coalesce(*map(text, paths)).isNotNull(), _turn(F.lit(role), F.concat_ws("\n\n", *map(text, paths)))) for role, paths in rule]
-    return F.array_compact(F.array(*parts))
+    def keys(x: Column, before: Column) -> Column:
+        fields = F.map_filter(F.try_variant_get(x, "$", "map<string,variant>"), lambda k, v: ~_kind(v).isin("", "VOID"))
+        return F.coalesce(F.transform(F.map_entries(fields), lambda e: F.struct(F.concat(before, e["key"]).alias("path"), e["value"].alias("value"))), F.array().cast("array<struct<path:string,value:variant>>"))
+
+    def deeper(e: Column) -> Column:
+        of_items = F.flatten(F.transform(F.try_variant_get(e["value"], "$", "array<variant>"), lambda x: keys(x, F.concat(e["path"], F.lit("[].")))))
+        found = F.when(_kind(e["value"]) == "OBJECT", keys(e["value"], F.concat(e["path"], F.lit(".")))).when(_kind(e["value"]) == "ARRAY", of_items)
+        return F.when(F.size(F.coalesce(found, F.array())) > 0, found).otherwise(F.array(e))
+
+    once = F.flatten(F.transform(keys(record, F.lit("")), deeper))
+    twice = F.flatten(F.transform(once, deeper))
+    return F.array_sort(F.array_distinct(F.transform(twice, lambda e: e["path"])))
+
+
+def _turn(role: Column, said: Column) -> Column:
+    return F.struct(role.alias("role"), said.alias("text"))
 
 
 def _variant_text(x: Column, field: str) -> Column:
     """A field as text: a list of parts gives its texts, line by line, anything else itself; null is empty."""
-    own = F.try_variant_get(x, f"$.{field}", "variant")
-    parts = F.transform(F.try_variant_get(own, "$", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
-    listed = F.startswith(F.schema_of_variant(own), F.lit("ARRAY"))
-    return F.coalesce(F.when(listed, F.array_join(parts, "\n")).otherwise(F.try_variant_get(own, "$", "string")), F.lit(""))
+    own = _field(x, field)
+    parts = F.transform(F.try_variant_get(own, "$", "array<variant>"), lambda p: F.coalesce(_field(p, "text", "string"), F.lit("")))
+    return F.coalesce(F.when(_kind(own) == "ARRAY", F.array_join(parts, "\n")).otherwise(F.try_variant_get(own, "$", "string")), F.lit(""))
+
+
+def _mapped(record: Column, to: Column) -> Column:
+    """The turns that a mapping (a struct of MAPPING) makes of a VARIANT record."""
+    none = F.array().cast(TURNS)
+    pick = lambda of, names, value: F.coalesce(*(F.when(of == n, value(n)) for n in names))
+    listed = to["list"] != ""
+    text = lambda path, names: pick(path, names, lambda n: _field(record, n, "string"))
+    items = pick(to["list"], LISTS, lambda n: _field(record, n, "array<variant>"))
+    known = F.create_map(*(F.lit(v) for pair in ROLE_NAMES.items() for v in pair))
+
+    def message(x: Column) -> Column:
+        role = pick(to["role_field"], ROLE_FIELDS, lambda n: _variant_text(x, n))
+        said = F.coalesce(pick(to["text_field"], TEXT_FIELDS, lambda n: _variant_text(x, n)), F.lit(""))
+        return _turn(F.when(to["role_field"] == "from", F.coalesce(known[F.lower(role)], role)).otherwise(role), said)
+
+    messages = F.coalesce(F.when(listed, F.transform(items, message)), none)
+    asked = F.array_compact(F.transform(to["users"], lambda p: text(p, USERS)))
+    said = F.array_join(asked, "\n\n")
+    first = F.get(F.filter(messages, lambda t: t["role"] == "user"), F.lit(0))["text"]
+    # a list that begins with the prompt has it already
+    again = F.coalesce(first == said, F.lit(False)) | (listed & (F.size(asked) == 0))
+    user = F.when((F.size(to["users"]) > 0) & ~again, F.array(_turn(F.lit("user"), said)))
+    system = F.when(to["system"] & _field(record, "system", "string").isNotNull(), F.array(_turn(F.lit("system"), _field(record, "system", "string"))))
+    answered = text(to["answer"], ANSWERS)
+    answer = F.when((to["answer"] != "") & (answered.isNotNull() | ~listed), F.array(_turn(F.lit("assistant"), F.coalesce(answered, F.lit("")))))
+    return F.concat(F.coalesce(system.cast(TURNS), none), F.coalesce(user.cast(TURNS), none), messages.cast(TURNS), F.coalesce(answer.cast(TURNS), none))
 
 
 def canonical_turns(df: DataFrame, record_col: str) -> DataFrame:
-    """Adds layout, turns (array<struct<role, text>>) and unknown_layout, in place of columns of these names.
-
-    JSON text and VARIANT records may each have another layout: their fingerprints are computed row
-    by row, one for each layout's paths, and the first layout whose mapping has its fingerprint
-    counts. The fields of a struct are the same for all rows, so it is fingerprinted once. Null texts
-    and roles become empty; a message without content keeps its turn, with an empty text; an
-    optional field that is null gives no turn. Where no layout fits, layout and turns are null and
-    unknown_layout is the record's schema (null too if it isn't JSON).
+    """Adds layout, turns (array<struct<role, text>>), unread and unknown_layout, in place of columns of these names.
+
+    JSON text, VARIANT and struct records may each have another layout: row by row, the nested paths that
+    mappings know are hashed, and the mapping of that fingerprint, out of a table of some 25,000 that is
+    broadcast, says what becomes of them: a system text, what a user is asked, a list of messages and an
+    answer, in this order; a prompt that the list begins with isn't said twice. Null texts and roles
+    become empty; a message without content keeps its turn, with an empty text; an optional field that
+    is null gives no turn. unread are the paths with a value that the mapping leaves out. Where no
+    mapping has the fingerprint, layout, turns and unread are null and unknown_layout is the
+    record's schema (null too if it isn't JSON).
     """
-    kind, record, chosen = df.schema[record_col].dataType, F.col(record_col), mappings()
-    fits = lambda i: [k for k, n in chosen.items() if n == i]
-    if isinstance(kind, StructType):
-        paths = struct_paths(kind)
-        at = next((i for i in range(len(LAYOUTS)) if fingerprint(tuple(p for p in paths if p in own_paths(i))) in fits(i)), None)
-        if at is None:
-            return df.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS), "unknown_layout": F.lit(kind.simpleString())})
-        empty = F.lit("")
-        field = lambda x, path, name: F.coalesce(x[name].cast("string"), empty) if f"{path}[].{name}" in paths else empty
-        items = lambda path, role, said: F.transform(record[path], lambda x: _turn(field(x, path, role), field(x, path, said)))
-        turns = _apply(at, items, lambda path: (record[path] if path in kind.names else F.lit(None)).cast("string"))
-        return df.withColumns({"layout": F.lit(LAYOUTS[at][0]), "turns": turns.cast(TURNS), "unknown_layout": F.lit(None).cast("string")})
-    record = F.try_parse_json(record) if kind.typeName() == "string" else record
-    items = lambda path, role, said: F.transform(F.try_variant_get(record, f"$.{path}", "array<variant>"), lambda x: _turn(_variant_text(x, role), _variant_text(x, said)))
-    text = lambda path: F.try_variant_get(record, "$." + path, "string")
-    number = None
-    for i in range(len(LAYOUTS)):
-        mine = schema_fingerprint(record, i).isin(fits(i))
-        number = F.when(mine, i) if number is None else number.when(mine, i)
-    at = fresh(df, "_layout")
-    numbered, which = df.withColumn(at, number), F.col(at)
-    layout = F.get(F.array(*(F.lit(n) for n, *_ in LAYOUTS)), which)
-    turns = None
-    for i in range(len(LAYOUTS)):
-        made = _apply(i, items, text).cast(TURNS)
-        turns = F.when(which == i, made) if turns is None else turns.when(which == i, made)
-    unknown = F.when(which.isNull(), F.schema_of_variant(record))
-    return numbered.withColumns({"layout": layout, "turns": turns, "unknown_layout": unknown}).drop(at)
+    spark, kind, record = df.sparkSession, df.schema[record_col].dataType, F.col(record_col)
+    table = spark.createDataFrame(mappings(), MAPPING)
+    own, to = fresh(df, "_variant"), fresh(df, "_mapping")
+    parsed = F.try_parse_json(record) if kind.typeName() == "string" else F.to_variant_object(record) if isinstance(kind, StructType) else record
+    carried = df.drop("layout", "turns", "unread", "unknown_layout") if record_col not in ("layout", "turns", "unread", "unknown_layout") else df
+    named = carried.withColumn(own, parsed)
+    paths, variant, mapping = known_paths(F.col(own)), F.col(own), F.col(to)
+    chosen = F.broadcast(table.select(F.struct(*table.columns).alias(to)))
+    joined = named.join(chosen, F.sha2(F.array_join(paths, "\n"), 256) == mapping["fingerprint"], "left")
+    there = mapping.isNotNull()
+    lists = lambda field: F.when((mapping["list"] != "") & (mapping[field] != ""), F.array(F.concat(mapping["list"], F.lit("[]."), mapping[field]))).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(F.coalesce(mapping["list"], F.lit("")), F.lit("[]."), F.coalesce(mapping["text_field"], F.lit("")), F.lit("[]."))
+    read = F.concat(mapping["users"], F.array(mapping["answer"], F.when(mapping["system"], "system").otherwise("")), lists("role_field"), lists("text_field"))
+    unread = F.filter(F.array_except(all_paths(variant), read), lambda p: ~F.startswith(p, parts))
+    return joined.withColumns(
+        {
+            "layout": mapping["layout"],
+            "turns": F.when(there, _mapped(variant, mapping)),
+            "unread": F.when(there, unread),
+            "unknown_layout": F.when(~there, F.schema_of_variant(variant)),
+        }
+    ).drop(own, to)
 
 
 def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -196,7 +234,7 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
 def format_records(df: DataFrame, record_col: str) -> DataFrame:
     """Formats a column of records (VARIANT, struct or JSON text) of any known layout.
 
-    Adds layout, turns, unknown_layout, formatted, loss_spans, in place of columns of these names; others
+    Adds layout, turns, unread, unknown_layout, formatted, loss_spans, in place of columns of these names; others
     stay. Records that aren't JSON, or of an unknown layout, get a null layout and an empty string.
     Repeated rows come back each; an empty table gives none.
     """
@@ -207,7 +245,8 @@ def records_from_turn_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, record): rows by turn become one record of the `turns` layout per conversation.
 
     Rows of a conversation go by turn, then role and text; repeated rows are repeated turns; null
-    roles and texts are empty.
+    roles and texts are empty. A conversation is one row, however long; an empty table gives none, and
+    other columns are left out.
     """
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))

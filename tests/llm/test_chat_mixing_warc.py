@@ -61,11 +61,19 @@ def test_layouts(spark, kind):
         ({"system": "s", "prompt": "p", "completion": "c"}, "prompt", [("system", "s"), ("user", "p"), ("assistant", "c")]),
         ({"instruction": "i", "input": "n", "output": "o", "score": 1.5}, "instruction", [("user", "i\n\nn"), ("assistant", "o")]),
         ({"question": "q", "context": "c", "answer": "a"}, "question", [("user", "c\n\nq"), ("assistant", "a")]),
-        ({"prompt": "p", "prompt_id": "7", "messages": [{"role": "user", "content": "q"}]}, "messages", [("user", "q")]),
+        ({"prompt": "p", "prompt_id": "7", "messages": [{"role": "user", "content": "q"}]}, "messages", [("user", "p"), ("user", "q")]),
+        ({"prompt": "q", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}]}, "messages", [("system", "s"), ("user", "q")]),
+        ({"messages": [{"role": "user", "content": "q"}], "system": "S"}, "messages", [("system", "S"), ("user", "q")]),
+        ({"conversations": [{"role": "user", "content": "q"}]}, "conversations", [("user", "q")]),
+        ({"messages": [{"from": "Human", "value": "q"}, {"from": "GPT", "value": "a"}]}, "messages", [("user", "q"), ("assistant", "a")]),
+        ({"query": "q", "response": "r"}, "query", [("user", "q"), ("assistant", "r")]),
+        ({"inputs": "q", "targets": "r"}, "inputs", [("user", "q"), ("assistant", "r")]),
+        ({"input": "q", "output": "r"}, "input", [("user", "q"), ("assistant", "r")]),
+        ({"data": {"messages": [{"role": "user", "content": "q"}], "id": 4}}, "data.messages", [("user", "q")]),
         ({"messages": [{"role": "assistant", "tool_calls": [1]}, {"role": "tool", "content": "42"}]}, "messages", [("assistant", ""), ("tool", "42")]),
         ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}]}, "messages", [("user", "a\n\nb")]),
         ({"prompt": "p", "chosen": "good", "rejected": "bad"}, "chosen", [("user", "p"), ("assistant", "good")]),
-        ({"prompt": "p", "chosen": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "rejected": []}, "chosen_messages", [("user", "q"), ("assistant", "a")]),
+        ({"prompt": "p", "chosen": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "rejected": []}, "chosen_messages", [("user", "p"), ("user", "q"), ("assistant", "a")]),
         ({"prompt": "p", "completion": "c", "response": "r"}, "prompt", [("user", "p"), ("assistant", "c")]),
         ({"other": 1}, None, None),
         ({"messages": []}, None, None),
@@ -79,6 +87,10 @@ def test_layouts(spark, kind):
         assert (got[i].turns and [tuple(t) for t in got[i].turns]) == turns
     assert {i for i, (_, layout, _) in enumerate(records) if layout is None} == {i for i in range(len(records)) if got[i].unknown_layout}
     assert "other" in got[[r[0] for r in records].index({"other": 1})].unknown_layout and got[98].unknown_layout is None
+    unread = {k: r.unread for k, r in got.items()}
+    assert unread[0] == ["id"] and unread[[r[0] for r in records].index({"prompt": "p", "completion": "c", "response": "r"})] == ["response"] and unread[98] is None
+    assert [u for i, u in unread.items() if i < len(records) and "data" in records[i][0]] == [["data.id"]]
+    assert [u for i, u in unread.items() if i < len(records) and records[i][0].get("rejected") == "bad"] == [["rejected"]]
     assert got[98].layout is None and got[99].formatted == "" and got[99].loss_spans == []
 
 
