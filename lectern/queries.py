@@ -454,6 +454,14 @@ def a8_chapter_file_names(spark, sf_dir):
     return read_books(docs(spark, sf_dir)).select("book_id", "chapter_no", name.alias("file"))
 
 
+@query(f"WITH {CHAPTERS} SELECT book_id, lpad(CAST(chapter_no AS VARCHAR), 4, '0') || '_Chapter_' || chapter_no || '.txt' AS file, content FROM chapters")
+def a8_chapter_texts(spark, sf_dir):
+    """Every chapter as a text file of its own, read back."""
+    folder = shared_folder(spark, "chapters")
+    sinks.write_chapter_files(read_books(docs(spark, sf_dir)), folder)
+    return sinks.read_chapter_files(spark, folder)
+
+
 def sql_clean(x: str) -> str:
     kept = f"translate({x}, '{(cleaning.BLANKS + ''.join(a for a, _ in cleaning.SINGLES) + cleaning.GONE).replace(chr(39), chr(39) * 2)}', '{' ' * len(cleaning.BLANKS)}{''.join(b for _, b in cleaning.SINGLES)}')"
     for a, b in cleaning.WORDS:
@@ -1215,9 +1223,9 @@ def g7_feed_searches(spark, sf_dir):
 
 
 def written(spark, lines: DataFrame, name: str) -> str:
-    """Lines (at, line) in order as one text file, as a dictionary is; its folder."""
+    """Lines (at, line) as text files whose names go in their order; their folder."""
     folder = shared_folder(spark, name)
-    lines.coalesce(1).sortWithinPartitions("at").select("line").write.text(folder)
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("line").write.text(folder)
     return folder
 
 

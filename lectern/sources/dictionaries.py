@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.folders import kept
 from lectern.functions.text import go_trim
 from lectern.sources.bundled import NOUNS, Noun, Rule
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of lines that are neither blank nor comments; a dictionary is read as one file."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).withColumn("line", go_trim(F.col("line")))
+    """(line_no, line) of lines that are neither blank nor comments, numbered by file, block and place through all of a path's files.
+
+    Each task reads its blocks; what meets in one place is a count for each block.
+    """
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    own = kept(spark.read.text(path, lineSep="\n").select("value", *at, F.monotonically_increasing_id().alias("at")), "lines")
+    blocks = own.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", "first", before.alias("before"))
+    rows = own.join(F.broadcast(starts), ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line_no"), go_trim(F.col("value")).alias("line"))
     return rows.where("line <> '' AND NOT startswith(line, '#')")
 
 

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyarrow.fs import FileSystem, FileType
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from lectern.functions.text import replace_all
 from lectern.operators.cleaning import file_name
@@ -19,6 +27,80 @@ def write_chapter_text(chapters: DataFrame, path: str) -> None:
     named.repartition("book_id").sortWithinPartitions("book_id", "chapter_no").select("book_id", "file", F.replace("content", F.lit("\n"), F.lit(" ")).alias("value")).write.partitionBy("book_id").json(path)
 
 
+class _ChapterWriter(DataSourceWriter):
+    """Tasks write below a folder of their attempt; the commit moves those that count to their part, one rename a task."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+        self.work = f"{self.path}/_attempts-{uuid.uuid4().hex}"
+
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+        fs, base = FileSystem.from_uri(self.work)
+        own, n, made = f"{base}/{uuid.uuid4().hex}", 0, set()
+        for row in rows:
+            folder = f"{own}/{row.book}"
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(f"{folder}/{row.file}") as out:
+                out.write(row.content.encode())
+            n += 1
+        return _Written(own if n else "")
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, base = FileSystem.from_uri(self.path)
+        fs.create_dir(base, recursive=True)
+        name = self.work.rsplit("-", 1)[1]
+        for i, message in enumerate(messages):
+            if message is not None and message.folder:
+                fs.move(message.folder, f"{base}/part-{i:05d}-{name}")
+        self._clear()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        fs, base = FileSystem.from_uri(self.work)
+        if fs.get_file_info(base).type != FileType.NotFound:
+            fs.delete_dir(base)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+
+
+class ChapterFiles(DataSource):
+    """Rows (book, file, content) as text files part-…/<book>/<file> below `path`, a URI of a file system that all executors reach."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "chapter_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _ChapterWriter(self.options["path"])
+
+
+def write_chapter_files(chapters: DataFrame, path: str) -> None:
+    """One text file a chapter (book_id, chapter_no, title, content), named by its number and title.
+
+    Files appear when the job commits; what a failed or repeated attempt has written goes. Null contents are empty
+    files, chapters of equal names in a book are told apart by what follows their number.
+    """
+    chapters.sparkSession.dataSource.register(ChapterFiles)
+    again = F.row_number().over(W.partitionBy("book_id", "chapter_no", "title").orderBy("content"))
+    named = F.concat(F.when(again > 1, F.concat(again.cast("string"), F.lit("_"))).otherwise(""), chapter_file(F.col("chapter_no"), F.col("title")))
+    rows = chapters.select(F.coalesce(F.col("book_id").cast("string"), F.lit("none")).alias("book"), named.alias("file"), F.coalesce("content", F.lit("")).alias("content"))
+    rows.write.format("chapter_files").mode("append").save(path)
+
+
+def read_chapter_files(spark: SparkSession, path: str) -> DataFrame:
+    """(book_id, file, content) of the files below a path; Spark reads no empty ones, so chapters without content aren't there."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.decode("content", "UTF-8").alias("value"), F.split("path", "/").alias("p"))
+    book = F.element_at("p", -2)
+    return whole.select(F.when(book != "none", book).cast("long").alias("book_id"), F.element_at("p", -1).alias("file"), F.col("value").alias("content"))
+
+
 def escape_metadata(text: Column) -> Column:
     return replace_all(text, (("\\", "\\\\"), ("=", "\\="), (";", "\\;"), ("#", "\\#"), ("\n", " ")))
 
