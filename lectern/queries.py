@@ -1149,7 +1149,11 @@ def c10_romans_en(spark, sf_dir):
     return numbers.roman_in_words(docs(spark, sf_dir)).select("doc_id", "text")
 
 
-@query(f"WITH english AS (SELECT doc_id, 'en' AS lang, text FROM documents), {romans_cte('english', 'spoken', is_even(EVEN_BEFORE.format('l[i - 1]')), is_even(EVEN_AFTER.format('l[i + 1]')))} SELECT doc_id, text FROM spoken")
+EVEN = "even AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}''-]+')) AS w FROM documents) WHERE length(w) % 2 = 0)"
+EVEN_BESIDE = [f"{word.format(piece)} IN (SELECT w FROM even)" for word, piece in ((EVEN_BEFORE, "l[i - 1]"), (EVEN_AFTER, "l[i + 1]"))]
+
+
+@query(f"WITH english AS (SELECT doc_id, 'en' AS lang, text FROM documents), {EVEN}, {romans_cte('english', 'spoken', *EVEN_BESIDE)} SELECT doc_id, text FROM spoken")
 def c10_romans_by_table(spark, sf_dir):
     """Nouns out of a table that is joined."""
     return numbers.roman_in_words(docs(spark, sf_dir), nouns=even_nouns(spark, sf_dir)).select("doc_id", "text")
