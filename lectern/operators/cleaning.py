@@ -85,8 +85,7 @@ def speakable(df: DataFrame, col: str = "text", lang_col: str = "lang") -> DataF
 
 
 def required(pattern: str) -> str:
-    """The longest run of characters that any match of a pattern has, in some case; empty if that can't be told simply."""
-    pattern = pattern[4:] if pattern.startswith("(?i)") else pattern
+    """The longest run of characters that any match of a pattern has; empty if that can't be told simply."""
     if "|" in pattern or pattern.startswith("(?"):
         return ""
     runs, depth, last = [""], 0, None
@@ -163,7 +162,8 @@ def fitting(text: Column, rules: list[Rule], numbers: list[int], markup: bool =
     rule that may give a text another one's literal brings that one along, and a rule without a literal
     is always there, so what isn't there would change nothing.
     """
-    literals = {i: _fold(required(rules[i].pattern)) for i in numbers}
+    # the scan takes letters in any case
+    literals = {i: _fold(required(rules[i].pattern.removeprefix("(?i)"))) for i in numbers}
     brings: dict[int, set[int]] = {}
     for at in range(len(numbers) - 1, -1, -1):
         i = numbers[at]

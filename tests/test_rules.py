@@ -53,4 +53,4 @@ def test_languages_take_their_own_rules(spark):
 
 
 def test_required_literals():
-    assert [cleaning.required(p) for p in (r"\bMr\.", r"(?i)\bapi\b", r"(\d+)\s*км/ч", "[ \t]+", "a|b", "ab?c")] == ["Mr.", "api", "км/ч", "", "", "a"]
+    assert [cleaning.required(p) for p in (r"\bMr\.", r"(?i)\bapi\b", r"(\d+)\s*км/ч", "[ \t]+", "a|b", "ab?c")] == ["Mr.", "", "км/ч", "", "", "a"]
