@@ -247,6 +247,8 @@ def covered(rows: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return first[hit], back - low[hit], high[hit] + depth - back, n[hit]
 
 
+#: Bits of a context's name beside a window's beginning.
+NAME = 54
 REACHES = "context binary, back int, ahead int, n long"
 
 
@@ -282,6 +284,8 @@ def _spread(classes: DataFrame, depth: int, digest: Callable[[bytes], int] | Non
     """
     back, digits = depth - DIGIT, [f"d{i}" for i in range(depth // DIGIT)]
     kind = pa.int64() if digest else pa.binary()
+    # names of contexts in the low bits of numbers, so that windows are aggregated as numbers; two of one name compare as different
+    own = F.xxhash64("context").bitwiseAND(F.lit((1 << NAME) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,23 +299,24 @@ def _spread(classes: DataFrame, depth: int, digest: Callable[[bytes], int] | Non
                 same = [pa.array([row[c]] * n, t) for c, t in (("context", pa.binary()), ("n", pa.int64()), ("h", pa.int64()))]
                 yield pa.record_batch([*same, pa.array(np.arange(first, first + n, dtype=np.int32)), *(read.slice(i * DIGIT, n) for i in range(len(digits)))], ["context", "n", "h", "start", *digits])
 
-    one = keep(classes.groupBy("context").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"), F.first("h").alias("h")), "crowd")
+    one = classes.groupBy("context").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"), F.max("bytes").alias("bytes"), F.first("h").alias("h"))
+    one = keep(one.withColumn("own", own), "crowd")
     rows = one.mapInArrow(run, ", ".join(["context binary", "n long", "h long", "start int", *(f"{d} {'long' if digest else 'binary'}" for d in digits)]))
     key, kept = ["h", "start"], [one]
     for digit in digits:
         key = [*key, digit]
-        mates = [F.min("context").alias("one"), F.max("context").alias("other")] if digit == digits[-1] else []
+        mates = [F.min(own).alias("one"), F.max(own).alias("other")] if digit == digits[-1] else []
         kept.append(keep(rows.groupBy(key).agg(F.sum("n").alias("n"), *mates).where("n > 1"), "digit"))
         kept.append(keep(meet(rows, kept[-1], key), "windows"))
         rows = kept[-1]
-    mate = F.when(F.col("one") == F.col("context"), F.col("other")).otherwise(F.col("one"))
-    window = F.struct("start", mate.alias("mate"))
+    mate = F.when(F.col("one") == own, F.col("other")).otherwise(F.col("one"))
+    window = F.shiftleft(F.col("start").cast("long"), NAME) + mate
     ends = keep(rows.groupBy("context").agg(F.min(window).alias("low"), F.max(window).alias("high"), F.first("n").alias("n"), F.first("h").alias("h")), "ends")
     kept.append(ends)
     false = _differing(ends, one, depth, back) if digest else None
     again = false is not None and false.limit(1).count()
     true = ends.join(false, "h", "left_anti") if again else ends
-    reaches = true.select("context", (back - F.col("low.start")).cast("int").alias("back"), (F.col("high.start") + depth - back).cast("int").alias("ahead"), "n")
+    reaches = true.select("context", (back - F.shiftright("low", NAME)).cast("int").alias("back"), (F.shiftright("high", NAME) + depth - back).cast("int").alias("ahead"), "n")
     if again:
         reaches = reaches.unionByName(_spread(classes.join(false, "h", "left_semi"), depth, None))
     reaches = keep(reaches, "spread")
@@ -323,9 +328,11 @@ def _spread(classes: DataFrame, depth: int, digest: Callable[[bytes], int] | Non
 def _differing(ends: DataFrame, one: DataFrame, depth: int, back: int) -> DataFrame:
     """(h): anchors with a context whose first or last window isn't, byte by byte, the one of the context that it was found equal to."""
     cut = lambda of: F.expr(f"substring({of}.bytes, start - {back} + {of}.reach + 1, {depth})")
-    windows = ends.select("h", "context", F.explode(F.array("low", "high")).alias("w")).select("h", "context", "w.start", "w.mate").where("mate <> context")
-    own = windows.join(one.select("context", F.struct("bytes", "reach").alias("mine")), "context").select("h", "start", "mate", cut("mine").alias("window"))
-    mates = windows.groupBy("mate").agg(F.count("*").alias("n")).join(one.select(F.col("context").alias("mate"), F.struct("bytes", "reach").alias("theirs")), "mate")
+    placed = ends.select("h", "context", F.explode(F.array("low", "high")).alias("w"))
+    windows = placed.select("h", "context", F.shiftright("w", NAME).cast("int").alias("start"), F.col("w").bitwiseAND(F.lit((1 << NAME) - 1)).alias("mate"))
+    mine = one.select("context", "own", F.struct("bytes", "reach").alias("mine"))
+    own = windows.join(mine, "context").where("mate <> own").select("h", "start", "mate", cut("mine").alias("window"))
+    mates = windows.groupBy("mate").agg(F.count("*").alias("n")).join(one.select(F.col("own").alias("mate"), F.struct("bytes", "reach").alias("theirs")), "mate")
     return meet(own, mates, ["mate"]).where(F.col("window") != cut("theirs")).select("h").distinct()
 
 
