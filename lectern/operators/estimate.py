@@ -250,17 +250,25 @@ def pack_parts(chapters: DataFrame, max_mb: int, kbps: int = 128, span: int = SP
             both = pc.and_(books.slice(1).is_null(), books.slice(0, len(books) - 1).is_null())
             alike = pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(~alike) + 1).tolist(), len(books)]
+            sizes, done = pc.fill_null(rows.column(at[1]), 0).to_pylist(), 0
+            numbers, places, parts = [], [], []
             for a, z in zip(cuts, cuts[1:], strict=False):
-                sizes = pc.fill_null(rows.column(at[1]).slice(a, z - a), 0).to_numpy()
                 while z - a > span or (z - a and (whole or z < len(books))):
-                    n = min(span, z - a)
-                    parts = numbered_parts(next_starts(sizes[:n], limit), 0)
-                    more = [pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(parts)]
-                    out = rows.slice(a, n)
-                    for name, values in zip(("_span", "_at", "part_no"), more, strict=True):
-                        out = out.append_column(name, values)
-                    yield out, a + n
-                    number, a, sizes = number + 1, a + n, sizes[n:]
+                    n, part, filled = min(span, z - a), 1, 0
+                    for i, size in enumerate(sizes[a : a + n]):
+                        if i and filled + size > limit:
+                            part, filled = part + 1, 0
+                        filled += size
+                        parts.append(part)
+                    numbers += [number] * n
+                    places += range(n)
+                    number, a = number + 1, a + n
+                    done = a
+            if done:
+                out = rows.slice(0, done)
+                for name, values in (("_span", numbers), ("_at", places), ("part_no", parts)):
+                    out = out.append_column(name, pa.array(values, pa.int64()))
+                yield out, done
 
         rest: pa.Table | None = None
         for batch in batches:
