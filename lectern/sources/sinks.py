@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
@@ -81,17 +83,67 @@ class ChapterFiles(DataSource):
         return _ChapterWriter(self.options["path"])
 
 
+#: Bytes of text, and files, after which a task begins its next archive.
+ARCHIVE_BYTES, ARCHIVE_FILES = 64 << 20, 60_000
+
+
+class _ArchiveWriter(_ChapterWriter):
+    """As _ChapterWriter, a task's files in archives 00000.zip, ... of its part."""
+
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+        fs, base = FileSystem.from_uri(self.work)
+        own, n, size, files = f"{base}/{uuid.uuid4().hex}", 0, 0, 0
+        out = archive = None
+        for row in rows:
+            if archive is None:
+                fs.create_dir(own, recursive=True)
+                out = fs.open_output_stream(f"{own}/{n:05d}.zip")
+                archive, n, size, files = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), n + 1, 0, 0
+            data = row.content.encode()
+            archive.writestr(f"{row.book}/{row.file}", data)
+            size, files = size + len(data), files + 1
+            if size >= ARCHIVE_BYTES or files >= ARCHIVE_FILES:
+                archive.close()
+                out.close()
+                archive = None
+        if archive is not None:
+            archive.close()
+            out.close()
+        return _Written(own if n else "")
+
+
+class ChapterArchives(ChapterFiles):
+    """Rows (book, file, content) as text files <book>/<file> in archives part-…/<number>.zip below `path`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "chapter_archives"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _ArchiveWriter(self.options["path"])
+
+
+def _named_files(chapters: DataFrame) -> DataFrame:
+    again = F.row_number().over(W.partitionBy("book_id", "chapter_no", "title").orderBy("content"))
+    named = F.concat(F.when(again > 1, F.concat(again.cast("string"), F.lit("_"))).otherwise(""), chapter_file(F.col("chapter_no"), F.col("title")))
+    return chapters.select(F.coalesce(F.col("book_id").cast("string"), F.lit("none")).alias("book"), named.alias("file"), F.coalesce("content", F.lit("")).alias("content"))
+
+
 def write_chapter_files(chapters: DataFrame, path: str) -> None:
     """One text file a chapter (book_id, chapter_no, title, content), named by its number and title.
 
     Files appear when the job commits; what a failed or repeated attempt has written goes. Null contents are empty
-    files, chapters of equal names in a book are told apart by what follows their number.
+    files, chapters of equal names in a book are told apart by what follows their number. A file takes a block of
+    its file system at least, so many short chapters belong into write_chapter_archives().
     """
     chapters.sparkSession.dataSource.register(ChapterFiles)
-    again = F.row_number().over(W.partitionBy("book_id", "chapter_no", "title").orderBy("content"))
-    named = F.concat(F.when(again > 1, F.concat(again.cast("string"), F.lit("_"))).otherwise(""), chapter_file(F.col("chapter_no"), F.col("title")))
-    rows = chapters.select(F.coalesce(F.col("book_id").cast("string"), F.lit("none")).alias("book"), named.alias("file"), F.coalesce("content", F.lit("")).alias("content"))
-    rows.write.format("chapter_files").mode("append").save(path)
+    _named_files(chapters).write.format("chapter_files").mode("append").save(path)
+
+
+def write_chapter_archives(chapters: DataFrame, path: str) -> None:
+    """The files of write_chapter_files() in zip archives of bounded size, which appear on commit likewise."""
+    chapters.sparkSession.dataSource.register(ChapterArchives)
+    _named_files(chapters).write.format("chapter_archives").mode("append").save(path)
 
 
 def read_chapter_files(spark: SparkSession, path: str) -> DataFrame:
@@ -101,6 +153,33 @@ def read_chapter_files(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.when(book != "none", book).cast("long").alias("book_id"), F.element_at("p", -1).alias("file"), F.col("value").alias("content"))
 
 
+def read_chapter_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(book_id, file, content) of the files in the archives below a path, empty ones too; tasks read file by file."""
+    folder = path.rstrip("/")
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # the part's folder and the archive's name: the rest of the path is spelled in another way than `path` may be
+    names = archives.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"))
+    kinds = [("book_id", pa.int64()), ("file", pa.string()), ("content", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, at = FileSystem.from_uri(f"{folder}/{name}")
+                with fs.open_input_file(at) as source, zipfile.ZipFile(source) as archive:
+                    rows, size = [], 0
+                    for entry in archive.infolist():
+                        book, file = entry.filename.split("/", 1)
+                        rows.append((None if book == "none" else int(book), file, archive.read(entry).decode()))
+                        size += entry.file_size
+                        if size >= 1 << 20 or len(rows) >= 5000:
+                            yield pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+                            rows, size = [], 0
+                    if rows:
+                        yield pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+
+    return names.mapInArrow(run, "book_id long, file string, content string")
+
+
 def escape_metadata(text: Column) -> Column:
     return replace_all(text, (("\\", "\\\\"), ("=", "\\="), (";", "\\;"), ("#", "\\#"), ("\n", " ")))
 

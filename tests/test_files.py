@@ -56,3 +56,25 @@ def test_chapters_of_odd_names_come_back(spark, tmp_path):
     assert all(len(r.file) < 130 for r in got)
     assert len({r.file for r in got if r.book_id == 1}) == 2
     sinks.write_chapter_files(df.limit(0), f"file://{tmp_path}/none")
+
+
+def test_archived_chapters_come_back_in_few_files(spark, tmp_path):
+    rows = [(b, c, "A/b: c?" if c % 2 else "Ü", None if c == 7 else f"é\r\n{b} {c}") for b in (None, 1, 2) for c in range(300)]
+    rows += [(1, 1, "A/b: c?", "y"), (3, 1, "long", "w " * 400_000)]
+    df = spark.createDataFrame(rows, "book_id long, chapter_no int, title string, content string").repartition(3)
+    sinks.write_chapter_archives(df, f"file://{tmp_path}/zipped")
+    got = sinks.read_chapter_archives(spark, f"file://{tmp_path}/zipped").collect()
+    assert sorted((str(r.book_id), r.content) for r in got) == sorted((str(r[0]), r[3] or "") for r in rows)
+    assert len({(r.book_id, r.file) for r in got}) == len(rows)
+    assert len(files_below(tmp_path / "zipped")) <= 9
+    sinks.write_chapter_archives(df.limit(0), f"file://{tmp_path}/none")
+
+
+def test_archives_are_bounded_and_appear_on_commit(tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ARCHIVE_FILES", 2)
+    writer = sinks._ArchiveWriter(f"file://{tmp_path}/out")
+    rows = [Row(book="1", file=f"{n}.txt", content="é") for n in range(5)]
+    lost, kept, empty = writer.write(iter(rows)), writer.write(iter(rows)), writer.write(iter([]))
+    assert lost.folder != kept.folder and all("/_attempts-" in f"/{x}" for x in files_below(tmp_path / "out"))
+    writer.commit([kept, empty, None])
+    assert [x.split("/", 1)[1] for x in files_below(tmp_path / "out")] == ["00000.zip", "00001.zip", "00002.zip"]
