@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,6 +188,19 @@ def split_by_size(text: str, most: int, words: bool = True) -> list[str]:
     return [x for x in out if x]
 
 
+#: Texts that are Python objects at a time.
+SLICE = 64
+
+
+def _by_slices(use: Callable[[list[str], int], list[str]], lists: pa.Array, sizes: pa.Array) -> pa.Array:
+    """use(list, size) of each row that isn't null; only a slice of a batch is in Python objects at a time."""
+    done = [pa.array([], pa.list_(pa.string()))]
+    for at in range(0, len(lists), SLICE):
+        rows = zip(lists.slice(at, SLICE).to_pylist(), sizes.slice(at, SLICE).to_pylist(), strict=True)
+        done.append(pa.array([None if x is None else use(x, n) for x, n in rows], pa.list_(pa.string())))
+    return pa.concat_arrays(done)
+
+
 def chunk_lists(df: DataFrame, mode: str = "sentence", most: int | Column = 900, keep_words: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, the columns `carry`, most, chunks): by sentence, paragraph or size, none over `most` bytes; one row a text.
 
@@ -202,9 +214,9 @@ def chunk_lists(df: DataFrame, mode: str = "sentence", most: int | Column = 900,
     else:
         pieces = F.transform(F.split("text", r"(?<=[.!?])(?=[\t\n\f\r ])[\t\n\f\r ]+"), go_trim)
 
-    @F.pandas_udf("array<string>")
-    def cut(lists: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [y for p in x for y in split_by_size(p, int(n), keep_words)] for x, n in zip(lists, sizes, strict=True)], dtype=object)
+    @F.arrow_udf("array<string>")
+    def cut(lists: pa.Array, sizes: pa.Array) -> pa.Array:
+        return _by_slices(lambda x, n: [y for p in x for y in split_by_size(p, n, keep_words)], lists, sizes)
 
     limit = F.lit(most) if isinstance(most, int) else most
     listed = df.select("doc_id", *carry, limit.cast("long").alias("most"), F.filter(pieces, lambda x: x != "").alias("_p"))
@@ -248,8 +260,9 @@ def merge_lists(listed: DataFrame, least: int = 100) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            merged = [None if x is None else merged_small(x, least, n) for x, n in zip(batch.column(at).to_pylist(), batch.column(most).to_pylist(), strict=True)]
-            yield batch.set_column(at, "chunks", pa.array(merged, pa.list_(pa.string())))
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                yield some.set_column(at, "chunks", _by_slices(lambda x, n: merged_small(x, least, n), some.column(at), some.column(most)))
 
     return listed.mapInArrow(run, listed.schema)
 

@@ -82,3 +82,29 @@ def test_parts_equal_a_plain_walk(spark, span, mb, lengths):
 def test_no_chapters_no_parts(spark):
     df = spark.createDataFrame([], "book_id long, chapter_no long, seconds double")
     assert estimate.pack_parts(df, 10).count() == 0
+
+
+def test_lists_are_cut_and_merged_by_slices(spark, monkeypatch):
+    """A task holds few texts as Python objects, whatever a batch brings; results are those of one text at a time."""
+    import pyarrow as pa
+
+    held = []
+    lists = pa.array([None if i % 10 == 3 else [f"w{i} " * 30, "b."] for i in range(1000)], pa.list_(pa.string()))
+    sizes = pa.array([20 + i % 50 for i in range(1000)])
+    plain, chunked = pa.array, []
+
+    def counted(rows, *kind):
+        chunked.append(len(rows))
+        return plain(rows, *kind)
+
+    monkeypatch.setattr(segment.pa, "array", counted)
+    got = segment._by_slices(lambda x, n: held.append(n) or [y for p in x for y in segment.split_by_size(p, n)], lists, sizes)
+    monkeypatch.undo()
+    assert max(chunked) <= segment.SLICE and len(held) == 900
+    assert got.to_pylist() == [None if x is None else [y for p in x for y in segment.split_by_size(p, n)] for x, n in zip(lists.to_pylist(), sizes.to_pylist(), strict=True)]
+    df = spark.createDataFrame([(i, f"one two {i}. " * (i % 40) if i % 7 else None) for i in range(500)], "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r.chunks for r in segment.merge_lists(segment.chunk_lists(df, "sentence", 60), 30).collect()}
+    for i in range(500):
+        text = f"one two {i}. " * (i % 40)
+        cut = [y for p in text.split(". ") if p for y in segment.split_by_size(p + ".", 60)]
+        assert whole[i] == (segment.merged_small(cut, 30, 60) if i % 7 else None)
