@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions.folders import shared_folder
 from lectern.operators.jobs import ranked_rows, upsert
@@ -25,14 +26,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Events for which a batch of arrivals() has one more file, so that many tasks write it.
+FILE_EVENTS = 4_000_000
+
+
 def arrivals(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
-    """The events as they might arrive: in `batches` files, a micro-batch each, some events one or two batches after their turn."""
+    """The events as they might arrive: in `batches` micro-batches of one file each, or as many as each needs, some events one or two batches after their turn."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    folder, last = shared_folder(spark, "arrivals"), events.agg(F.max("event_id")).first()[0]
+    folder, (last, count) = shared_folder(spark, "arrivals"), events.agg(F.max("event_id"), F.count("*")).first()
     turn = F.floor(F.col("event_id") * batches / F.lit((last or 0) + 1)) + F.when(F.col("event_id") % 7 == 3, 1).when(F.col("event_id") % 11 == 5, 2).otherwise(0)
+    files = 1 + count // FILE_EVENTS
     for n in range(batches):
-        events.where(F.least(turn, F.lit(batches - 1)) == n).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = events.where(F.least(turn, F.lit(batches - 1)) == n)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -161,29 +168,24 @@ def gauges(events: DataFrame) -> DataFrame:
     return events.groupBy("name", labels.alias("labels")).agg(last.alias("value"))
 
 
-#: What a job's event carries while it waits for its turn.
-_EVENT = "ts long, event_id long"
+#: What a job's event carries while it waits for its turn, and a time that never comes.
+_EVENT = np.dtype([("us", "i8"), ("event_id", "i8"), ("value", "f8")])
 _LATER = 1 << 62
 
 
-class InOrder(StatefulProcessor):
+class InOrder:
     """Takes each job's events by (ts, event_id), whatever batch they came in, once the watermark has passed them.
 
-    Events wait in a map of the state store, of which one timer a job knows the first; one that comes
-    when the watermark has passed it is late and expires. What is held of a job is what its last
-    `delay` brought, and the few numbers of `now`. Subclasses say what an event does (take) and what
-    the watermark does when no event comes (pass_time).
+    A job's state is one value: its waiting events, 24 bytes each, and the few numbers of `now`. States go to
+    Python and back beside the rows, many jobs at a time. An event that comes when the watermark has
+    passed it is late and expires. What is held of a job is what its last `delay` brought. Subclasses
+    say what an event does (take) and what the watermark does when no event comes (pass_time).
     """
 
     #: The schema of `now`, and its value before the first event.
     now_schema, begin = "n long", (0,)
     columns = ["job_id", "event_id"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getMapState("held", _EVENT, "value double")
-        self.now = handle.getValueState("now", self.now_schema)
-
     def take(self, job: object, now: tuple, ts: int, event: int, value: float) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
@@ -191,44 +193,33 @@ class InOrder(StatefulProcessor):
         """The new `now`, rows, and the time (ms) to look again."""
         return now, [], _LATER
 
-    def _wake(self, at: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if at < _LATER:
-            self.handle.registerTimer(max(at, 0))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        watermark, first = timerValues.getCurrentWatermarkInMs(), _LATER
-        for batch in rows:
-            for us, event, value in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True):
-                if us // 1000 > watermark:
-                    self.held.updateValue((us, event), (value,))
-                    first = min(first, us // 1000)
-        waits = min([first, *(t + 1 for t in self.handle.listTimers())])
-        # a timer fires when the watermark is over it
-        self._wake(waits - 1 if waits < _LATER else waits)
-        yield pd.DataFrame([], columns=self.columns)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        due, waits, out = [], _LATER, []
-        for (us, event), (value,) in self.held.iterator():
-            if us // 1000 <= watermark:
-                due.append((us, event, value))
-            else:
-                waits = min(waits, us // 1000)
-        now = tuple(self.now.get()) if self.now.exists() else self.begin
-        for us, event, value in sorted(due):
-            now, rows = self.take(key[0], now, us, event, value)
-            out += rows
-            self.held.removeKey((us, event))
-        now, rows, again = self.pass_time(key[0], now, watermark)
-        self.now.update(now)
-        self._wake(min(waits, again) - 1 if min(waits, again) < _LATER else _LATER)
-        yield pd.DataFrame(out + rows, columns=self.columns)
-
-    def close(self) -> None:
-        pass
+    def run(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        held, *now = state.get if state.exists else (b"", *self.begin)
+        came = [np.frombuffer(bytes(held), _EVENT)]
+        if not state.hasTimedOut:
+            for batch in rows:
+                new = np.empty(len(batch), _EVENT)
+                for name in _EVENT.names:
+                    new[name] = batch[name].to_numpy()
+                came.append(new[new["us"] // 1000 > watermark])
+        # of an event that comes twice the last one counts
+        waiting = np.concatenate(came)[::-1]
+        waiting = waiting[np.unique(waiting[["us", "event_id"]], return_index=True)[1]]
+        ends = int(np.searchsorted(waiting["us"] // 1000, watermark, "right"))
+        now, out = tuple(now), []
+        for us, event, value in waiting[:ends].tolist():
+            now, made = self.take(key[0], now, us, event, value)
+            out += made
+        now, made, again = self.pass_time(key[0], now, watermark)
+        waiting = waiting[ends:]
+        state.update((waiting.tobytes(), *now))
+        # a state times out when the watermark is over its time
+        waits = min(again, int(waiting["us"][0]) // 1000 if len(waiting) else _LATER)
+        if waits < _LATER:
+            state.setTimeoutTimestamp(max(waits - 1, watermark, 1))
+        if out or made:
+            yield pd.DataFrame(out + made, columns=self.columns)
 
 
 class _Throttle(InOrder):
@@ -278,7 +269,7 @@ class _Previews(InOrder):
 
 def _in_order(events: DataFrame, value: str, processor: InOrder, schema: str, delay: str) -> DataFrame:
     timed = events.withWatermark("ts", delay).select("job_id", "event_id", F.unix_micros("ts").alias("us"), F.col(value).cast("double").alias("value"), "ts")
-    return timed.groupBy("job_id").transformWithStateInPandas(processor, schema, "append", "EventTime")
+    return timed.groupBy("job_id").applyInPandasWithState(processor.run, schema, f"held binary, {processor.now_schema}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttled(progress: DataFrame, step: float = 0.1, delay: str = "5 minutes") -> DataFrame:

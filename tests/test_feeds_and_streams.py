@@ -146,3 +146,19 @@ def test_ranks_of_names_that_begin_alike(spark):
     shares = [r["count"] for r in kept(df.repartitionByRange(8, "display_order", "name", "id").withColumn("p", F.spark_partition_id()), "shares").groupBy("p").count().collect()]
     assert len(shares) > 4 and max(shares) < 900
     assert jobs.ranked(df.limit(0), "display_order", "name").count() == 0
+
+
+def test_a_batch_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
+    """As many tasks as files write a batch of arrivals, which stays one batch; ordered streams give the same rows."""
+    rows = [(e, datetime(2024, 1, 1) + timedelta(minutes=7 * e), e % 9, "view", (e * 37 % 101) / 10) for e in range(2000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+
+    def told():
+        stream = events.arrivals(spark, str(tmp_path)).withColumnRenamed("user_id", "job_id")
+        seen = events.run_intake(stream.select("job_id", "event_id", "ts"), ["ts", "event_id"], "n")
+        let_through = events.run_available(events.throttled(stream, 0.1, "3 days"), "append", "t")
+        return sorted(map(tuple, seen.collect())), sorted(map(tuple, let_through.collect()))
+
+    one = told()
+    monkeypatch.setattr(events, "FILE_EVENTS", 500)
+    assert told() == one and {r[4] for r in one[0]} == {0, 1, 2, 3} and one[1]
