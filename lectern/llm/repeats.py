@@ -28,7 +28,7 @@ from lectern.llm.common import drop, keep, meet, whole_groups
 #: Bytes of a digit: anchors are one, and each sort pass goes one deeper.
 DIGIT = 50
 #: Contexts that a task holds to count equal ones before it writes them.
-HELD = 20_000
+HELD = 8_000
 
 _rng = np.random.default_rng(4)
 _SYMBOL = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,8 +178,10 @@ def _passes(group: np.ndarray, digits: list[np.ndarray]) -> tuple[np.ndarray, np
 
 def _equal(cells: np.ndarray, one: np.ndarray, other: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
     """Whether two contexts have the same bytes in the window at `start`."""
-    at = start[None] + np.arange(depth)[:, None]
-    return (cells[at, one[None]] == cells[at, other[None]]).all(0)
+    same = np.ones(len(one), bool)
+    for c in range(depth):
+        same &= cells[start + c, one] == cells[start + c, other]
+    return same
 
 
 def _by_bytes(cells: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, depth: int, back: int) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +393,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, carry: tuple[str, ...] = (
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("text", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             sizes, kept, spans = [], [], []
             for text, cut in zip(batch.column(1), batch.column(2), strict=True):
                 data = bytes(text.as_buffer())
