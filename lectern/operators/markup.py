@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import go_trim, replace_all
+from lectern.functions.text import changed, go_trim, replace_all
 from lectern.operators.segment import paragraph_list, sentence_list
 
 TITLE_MARK = "{{TITLE_BREAK}}"
@@ -53,7 +53,7 @@ def breaks(text: Column, p: Pauses) -> Column:
     out = F.replace(text, F.lit(TITLE_MARK), F.lit(tag(p.title) if p.title > 0 else ""))
     if p.colon <= 0:
         out = F.replace(out, F.lit(":"), F.lit(" "))
-    out = F.regexp_replace(out, "[ \t]+", " ")
+    out = changed(out, lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), lambda t: F.regexp_replace(t, "[ \t]+", " "))
     if p.natural and not p.sentence and not p.paragraph:
         p = replace(p, sentence=500, paragraph=800)
     told = (lambda t: with_pauses(t, p.dashes, p.dash, max(p.parentheses, 0), max(p.colon, 0))) if p.dashes or p.parentheses > 0 or p.colon > 0 else escape_xml

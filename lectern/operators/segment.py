@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import go_trim, let
+from lectern.functions.text import BLANKS, changed, go_trim, let
 from lectern.operators.cleaning import is_speakable
 
 MARKER = "{{PART_BREAK}}"
@@ -42,7 +42,7 @@ ENDS = "[.!?։؟‽]"
 
 
 def paragraph_list(text: Column) -> Column:
-    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n+")
+    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
     return F.filter(F.transform(lines, go_trim), lambda x: x != "")
 
 
@@ -63,10 +63,16 @@ def loose_paragraphs(df: DataFrame) -> DataFrame:
 
 def sentence_list(text: Column) -> Column:
     """Ends at a mark before white space; initials (A. B.) move together and end nothing."""
-    close = F.regexp_replace(text, r"(?<=\p{Lu}\.) *(?=\p{Lu}\.)", "")
-    held = F.regexp_replace(F.regexp_replace(close, r"(?<=\p{Lu})\.(?=\p{Lu}\.)", ""), r"(?<=\p{Lu})\.", "")
-    parts = F.split(held, f"(?<={ENDS})[\\t\\n\\f\\r ]+")
-    return F.filter(F.transform(parts, lambda x: go_trim(F.translate(x, "", "."))), lambda x: x != "")
+
+    def initials(whole: Column) -> Column:
+        return F.regexp_like(whole, F.lit(r"\.(?<=\p{Lu}\.) *\p{Lu}\.")) | F.contains(whole, F.lit(""))
+
+    def held(whole: Column) -> Column:
+        close = F.regexp_replace(whole, r"(?<=\p{Lu}\.) *(?=\p{Lu}\.)", "")
+        return F.regexp_replace(F.regexp_replace(close, r"(?<=\p{Lu})\.(?=\p{Lu}\.)", ""), r"(?<=\p{Lu})\.", "")
+
+    parts = F.split(changed(text, initials, held), f"(?=[\\t\\n\\f\\r ])(?<={ENDS})[\\t\\n\\f\\r ]+")
+    return F.filter(F.transform(parts, lambda x: go_trim(F.replace(x, F.lit(""), F.lit(".")))), lambda x: x != "")
 
 
 def sentences(df: DataFrame) -> DataFrame:
@@ -105,8 +111,6 @@ def count_parts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", n.alias("separators"), (n > 0).alias("has_separators"))
 
 
-#: What pieces are trimmed of.
-_TRIM = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SENTENCE_END = re.compile(rb"[.!?](?=[ \t\n\r\x0b\x0c])")
 _WORD_END = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _TAG_MARK = re.compile(rb"[<>]")
@@ -176,14 +180,14 @@ def split_by_size(text: str, most: int, words: bool = True) -> list[str]:
 
     The text is scanned once and read from cut to cut, so the work is linear in its length.
     """
-    text = text.strip(_TRIM)
+    text = text.strip(BLANKS)
     data = text.encode()
     if len(data) <= most:
         return [text] if text else []
     breaks, out, begin = Breaks(data, words), [], 0
     while begin < len(data):
         end = breaks.cut(begin, max(most, 1))
-        out.append(data[begin:end].decode().strip(_TRIM))
+        out.append(data[begin:end].decode().strip(BLANKS))
         begin = end
     return [x for x in out if x]
 
@@ -212,7 +216,7 @@ def chunk_lists(df: DataFrame, mode: str = "sentence", most: int | Column = 900,
     elif mode == "size":
         pieces = F.array(go_trim(F.coalesce("text", F.lit(""))))
     else:
-        pieces = F.transform(F.split("text", r"(?<=[.!?])(?=[\t\n\f\r ])[\t\n\f\r ]+"), go_trim)
+        pieces = F.transform(F.split("text", r"(?=[\t\n\f\r ])(?<=[.!?])[\t\n\f\r ]+"), go_trim)
 
     @F.arrow_udf("array<string>")
     def cut(lists: pa.Array, sizes: pa.Array) -> pa.Array:
