@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import go_trim, replace_all
+from lectern.functions.text import changed, go_trim, let, replace_all
 from lectern.sources.bundled import ENGLISH_RULES, Rule
 
 #: Characters that go, those that become another, and those that become words.
@@ -57,17 +59,31 @@ WORDS = (
 )
 
 
-def clean(text: Column) -> Column:
-    """Characters that speech engines stumble over, and white space; characters go before words come."""
+#: Any character that clean() takes away, or turns into another or into words; others from U+2000 on are looked at too.
+ODD = "[" + "".join(sorted({re.escape(c) for c in BLANKS + GONE + "".join(a for a, _ in SINGLES + WORDS) if c < "\u2000"})) + r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u2000-\x{10FFFF}]"
+
+
+def _plain_characters(text: Column) -> Column:
+    """Characters go before words come, and then controls and private characters."""
     kept = F.translate(text, BLANKS + "".join(a for a, _ in SINGLES) + GONE, " " * len(BLANKS) + "".join(b for _, b in SINGLES))
-    signs = "[" + "".join(a for a, _ in WORDS) + "]"
-    said = F.when(F.regexp_like(kept, F.lit(signs)), replace_all(kept, WORDS)).otherwise(kept)
-    out = F.regexp_replace(said, r"\.{4,}", "...")
-    out = F.regexp_replace(out, r"[\p{Cc}&&[^\n\r\t]]|\p{Co}", " ")
+    signs = F.lit("(?=[^\\x00-\\x7F])[" + "".join(a for a, _ in WORDS) + "]")
+    words = F.create_map(*(F.lit(x) for pair in WORDS for x in pair))
+    # no sign is in another one's words, so the order of those that a text has doesn't count
+    said = let(kept, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, signs, F.lit(0))), t, lambda now, sign: F.replace(now, sign, words[sign])))
+    return F.regexp_replace(said, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\uE000-\uF8FF\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]", " ")
+
+
+def clean(text: Column) -> Column:
+    """Characters that speech engines stumble over, and white space; each step looks first whether a text has what it changes."""
+    has = lambda *parts: lambda t: reduce(or_, (F.contains(t, F.lit(x)) for x in parts))
+    out = changed(text, lambda t: F.regexp_like(t, F.lit(ODD)), _plain_characters)
+    out = changed(out, has("...."), lambda t: F.regexp_replace(t, r"\.{4,}", "..."))
     out = replace_all(out, (("\r\n", "\n"), ("\r", "\n")))
-    for pattern, new in ((r"\n[\t\n\f ]*\n", "\n\n"), ("[ \t]+", " "), ("(?md)^ +| +$", ""), ("\n{3,}", "\n\n")):
-        out = F.regexp_replace(out, pattern, new)
-    return go_trim(out)
+    out = F.regexp_replace(out, r"\n[\t\n\f ]*\n", "\n\n")
+    out = changed(out, has("  ", "\t"), lambda t: F.regexp_replace(t, "[ \t]+", " "))
+    # blanks are single by now, and those around the whole text go at the end
+    out = replace_all(out, ((" \n", "\n"), ("\n ", "\n")))
+    return go_trim(changed(out, has("\n\n\n"), lambda t: F.regexp_replace(t, "\n{3,}", "\n\n")))
 
 
 def clean_text(df: DataFrame, col: str = "text") -> DataFrame:
@@ -122,6 +138,7 @@ def _trie(words: list[str]) -> str:
 _DIGITS = re.compile(r"\((?:\\d|\\\.|[+*?.])*\)")
 
 
+@lru_cache(1 << 16)
 def _made(rule: Rule, markup: bool, literal: str) -> bool:
     """Whether what a rule does may give a text a literal where it had none: in what is said, beside a group's text, across blanks."""
     said = f" {rule.markup if markup and rule.markup else rule.plain} "
@@ -169,7 +186,7 @@ def fitting(text: Column, rules: list[Rule], numbers: list[int], markup: bool =
         i = numbers[at]
         later = [j for j in numbers[at + 1 :] if literals[j] and _made(rules[i], markup, literals[j])]
         brings[i] = {i}.union(*(brings[j] for j in later))
-    as_array = lambda s: F.lit(sorted(s)).cast("array<int>")
+    as_array = lambda s: F.expr(f"CAST(array({', '.join(map(str, sorted(s)))}) AS array<int>)")
     looked_up = lambda seen, by_literal: F.flatten(F.transform(seen, lambda x: F.coalesce(by_literal[F.lower(x)], as_array(numbers))))
     found = [as_array(set().union(*(brings[i] for i in numbers if not literals[i])))]
     leads = {i: _fold(re.sub(r"^(\(\?i\))?(\\b)?", "", rules[i].pattern).replace("\\", "")).startswith(x) for i, x in literals.items() if x}

@@ -41,7 +41,7 @@ def extract_numbers(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def has_numbers(text: Column) -> Column:
-    return F.regexp_like(text, F.lit("-?[0-9]+"))
+    return F.regexp_like(text, F.lit("[0-9]"))
 
 
 def _table(names: list[str], at: Column) -> Column:
@@ -208,7 +208,7 @@ def gender_of(word: Column) -> Column:
     )
 
 
-ROMAN = r"(?<![A-Za-z0-9_])([IVXLCDM]+)(?![A-Za-z0-9_])"
+ROMAN = r"(?=[IVXLCDM])(?<![A-Za-z0-9_])([IVXLCDM]+)(?![A-Za-z0-9_])"
 VALUES = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 
@@ -290,16 +290,22 @@ def noun_forms(nouns, lang: str) -> dict[str, tuple[str, str]]:
 
 #: Nouns of a dictionary that become part of an expression.
 MOST_NOUNS = 50_000
-#: The word at the end and at the start of a text, blanks apart.
-_WORD_BEFORE, _WORD_AFTER = r"([\p{L}'-]+)[\t\n\x0B\f\r \x85\xA0]*\z", r"\A[\t\n\x0B\f\r \x85\xA0]*([\p{L}'-]+)"
+#: What may stand between a number and a word, and the word at the start of a text.
+_AROUND, _WORD_AFTER = "\t\n\x0b\f\r \x85\xa0", r"\A[\t\n\x0B\f\r \x85\xA0]*([\p{L}'-]+)"
 #: Where a number with its minus begins and ends.
-_NUMBER_EDGE = "(?=-[0-9])|(?<![0-9-])(?=[0-9])|(?<=[0-9])(?![0-9])"
+_NUMBER_EDGE = "(?=-[0-9])|(?=[0-9])(?<![0-9-])|(?<=[0-9])(?![0-9])"
 #: Put around Roman numerals for a moment: private characters in an order that no text has.
 _MARK = "\ue000\ue001\ue000"
 
 
-def _word(piece: Column, pattern: str) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(piece, F.lit("")), pattern, 1))
+def _word_before(piece: Column) -> Column:
+    """The word at a text's end, lower-case: only what follows the last blank is looked at."""
+    last = F.substring_index(F.rtrim(F.coalesce(piece, F.lit("")), F.lit(_AROUND)), " ", -1)
+    return F.lower(F.regexp_extract(last, r"([\p{L}'-]+)\z", 1))
+
+
+def _word_after(piece: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(piece, F.lit("")), _WORD_AFTER, 1))
 
 
 def _among(word: Column, words: list[str] | Column) -> Column:
@@ -329,12 +335,12 @@ def known_words(df: DataFrame, col: str, beside: Column, nouns: DataFrame, lang:
 
 
 def _open_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<=\p{L})-(?=[0-9])", " ")
+    return F.regexp_replace(text, r"-(?<=\p{L}-)(?=[0-9])", " ")
 
 
 def words_before_numbers(text: Column) -> Column:
     """The word right before each number, lower-case."""
-    beside = lambda pieces: F.transform(pieces, lambda p, i: F.when(F.regexp_like(p, F.lit("^-?[0-9]+$")), _word(F.get(pieces, i - 1), _WORD_BEFORE)).otherwise(""))
+    beside = lambda pieces: F.transform(pieces, lambda p, i: F.when(F.regexp_like(p, F.lit("^-?[0-9]+$")), _word_before(F.get(pieces, i - 1))).otherwise(""))
     return F.when(has_numbers(text), let(F.split(_open_hyphens(text), _NUMBER_EDGE), beside))
 
 
@@ -342,7 +348,7 @@ def words_beside_romans(text: Column) -> Column:
     """The words right before and after each Roman numeral, lower-case."""
 
     def beside(pieces: Column) -> Column:
-        each = F.transform(pieces, lambda p, i: F.when(is_roman(p), F.array(_word(F.get(pieces, i - 1), _WORD_BEFORE), _word(F.get(pieces, i + 1), _WORD_AFTER))).otherwise(F.array().cast("array<string>")))
+        each = F.transform(pieces, lambda p, i: F.when(is_roman(p), F.array(_word_before(F.get(pieces, i - 1)), _word_after(F.get(pieces, i + 1)))).otherwise(F.array().cast("array<string>")))
         return F.flatten(each)
 
     return F.when(F.regexp_like(text, F.lit(ROMAN)), let(F.split(F.regexp_replace(text, ROMAN, f"{_MARK}$1{_MARK}"), _MARK), beside))
@@ -358,7 +364,7 @@ def numbers_in_words_en(text: Column, ordinal_words: list[str] | Column) -> Colu
         def one(p: Column, i: Column) -> Column:
             n, before = p.try_cast("bigint"), F.coalesce(F.get(pieces, i - 1), F.lit(""))
             none = isinstance(ordinal_words, list) and not ordinal_words
-            said = cardinal_en(n) if none else F.when(_among(_word(before, _WORD_BEFORE), ordinal_words), ordinal_en(n)).otherwise(cardinal_en(n))
+            said = cardinal_en(n) if none else F.when(_among(_word_before(before), ordinal_words), ordinal_en(n)).otherwise(cardinal_en(n))
             joined = F.startswith(p, F.lit("-")) & F.regexp_like(before, F.lit("[0-9]\\z"))
             return F.when(F.regexp_like(p, F.lit("^-?[0-9]+$")) & n.isNotNull() & ~joined, said).otherwise(p)
 
@@ -382,7 +388,7 @@ def romans_in_words_en(text: Column, words: list[str] | Column) -> Column:
 
     def spoken(all_: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
-            beside = [_among(_word(F.get(all_, i - 1), _WORD_BEFORE), words), _among(_word(F.get(all_, i + 1), _WORD_AFTER), words)]
+            beside = [_among(_word_before(F.get(all_, i - 1)), words), _among(_word_after(F.get(all_, i + 1)), words)]
             said = F.when(beside[0], cardinal_en(roman_value(p))).when(beside[1], ordinal_en(roman_value(p))).otherwise(p)
             return F.when(is_roman(p), said).otherwise(p)
 

@@ -85,8 +85,11 @@ def sentences_lossless(df: DataFrame) -> DataFrame:
 
 
 def is_separator(line: Column, patterns: tuple[str, ...] = SEPARATORS) -> Column:
-    one = "|".join(f"(?:{p})" for p in patterns).replace(r"\s", r"\t\n\f\r ").replace(r"[.\t", "[.\\t").replace("$", r"\z")
-    return F.regexp_like(line, F.lit(re.sub(r"(?<!\[\.)\\t\\n\\f\\r (?=[*+?])", r"[\\t\\n\\f\\r ]", one)))
+    # where all begin at the line's start, that is looked at once
+    bound = all(p.startswith("^") and "|" not in p for p in patterns)
+    one = "|".join(f"(?:{p[1:] if bound else p})" for p in patterns).replace(r"\s", r"\t\n\f\r ").replace(r"[.\t", "[.\\t").replace("$", r"\z")
+    own = re.sub(r"(?<!\[\.)\\t\\n\\f\\r (?=[*+?])", r"[\\t\\n\\f\\r ]", one)
+    return F.regexp_like(line, F.lit(f"\\A(?:{own})" if bound else own))
 
 
 def mark_separators(df: DataFrame, patterns: tuple[str, ...] = SEPARATORS) -> DataFrame:

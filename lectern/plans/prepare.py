@@ -79,8 +79,9 @@ def prepare_corpus(df: DataFrame, options: Options | None = None, providers: Dat
     lang, text = F.col("_lang"), F.col("text")
     out = cleaning.clean_text(_wanted(df, o, providers))
     plain = cleaning.with_rules(text, o.rules, lang)
-    marked = F.when(F.col("_speaks_markup"), cleaning.with_rules(text, o.rules, lang, markup=True)).otherwise(plain)
-    out = out.withColumn("text", plain if providers is None and not o.speaks_markup else marked)
+    if providers is not None or o.speaks_markup:
+        plain = F.when(F.col("_speaks_markup"), cleaning.with_rules(text, o.rules, lang, markup=True)).otherwise(plain)
+    out = out.withColumn("text", plain)
     if providers is not None or o.spell_numbers:
         out = with_spoken_numbers(out, "text", F.when(F.col("_normalize_numbers"), lang), o.nouns)
     if providers is not None or o.transliterate:

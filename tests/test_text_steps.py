@@ -5,8 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from lectern.functions.text import BLANKS, go_trim
-from lectern.operators import markup, segment
+from lectern.functions.text import BLANKS, go_trim, replace_all
+from lectern.operators import cleaning, markup, numbers, segment
 
 BLANK = "[\\t\\n\\x0B\\f\\r \\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 HELD = "\ue000"
@@ -53,3 +53,45 @@ def test_sentences_of_initials(spark):
     both(spark, [*values, "Vitamin A. The B. C. D. E. end. F"], segment.sentence_list, plain_sentences)
     lines = lambda x: F.filter(F.transform(F.split(F.replace(x, F.lit("\r\n"), F.lit("\n")), "\n+"), plain_trim), lambda p: p != "")
     both(spark, odd_texts(400, ["\n", "\r\n", "\r", " ", "a", "\u2003", "b c"]), segment.paragraph_list, lines)
+
+
+def plain_clean(x):
+    c = cleaning
+    kept = F.translate(x, c.BLANKS + "".join(a for a, _ in c.SINGLES) + c.GONE, " " * len(c.BLANKS) + "".join(b for _, b in c.SINGLES))
+    out = F.regexp_replace(replace_all(kept, c.WORDS), r"\.{4,}", "...")
+    out = F.regexp_replace(out, r"[\p{Cc}&&[^\n\r\t]]|\p{Co}", " ")
+    out = replace_all(out, (("\r\n", "\n"), ("\r", "\n")))
+    for pattern, new in ((r"\n[\t\n\f ]*\n", "\n\n"), ("[ \t]+", " "), ("(?md)^ +| +$", ""), ("\n{3,}", "\n\n")):
+        out = F.regexp_replace(out, pattern, new)
+    return plain_trim(out)
+
+
+def test_clean_is_its_steps_one_by_one(spark):
+    """Alone each character that means something, then all of them in odd company."""
+    own = sorted({*cleaning.GONE, *cleaning.BLANKS, *(a for a, _ in cleaning.SINGLES + cleaning.WORDS), *map(chr, range(161)), "\u2028", "\ue000", "\uf8ff", "\U000f0000", "\U0010fffd", "\U0001f600"})
+    white = ["\n", "\n", " ", " ", "\t", "\r", "\r\n", "\f", "a", ".", ".."]
+    both(spark, [*(f"a{c}b .{c}. \n{c} {c}\n" for c in own), *odd_texts(800, white, 16), *odd_texts(1200, [*own, *white * 12], 24)], cleaning.clean, plain_clean)
+
+
+def test_separator_lines(spark):
+    plain = "|".join(f"(?:{p})" for p in segment.SEPARATORS).replace("[.\\s]", "[.\\t\\n\\f\\r ]").replace("\\s*", "[\\t\\n\\f\\r ]*").replace("$", "\\z")
+    values = odd_texts(1500, ["*", "*", "* * *", "-", "---", "_", "___", "=", " ", "\t", "\n", ".", "#", "\u2022", "\u25cb", "a"], 6)
+    both(spark, values, segment.is_separator, lambda x: F.regexp_like(x, F.lit(plain)))
+    both(spark, ["ab", "b", "cab"], lambda x: segment.is_separator(x, ("^a|b$",)), lambda x: F.regexp_like(x, F.lit("^a|b\\z")))
+
+
+def test_words_around_numbers(spark):
+    before = r"([\p{L}'-]+)[\t\n\x0B\f\r \x85\xA0]*\z"
+    values = odd_texts(1000, ["a", "\u0429", "'", "-", " ", "\xa0", "\t", "\n", "\u2003", "1", "."], 8)
+    both(spark, values, numbers._word_before, lambda x: F.lower(F.regexp_extract(F.coalesce(x, F.lit("")), before, 1)))
+    mixed = odd_texts(1000, ["-", "7", "12", "a", "\u0429", " ", "I", "XIV", "_", "."], 8)
+    both(spark, mixed, lambda x: F.split(numbers._open_hyphens(x), numbers._NUMBER_EDGE), lambda x: F.split(F.regexp_replace(x, r"(?<=\p{L})-(?=[0-9])", " "), "(?=-[0-9])|(?<![0-9-])(?=[0-9])|(?<=[0-9])(?![0-9])"))
+    both(spark, mixed, lambda x: F.regexp_replace(x, numbers.ROMAN, "<$1>"), lambda x: F.regexp_replace(x, r"(?<![A-Za-z0-9_])([IVXLCDM]+)(?![A-Za-z0-9_])", "<$1>"))
+
+
+def test_a_long_line_before_a_number_is_left_alone(spark):
+    """The word before a number was looked for at each place of all that stands before it."""
+    df = spark.range(4).select("id", F.concat(F.repeat(F.lit("ab"), 30_000), F.lit(" . 7")).alias("text"))
+    began = time.time()
+    assert df.where(F.length(numbers.numbers_in_words_en(F.col("text"), ["chapter"])) == 60_008).count() == 4
+    assert time.time() - began < 10
