@@ -95,3 +95,12 @@ def test_a_long_line_before_a_number_is_left_alone(spark):
     began = time.time()
     assert df.where(F.length(numbers.numbers_in_words_en(F.col("text"), ["chapter"])) == 60_008).count() == 4
     assert time.time() - began < 10
+
+
+def test_chunks_with_long_runs_of_blanks(spark):
+    blank = 60_000
+    df = spark.range(4).select(F.col("id").alias("doc_id"), F.concat(F.lit("One. a"), F.repeat(F.lit(" "), blank), F.lit("b. Two")).alias("text"))
+    began = time.time()
+    rows = segment.chunk_lists(df, "sentence", 1_000_000).collect()
+    assert [[len(c) for c in r.chunks] for r in rows] == [[4, blank + 3, 3]] * 4
+    assert time.time() - began < 10
