@@ -38,7 +38,8 @@ def _wanted(df: DataFrame, o: Options, providers: DataFrame | None) -> DataFrame
     if providers is None:
         return named.withColumns({f"_{k}": F.lit(v) for k, v in wishes.items()})
     theirs = providers.select(F.col("provider").alias("_provider"), *(F.col(k).alias(f"_{k}") for k in wishes))
-    joined = named.join(theirs, F.col("provider") == F.col("_provider"), "left").drop("_provider")
+    # a few rows that go to the texts: by provider, all texts would meet in as many tasks as there are providers
+    joined = named.join(F.broadcast(theirs), F.col("provider") == F.col("_provider"), "left").drop("_provider")
     return joined.withColumns({f"_{k}": F.coalesce(f"_{k}", F.lit(v)) for k, v in wishes.items()})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import BLANKS, go_trim, replace_all
 from lectern.operators import cleaning, markup, numbers, segment
+from lectern.plans import prepare
 
 BLANK = "[\\t\\n\\x0B\\f\\r \\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 HELD = "\ue000"
@@ -104,3 +105,17 @@ def test_chunks_with_long_runs_of_blanks(spark):
     rows = segment.chunk_lists(df, "sentence", 1_000_000).collect()
     assert [[len(c) for c in r.chunks] for r in rows] == [[4, blank + 3, 3]] * 4
     assert time.time() - began < 10
+
+
+def test_a_providers_texts_stay_in_their_tasks(spark):
+    """Providers are few, so texts that were dealt out by theirs would be in as few tasks."""
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.range(0, 400, 1, 8).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.when(F.col("id") % 50 < 49, "cloud").when(F.col("id") < 200, "other").alias("provider"), F.lit("One. Two.").alias("text"))
+    wishes = spark.createDataFrame([("cloud", True, False, False, False, 4000), ("hosted", True, False, False, False, 900)], prepare.PROVIDERS)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 200)
+        rows = prepare.chunk_job(df, providers=wishes).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert sorted((r.doc_id, r.chunk) for r in rows) == [(i, '<speak>One. <break time="400ms"/> Two.</speak>' if i % 50 < 49 else "One. Two.") for i in range(400)]
+    assert len({r.task for r in rows}) == 8
