@@ -117,6 +117,8 @@ def count_parts(df: DataFrame) -> DataFrame:
 _SENTENCE_END = re.compile(rb"[.!?](?=[ \t\n\r\x0b\x0c])")
 _WORD_END = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _TAG_MARK = re.compile(rb"[<>]")
+#: What pieces are trimmed of.
+_TRIM = BLANKS
 
 
 class Breaks:
@@ -183,14 +185,14 @@ def split_by_size(text: str, most: int, words: bool = True) -> list[str]:
 
     The text is scanned once and read from cut to cut, so the work is linear in its length.
     """
-    text = text.strip(BLANKS)
+    text = text.strip(_TRIM)
     data = text.encode()
     if len(data) <= most:
         return [text] if text else []
     breaks, out, begin = Breaks(data, words), [], 0
     while begin < len(data):
         end = breaks.cut(begin, max(most, 1))
-        out.append(data[begin:end].decode().strip(BLANKS))
+        out.append(data[begin:end].decode().strip(_TRIM))
         begin = end
     return [x for x in out if x]
 
